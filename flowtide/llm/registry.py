@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from flowtide.session import ship
 
-from . import decontam, langid, media, mixing, sharding, tokens, urls
+from . import decontam, langid, media, mixing, neardup, sharding, tokens, urls
 
 _OPERATORS = [
     sharding.op1_flow_resharding,
     langid.op4_language_id,
     urls.op5_url_filters,
     mixing.op6_apportioned_mix,
+    neardup.op7_bag_minhash,
     media.op8_avi_mjpeg,
     tokens.op9_token_attribution,
     decontam.op10_decontamination,
