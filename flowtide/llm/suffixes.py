@@ -166,15 +166,6 @@ def _extension(suffixes: DataFrame, context: str, kind: str) -> DataFrame:
     return out.where("edge = 0").select(*keep).unionByName(fixed.select(*keep))
 
 
-def _merged(name: str) -> F.Column:
-    """Unite intervals (array of struct(s, e), ascending) that overlap or touch."""
-    return F.aggregate(
-        name,
-        F.expr("cast(array() as array<struct<s:int,e:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-
-
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, th, spans: list of (s, e, core)) -> one row for each united interval of at least PASSAGE words."""
     for batch in batches:
