@@ -1,20 +1,80 @@
-"""A corpus pipeline: stages over the documents table, each written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline: stages over the documents table, each written as Parquet and read again as the next one's documents.
+
+All stages but the last return the columns of documents. Rows alike in doc_id and text count as one document from the near-duplicate
+stage on. Null texts go in the first stage, as they have no language.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from flowtide.llm import common
+from flowtide.llm import common, decontam, langid, mixing, neardup, sharding
 from flowtide.session import ship
 
-STAGES: list = []
+
+def _one_each(docs: DataFrame) -> DataFrame:
+    """docs with _th, a hash of the text, and one row of those alike in doc_id and text."""
+    docs = docs.withColumn("_th", F.xxhash64("text"))
+    return docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(1)))).where("_n = 1").drop("_n")
+
+
+def _joined(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """docs of _one_each() with the columns of chosen: (id, th, ...)."""
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).drop("id", "th")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those of which no language holds 30 % of the letters."""
+    ship(spark)
+    return langid.known_only(docs, langid.learn(docs.where(~langid.held_out()).select("doc_id", "text", "lang")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near duplicates, the one with the least doc_id."""
+    ship(spark)
+    heads = neardup.near_duplicates(docs).where("keep").select(F.col("doc_id").alias("id"), "th").distinct()
+    return _joined(_one_each(docs), heads).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a passage of the benchmark table."""
+    ship(spark)
+    return decontam.clean_only(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents by the words that the mix takes of them; a part of a document becomes a whole one or none by a seeded draw."""
+    ids = mixing.mix(docs.withColumn("_th", F.xxhash64("text")), keep=("_th",))
+    draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "_th"), F.lit(1 << 20)) / (1 << 20)
+    copies = ids.where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + draw).cast("int"))
+    chosen = copies.groupBy(F.col("doc_id").alias("id"), F.col("_th").alias("th")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    return _joined(_one_each(docs), chosen).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lay the documents, landed by source, into shards of equal bytes; adds shard and slot."""
+    rows = sharding.keyed(docs, sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
+    placed = rows.withColumn("shard", sharding.plan(rows).shard())
+    columns = [c for c in docs.columns if c not in ("shard", "slot")]
+    return sharding.with_slots(placed, ("doc_id",)).select(*columns, "shard", "slot")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language ID", language),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing to target weights", source_mix),
+    ("sharding", shards),
+]
 
 #: No SQL expresses the language model, the signatures or the banded alignment of the first three stages; tests use brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.store(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")

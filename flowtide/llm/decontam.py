@@ -208,18 +208,45 @@ def find(docs: DataFrame, items: DataFrame, key=None) -> DataFrame:
     """(key, item_id, start, end, edits, pieces): a row for each stretch of a text that holds a piece of an item. key: a Column, doc_id if None."""
     spark = docs.sparkSession
     rows = docs.select((F.col("doc_id") if key is None else key).alias("key"), "text").where("text is not null")
-    kinds = {"string": "string"}
-    item_kind = kinds.get(items.schema["item_id"].dataType.simpleString(), "long")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    parts = max(1, -(-size // MAX_ITEM_BYTES))
+    item_kind = "string" if items.schema["item_id"].dataType.simpleString() == "string" else "long"
     out = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").orderBy("item_id", "text").collect()
-        sent = spark.sparkContext.broadcast(index([tuple(r) for r in own]))
+    for ix in indexes(items):
+        sent = spark.sparkContext.broadcast(ix)
         found = rows.mapInArrow(_matched(sent), f"key {rows.schema['key'].dataType.simpleString()}, item_id {item_kind}, start long, end long, edits long, pieces long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _clean(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = sent.value
+        for batch in batches:
+            text = utf8(batch.column("text"))
+            keep = np.ones(batch.num_rows, np.bool_)
+            for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)) if len(ix.need) else ():
+                own, starts, _ = reduced(text[lo:hi])
+                for t, *_ in matches(own, starts, ix):
+                    keep[lo + t] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """An index of each part of the items; one part unless they exceed MAX_ITEM_BYTES."""
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    parts = max(1, -(-size // MAX_ITEM_BYTES))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").orderBy("item_id", "text").collect()
+        yield index([tuple(r) for r in own])
+
+
+def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose text holds no piece of an item."""
+    for ix in indexes(items):
+        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(ix)), docs.schema)
+    return docs
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("key", "doc_id")

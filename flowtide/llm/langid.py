@@ -201,6 +201,25 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH, key: str = "doc
     return docs.select(F.col(key).alias("doc_id"), "text").mapInArrow(_labelled(sent, switch), f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,start:long,end:long>>")
 
 
+def _kept(sent, switch: float, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _labelled(sent, switch)
+        for batch in batches:
+            lang, score = [], []
+            for out in rows(iter([pa.record_batch([pa.array(range(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])])):
+                lang += out.column("lang_pred").to_pylist()
+                score += out.column("score").to_pylist()
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
+
+    return run
+
+
+def known_only(docs: DataFrame, model: Model, least: float = 0.3, switch: float = SWITCH) -> DataFrame:
+    """The rows, with all their columns, whose text has a language that holds at least the share ``least`` of its letters."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_kept(sent, switch, least), docs.schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs.where(~held_out()).select("doc_id", "text", "lang"))

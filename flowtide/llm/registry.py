@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from flowtide.session import ship
 
-from . import decontam, langid, media, mixing, neardup, sharding, tokens, urls
+from . import decontam, langid, lm, media, mixing, neardup, sharding, suffixes, tokens, urls
 
 _OPERATORS = [
     sharding.op1_flow_resharding,
+    lm.op2_cross_entropy_difference,
+    suffixes.op3_sparse_suffixes,
     langid.op4_language_id,
     urls.op5_url_filters,
     mixing.op6_apportioned_mix,
