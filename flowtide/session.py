@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -36,3 +37,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share: under spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowtide-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
