@@ -186,7 +186,7 @@ def flight_key(direction: Column | str, number: Column | str, scheduled: Column
 
 def cell_id(lat: Column | str, lon: Column | str, places: int = 2) -> Column:
     """A rounding grid as a text key: 2 places are about 1 km, 3 about 100 m."""
-    return F.concat_ws("_", *(F.format_number(F.round(c(x), places), f"0.{'0' * places}") for x in (lat, lon)))
+    return F.concat_ws("_", *(F.format_string(f"%.{places}f", F.round(c(x), places)) for x in (lat, lon)))
 
 
 # geometry -----------------------------------------------------------------------------------------------------------------
