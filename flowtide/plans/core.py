@@ -177,9 +177,6 @@ def _(s, d):
     return flight_scores(s, d).select(day("event_date"), "event_hour", "total_movements", "baseline_median", "baseline_mad", "ratio", "robust_z", "severity", "change")
 
 
-WEIGHTS = "w AS (SELECT isodow(date) >= 6 AS is_weekend, hour, sum(count) / sum(sum(count)) OVER (PARTITION BY isodow(date) >= 6) AS weight FROM obs GROUP BY isodow(date) >= 6, hour)"
-
-
 def weights(s, d):
     return rollup.diurnal_weights(A.observations(s, d))
 
@@ -194,11 +191,6 @@ def _(s, d):
     return rollup.disaggregate(site_days(s, d), weights(s, d)).select("SiteRef", day("count_date"), "hour", *r4("hourly_total_count"), "is_synthetic")
 
 
-def _points(name: str, k: int) -> str:
-    """One feed: hourly counts of an event type, scored by mean and deviation, located by user."""
-    return f"SELECT '{name}' AS source, loc AS location, -41.3 + (loc::INT % 4) * 0.01::DOUBLE AS lat, 174.7 + (loc::INT % 3) * 0.01::DOUBLE AS lon, date AS event_date, hour AS event_hour, z AS score FROM z WHERE k = {k}"
-
-
 FEEDS = {"sensor": "Pedestrian", "transit": "Cyclist", "highway": "error", "flight": "purchase"}
 FEED_SQL = """zz AS (SELECT countline_id AS location, transport_class, date, hour, count, (count - avg(count) OVER (PARTITION BY transport_class, hour)) / nullif(stddev_samp(count) OVER (PARTITION BY transport_class, hour), 0) AS score FROM obs),
 uni AS (SELECT CASE transport_class WHEN 'Pedestrian' THEN 'sensor' WHEN 'Cyclist' THEN 'transit' WHEN 'error' THEN 'highway' ELSE 'flight' END AS source, location, -41.3 + (location::INT % 4) * 0.01::DOUBLE AS lat, 174.7 + (location::INT % 3) * 0.01::DOUBLE AS lon, date AS event_date, hour AS event_hour, score, CASE WHEN abs(score) >= 2.0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM zz WHERE transport_class IN ('Pedestrian', 'Cyclist', 'error', 'purchase') AND abs(score) >= 1.0),

@@ -1 +1,473 @@
-"""Queries of landed feeds, boards, streams and reports."""
+"""Queries of landed feeds, sinks, boards, streams and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import boards, detectors, joins, reports
+from ..session import shared_folder
+from ..sinks import writers as K
+from ..sources import landed as S
+from ..streaming import jobs as M
+from . import adapters as A
+from .core import cameras, class_hourly, conformed, day, feed_sql, r4, site_scores, snap, street_hourly
+from .network import ts
+from .oracle import sql
+from .registry import query
+
+# sources and sinks: derived rows are written by a sink and read by a source
+
+
+@query("s01_parquet_shards", sql("obs", "SELECT countline_id, sum(count) AS total, count(*) AS n FROM obs WHERE date BETWEEN DATE '2024-01-10' AND DATE '2024-01-20' GROUP BY 1"))
+def _(s, d):
+    path = shared_folder(s, "shards")
+    raw = A.observations(s, d).select(*[F.col(b).alias(a) for a, b in zip(["_COL_0", "_COL_1", "_COL_2", "_COL_3", "_COL_4", "_COL_5"], ["countline_id", "date", "hour", "count", "transport_class", "direction"])])
+    K.write_table(raw, path)
+    return S.load_parquet_shards(s, [path], "2024-01-10", "2024-01-20", check=False).groupBy("countline_id").agg(F.sum("count").alias("total"), F.count("*").alias("n"))
+
+
+@query("s02_metadata_csv", sql("meta", "SELECT COUNTLINE_ID, NAME, round(LATITUDE_START_LINE, 4) AS lat FROM meta"))
+def _(s, d):
+    path = shared_folder(s, "meta")
+    blank = {c: F.lit(None).cast("string") for c in ("DIRECTION_IN", "DIRECTION_OUT", "EARLIEST", "LATEST")}
+    K.write_csv(A.metadata(s, d).withColumns(blank).select("VIEWPOINT_ID", "COUNTLINE_ID", "NAME", "LATITUDE_START_LINE", "LONGITUDE_START_LINE", "LATITUDE_END_LINE", "LONGITUDE_END_LINE", *blank), path)
+    return S.load_metadata(s, path).select("COUNTLINE_ID", "NAME", F.round("LATITUDE_START_LINE", 4).alias("lat"))
+
+
+@query("s03_csv_set_k09", "SELECT 1 AS part, n_nationkey AS id, n_name AS name, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT 2, s_suppkey, s_name, s_acctbal FROM supplier")
+def _(s, d):
+    a, b = shared_folder(s, "set"), shared_folder(s, "set")
+    K.write_csv(A.table(s, d, "nation").select(F.lit(1).alias("part"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), a)
+    K.write_csv(A.table(s, d, "supplier").select(F.lit(2).alias("part"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")), b)
+    return S.load_csv_set(s, a, b).select(F.col("part").cast("int"), F.col("id").cast("long"), "name", F.col("balance").cast("double"))
+
+
+@query("s04_csv_lineage", "SELECT count(*) AS n, count(*) AS with_file FROM customer")
+def _(s, d):
+    path = shared_folder(s, "lineage")
+    K.write_csv(A.table(s, d, "customer"), path)
+    return S.load_csv_set(s, path).agg(F.count("*").alias("n"), F.count_if(F.col("source_file").startswith("part-")).alias("with_file"))
+
+
+@query("s05_gtfs_text", sql("rt", "SELECT ROUTE_ID AS route_id, ROUTE_SHORT_NAME AS route_short_name, ROUTE_TYPE::VARCHAR AS route_type FROM rt"))
+def _(s, d):
+    path = shared_folder(s, "gtfs")
+    r = A.gtfs_routes(s, d)
+    K.write_csv(r, path)
+    return S.load_gtfs(s, path, r.columns).select("route_id", "route_short_name", "route_type")
+
+
+@query("s06_parquet_tables", "SELECT count(*) AS n FROM lineitem")
+def _(s, d):
+    return A.table(s, d, "lineitem").agg(F.count("*").alias("n"))
+
+
+@query("s07_archive_k07", "SELECT strftime(ts, '%Y-%m-%d') AS service_date, hour(ts)::INT AS hour, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' GROUP BY 1, 2")
+def _(s, d):
+    path = shared_folder(s, "archive")
+    K.write_archive(A.table(s, d, "events"), path, "ts")
+    return S.load_archive(s, path, "2024-01-05", "2024-01-09").groupBy(day("service_date"), "hour").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("s08_json_lines_k10", "SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS users FROM events GROUP BY 1")
+def _(s, d):
+    path = shared_folder(s, "lines")
+    K.write_json_lines(A.table(s, d, "events").select("event_type", "user_id"), path)
+    return S.load_json_lines(s, path, "event_type string, user_id long").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+
+
+@query("s09_geojson_sites_k06", sql("hws", "SELECT siteref AS feature_id, round(lon, 4) AS lon, round(lat, 4) AS lat, state_highway AS sh FROM hws"))
+def _(s, d):
+    path = shared_folder(s, "sites")
+    sites = A.highway_sites(s, d).withColumn("sh", F.col("state_highway"))
+    doc = K.collection(K.point_features(sites, "siteref", "lon", "lat", ["sh", "description"]), "site-collection/v1", "2024-01-31")
+    doc.select("document").write.text(path)
+    return S.load_features(s, path, "sh:string,description:string").select("feature_id", *r4("lon", "lat"), "sh")
+
+
+@query("s10_json_array", "SELECT user_id::VARCHAR AS callsign, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
+def _(s, d):
+    path = shared_folder(s, "array")
+    rows = A.table(s, d, "events").where("event_type = 'view'").groupBy(F.to_date("ts").alias("day")).agg(F.collect_list(F.struct(F.col("user_id").cast("string").alias("callsign"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lastSeen"))).alias("a"))
+    rows.repartition("day").select(F.to_json("a")).write.text(path)
+    return S.load_json_lines(s, path, "callsign string, lastSeen long").groupBy("callsign").agg(F.count("*").alias("n"))
+
+
+@query("s11_views", "SELECT n_name, count(*) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+def _(s, d):
+    S.register_views({"v_supplier": A.table(s, d, "supplier"), "v_nation": A.table(s, d, "nation")})
+    return s.sql("SELECT n_name, count(*) AS n FROM v_supplier JOIN v_nation ON s_nationkey = n_nationkey GROUP BY n_name")
+
+
+@query("s12_constants", "SELECT r_name, k AS is_synthetic FROM region, (VALUES (true), (false)) t(k)")
+def _(s, d):
+    flags = S.constant(s, S.PROVENANCE, "TABLE_NAME string, SOURCE_KIND string, IS_SYNTHETIC boolean, NOTES string").select(F.col("IS_SYNTHETIC").alias("is_synthetic")).distinct()
+    return A.table(s, d, "region").select("r_name").crossJoin(flags)
+
+
+def polls(s, d, *cols):
+    """One poll a day and type, with entities as JSON."""
+    e = A.table(s, d, "events")
+    return e.groupBy(F.to_timestamp(F.to_date("ts")).alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.collect_list(F.struct(*cols)).alias("entity"))).alias("payload"))
+
+
+SECS = F.lit(1704067200)
+
+
+@query("s13_vehicle_positions", "SELECT event_id::VARCHAR AS id, 'V' || user_id AS vehicle_id, user_id::VARCHAR AS route_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS latitude, strftime(to_timestamp(1704067200 + event_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS vehicle_ts FROM events")
+def _(s, d):
+    trip = F.when(F.col("event_id") % 2 == 0, F.struct(F.col("user_id").cast("string").alias("route_id"), F.lit(None).cast("string").alias("routeId"))).otherwise(F.struct(F.lit(None).cast("string").alias("route_id"), F.col("user_id").cast("string").alias("routeId")))
+    lat = F.when(F.col("event_type") == "error", F.lit("bad")).otherwise(F.col("value").cast("string"))
+    v = F.struct(trip.alias("trip"), F.struct(lat.alias("latitude")).alias("position"), F.struct(F.concat(F.lit("V"), "user_id").alias("id")).alias("vehicle"), (SECS + F.col("event_id")).alias("timestamp"))
+    e = A.table(s, d, "events").select("ts", "event_type", "event_id", "user_id", "value")
+    p = e.groupBy(F.to_timestamp(F.to_date("ts")).alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_id").cast("string").alias("id"), v.alias("vehicle"))).alias("entity"))).alias("payload"))
+    out = S.vehicle_positions(p)
+    return out.select((F.unix_timestamp("vehicle_ts") - 1704067200).cast("string").alias("id"), "vehicle_id", "route_id", "latitude", ts("vehicle_ts"))
+
+
+@query("s14_trip_updates", "SELECT event_id::VARCHAR AS entity_id, user_id::VARCHAR AS trip_id, CASE WHEN event_id % 4 <> 0 THEN k END AS stop_sequence, CASE WHEN event_id % 4 <> 0 THEN (event_id % 100)::INT END AS arrival_delay FROM events, (VALUES (1), (2)) t(k) WHERE event_id % 4 <> 0 OR k = 1")
+def _(s, d):
+    one = lambda k: F.struct(F.lit(k).alias("stopSequence"), F.struct((F.col("event_id") % 100).alias("delay")).alias("arrival"))
+    t = F.struct(F.struct(F.col("user_id").cast("string").alias("tripId")).alias("trip"), F.when(F.col("event_id") % 4 != 0, F.array(one(1), one(2))).alias("stopTimeUpdate"))
+    return S.trip_updates(polls(s, d, F.col("event_id").cast("string").alias("id"), t.alias("tripUpdate"))).select("entity_id", "trip_id", "stop_sequence", "arrival_delay")
+
+
+@query("s15_service_alerts", "SELECT event_id::VARCHAR AS alert_id, event_type AS effect, 'about ' || user_id AS header, user_id::VARCHAR AS route_id, k AS n FROM events, (VALUES (1), (2)) t(k)")
+def _(s, d):
+    period = lambda k: F.struct((SECS + k).alias("start"), (SECS + k + 60).alias("end"))
+    a = F.struct(F.array(period(1), period(2)).alias("activePeriod"), F.array(F.struct(F.col("user_id").cast("string").alias("routeId"))).alias("informedEntity"), F.col("event_type").alias("effect"), F.struct(F.array(F.struct(F.concat(F.lit("about "), "user_id").alias("text"))).alias("translation")).alias("headerText"))
+    out = S.service_alerts(polls(s, d, F.col("event_id").cast("string").alias("id"), a.alias("alert")))
+    return out.select("alert_id", "effect", "header", "route_id", (F.unix_timestamp("active_from") - 1704067200).cast("int").alias("n"))
+
+
+@query("s16_flight_boards", """SELECT CASE WHEN event_id % 2 = 0 THEN 'vendor_a' ELSE 'vendor_b' END AS source, CASE WHEN event_id % 2 = 0 THEN 'arrival' ELSE 'departure' END AS direction, 'NZ' || user_id AS flight_no, CASE event_type WHEN 'view' THEN 'Expected' WHEN 'click' THEN 'Boarding' WHEN 'purchase' THEN 'Arrived' WHEN 'error' THEN 'Cancelled' ELSE 'Diverted' END AS status,
+  CASE WHEN event_id % 2 = 0 THEN 'arrival' ELSE 'departure' END || '|NZ' || user_id || '|' || strftime(ts, '%Y-%m-%dT%H:%M') AS flight_key FROM events""")
+def _(s, d):
+    raw = F.col("event_type")
+    for k, v in {"view": "Expected", "click": "Boarding", "purchase": "landed", "error": "Canceled", "signup": "diverted"}.items():
+        raw = F.when(F.col("event_type") == k, v).otherwise(raw)
+    e = A.table(s, d, "events").withColumns({"raw": raw, "at": F.date_format("ts", "yyyy-MM-dd HH:mm'Z'"), "fno": F.concat(F.lit("NZ "), "user_id"), "day": F.to_timestamp(F.to_date("ts"))})
+    leg = F.struct(F.col("fno").alias("number"), F.col("raw").alias("status"), F.struct(F.struct(F.col("at").alias("utc")).alias("scheduledTime")).alias("movement"))
+    a = e.where("event_id % 2 = 0").groupBy(F.col("day").alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.collect_list(leg).alias("arrivals"))).alias("payload"), F.lit("a").alias("vendor"))
+    row = F.struct(F.struct(F.col("fno").alias("iata")).alias("flight"), F.col("raw").alias("flight_status"), F.struct(F.col("at").alias("scheduled")).alias("departure"))
+    b = e.where("event_id % 2 = 1").groupBy(F.col("day").alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.lit("departure").alias("direction"), F.collect_list(row).alias("data"))).alias("payload"), F.lit("b").alias("vendor"))
+    return S.flight_boards(a.unionByName(b)).select("source", "direction", "flight_no", "status", "flight_key")
+
+
+@query("s17_vehicle_fallback_id", "SELECT event_id::VARCHAR AS vehicle_id, count(*) AS n FROM events GROUP BY 1")
+def _(s, d):
+    v = F.struct(F.struct(F.col("value").alias("latitude")).alias("position"))
+    return S.vehicle_positions(polls(s, d, F.col("event_id").cast("string").alias("id"), v.alias("vehicle"))).groupBy("vehicle_id").agg(F.count("*").alias("n"))
+
+
+def corridor_polls(s, d):
+    r = F.struct(F.concat(F.col("event_id") % 300, F.lit("s")).alias("duration"), F.concat(F.col("event_id") % 50, F.lit("s")).alias("staticDuration"), F.lit("1000").alias("distanceMeters"))
+    return A.table(s, d, "events").select(F.col("ts").cast("timestamp").alias("snapshot_ts"), F.concat(F.lit("C"), F.col("user_id") % 20).alias("corridor"), F.to_json(F.struct(F.array(r).alias("routes"))).alias("payload"))
+
+
+CORRIDOR = "SELECT 'C' || (user_id % 20) AS corridor, ts, (event_id % 300)::INT AS duration_s, (event_id % 50)::INT AS static_duration_s, CASE WHEN event_id % 300 <> 0 AND event_id % 50 <> 0 THEN round((event_id % 300) / (event_id % 50), 3) END AS congestion_ratio FROM events"
+
+
+@query("s18_corridors", f"SELECT corridor, duration_s, static_duration_s, congestion_ratio FROM ({CORRIDOR})")
+def _(s, d):
+    return S.corridors(corridor_polls(s, d)).select("corridor", "duration_s", "static_duration_s", "congestion_ratio")
+
+
+@query("d58_corridor_latest", f"SELECT corridor, duration_s, congestion_ratio FROM ({CORRIDOR}) QUALIFY row_number() OVER (PARTITION BY corridor ORDER BY ts DESC, duration_s) = 1")
+def _(s, d):
+    return boards.corridor_latest(S.corridors(corridor_polls(s, d))).select("corridor", "duration_s", "congestion_ratio")
+
+
+@query("s19_arcgis_rows", "SELECT event_id AS OBJECTID, event_type AS SiteRef, strftime(date_trunc('second', ts), '%Y-%m-%d') AS date FROM events")
+def _(s, d):
+    e = A.table(s, d, "events")
+    f = F.struct(F.struct(F.col("event_id").cast("string").alias("objectid"), F.col("event_type").alias("SITEREF"), (F.unix_timestamp(F.col("ts").cast("timestamp")) * 1000).cast("string").alias("StartDate")).alias("attributes"))
+    pages = e.groupBy(F.floor(F.col("event_id") / 1000)).agg(F.to_json(F.struct(F.collect_list(f).alias("features"))).alias("payload"))
+    return S.arcgis_rows(pages, {"OBJECTID": "bigint", "SiteRef": "string", "startDate": "bigint"}).select("OBJECTID", "SiteRef", day())
+
+
+@query("s20_camera_catalogue", "SELECT s_suppkey::VARCHAR AS camera_id, s_name AS camera_name, s_nationkey::DOUBLE AS lat FROM supplier WHERE s_suppkey % 7 <> 0")
+def _(s, d):
+    k = F.col("s_suppkey")
+    sup = A.table(s, d, "supplier")
+    ident = F.when(k % 7 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string"))
+    rows = sup.select(F.lit(2).alias("seq"), F.create_map(F.lit("cameraId"), ident, F.lit("title"), F.col("s_name"), F.lit("y"), F.col("s_nationkey").cast("string"), F.lit("lng"), F.lit("170")).alias("attributes"))
+    old = sup.select(F.lit(1).alias("seq"), F.create_map(F.lit("id"), ident, F.lit("name"), F.lit("old"), F.lit("lat"), F.lit("1"), F.lit("lon"), F.lit("1")).alias("attributes"))
+    return S.cameras(rows.union(old)).select("camera_id", "camera_name", "lat")
+
+
+@query("p15_region_filter", "SELECT s_suppkey AS camera_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name LIKE '%1%'")
+def _(s, d):
+    n = A.table(s, d, "supplier").join(A.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return S.in_region(n.select(F.col("s_suppkey").alias("camera_id"), F.col("n_name").alias("region"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")), "1", 0, 0, 1, 1).select("camera_id")
+
+
+@query("k01_signal_features", sql("scored meta", "SELECT 'movement:' || s.countline_id || ':' || transport_class || ':ALL:2024-01-29T12:00:00' AS id, status, NAME AS name, round(robust_z, 4) AS robust_z, CASE WHEN data_quality <> 'complete' THEN 'low' WHEN history_samples >= 12 THEN 'high' ELSE 'medium' END AS level, round(LONGITUDE_START_LINE, 4) AS lon FROM scored s JOIN meta ON meta.COUNTLINE_ID = s.countline_id"))
+def _(s, d):
+    f = K.signal_features(snap(s, d).scored, A.metadata(s, d), "2024-01-31")
+    p = F.from_json("feature", "geometry struct<coordinates:array<array<double>>>, properties struct<status:string,name:string,robust_z:double,signal_confidence:struct<level:string>>")
+    return f.select("id", p.alias("p")).select("id", "p.properties.status", "p.properties.name", F.round("p.properties.robust_z", 4).alias("robust_z"), F.col("p.properties.signal_confidence.level").alias("level"), F.round(F.col("p.geometry.coordinates")[0][0], 4).alias("lon"))
+
+
+@query("k02_coverage", sql("meta", "SELECT COUNTLINE_ID AS id, NAME AS name, round(LONGITUDE_END_LINE, 4) AS lon, round(LATITUDE_END_LINE, 4) AS lat FROM meta"))
+def _(s, d):
+    f = K.coverage_features(A.metadata(s, d))
+    p = F.from_json("feature", "geometry struct<coordinates:array<array<double>>>, properties struct<name:string>")
+    return f.select("id", p.alias("p")).select("id", "p.properties.name", F.round(F.col("p.geometry.coordinates")[1][0], 4).alias("lon"), F.round(F.col("p.geometry.coordinates")[1][1], 4).alias("lat"))
+
+
+@query("k03_health_document", sql("scored", "SELECT count(*) AS observed_series, '2024-01-31' AS data_as_of FROM scored"))
+def _(s, d):
+    doc = K.health_document(snap(s, d).health, "2024-01-31")
+    return doc.select(F.from_json("document", "observed_series long, data_as_of string").alias("h")).select("h.*")
+
+
+@query("k05_camera_layer", sql("meta", "SELECT count(*) AS n, count(*) FILTER (WHERE lat BETWEEN s AND n AND lon BETWEEN w AND e) AS within FROM (SELECT -41.3 + (s_suppkey % 100) * 0.001::DOUBLE AS lat, 174.75 + (s_suppkey % 90) * 0.001::DOUBLE AS lon FROM supplier), (SELECT min(LATITUDE_START_LINE) AS s, max(LATITUDE_END_LINE) AS n, min(LONGITUDE_START_LINE) AS w, max(LONGITUDE_END_LINE) AS e FROM meta)").replace("AND n AND lon", "AND north AND lon").replace("max(LATITUDE_END_LINE) AS n,", "max(LATITUDE_END_LINE) AS north,"))
+def _(s, d):
+    cams = detectors.camera_layer(cameras(s, d), A.metadata(s, d))
+    f = K.point_features(cams, "camera_id", "lon", "lat", ["camera_name", "within_countline_frame"])
+    return f.select(F.from_json("feature", "properties struct<within_countline_frame:boolean>").alias("f")).agg(F.count("*").alias("n"), F.count_if("f.properties.within_countline_frame").alias("within"))
+
+
+@query("k04_hotspot_features", sql("found st", "SELECT h.STOP_ID AS id, anomalies, high FROM (SELECT STOP_ID, count(*) AS anomalies, count(*) FILTER (WHERE SEVERITY = 'HIGH') AS high FROM found WHERE STOP_ID IS NOT NULL GROUP BY 1 HAVING count(*) >= 50 OR count(*) FILTER (WHERE SEVERITY = 'HIGH') >= 10) h JOIN st ON st.STOP_ID = h.STOP_ID"))
+def _(s, d):
+    h = detectors.stop_hotspots(A.detections(s, d), A.stops(s, d))
+    f = K.point_features(h, "STOP_ID", "STOP_LON", "STOP_LAT", ["anomalies", "high", "routes", "tier"])
+    return f.select("id", F.from_json("feature", "properties struct<anomalies:long,high:long>").alias("f")).select("id", "f.properties.anomalies", "f.properties.high")
+
+
+@query("k11_flat_rows", "SELECT s_suppkey::VARCHAR AS id, 'Point' AS geometry_type, round(174.75 + (s_suppkey % 90) * 0.001::DOUBLE, 4) AS lon, s_name AS who_name, s_nationkey AS who_nation, 'a | b' AS tags FROM supplier")
+def _(s, d):
+    c = A.table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), (174.75 + F.col("s_suppkey") % 90 * 0.001).alias("lon"), F.lit(-41.3).alias("lat"), F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).alias("who"), F.array(F.lit("a"), F.lit("b")).alias("tags"))
+    return K.flat_rows(K.point_features(c, "id", "lon", "lat", ["who", "tags"]), "who struct<name:string,nation:int>, tags array<string>").select("id", "geometry_type", *r4("lon"), "who_name", "who_nation", "tags")
+
+
+@query("k08_parquet_export", sql("dscored", "SELECT severity, count(*) AS n FROM dscored GROUP BY 1"))
+def _(s, d):
+    path = shared_folder(s, "export")
+    K.write_table(site_scores(s, d), path)
+    return s.read.parquet(path).groupBy("severity").agg(F.count("*").alias("n"))
+
+
+# streams ---------------------------------------------------------------------------------------------------------------------
+
+FILLED = ("estimated_utc", "actual_utc")
+DEDUP = "SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY flight_key ORDER BY (estimated_utc IS NOT NULL)::INT + (actual_utc IS NOT NULL)::INT DESC, snapshot_ts DESC, event_id) = 1"
+
+
+def board(s, d):
+    x = A.statuses(s, d)
+    return x.withColumn("status", C.status_name("raw_status"))
+
+
+def stream_of(s, d, build):
+    """The rows of a batch query landed as files, as a stream of them."""
+    path = shared_folder(s, "landing")
+    build.write.parquet(path)
+    return M.landed(s, path, s.read.parquet(path).schema)
+
+
+@query("m01_snapshots", "SELECT count(*) AS n, count(DISTINCT user_id) AS keys FROM events")
+def _(s, d):
+    store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
+    M.run(store.start(stream_of(s, d, board(s, d))))
+    return s.read.parquet(f"{store.root}/snapshots").agg(F.count("*").alias("n"), F.countDistinct("flight_key").alias("keys"))
+
+
+@query("m02_latest_state", sql("fs", f"SELECT flight_key, status, gate, strftime(snapshot_ts, '%Y-%m-%d %H:%M:%S') AS last_seen_ts FROM ({DEDUP})"))
+def _(s, d):
+    store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
+    q = M.run(store.start(stream_of(s, d, board(s, d).coalesce(1))))
+    return store.last(s, q).select("flight_key", "status", "gate", ts("last_seen_ts"))
+
+
+@query("m03_change_log", sql("fs", """SELECT event_id, flight_key, previous_status, status FROM (SELECT *, lag(status) OVER w AS previous_status, row_number() OVER w AS n, lag(estimated_utc) OVER w AS e, lag(actual_utc) OVER w AS a, lag(gate) OVER w AS g FROM fs WINDOW w AS (PARTITION BY flight_key ORDER BY snapshot_ts, event_id))
+  WHERE n = 1 OR status IS DISTINCT FROM previous_status OR estimated_utc IS DISTINCT FROM e OR actual_utc IS DISTINCT FROM a OR gate IS DISTINCT FROM g"""))
+def _(s, d):
+    return M.change_log(board(s, d), "flight_key", ["snapshot_ts", "event_id"]).select("event_id", "flight_key", "previous_status", "status")
+
+
+@query("m04_most_complete", sql("fs", f"SELECT flight_key, event_id, status FROM ({DEDUP})"))
+def _(s, d):
+    return M.most_complete(board(s, d), "flight_key", list(FILLED), "snapshot_ts", "event_id").select("flight_key", "event_id", "status")
+
+
+@query("m05_ingest_log", "SELECT count(*) AS rows_fetched, count(DISTINCT user_id) AS rows_changed, true AS ok FROM events")
+def _(s, d):
+    store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
+    M.run(store.start(stream_of(s, d, board(s, d).coalesce(1))))
+    return s.read.parquet(f"{store.root}/ingest").select("rows_fetched", "rows_changed", "ok")
+
+
+def last_table(s, q, root):
+    return s.read.parquet(f"{root}/batch={q.lastProgress['batchId']}")
+
+
+@query("m06_stream_hourly", "SELECT event_type, strftime(t, '%Y-%m-%d') AS event_date, hour(t)::INT AS event_hour, count(*) AS n FROM (SELECT event_type, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Pacific/Auckland' AS t FROM events) GROUP BY 1, 2, 3")
+def _(s, d):
+    root = shared_folder(s, "hourly")
+    q = M.run(M.complete_table(M.hourly_counts(stream_of(s, d, A.table(s, d, "events")), "ts", "Pacific/Auckland", "event_type"), root))
+    return last_table(s, q, root).withColumn("event_date", day("event_date"))
+
+
+CELLS = "printf('%.2f', round(-41.3 + (event_id * 37 % 30) / 1000.0::DOUBLE + 0.0003, 2)) || '_' || printf('%.2f', round(174.7 + (event_id * 53 % 30) / 1000.0::DOUBLE + 0.0003, 2))"
+
+
+@query("m07_stream_cells", f"SELECT {CELLS} AS cell_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS bin_start, count(*) AS n, round(median(value), 4) AS median_value, round(quantile_cont(value, 0.9), 4) AS p90_value FROM events GROUP BY 1, 2 HAVING count(*) >= 2")
+def _(s, d):
+    i = F.col("event_id")
+    e = A.table(s, d, "events").select("ts", "value", (-41.3 + i * 37 % 30 / 1000.0 + 0.0003).alias("lat"), (174.7 + i * 53 % 30 / 1000.0 + 0.0003).alias("lon"))
+    root = shared_folder(s, "cells")
+    q = M.run(M.complete_table(M.cell_bins(stream_of(s, d, e), "ts", "lat", "lon", "value", 2), root))
+    return last_table(s, q, root).select("cell_id", ts("bin_start"), "n", *r4("median_value", "p90_value"))
+
+
+@query("m08_stream_archive", "SELECT strftime(t, '%Y-%m-%d') AS service_date, hour(t)::INT AS hour, count(*) AS n FROM (SELECT (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Pacific/Auckland' AS t FROM events) GROUP BY 1, 2")
+def _(s, d):
+    path, progress = shared_folder(s, "stream-archive"), shared_folder(s, "progress")
+    e = A.table(s, d, "events").repartition(F.to_date("ts"))
+    M.run(M.archive(stream_of(s, d, e), path, progress, "ts", "Pacific/Auckland"))
+    return S.load_archive(s, path).groupBy(day("service_date"), "hour").agg(F.count("*").alias("n"))
+
+
+def frames(s, d):
+    return A.table(s, d, "events").select("event_id", "ts", F.to_date("ts").alias("run"), F.col("user_id").alias("camera"), F.md5(F.col("props").cast("binary")).alias("content"))
+
+
+@query("m09_frame_status", "SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, ts::DATE, md5(props) ORDER BY ts, event_id) = 1 THEN 'OK' ELSE 'UNCHANGED' END AS status FROM events")
+def _(s, d):
+    return boards.frame_status(frames(s, d), "camera", "run", "content", ["ts", "event_id"]).select("event_id", "status")
+
+
+@query("m10_active_vehicles", sql("fs", f"SELECT gate AS route, count(*) AS vehicles FROM ({DEDUP}) WHERE snapshot_ts >= TIMESTAMP '2024-01-10' GROUP BY 1"))
+def _(s, d):
+    state = M.merged(M.most_complete(board(s, d), "flight_key", list(FILLED), "snapshot_ts", "event_id").withColumns({"first_seen_ts": F.col("snapshot_ts"), "last_seen_ts": F.col("snapshot_ts")}).where("false"), M.most_complete(board(s, d), "flight_key", list(FILLED), "snapshot_ts", "event_id"), "flight_key")
+    return M.active_vehicles(state.withColumn("route", F.col("gate")), "route", F.lit("2024-01-10").cast("timestamp"))
+
+
+# boards ----------------------------------------------------------------------------------------------------------------------
+
+BEST = "coalesce(actual_utc, estimated_utc, scheduled_utc)"
+
+
+@query("d56_flight_board", sql("fs", f"SELECT event_id, date_diff('minute', scheduled_utc, {BEST}) AS delay_minutes, strftime(({BEST} AT TIME ZONE 'UTC') AT TIME ZONE 'Pacific/Auckland', '%Y-%m-%d %H:%M:%S') AS best_local FROM fs"))
+def _(s, d):
+    return boards.flight_board(board(s, d)).select("event_id", "delay_minutes", ts("best_local"))
+
+
+@query("d57_disruption", sql("fs", f"SELECT strftime(scheduled_utc, '%Y-%m-%d') AS flight_date, direction, count(*) AS flights, count(*) FILTER (WHERE status = 'Cancelled') AS cancelled, count(*) FILTER (WHERE status = 'Diverted') AS diverted, count(*) FILTER (WHERE status = 'Arrived') AS arrived, count(*) FILTER (WHERE date_diff('minute', scheduled_utc, {BEST}) > 15) AS delayed_15m, round(avg(date_diff('minute', scheduled_utc, {BEST})), 1) AS avg_delay_minutes FROM fs GROUP BY fs.scheduled_utc, direction"))
+def _(s, d):
+    return boards.daily_disruption(board(s, d)).withColumn("flight_date", day("flight_date"))
+
+
+@query("d60_shared_frames_a22", "SELECT event_id, k AS cameras_with_content, k >= 3 AS is_unavailable FROM (SELECT event_id, ts::DATE AS r, md5(props) AS c FROM events) JOIN (SELECT ts::DATE AS r, md5(props) AS c, count(DISTINCT user_id) AS k FROM events GROUP BY 1, 2) USING (r, c)")
+def _(s, d):
+    return boards.shared_frames(frames(s, d), "run", "camera", "content").select("event_id", "cameras_with_content", "is_unavailable")
+
+
+@query("d60_run_history", "SELECT strftime(r, '%Y-%m-%d') AS run, count(*) AS frames, count(DISTINCT user_id) AS cameras, count(*) FILTER (WHERE n > 1) AS unchanged FROM (SELECT ts::DATE AS r, user_id, row_number() OVER (PARTITION BY user_id, ts::DATE, md5(props) ORDER BY ts, event_id) AS n FROM events) GROUP BY 1")
+def _(s, d):
+    f = boards.frame_status(frames(s, d), "camera", "run", "content", ["ts", "event_id"])
+    return boards.run_history(f, "run", "camera").withColumn("run", day("run"))
+
+
+@query("d60_latest_frame", "SELECT user_id AS camera, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) = 1")
+def _(s, d):
+    return boards.latest(frames(s, d), ["camera"], "ts", "event_id").select("camera", "event_id")
+
+
+# reports ---------------------------------------------------------------------------------------------------------------------
+
+
+@query("q01_anomalies_above", sql("street_z", "SELECT street, strftime(date, '%Y-%m-%d') AS date, hour, z FROM street_z WHERE abs(z) >= 2 AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'"))
+def _(s, d):
+    return reports.anomalies_above(street_hourly(s, d), "street", 2.0, "2024-01-05", "2024-01-25").select("street", day(), "hour", "z")
+
+
+@query("q02_street_map", sql("street_z", "SELECT street, count(*) FILTER (WHERE abs(z) >= 2) AS anomaly_hours, max(abs(z)) AS peak_z, max(total_count) AS peak_total FROM street_z GROUP BY 1"))
+def _(s, d):
+    return reports.street_map(street_hourly(s, d), 2.0)
+
+
+@query("q03_class_series", sql("class_z", "SELECT strftime(date, '%Y-%m-%d') AS date, hour, total_count, round(m, 4) AS baseline_mean FROM class_z WHERE transport_class = 'Pedestrian'"))
+def _(s, d):
+    return reports.class_series(class_hourly(s, d), "Pedestrian").select(day(), "hour", "total_count", *r4("baseline_mean"))
+
+
+@query("q04_detector_severity", sql("found", "SELECT DETECTOR_NAME, SEVERITY, count(*) AS n, round(avg(abs(SCORE)), 4) AS mean_score FROM found WHERE MODE = 'BUS' AND SEVERITY IN ('HIGH', 'MEDIUM') GROUP BY 1, 2"))
+def _(s, d):
+    x = reports.filtered(A.detections(s, d), MODE=["BUS"], SEVERITY=["HIGH", "MEDIUM"])
+    return x.groupBy("DETECTOR_NAME", "SEVERITY").agg(F.count("*").alias("n"), F.round(F.avg(F.abs("SCORE")), 4).alias("mean_score"))
+
+
+@query("q04_top_events", sql("found", "SELECT ANOMALY_ID, round(SCORE, 4) AS SCORE FROM (SELECT * FROM found ORDER BY abs(SCORE) DESC, ANOMALY_ID LIMIT 50)"))
+def _(s, d):
+    return A.detections(s, d).orderBy(F.abs("SCORE").desc(), "ANOMALY_ID").limit(50).select("ANOMALY_ID", *r4("SCORE"))
+
+
+HOURS = ", ".join(f"coalesce(sum(n) FILTER (WHERE h = {h}), 0)::BIGINT AS h{h}" for h in range(24))
+
+
+@query("q05_heatmap_a21_j05", f"WITH c AS (SELECT user_id, hour(ts)::INT AS h, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT user_id FROM events GROUP BY 1 ORDER BY count(*) DESC, user_id LIMIT 15) SELECT user_id, {HOURS} FROM c WHERE user_id IN (SELECT user_id FROM t) GROUP BY 1")
+def _(s, d):
+    e = A.table(s, d, "events").select("user_id", F.hour("ts").alias("h"))
+    return reports.heatmap(e, "user_id", "h", 15)
+
+
+@query("q06_highway_metrics", sql("dscored", "SELECT count(*) AS site_days, count(*) FILTER (WHERE severity <> 'NONE') AS flagged, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(DISTINCT SiteRef) AS sites, count(DISTINCT SiteRef) FILTER (WHERE no_location) AS no_location FROM dscored"))
+def _(s, d):
+    return reports.highway_metrics(site_scores(s, d))
+
+
+@query("q07_site_day_ratios", sql("dscored", "SELECT SiteRef, isodow(count_date)::INT AS dow, min(ratio) AS lowest FROM dscored GROUP BY 1, 2"))
+def _(s, d):
+    return site_scores(s, d).groupBy("SiteRef", C.iso_dow("count_date").alias("dow")).agg(F.min("ratio").alias("lowest"))
+
+
+@query("q08_corroborated", feed_sql("SELECT cell_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, sources_hit FROM cf WHERE sources_hit >= 2 AND event_hour BETWEEN 6 AND 20"))
+def _(s, d):
+    return conformed(s, d).where("sources_hit >= 2 and event_hour between 6 and 20").select("cell_id", day("event_date"), "event_hour", "sources_hit")
+
+
+@query("q09_playback", feed_sql("SELECT strftime(x::DATE, '%Y-%m-%d') AS event_date, y::INT AS event_hour, count(cell_id) AS cells, coalesce(sum(total_hits), 0)::BIGINT AS hits FROM generate_series(DATE '2024-01-01', DATE '2024-01-07', INTERVAL 1 DAY) a(x) CROSS JOIN generate_series(0, 23) b(y) LEFT JOIN cf ON cf.event_date = x::DATE AND cf.event_hour = y GROUP BY 1, 2"))
+def _(s, d):
+    return reports.playback(conformed(s, d), "2024-01-01", "2024-01-07").withColumn("event_date", day("event_date"))
+
+
+@query("q10_brief_people_drops", sql("street_obs", f"SELECT transport_class, strftime(date, '%Y-%m-%d') AS date, hour, z FROM (SELECT transport_class, date, hour, total, round((total - avg(total) OVER w) / nullif(stddev_samp(total) OVER w, 0), 3) AS z FROM (SELECT transport_class, date, hour, sum(count) AS total FROM street_obs GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY transport_class, hour, isodow(date) >= 6)) WHERE transport_class IN ('Pedestrian', 'Cyclist') AND z < 0 ORDER BY abs(z) DESC, transport_class, date, hour LIMIT 10").replace("ORDER BY abs(z) DESC, transport_class, date, hour LIMIT 10", "QUALIFY row_number() OVER (ORDER BY abs(z) DESC, transport_class, date, hour) <= 10"))
+def _(s, d):
+    return reports.top_signals(class_hourly(s, d), 10, people=True, drops=True).select("transport_class", day(), "hour", "z")
+
+
+@query("q10_nearest_camera_j18", sql("meta", "SELECT COUNTLINE_ID, camera_id, round(m, 2) AS metres FROM (SELECT COUNTLINE_ID, s_suppkey AS camera_id, 6371000 * sqrt(pow(radians(lon - LONGITUDE_START_LINE) * cos(radians((lat + LATITUDE_START_LINE) / 2)), 2) + pow(radians(lat - LATITUDE_START_LINE), 2)) AS m FROM meta, (SELECT s_suppkey, -41.3 + (s_suppkey % 100) * 0.001::DOUBLE AS lat, 174.75 + (s_suppkey % 90) * 0.001::DOUBLE AS lon FROM supplier)) QUALIFY row_number() OVER (PARTITION BY COUNTLINE_ID ORDER BY m, camera_id) = 1"))
+def _(s, d):
+    p = A.metadata(s, d).select("COUNTLINE_ID", F.col("LATITUDE_START_LINE").alias("lat"), F.col("LONGITUDE_START_LINE").alias("lon"))
+    return joins.nearest(p, cameras(s, d), "COUNTLINE_ID", "camera_id", 0.01).select("COUNTLINE_ID", "camera_id", F.round("metres", 2).alias("metres"))
+
+
+@query("q10_name_lookup_p21", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%widget%'")
+def _(s, d):
+    return A.table(s, d, "part").where(C.text_matches(["Ring", "WIDGET"], "p_name")).select("p_partkey", "p_name")
+
+
+@query("q11_grounding", sql("scored meta", "SELECT (SELECT count(*) FROM scored) AS observed, least(40, (SELECT count(*) FROM supplier)) AS cameras, least(40, (SELECT count(*) FROM scored)) AS signals"))
+def _(s, d):
+    snapshot = snap(s, d)
+    g = reports.grounding(snapshot.health, snapshot.scored, cameras(s, d))
+    return g.select(F.from_json("context", "health struct<observed_series:long>, signals array<struct<status:string>>, cameras array<struct<camera_id:long>>").alias("c")).select(F.col("c.health.observed_series").alias("observed"), F.size("c.cameras").cast("long").alias("cameras"), F.size("c.signals").cast("long").alias("signals"))
+
+
+@query("q12_feed_counts", "SELECT 'features' AS feed, count(*) AS n FROM nation UNION ALL SELECT 'lines', count(*) FROM events UNION ALL SELECT 'array', count(*) FROM supplier")
+def _(s, d):
+    return reports.feed_counts({"features": A.table(s, d, "nation"), "lines": A.table(s, d, "events"), "array": A.table(s, d, "supplier")})
+
+
+@query("q13_filter_metadata", sql("obs", "SELECT strftime(min(date), '%Y-%m-%d') AS first, strftime(max(date), '%Y-%m-%d') AS last, string_agg(DISTINCT transport_class, ',' ORDER BY transport_class) AS classes FROM obs"))
+def _(s, d):
+    return reports.filter_metadata(A.observations(s, d), "date", transport_class="classes").select(day("first"), day("last"), F.array_join("classes", ",").alias("classes"))
+
+
+@query("q15_class_by_name", sql("obs meta", "SELECT NAME, hour, sum(count) AS volume FROM obs JOIN meta ON meta.COUNTLINE_ID = obs.countline_id WHERE transport_class = 'Pedestrian' GROUP BY 1, 2"))
+def _(s, d):
+    return reports.class_by_name(A.observations(s, d), A.metadata(s, d), "Pedestrian")

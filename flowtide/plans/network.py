@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import detectors, joins, transit
 from . import adapters as A
 from .core import day, r4
-from .oracle import sql
+from .oracle import SEVERITY, sql
 from .registry import query
 
 
@@ -89,6 +89,9 @@ def _shown(df):
     return df.select(*_OUT, ts("WINDOW_START"), ts("WINDOW_END"), *r4("OBSERVED_VALUE", "EXPECTED_VALUE", "SCORE"), "SEVERITY")
 
 
+_SEV = SEVERITY.format("SCORE")
+
+
 def _detector(name: str, code: str, build) -> None:
     body = f"SELECT {', '.join(_OUT)}, {TS.format('WINDOW_START')}, {TS.format('WINDOW_END')}, round(OBSERVED_VALUE, 4) AS OBSERVED_VALUE, round(EXPECTED_VALUE, 4) AS EXPECTED_VALUE, round(SCORE, 4) AS SCORE, SEVERITY FROM found WHERE DETECTOR = '{code}'"
     need = f"dt{int(code[1:])}"
@@ -96,11 +99,6 @@ def _detector(name: str, code: str, build) -> None:
     query(name, one)(lambda s, d: _shown(build(s, d)))
 
 
-from .oracle import SEVERITY  # noqa: E402
-
-_SEV = SEVERITY.format("SCORE")
-
-
 def _bins(s, d):
     return transit.spatial_bins(A.fact(s, d), min_n=A.BIN_EVENTS)
 
