@@ -98,11 +98,11 @@ def stop_event_fact(events: DataFrame, routes: DataFrame, stops: DataFrame) -> D
     return events.join(s, "STOP_ID", "left").join(routes.select("ROUTE_ID", "FREQUENCY_CLASS"), "ROUTE_ID", "left").withColumn("PUNCTUALITY_BAND", punctuality("ARRIVAL_DELAY_SECS"))
 
 
-def daily_performance(fact: DataFrame) -> DataFrame:
+def daily_performance(fact: DataFrame, places: int = 1) -> DataFrame:
     on_time = 100.0 * F.count_if(F.col("PUNCTUALITY_BAND") == "ON_TIME") / F.nullif(F.count("ARRIVAL_DELAY_SECS"), F.lit(0))
     return fact.groupBy("SERVICE_DATE", "DAY_TYPE", "MODE").agg(
         F.count("*").alias("SCHEDULED_STOP_EVENTS"), F.count_if(F.col("IS_OBSERVED") & F.col("IS_REPORTED")).alias("OBSERVED_STOP_EVENTS"), F.round(on_time, 1).alias("PCT_ON_TIME"),
-        F.round(F.median("ARRIVAL_DELAY_SECS"), 1).alias("MEDIAN_DELAY_SECS"), F.round(F.percentile("ARRIVAL_DELAY_SECS", F.lit(0.95)), 1).alias("P95_DELAY_SECS"),
+        F.round(F.median("ARRIVAL_DELAY_SECS"), places).alias("MEDIAN_DELAY_SECS"), F.round(F.percentile("ARRIVAL_DELAY_SECS", F.lit(0.95)), places).alias("P95_DELAY_SECS"),
         F.countDistinct(F.when(~F.col("IS_OBSERVED"), F.col("TRIP_INSTANCE_ID"))).alias("CANCELLED_TRIPS"),
     )
 

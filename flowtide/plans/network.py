@@ -45,25 +45,25 @@ def _(s, d):
     return A.truth(s, d).join(A.routes(s, d).select("ROUTE_ID", "FREQUENCY_CLASS"), "ROUTE_ID", "left").select("TRUTH_ID", "EPISODE_TYPE", "ROUTE_ID", day("SERVICE_DATE"), "START_HOUR", "DURATION_MINS", "FREQUENCY_CLASS")
 
 
-@query("d35_daily_performance", sql("fact", f"SELECT {DAY}, DAY_TYPE, MODE, count(*) AS SCHEDULED_STOP_EVENTS, count(*) FILTER (WHERE IS_OBSERVED AND IS_REPORTED) AS OBSERVED_STOP_EVENTS, round(100.0 * count(*) FILTER (WHERE PUNCTUALITY_BAND = 'ON_TIME') / nullif(count(ARRIVAL_DELAY_SECS), 0), 1) AS PCT_ON_TIME, round(median(ARRIVAL_DELAY_SECS), 1) AS MEDIAN_DELAY_SECS, round(quantile_cont(ARRIVAL_DELAY_SECS, 0.95), 1) AS P95_DELAY_SECS, count(DISTINCT TRIP_INSTANCE_ID) FILTER (WHERE NOT IS_OBSERVED) AS CANCELLED_TRIPS FROM fact GROUP BY fact.SERVICE_DATE, DAY_TYPE, MODE"))
+@query("d35_daily_performance", sql("fact", f"SELECT {DAY}, DAY_TYPE, MODE, count(*) AS SCHEDULED_STOP_EVENTS, count(*) FILTER (WHERE IS_OBSERVED AND IS_REPORTED) AS OBSERVED_STOP_EVENTS, round(100.0 * count(*) FILTER (WHERE PUNCTUALITY_BAND = 'ON_TIME') / nullif(count(ARRIVAL_DELAY_SECS), 0), 1) AS PCT_ON_TIME, round(median(ARRIVAL_DELAY_SECS), 3) AS MEDIAN_DELAY_SECS, round(quantile_cont(ARRIVAL_DELAY_SECS, 0.95), 3) AS P95_DELAY_SECS, count(DISTINCT TRIP_INSTANCE_ID) FILTER (WHERE NOT IS_OBSERVED) AS CANCELLED_TRIPS FROM fact GROUP BY fact.SERVICE_DATE, DAY_TYPE, MODE"))
 def _(s, d):
-    return transit.daily_performance(A.fact(s, d)).withColumn("SERVICE_DATE", day("SERVICE_DATE"))
+    return transit.daily_performance(A.fact(s, d), 3).withColumn("SERVICE_DATE", day("SERVICE_DATE"))
 
 
-@query("d36_headways", sql("hd", "SELECT TRIP_INSTANCE_ID, STOP_ID, STOP_SEQUENCE, PREV_TRIP_INSTANCE_ID, SCHED_HEADWAY_SECS, ACTUAL_HEADWAY_SECS, round(HEADWAY_RATIO, 4) AS HEADWAY_RATIO FROM hd"))
+@query("d36_headways", sql("hd", "SELECT TRIP_INSTANCE_ID, STOP_ID, STOP_SEQUENCE, PREV_TRIP_INSTANCE_ID, SCHED_HEADWAY_SECS, ACTUAL_HEADWAY_SECS, round(HEADWAY_RATIO, 7) AS HEADWAY_RATIO FROM hd"))
 def _(s, d):
-    return transit.headways(A.fact(s, d)).select("TRIP_INSTANCE_ID", "STOP_ID", "STOP_SEQUENCE", "PREV_TRIP_INSTANCE_ID", "SCHED_HEADWAY_SECS", "ACTUAL_HEADWAY_SECS", *r4("HEADWAY_RATIO"))
+    return transit.headways(A.fact(s, d)).select("TRIP_INSTANCE_ID", "STOP_ID", "STOP_SEQUENCE", "PREV_TRIP_INSTANCE_ID", "SCHED_HEADWAY_SECS", "ACTUAL_HEADWAY_SECS", F.round("HEADWAY_RATIO", 7).alias("HEADWAY_RATIO"))
 
 
-@query("d37_delay_baseline", sql("bd fd", """SELECT b.ROUTE_ID, b.DIRECTION_ID, b.STOP_ID, b.TIME_BAND, b.DAY_TYPE, n AS N_OBS, med AS MED_DELAY, round(q1, 4) AS Q1_DELAY, round(q3, 4) AS Q3_DELAY, round(p95, 4) AS P95_DELAY, mad AS MAD_DELAY, round(SIGMA_DELAY, 4) AS SIGMA_DELAY
+@query("d37_delay_baseline", sql("bd fd", """SELECT b.ROUTE_ID, b.DIRECTION_ID, b.STOP_ID, b.TIME_BAND, b.DAY_TYPE, n AS N_OBS, med AS MED_DELAY, round(q1, 4) AS Q1_DELAY, round(q3, 4) AS Q3_DELAY, round(p95, 4) AS P95_DELAY, mad AS MAD_DELAY, round(SIGMA_DELAY, 7) AS SIGMA_DELAY
   FROM bd b JOIN (SELECT ROUTE_ID, DIRECTION_ID, STOP_ID, TIME_BAND, DAY_TYPE, quantile_cont(ARRIVAL_DELAY_SECS, 0.25) AS q1, quantile_cont(ARRIVAL_DELAY_SECS, 0.75) AS q3, quantile_cont(ARRIVAL_DELAY_SECS, 0.95) AS p95 FROM fd GROUP BY ALL) q ON q.ROUTE_ID = b.ROUTE_ID AND q.DIRECTION_ID IS NOT DISTINCT FROM b.DIRECTION_ID AND q.STOP_ID = b.STOP_ID AND q.TIME_BAND = b.TIME_BAND AND q.DAY_TYPE = b.DAY_TYPE"""))
 def _(s, d):
-    return transit.delay_baseline(A.fact(s, d)).select("ROUTE_ID", "DIRECTION_ID", "STOP_ID", "TIME_BAND", "DAY_TYPE", "N_OBS", "MED_DELAY", *r4("Q1_DELAY", "Q3_DELAY", "P95_DELAY"), "MAD_DELAY", *r4("SIGMA_DELAY"))
+    return transit.delay_baseline(A.fact(s, d)).select("ROUTE_ID", "DIRECTION_ID", "STOP_ID", "TIME_BAND", "DAY_TYPE", "N_OBS", "MED_DELAY", *r4("Q1_DELAY", "Q3_DELAY", "P95_DELAY"), "MAD_DELAY", F.round("SIGMA_DELAY", 7).alias("SIGMA_DELAY"))
 
 
-@query("d38_dwell_baseline", sql("bw", "SELECT STOP_ID, TIME_BAND, DAY_TYPE, MODE, n AS N_OBS, med AS MED_DWELL, round(SIGMA_DWELL, 4) AS SIGMA_DWELL FROM bw"))
+@query("d38_dwell_baseline", sql("bw", "SELECT STOP_ID, TIME_BAND, DAY_TYPE, MODE, n AS N_OBS, med AS MED_DWELL, round(SIGMA_DWELL, 7) AS SIGMA_DWELL FROM bw"))
 def _(s, d):
-    return transit.dwell_baseline(A.fact(s, d)).withColumn("SIGMA_DWELL", F.round("SIGMA_DWELL", 4))
+    return transit.dwell_baseline(A.fact(s, d)).withColumn("SIGMA_DWELL", F.round("SIGMA_DWELL", 7))
 
 
 @query("d39_ping_motion", sql("mo", "SELECT TRIP_INSTANCE_ID, strftime(PING_LOCAL, '%Y-%m-%d %H:%M:%S.%f') AS PING_LOCAL, SECS_SINCE_PREV, round(METRES_SINCE_PREV, 3) AS METRES_SINCE_PREV, round(IMPLIED_KMH, 3) AS IMPLIED_KMH, DEVICE_LAG_SECS FROM mo"))
@@ -77,9 +77,9 @@ def _(s, d):
     return transit.spatial_bins(A.fact(s, d), min_n=A.BIN_EVENTS).select("CELL_ID", "MODE", ts("SCHED_BIN_15MIN"), "STOP_EVENTS", "ROUTES", "TRIPS", "MED_DELAY_SECS", *r4("P90_DELAY_SECS"))
 
 
-@query("d41_spatial_baseline", sql("bs", "SELECT CELL_ID, DAY_TYPE, MODE, BIN_HOUR, n AS N_BINS, med AS MED_CELL_DELAY, round(SIGMA_CELL, 4) AS SIGMA_CELL FROM bs"))
+@query("d41_spatial_baseline", sql("bs", "SELECT CELL_ID, DAY_TYPE, MODE, BIN_HOUR, n AS N_BINS, med AS MED_CELL_DELAY, round(SIGMA_CELL, 7) AS SIGMA_CELL FROM bs"))
 def _(s, d):
-    return transit.spatial_baseline(transit.spatial_bins(A.fact(s, d), min_n=A.BIN_EVENTS), A.BASE_BINS).withColumn("SIGMA_CELL", F.round("SIGMA_CELL", 4))
+    return transit.spatial_baseline(transit.spatial_bins(A.fact(s, d), min_n=A.BIN_EVENTS), A.BASE_BINS).withColumn("SIGMA_CELL", F.round("SIGMA_CELL", 7))
 
 
 _OUT = ["ANOMALY_ID", "DETECTOR_NAME", "ENTITY_ID", "MODE", "STOP_ID"]
