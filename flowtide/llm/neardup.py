@@ -10,8 +10,8 @@ their similarity. Points are made only up to the time by which all registers are
 
 Exact copies (same words) are one node from the start. Buckets of equal bands give candidates:
 buckets of at most SMALL nodes are compared in full (a linear number of pairs); in larger ones all nodes are compared with one hub; those whose
-nodes then lie in more than one component are cut into blocks of BLOCK nodes, and each pair of blocks is compared by one task that
-reports only links that join components. So no link between components is lost, and no group's pairs are all emitted.
+nodes then lie in more than one component are cut into blocks of BLOCK nodes, those of the largest component apart, and each pair of
+blocks of which one at least is not of that component is compared by one task that reports only links that join components. So no link between components is lost, and no group's pairs are all emitted.
 
 Cases: texts without a word are nodes of their own, never linked (each row its own class); a null doc_id is a value like others; repeated rows are copies;
 empty tables give empty results; texts are read whole; extra columns are ignored.
@@ -31,7 +31,7 @@ from .common import batches_of, hashed_words, mix, passes, store, table, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
-SMALL, BLOCK = 16, 128
+SMALL, BLOCK = 16, 512
 #: Shingle hashes keep so many bits, as text number and hash are sorted as one whole number.
 HASH_BITS = 44
 #: A block's pair is verified if its signatures agree in so many of M registers: five standard errors below SIMILARITY.
@@ -228,11 +228,15 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     large = members.where(f"n > {SMALL}").select("band", "n", "node")
     labels = components(first, "op7-first")
     large = large.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = large.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    large = large.join(open_, "band")
-    g = F.ceil(F.col("n") / BLOCK)
-    blk = F.pmod(F.xxhash64("node"), g)
-    dealt = large.withColumn("blk", blk).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
+    # the largest component of a bucket needs no comparison within itself: its blocks meet only the blocks of the others
+    sizes = large.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("t"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("t.comp").alias("main"), F.col("t.c").alias("n_main"))
+    large = large.join(top, "band").withColumn("is_main", F.col("comp") == F.col("main"))
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    g_main, g_rest = of(F.col("n_main")), of(F.col("n") - F.col("n_main"))
+    blk = F.when(F.col("is_main"), g_rest + F.pmod(F.xxhash64("node"), g_main)).otherwise(F.pmod(F.xxhash64("node"), g_rest)).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("is_main"), g_rest).otherwise(g_rest + g_main) - 1)
+    dealt = large.withColumn("blk", blk).withColumn("other", F.explode(others))
     dealt = dealt.select("band", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "comp")
     dealt = dealt.join(nodes.select("node", "sig"), "node").join(texts, "node")
     second = store(dealt.groupBy("band", "bi", "bj").applyInPandas(_compared(least), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "op7-more")
