@@ -6,7 +6,7 @@ labels the words; neighbouring words with one label are a span. A text's languag
 their share.
 
 Learning: counts of trigram buckets by language, from at most about TRAIN_ROWS labelled rows chosen by a hash of doc_id and text.
-Viterbi runs over all texts of a batch at once, one step for each word position.
+Viterbi runs over many texts at once, one step for each word position.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and no spans; without labelled rows every text is ``und``; ties go
 to the language first in code-point order; repeated rows give repeated rows; empty tables give empty results; extra columns are
@@ -34,6 +34,8 @@ SWITCH = 12.0
 #: A language uses a script if it holds this share of its letters.
 SCRIPT_SHARE = 0.005
 BARRED = 1e4
+#: Characters of the texts that one run of Viterbi labels.
+VITERBI_CHARS = 6_000_000
 
 #: Script ranges (fixed values).
 SCRIPTS = [
@@ -165,35 +167,38 @@ _SPAN = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 def _labelled(sent, switch: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        barred = np.where(model.allowed, 0, -BARRED).astype(np.float32)
         for batch in batches:
-            text, rows = utf8(batch.column("text")), batch.num_rows
-            parts = []
-            for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)) if model.langs else ():
-                bucket, begin, first, end, doc, starts, script, _ = _trigrams(text[lo:hi])
-                if len(begin):
-                    parts.append((np.add.reduceat(model.logp[bucket], begin, axis=0) + barred[script], doc + lo, first - starts[doc], end - starts[doc]))
-            if not parts:
-                yield from batches_of([batch.column("doc_id"), pa.array(["und"] * rows), pa.array([0.0] * rows), pa.array([[]] * rows, pa.list_(_SPAN))], ["doc_id", "lang_pred", "score", "spans"])
-                continue
-            score, doc, first, end = (np.concatenate(x) for x in zip(*parts))
-            label = viterbi(score, doc, rows, switch)
-            held = np.zeros((rows, len(model.langs)), np.int64)
-            np.add.at(held, (doc, label), end - first)
-            letters, best = held.sum(axis=1), held.argmax(axis=1)
-            share = held.max(axis=1) / np.maximum(letters, 1)
-            cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])]))
-            stop = np.append(cut[1:], len(doc)) - 1
-            names = pa.array(model.langs, pa.string())
-            spans = pa.StructArray.from_arrays([names.take(pa.array(label[cut])), pa.array(first[cut], pa.int64()), pa.array(end[stop], pa.int64())], fields=list(_SPAN))
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[cut], np.arange(rows + 1)), pa.int32()), spans)
-            lang = pc.if_else(pa.array(letters > 0), names.take(pa.array(best)), "und")
-            yield from batches_of([batch.column("doc_id"), lang, pa.array(np.where(letters > 0, share, 0.0)), lists], ["doc_id", "lang_pred", "score", "spans"])
+            text = utf8(batch.column("text"))
+            for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False), VITERBI_CHARS):
+                yield from _part(sent.value, batch.column("doc_id")[lo:hi], text[lo:hi], switch)
 
     return run
 
 
+def _part(model: Model, ids: pa.Array, text: pa.Array, switch: float) -> Iterator[pa.RecordBatch]:
+    barred, rows, parts = np.where(model.allowed, 0, -BARRED).astype(np.float32), len(ids), []
+    for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)) if model.langs else ():
+        bucket, begin, first, end, doc, starts, script, _ = _trigrams(text[lo:hi])
+        if len(begin):
+            parts.append((np.add.reduceat(model.logp[bucket], begin, axis=0) + barred[script], doc + lo, first - starts[doc], end - starts[doc]))
+    if not parts:
+        yield from batches_of([ids, pa.array(["und"] * rows, pa.string()), pa.array([0.0] * rows, pa.float64()), pa.array([[]] * rows, pa.list_(_SPAN))], ["doc_id", "lang_pred", "score", "spans"])
+        return
+    score, doc, first, end = (np.concatenate(x) for x in zip(*parts))
+    label = viterbi(score, doc, rows, switch)
+    held = np.zeros((rows, len(model.langs)), np.int64)
+    np.add.at(held, (doc, label), end - first)
+    letters, best = held.sum(axis=1), held.argmax(axis=1)
+    share = held.max(axis=1) / np.maximum(letters, 1)
+    cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])]))
+    stop = np.append(cut[1:], len(doc)) - 1
+    names = pa.array(model.langs, pa.string())
+    spans = pa.StructArray.from_arrays([names.take(pa.array(label[cut])), pa.array(first[cut], pa.int64()), pa.array(end[stop], pa.int64())], fields=list(_SPAN))
+    lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[cut], np.arange(rows + 1)), pa.int32()), spans)
+    lang = pc.if_else(pa.array(letters > 0), names.take(pa.array(best)), "und")
+    yield from batches_of([ids, lang, pa.array(np.where(letters > 0, share, 0.0)), lists], ["doc_id", "lang_pred", "score", "spans"])
+
+
 def label(docs: DataFrame, model: Model, switch: float = SWITCH, key: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score, spans) for each row."""
     kind = docs.schema[key].dataType.simpleString()
