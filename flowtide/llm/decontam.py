@@ -28,6 +28,9 @@ from .common import char_class, code_points, passes, table, utf8
 
 Q = 8
 ERRORS = 0.1
+_PAD = np.uint32(0xFFFFFFFF)
+#: Cells of the first count of shared q-grams, by a hash of text, piece and diagonals.
+COUNT_BITS = 22
 PIECE, LEAST = 120, 30
 MAX_ITEM_BYTES = 32 << 20
 
@@ -103,23 +106,21 @@ def index(items: list[tuple]) -> Index:
 
 def banded(piece: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int]:
     """Fewest edits that turn piece into a stretch of text, on paths whose diagonals (text - piece offset) stay in [low, high]; and where the stretch ends. More than k edits: (k + 1, -1)."""
-    far = k + 1
-    width = high - low + 1
+    far, width = k + 1, high - low + 1
+    before = max(0, -low)
+    after = max(0, len(piece) + high + 1 - len(text))
+    padded = np.concatenate([np.full(before, _PAD), text, np.full(after, _PAD)])  # padding matches nothing, which costs what a deletion costs
     columns = np.arange(width)
-    d = low + columns
-    row = np.where((d >= 0) & (d <= len(text)), 0, far)  # row i, column c: text offset i + low + c
+    row = np.zeros(width, np.int64)
     for i, ch in enumerate(piece):
-        at = i + d  # text offset before the character
-        inside = (at >= 0) & (at < len(text))
-        same = inside & (text[np.clip(at, 0, max(0, len(text) - 1))] == ch)
-        new = np.where(inside, row + ~same, far)
+        at = i + low + before
+        new = row + (padded[at : at + width] != ch)
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.minimum.accumulate(new - columns) + columns
-        row = np.minimum(np.where((at + 1 >= 0) & (at + 1 <= len(text)), new, far), far)
+        row = np.minimum.accumulate(new - columns) + columns
         if row.min() > k:
             return far, -1
     best = int(row.argmin())
-    return int(row[best]), len(piece) + low + best
+    return int(row[best]), min(len(text), len(piece) + low + best)
 
 
 def regions(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int, int]]:
@@ -137,20 +138,25 @@ def regions(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[in
     piece, text = ix.entry_piece[entry], np.repeat(text, n)
     diagonal = np.repeat(at - starts[text[np.cumsum(n) - n]] if len(n) else at, n) - ix.entry_at[entry]
     pair = text * len(ix.need) + piece
-    _, back, count = np.unique(pair, return_inverse=True, return_counts=True)
-    enough = count[back] >= ix.need[piece]
-    pair, piece, diagonal = pair[enough], piece[enough], diagonal[enough]
+    step = ix.budget[piece] + 1
+    band = (diagonal + PIECE) // step + 1  # a region is two neighbouring bands
+    cell = [((pair * 2654435761 + (band + i) * 40503) * 2246822519 & 0xFFFFFFFF) >> (32 - COUNT_BITS) for i in (-1, 0, 1)]
+    rough = np.bincount(cell[1], minlength=1 << COUNT_BITS)
+    enough = rough[cell[1]] + np.maximum(rough[cell[0]], rough[cell[2]]) >= ix.need[piece]
+    pair, band, j = pair[enough], band[enough], ix.entry_at[entry][enough]
     if not len(pair):
         return
-    step = ix.budget[piece] + 1
-    band = (diagonal + PIECE) // step
-    pair, band = np.concatenate([pair, pair]), np.concatenate([band, band - 1])
-    keys, count = np.unique(np.stack([pair, band], axis=1), axis=0, return_counts=True)
-    for (p, b), c in zip(keys.tolist(), count.tolist()):
-        t, i = divmod(p, len(ix.need))
-        if c >= ix.need[i]:
-            low = b * int(ix.budget[i] + 1) - PIECE
-            yield t, i, low, low + 2 * int(ix.budget[i] + 1) - 1, c
+    # exact: distinct q-gram positions of the piece in each pair of bands
+    pairs, own_pair = np.unique(pair, return_inverse=True)
+    key = np.concatenate([(own_pair << 32) | band, (own_pair << 32) | (band - 1)])
+    distinct = np.unique((key << 7) | np.concatenate([j, j])) >> 7
+    keys, count = np.unique(distinct, return_counts=True)
+    reached = count >= ix.need[pairs[keys >> 32] % len(ix.need)]
+    for p, c in zip(keys[reached].tolist(), count[reached].tolist()):
+        t, i = divmod(int(pairs[p >> 32]), len(ix.need))
+        wide = int(ix.budget[i] + 1)
+        low = ((p & 0xFFFFFFFF) - 1) * wide - PIECE
+        yield t, i, low, low + 2 * wide - 1, c
 
 
 def matches(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
