@@ -22,8 +22,8 @@ def _one_each(docs: DataFrame) -> DataFrame:
 
 
 def _joined(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """docs of _one_each() with the columns of chosen: (id, th, ...)."""
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))).drop("id", "th")
+    """docs of _one_each() with the columns of chosen: (_id, _key, ...)."""
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_key"))).drop("_id", "_key")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates, the one with the least doc_id."""
     ship(spark)
-    heads = neardup.near_duplicates(docs).where("keep").select(F.col("doc_id").alias("id"), "th").distinct()
+    heads = neardup.near_duplicates(docs).where("keep").select(F.col("doc_id").alias("_id"), F.col("th").alias("_key")).distinct()
     return _joined(_one_each(docs), heads).select(*docs.columns)
 
 
@@ -50,7 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ids = mixing.mix(docs.withColumn("_th", F.xxhash64("text")), keep=("_th",))
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "_th"), F.lit(1 << 20)) / (1 << 20)
     copies = ids.where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + draw).cast("int"))
-    chosen = copies.groupBy(F.col("doc_id").alias("id"), F.col("_th").alias("th")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
+    chosen = copies.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
     return _joined(_one_each(docs), chosen).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 

@@ -10,7 +10,7 @@ Law ``bytes``: every new shard holds its share of all bytes, up to the row at ea
 Collected on the driver: the sums of at most old x 2**BITS blocks and one hash for each cut, whatever the size of the table.
 
 Cases: a null text has size 1; a null doc_id is a value like others; rows alike in doc_id and text stay together; an empty table gives
-no rows; extra columns are kept.
+no rows; extra columns are kept, but for any named shard or slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -155,7 +155,7 @@ def plan(rows: DataFrame, new: int = NEW, capacities: list[int] | None = None) -
 def rewrite(rows: DataFrame, layout: Layout, columns: list[str]) -> DataFrame:
     """Write the rows of affected blocks into shard=k folders of a new store, and read them together with the blocks that stay where they are."""
     out = rows.withColumn("shard", layout.shard())
-    keep = [*columns, WAS, BLOCK, H, SIZE, "shard"]
+    keep = [*(c for c in columns if c not in ("shard", "slot")), WAS, BLOCK, H, SIZE, "shard"]
     path = f"{shared_root(rows.sparkSession)}/shards-{uuid.uuid4().hex}"
     moved = out.where(~layout.stays()).select(*keep)
     moved.write.partitionBy("shard").parquet(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from flowtide.llm import decontam, langid, lm, media, mixing, neardup, sharding, suffixes, tokens, urls
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, shard string"
 WORD = re.compile(r"[^\W_]+")
 VOCAB = {"en": "the of and that with stone river winter market light carry over under road house green field table paper small".split(), "de": "der die und nicht über straße wasser fenster könig schule garten brücke löffel tür stühle wäsche".split()}
 
@@ -39,7 +39,7 @@ def rows():
         out[i][1] = " ".join(words(rng, 30)) + " " + passage + " " + " ".join(words(rng, 30))
     out += [[60, None, "en", "src1"], [61, "", None, None], [62, "12 34 !!", "en", None], [63, "word", "en", "src0"], [64, "word", "en", "src0"], [64, "word", "en", "src0"], [None, "no id here at all in this row", "en", "src2"]]
     out.append([65, " ".join(words(rng, 20_000)), "en", "src0"])
-    return [(a, b, c, d, len(b or ""), "x") for a, b, c, d in out]
+    return [(a, b, c, d, len(b or ""), "x", "y") for a, b, c, d in out]
 
 
 @pytest.fixture(scope="module")
@@ -397,7 +397,7 @@ def test_decontamination(spark, docs, rows, empty):
     hit = list(item)
     for at in rng.sample(range(len(hit)), 6):
         hit[at] = "q"
-    extra = [(200, "Before. " + item.upper() + "! After.", "en", "s", 0, "x"), (201, "Some " + "".join(hit) + " more", "en", "s", 0, "x"), (202, " ".join(words(rng, 30)) + " " + item[: len(item) * 2 // 3], "en", "s", 0, "x")]
+    extra = [(200, "Before. " + item.upper() + "! After.", "en", "s", 0, "x", "y"), (201, "Some " + "".join(hit) + " more", "en", "s", 0, "x", "y"), (202, " ".join(words(rng, 30)) + " " + item[: len(item) * 2 // 3], "en", "s", 0, "x", "y")]
     both = docs.unionByName(spark.createDataFrame(extra, DOCS))
     items = spark.createDataFrame([(1, item), (2, other), (3, None), (4, "short one")], "item_id long, text string")
     found = decontam.find(both, items).collect()
@@ -434,7 +434,7 @@ def test_pipeline(spark, tmp_path, rows):
 
     rng = random.Random(9)
     item = " ".join(words(rng, 40))
-    dirty = [(300, " ".join(words(rng, 50)) + " " + item, "en", "src1", 0, "x")]
+    dirty = [(300, " ".join(words(rng, 50)) + " " + item, "en", "src1", 0, "x", "y")]
     spark.createDataFrame([*rows, *dirty], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), []
