@@ -186,6 +186,14 @@ def arcgis_rows(pages: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(*[F.try_element_at("a", F.lit(n.lower())).try_cast(t).alias(n) for n, t in columns.items()]).withColumn("date", F.to_date(F.timestamp_millis("startDate")))
 
 
+def camera_records(spark: SparkSession, path: str, kind: str = "json", row_tag: str = "camera") -> DataFrame:
+    """(seq, attributes): catalogue records of JSON (an array or lines) or XML files as maps of text, in file order."""
+    df = spark.read.json(path, multiLine=True) if kind == "json" else spark.read.format("xml").option("rowTag", row_tag).load(path)
+    flat = [c for c, t in df.dtypes if not t.startswith(("array", "struct", "map"))]
+    pairs = F.map_from_arrays(F.array(*[F.lit(c) for c in flat]), F.array(*[F.col(f"`{c}`").cast("string") for c in flat]))
+    return df.select(F.monotonically_increasing_id().alias("seq"), pairs.alias("attributes"))
+
+
 def cameras(records: DataFrame) -> DataFrame:
     """records: (seq, attributes map<string,string>). Cameras with valid coordinates and ids of digits only; the last record of an id counts; sorted by id."""
     pick = lambda names: F.coalesce(*[F.nullif(F.trim(F.try_element_at("attributes", F.lit(n))), F.lit("")) for n in names])

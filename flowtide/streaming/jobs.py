@@ -95,8 +95,7 @@ class PollStore:
 def hourly_counts(events: DataFrame, ts: str, zone: str, *by: str, streaming: bool = True) -> DataFrame:
     """Tumbling counts by local hour; rows later than the watermark are dropped."""
     e = events.withWatermark(ts, WATERMARK) if streaming else events
-    e = e.withColumn("_w", F.window(ts, "1 hour")) if not streaming else e
-    out = e.groupBy(F.window(ts, "1 hour").alias("w"), *by).agg(F.count("*").alias("n")) if streaming else e.groupBy(F.col("_w").alias("w"), *by).agg(F.count("*").alias("n"))
+    out = e.groupBy(F.window(ts, "1 hour").alias("w"), *by).agg(F.count("*").alias("n"))
     local = F.from_utc_timestamp(F.col("w.start"), zone)
     return out.select(F.to_date(local).alias("event_date"), F.hour(local).alias("event_hour"), *by, "n")
 

@@ -105,3 +105,20 @@ def test_shared_frames(spark):
     got = {r.camera: r.is_unavailable for r in boards.shared_frames(f, "run", "camera", "content").collect()}
     assert got == {"a": True, "b": True, "c": True, "d": False}
     assert {r.status for r in boards.frame_status(f.union(f), "camera", "run", "content", ["seq"]).where("camera = 'd'").collect()} == {"OK", "UNCHANGED"}
+
+
+def test_camera_catalogues(spark, tmp_path):
+    (tmp_path / "c.json").write_text(json.dumps([{"id": 2, "name": "old", "latitude": -41, "longitude": 174}, {"cameraId": "2", "title": "new", "lat": "-41.5", "lng": "174.5"}, {"id": "x3", "lat": 1, "lon": 1}, {"id": 4, "lat": 999, "lon": 1}]))
+    (tmp_path / "c.xml").write_text("<all><camera><id>7</id><name>Bay</name><lat>-41.2</lat><lon>174.9</lon></camera><camera><id>5</id><name>Hill</name><lat>-41.3</lat><lon>174.8</lon></camera></all>")
+    assert [(r.camera_id, r.camera_name, r.lat) for r in landed.cameras(landed.camera_records(spark, str(tmp_path / "c.json"))).collect()] == [("2", "new", -41.5)]
+    assert [(r.camera_id, r.camera_name) for r in landed.cameras(landed.camera_records(spark, str(tmp_path / "c.xml"), "xml")).collect()] == [("5", "Hill"), ("7", "Bay")]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = [(dt.datetime(2026, 1, 1, h, m), k) for h in range(5) for m in (1, 20, 59) for k in "ab"]
+    spark.createDataFrame(rows, "ts timestamp, kind string").repartition(3).write.parquet(str(tmp_path / "in"))
+    batch = spark.read.parquet(str(tmp_path / "in"))
+    q = jobs.run(jobs.complete_table(jobs.hourly_counts(jobs.landed(spark, str(tmp_path / "in"), batch.schema, 1), "ts", "Pacific/Auckland", "kind"), str(tmp_path / "out")))
+    got = spark.read.parquet(f"{tmp_path}/out/batch={q.lastProgress['batchId']}")
+    want = jobs.hourly_counts(batch, "ts", "Pacific/Auckland", "kind", streaming=False)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
