@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import day_type
 from ..operators import detectors, transit
 from ..operators.config import Thresholds
+from ..session import materialized
 
 TARGET, WEEKS, MIN_SAMPLES = "2024-01-29T12:00:00", 4, 3
 #: The hourly counts of these tables are 1 to 7, so the gates are low.
@@ -133,12 +134,14 @@ def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fact(spark, sf_dir)
-    h, m, b = transit.headways(f), transit.ping_motion(pings(spark, sf_dir)), transit.spatial_bins(f, min_n=BIN_EVENTS)
-    return detectors.all_detections([
+    """All nine detectors. The fact, the bins and the motion feed several of them and are written once; so is the result, which reports read more than once."""
+    f = materialized(fact(spark, sf_dir), "fact")
+    h, m, b = transit.headways(f), materialized(transit.ping_motion(pings(spark, sf_dir)), "motion"), materialized(transit.spatial_bins(f, min_n=BIN_EVENTS), "bins")
+    found = detectors.all_detections([
         detectors.delay_outliers(f, transit.delay_baseline(f), DELAY_Z), detectors.bunching(h), detectors.gapping(h), detectors.ghost_trips(f), detectors.dwell_outliers(f, transit.dwell_baseline(f), DWELL_Z),
         detectors.teleports(m), detectors.stale_vehicles(m), detectors.truncations(f), detectors.cluster_shocks(b, transit.spatial_baseline(b, BASE_BINS), SHOCK_Z, 2),
     ])
+    return materialized(found, "detections")
 
 
 #: Thresholds that fire on these tables, whose delays are spread evenly.

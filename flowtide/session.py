@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -43,3 +43,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path that driver and executors share: under spark.checkpoint.dir, or a local one where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowtide-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in the shared folder, for results that several branches of a plan read. Unlike a cache it survives lost executors, and readers still prune its columns."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
