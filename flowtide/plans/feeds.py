@@ -112,14 +112,14 @@ def polls(s, d, *cols):
     return e.groupBy(F.to_timestamp(F.to_date("ts")).alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.collect_list(F.struct(*cols)).alias("entity"))).alias("payload"))
 
 
-SECS = F.lit(1704067200)
+SECS = 1704067200
 
 
 @query("s13_vehicle_positions", "SELECT event_id::VARCHAR AS id, 'V' || user_id AS vehicle_id, user_id::VARCHAR AS route_id, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS latitude, strftime(to_timestamp(1704067200 + event_id) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS vehicle_ts FROM events")
 def _(s, d):
     trip = F.when(F.col("event_id") % 2 == 0, F.struct(F.col("user_id").cast("string").alias("route_id"), F.lit(None).cast("string").alias("routeId"))).otherwise(F.struct(F.lit(None).cast("string").alias("route_id"), F.col("user_id").cast("string").alias("routeId")))
     lat = F.when(F.col("event_type") == "error", F.lit("bad")).otherwise(F.col("value").cast("string"))
-    v = F.struct(trip.alias("trip"), F.struct(lat.alias("latitude")).alias("position"), F.struct(F.concat(F.lit("V"), "user_id").alias("id")).alias("vehicle"), (SECS + F.col("event_id")).alias("timestamp"))
+    v = F.struct(trip.alias("trip"), F.struct(lat.alias("latitude")).alias("position"), F.struct(F.concat(F.lit("V"), "user_id").alias("id")).alias("vehicle"), (F.col("event_id") + SECS).alias("timestamp"))
     e = A.table(s, d, "events").select("ts", "event_type", "event_id", "user_id", "value")
     p = e.groupBy(F.to_timestamp(F.to_date("ts")).alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_id").cast("string").alias("id"), v.alias("vehicle"))).alias("entity"))).alias("payload"))
     out = S.vehicle_positions(p)
@@ -135,7 +135,7 @@ def _(s, d):
 
 @query("s15_service_alerts", "SELECT event_id::VARCHAR AS alert_id, event_type AS effect, 'about ' || user_id AS header, user_id::VARCHAR AS route_id, k AS n FROM events, (VALUES (1), (2)) t(k)")
 def _(s, d):
-    period = lambda k: F.struct((SECS + k).alias("start"), (SECS + k + 60).alias("end"))
+    period = lambda k: F.struct(F.lit(SECS + k).alias("start"), F.lit(SECS + k + 60).alias("end"))
     a = F.struct(F.array(period(1), period(2)).alias("activePeriod"), F.array(F.struct(F.col("user_id").cast("string").alias("routeId"))).alias("informedEntity"), F.col("event_type").alias("effect"), F.struct(F.array(F.struct(F.concat(F.lit("about "), "user_id").alias("text"))).alias("translation")).alias("headerText"))
     out = S.service_alerts(polls(s, d, F.col("event_id").cast("string").alias("id"), a.alias("alert")))
     return out.select("alert_id", "effect", "header", "route_id", (F.unix_timestamp("active_from") - 1704067200).cast("int").alias("n"))

@@ -42,3 +42,12 @@ def test_matches_sql(spark, name):
 
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parents[1]
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert said.stdout.strip() == "True", said.stderr
