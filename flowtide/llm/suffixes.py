@@ -188,7 +188,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where("text is not null")
     kept = store(keyed.mapInArrow(_kept, f"core long, doc_id {kind}, th long, pos int"), "op3-suffixes")
-    repeated = kept.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # written, so that the join below shuffles both sides for itself and Spark can split the classes that are very large
+    repeated = store(kept.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "op3-repeated")
     found = kept.join(repeated, "core").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("at"), F.count("*").alias("n"))
     same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th"))
     texts = keyed.alias("d").join(found.withColumn("at", F.array_distinct("at")).alias("f"), same).select("d.doc_id", "d.th", "d.text", "f.at")
