@@ -27,7 +27,7 @@ from .common import shared_root, store, table
 BITS = 10
 OLD, NEW = 12, 8
 #: Names of the columns that the operator adds on the way.
-H, BLOCK, WAS, SIZE = "_hash", "_block", "_old_shard", "_size"
+H, BLOCK, WAS, SIZE, NTH, BASE = (f"_flowtide_{x}" for x in ("row_hash", "block", "old_shard", "size", "nth", "base"))
 
 
 def min_cost_flow(supply: list[int], room: list[int], cost) -> dict[tuple[int, int], int]:
@@ -166,11 +166,11 @@ def rewrite(rows: DataFrame, layout: Layout, columns: list[str]) -> DataFrame:
 def with_slots(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Number the rows of each shard from 0 without gaps. Only blocks are sorted; their offsets come from block counts."""
     key = ["shard", WAS, BLOCK]
-    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(*key).agg(F.count("*").alias(NTH))
     ahead = Window.partitionBy("shard").orderBy(WAS, BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(*key, F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    base = counts.select(*key, F.coalesce(F.sum(NTH).over(ahead), F.lit(0)).alias(BASE))
     inside = F.row_number().over(Window.partitionBy(*key).orderBy(H, *order))
-    return rows.withColumn("_r", inside).join(base, key).withColumn("slot", (F.col("_base") + F.col("_r") - 1).cast("long")).drop("_r", "_base")
+    return rows.withColumn(NTH, inside).join(base, key).withColumn("slot", (F.col(BASE) + F.col(NTH) - 1).cast("long")).drop(NTH, BASE)
 
 
 def landed_shard(source: str = "source", old: int = OLD) -> Column:

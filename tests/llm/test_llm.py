@@ -92,6 +92,16 @@ def test_resharding(spark, docs, rows):
     assert layout.total == sum(sizes.values())
 
 
+def test_resharding_of_nothing_and_of_columns_named_alike(spark, docs, empty):
+    r = sharding.keyed(empty, sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
+    assert sharding.with_slots(sharding.rewrite(r, sharding.plan(r), empty.columns), ("doc_id",)).count() == 0
+    alike = docs.withColumns({c: F.lit(c) for c in ("_n", "_base", "_r", "_hash", "_block", "_size", "size", "n", "first", "slot")})
+    r = sharding.keyed(alike, sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
+    out = sharding.with_slots(sharding.rewrite(r, sharding.plan(r, 3), alike.columns), ("doc_id",))
+    assert {tuple(x) for x in out.select("_n", "_base", "_r", "_hash", "_block", "_size", "size", "n", "first").collect()} == {("_n", "_base", "_r", "_hash", "_block", "_size", "size", "n", "first")}
+    assert out.count() == docs.count()
+
+
 # op2
 
 
@@ -450,3 +460,18 @@ def test_pipeline(spark, tmp_path, rows):
     assert set(kept[3]) <= set(kept[2]) and max(collections.Counter(kept[3]).values()) <= 3
     assert sorted(map(str, kept[4])) == sorted(map(str, kept[3]))
     assert docs.columns[-2:] == ["shard", "slot"]
+
+
+def test_pipeline_of_nothing_and_of_columns_named_alike(spark, tmp_path, rows):
+    import corpus_pipeline
+
+    names = ["_id", "_th", "_key", "_n", "_copy", "_copies", "copies", "node", "keep", "k", "h", "size", "taken", "lang_pred", "score"]
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    given = spark.createDataFrame(rows[:12], DOCS).withColumns({c: F.lit(c) for c in names})
+    for kind, docs in (("none", given.where("false")), ("null", given.where("doc_id = 1").withColumn("text", F.lit(None).cast("string"))), ("some", given)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            columns = docs.columns
+            stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{kind}{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"{kind}{k}"))
+            assert set(columns) <= set(docs.columns) and (k == 4 or docs.columns == columns)
+        assert {tuple(r) for r in docs.select(names).collect()} == ({tuple(names)} if kind == "some" else set())
