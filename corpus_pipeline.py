@@ -15,15 +15,19 @@ from flowtide.llm import common, decontam, langid, mixing, neardup, sharding
 from flowtide.session import ship
 
 
+#: Names of the columns that the stages add on the way; documents may have columns of any other name.
+HASH, ID, KEY, NTH, COPIES, COPY = (f"_flowtide_{x}" for x in ("hash", "id", "key", "nth", "copies", "copy"))
+
+
 def _one_each(docs: DataFrame) -> DataFrame:
-    """docs with _th, a hash of the text, and one row of those alike in doc_id and text."""
-    docs = docs.withColumn("_th", F.xxhash64("text"))
-    return docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(1)))).where("_n = 1").drop("_n")
+    """docs with HASH, a hash of the text, and one row of those alike in doc_id and text."""
+    docs = docs.withColumn(HASH, F.xxhash64("text"))
+    return docs.withColumn(NTH, F.row_number().over(Window.partitionBy("doc_id", HASH).orderBy(F.lit(1)))).where(F.col(NTH) == 1).drop(NTH)
 
 
 def _joined(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """docs of _one_each() with the columns of chosen: (_id, _key, ...)."""
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_key"))).drop("_id", "_key")
+    """docs of _one_each() with the columns of chosen: (ID, KEY, ...)."""
+    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(HASH) == F.col(KEY))).drop(ID, KEY)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates, the one with the least doc_id."""
     ship(spark)
-    heads = neardup.near_duplicates(docs).where("keep").select(F.col("doc_id").alias("_id"), F.col("th").alias("_key")).distinct()
+    heads = neardup.near_duplicates(docs).where("keep").select(F.col("doc_id").alias(ID), F.col("th").alias(KEY)).distinct()
     return _joined(_one_each(docs), heads).select(*docs.columns)
 
 
@@ -47,11 +51,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents by the words that the mix takes of them; a part of a document becomes a whole one or none by a seeded draw."""
-    ids = mixing.mix(docs.withColumn("_th", F.xxhash64("text")), keep=("_th",))
-    draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "_th"), F.lit(1 << 20)) / (1 << 20)
+    ids = mixing.mix(docs.withColumn(HASH, F.xxhash64("text")), keep=(HASH,))
+    draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", HASH), F.lit(1 << 20)) / (1 << 20)
     copies = ids.where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + draw).cast("int"))
-    chosen = copies.groupBy(F.col("doc_id").alias("_id"), F.col("_th").alias("_key")).agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    return _joined(_one_each(docs), chosen).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    chosen = copies.groupBy(F.col("doc_id").alias(ID), F.col(HASH).alias(KEY)).agg(F.sum("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
+    return _joined(_one_each(docs), chosen).withColumn(COPY, F.explode(F.sequence(F.lit(1), COPIES))).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
