@@ -213,8 +213,10 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     nodes = store(nodes, "op7-nodes")
     entries = nodes.select("node", F.explode("bands").alias("band"))
     order = F.struct(F.xxhash64("node", "band").alias("o"), "node")
+    # written, so that the joins with all rows of a band or component shuffle both sides and Spark can split the very large ones
     buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("hub")).where("n > 1")
-    members = store(entries.join(buckets.select("band", "n", F.col("hub.node").alias("hub")), "band"), "op7-members")
+    buckets = store(buckets.select("band", "n", F.col("hub.node").alias("hub")), "op7-buckets")
+    members = store(entries.join(buckets, "band"), "op7-members")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     star = members.where(f"n > {SMALL} and node <> hub").select(*ordered("node", "hub"))
     few = members.where(f"n <= {SMALL}").select("band", "node")
@@ -231,7 +233,7 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     # the largest component of a bucket needs no comparison within itself: its blocks meet only the blocks of the others
     sizes = large.groupBy("band", "comp").agg(F.count("*").alias("c"))
     top = sizes.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("t"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("t.comp").alias("main"), F.col("t.c").alias("n_main"))
-    large = large.join(top, "band").withColumn("is_main", F.col("comp") == F.col("main"))
+    large = large.join(store(top, "op7-mains"), "band").withColumn("is_main", F.col("comp") == F.col("main"))
     of = lambda n: F.ceil(n / BLOCK).cast("int")
     g_main, g_rest = of(F.col("n_main")), of(F.col("n") - F.col("n_main"))
     blk = F.when(F.col("is_main"), g_rest + F.pmod(F.xxhash64("node"), g_main)).otherwise(F.pmod(F.xxhash64("node"), g_rest)).cast("int")
@@ -250,7 +252,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     node = rows.where("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
     node = node.join(labels, "node", "left").join(degree, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    head = node.groupBy("comp").agg(F.min("r").alias("head"))
+    head = store(node.groupBy("comp").agg(F.min("r").alias("head")), "op7-heads")
     node = node.join(head, "comp").select("node", "comp", "head", F.coalesce("links", F.lit(0)).alias("links"))
     full = rows.join(node, "node", "left")
     own = F.struct("doc_id", "th")
