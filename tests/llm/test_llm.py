@@ -133,6 +133,46 @@ def test_loss_by_hand(spark):
     assert abs(got[1].target_loss - want) < 1e-9 and m.scale == scale
 
 
+def test_losses_against_plain_counts_over_many_chunks(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 2_000)
+    good = set(range(0, 60, 3))
+    flagged = lm.flagged(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"))
+    m = lm.learn(flagged)
+    assert m.chunks.count() > 20
+    given = [(r.doc_id, WORD.findall((r.text or "").lower())) for r in docs.collect()]
+    count = lambda chosen, k: collections.Counter(x for _, w in chosen for x in zip(*(w[i:] for i in range(k))))
+    both = [([count(c, 1), count(c, 2)], scale) for c, scale in ((given, m.scale), ([x for x in given if x[0] in good], 1.0))]
+    size = len(both[0][0][0]) + 1
+
+    def loss(d, w, model):
+        (one, two), scale = both[model]
+        own, own2 = ((count([(d, w)], k) if model == 0 or d in good else collections.Counter()) for k in (1, 2))
+        c = lambda table, mine, x: (table[x] - mine[x]) * scale
+        total, out = (sum(one.values()) - sum(own.values())) * scale, 0.0
+        for i, x in enumerate(w):
+            p = (c(one, own, (x,)) + lm.ADD) / (total + lm.ADD * size)
+            if i:
+                pair = c(two, own2, (w[i - 1], x))
+                p = (pair + lm.PRIOR * p) / (max(c(one, own, (w[i - 1],)), pair) + lm.PRIOR)
+            out -= np.log(p)
+        return out / len(w)
+
+    want = sorted((str(d), len(w), *(loss(d, w, k) for k in (1, 0))) for d, w in given if w)
+    got = sorted((str(r.doc_id), r.n_tokens, r.target_loss, r.background_loss) for r in lm.score(flagged, m).collect() if r.n_tokens)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2:] for x in got], [x[2:] for x in want], atol=1e-9)
+
+
+def test_every_word_and_bigram_counts(spark):
+    n = 200_000
+    text = " ".join(f"w{i}" for i in range(n))
+    flagged = lm.flagged(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), spark.createDataFrame([(2,)], "doc_id long"))
+    m = lm.learn(flagged)
+    got = {r.doc_id: r for r in lm.score(flagged, m).collect()}
+    p = (1 + lm.ADD) / (n + lm.ADD * (n + 1))  # of document 1 under the target model: each word and bigram once
+    want = -(np.log(p) + (n - 1) * np.log((1 + lm.PRIOR * p) / (1 + lm.PRIOR))) / n
+    assert abs(got[1].target_loss - want) < 1e-9
+
+
 # op3
 
 
