@@ -1,7 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Benchmark items and texts are reduced to lower-case letters and digits with single spaces. Items are cut into pieces of PIECE
-characters that overlap by half. A piece of n characters may be matched with k = floor(ERRORS n) edits; such a match shares at least
+characters that overlap by half, and into pieces of SHORT characters that begin every STRIDE characters; shorter items are one piece. So
+an excerpt of at least SHORT + STRIDE - 1 = 74 reduced characters is found wherever it begins and ends, with up to 6 edits in it; a shorter one
+only if it holds a whole piece. A piece of n characters may be matched with k = floor(ERRORS n) edits; such a match shares at least
 n - q + 1 - k q q-grams with the text, all on at most k + 1 neighbouring diagonals. So shared q-grams are counted in bands of 2 (k + 1)
 diagonals that overlap by half; bands that reach the count are regions, and a region is verified by alignment within its band.
 
@@ -32,7 +34,11 @@ _PAD = np.uint32(0xFFFFFFFF)
 #: Cells of the first count of shared q-grams, by a hash of text, piece and diagonals.
 COUNT_BITS = 22
 PIECE, LEAST = 120, 30
-MAX_ITEM_BYTES = 32 << 20
+SHORT, STRIDE = 60, 15
+#: Regions that are aligned together.
+REGIONS = 20_000
+#: An index holds each q-gram of an item about six times.
+MAX_ITEM_BYTES = 10 << 20
 
 
 def reduced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,11 +92,14 @@ def index(items: list[tuple]) -> Index:
         own = own[: len(own) - (len(own) > 0 and own[-1] == 32)]
         if len(own) < LEAST:
             continue
-        cuts = [0] if len(own) <= PIECE else [*range(0, len(own) - PIECE, PIECE // 2), len(own) - PIECE]
-        for c in cuts:
-            owner.append(i)
-            begin.append(c)
-            texts.append(own[c : c + PIECE])
+        for size, step in ((PIECE, PIECE // 2), (SHORT, STRIDE)):
+            if size == SHORT and len(own) <= SHORT:
+                continue  # one piece already
+            cuts = [0] if len(own) <= size else [*range(0, len(own) - size, step), len(own) - size]
+            for c in cuts:
+                owner.append(i)
+                begin.append(c)
+                texts.append(own[c : c + size])
     n = np.array([len(t) for t in texts], np.int64)
     budget = np.minimum((n * ERRORS).astype(np.int64), (n - Q) // Q)
     hs = [grams(t) for t in texts]
@@ -123,8 +132,36 @@ def banded(piece: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
     return int(row[best]), min(len(text), len(piece) + low + best)
 
 
+def within(own: np.ndarray, starts: np.ndarray, ix: Index, t: np.ndarray, i: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which of the regions hold their piece within its budget: banded() for many pieces of one length at a time."""
+    k = int(ix.budget[i[0]])
+    width = 2 * (k + 1)
+    distinct, back = np.unique(i, return_inverse=True)
+    piece = np.stack([ix.piece_text[x] for x in distinct.tolist()])[back]
+    n = piece.shape[1]
+    at = (starts[t] + low)[:, None] + np.arange(n + width - 1)
+    inside = (at >= starts[t][:, None]) & (at < starts[t + 1][:, None])
+    text = np.where(inside, own[np.clip(at, 0, len(own) - 1)], _PAD)
+    # steps and diagonals come first, so that each operation runs along the regions
+    piece, text, left = np.ascontiguousarray(piece.T), np.ascontiguousarray(text.T), np.arange(len(t))
+    row = np.zeros((width, len(t)), np.int16)
+    for step in range(n):
+        new = row + (text[step : step + width] != piece[step])
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
+        for d in range(1, width):
+            np.minimum(new[d], new[d - 1] + 1, out=new[d])
+        row = new
+        if step % 8 == 7:
+            near = row.min(axis=0) <= k
+            if not near.all():
+                row, text, piece, left = row[:, near], text[:, near], piece[:, near], left[near]
+    out = np.zeros(len(t), np.bool_)
+    out[left] = row.min(axis=0) <= k
+    return out
+
+
 def regions(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, piece, first and last diagonal, shared q-grams) of the bands that reach the count. own: reduced code points of all texts."""
+    """(text, piece, first and last diagonal, shared q-grams) of the bands that reach the count and hold the piece within its budget. own: reduced code points of all texts."""
     h = grams(own)
     at = np.flatnonzero(ix.seen[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
     which = np.minimum(np.searchsorted(ix.hashes, h[at]), len(ix.hashes) - 1)
@@ -140,23 +177,33 @@ def regions(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[in
     pair = text * len(ix.need) + piece
     step = ix.budget[piece] + 1
     band = (diagonal + PIECE) // step + 1  # a region is two neighbouring bands
-    cell = [((pair * 2654435761 + (band + i) * 40503) * 2246822519 & 0xFFFFFFFF) >> (32 - COUNT_BITS) for i in (-1, 0, 1)]
-    rough = np.bincount(cell[1], minlength=1 << COUNT_BITS)
-    enough = rough[cell[1]] + np.maximum(rough[cell[0]], rough[cell[2]]) >= ix.need[piece]
+    # neighbouring bands have neighbouring cells, so that each cell's best two are found once
+    cell = (((pair * (2654435761 * 2246822519 & 0xFFFFFFFF) & 0xFFFFFFFF) >> (32 - COUNT_BITS)) + band) & ((1 << COUNT_BITS) - 1)
+    rough = np.bincount(cell, minlength=1 << COUNT_BITS)
+    enough = (rough + np.maximum(np.roll(rough, 1), np.roll(rough, -1)))[cell] >= ix.need[piece]
     pair, band, j = pair[enough], band[enough], ix.entry_at[entry][enough]
     if not len(pair):
         return
     # exact: distinct q-gram positions of the piece in each pair of bands
     pairs, own_pair = np.unique(pair, return_inverse=True)
     key = np.concatenate([(own_pair << 32) | band, (own_pair << 32) | (band - 1)])
-    distinct = np.unique((key << 7) | np.concatenate([j, j])) >> 7
-    keys, count = np.unique(distinct, return_counts=True)
+    distinct = np.sort((key << 7) | np.concatenate([j, j]))  # sorting is faster here than the hashing of np.unique
+    distinct = distinct[np.append(True, distinct[1:] != distinct[:-1])] >> 7
+    first = np.flatnonzero(np.append(True, distinct[1:] != distinct[:-1]))
+    keys, count = distinct[first], np.diff(np.append(first, len(distinct)))
     reached = count >= ix.need[pairs[keys >> 32] % len(ix.need)]
-    for p, c in zip(keys[reached].tolist(), count[reached].tolist()):
-        t, i = divmod(int(pairs[p >> 32]), len(ix.need))
-        wide = int(ix.budget[i] + 1)
-        low = ((p & 0xFFFFFFFF) - 1) * wide - PIECE
-        yield t, i, low, low + 2 * wide - 1, c
+    keys, count = keys[reached], count[reached]
+    t, i = np.divmod(pairs[keys >> 32], len(ix.need))
+    low = ((keys & 0xFFFFFFFF) - 1) * (ix.budget[i] + 1) - PIECE
+    close = np.zeros(len(t), np.bool_)
+    length = np.fromiter((len(ix.piece_text[x]) for x in i.tolist()), np.int64, len(i))
+    for n in np.unique(length):
+        alike = np.flatnonzero(length == n)  # pieces of one length have one budget
+        for a in range(0, len(alike), REGIONS):
+            at = alike[a : a + REGIONS]
+            close[at] = within(own, starts, ix, t[at], i[at], low[at])
+    for x in np.flatnonzero(close).tolist():
+        yield int(t[x]), int(i[x]), int(low[x]), int(low[x] + 2 * ix.budget[i[x]] + 1), int(count[x])
 
 
 def matches(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int, int, int]]:

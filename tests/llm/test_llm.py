@@ -463,6 +463,19 @@ def test_decontamination(spark, docs, rows, empty):
     assert decontam.find(empty, items).count() == 0 and decontam.find(docs, items.where("false")).count() == 0
 
 
+def test_excerpts_at_every_offset():
+    rng = random.Random(12)
+    item = " ".join(words(rng, 60))
+    ix, texts = decontam.index([(1, item)]), []
+    for n in (80, 100, 119, 120, 121, 150, 170):
+        for at in range(len(item) - n + 1):
+            texts.append(" ".join(words(rng, 12)) + " " + item[at : at + n] + " " + " ".join(words(rng, 12)))
+    own, starts, _ = decontam.reduced(pa.array(texts, pa.large_string()))
+    assert {t for t, *_ in decontam.matches(own, starts, ix)} == set(range(len(texts)))
+    others = pa.array([" ".join(words(rng, 60)) for _ in range(300)], pa.large_string())
+    assert not list(decontam.matches(*decontam.reduced(others)[:2], ix))
+
+
 def test_banded_alignment():
     rng = random.Random(0)
     code = lambda s: np.array([ord(c) for c in s], np.uint32)
