@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 CAP, SEED, PARTS = 3, 11, 16
-#: Blocks: about SEATS in all, more where the smallest target would get fewer than LEAST_SEATS, never more than MOST_SEATS.
-SEATS, LEAST_SEATS, MOST_SEATS = 65_536, 200, 1_048_576
+#: Blocks: about SEATS in all, more where the smallest target would get fewer than LEAST_SEATS; a block has one word at least.
+SEATS, LEAST_SEATS = 65_536, 200
+#: Blocks of a part that are made from one sequence.
+RUN = 65_536
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,7 +57,7 @@ def seats(sources: DataFrame) -> DataFrame:
     """Sainte-Laguë: adds block (words of a block) and seats to the rows of targets()."""
     everything = Window.partitionBy()
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
-    block = F.greatest(F.lit(1), F.floor(F.greatest(F.least(F.col("total") / SEATS, least / LEAST_SEATS), F.col("total") / MOST_SEATS)))
+    block = F.greatest(F.lit(1), F.floor(F.least(F.col("total") / SEATS, least / LEAST_SEATS)))
     s = sources.withColumn("block", F.coalesce(block, F.lit(1)).cast("long"))
     s = s.withColumn("all_seats", F.floor(F.col("total") / F.col("block"))).withColumn("m", F.count("*").over(everything))
     s = s.withColumn("fair", F.when(F.col("total") > 0, F.col("target") * F.col("all_seats") / F.col("total")).otherwise(F.lit(0.0)))
@@ -69,21 +71,29 @@ def seats(sources: DataFrame) -> DataFrame:
 
 
 def blocks(sources: DataFrame, seed: int) -> DataFrame:
-    """(k, b, copies, before): how often each block is taken, and the words taken from the blocks before it; a last row ends each line."""
+    """(k, b, copies, before): how often each block is taken, and the words taken from the blocks before it; a last row ends each line of whole blocks."""
     n = F.ceil(F.col("source_size") / F.col("block"))
-    rows = sources.where("source_size > 0").select("k", "source_size", "block", "seats", n.alias("n"), F.explode(F.sequence(F.lit(0), n)).alias("b"))
-    part = F.floor(F.col("b") * PARTS / F.col("n"))
-    rows = rows.withColumn("part", part).withColumn("real", F.col("b") < F.col("n"))
-    first, after = F.ceil(F.col("part") * F.col("n") / PARTS), F.ceil((F.col("part") + 1) * F.col("n") / PARTS)
+    parts = sources.where("source_size > 0").select("k", "source_size", "block", "seats", n.alias("n"), F.explode(F.sequence(F.lit(0), F.lit(PARTS))).alias("part"))
+    first, after = F.ceil(F.col("part") * F.col("n") / PARTS), F.least(F.col("n"), F.ceil((F.col("part") + 1) * F.col("n") / PARTS))
     share = lambda edge: F.floor(F.col("seats") * edge / F.col("n") + 0.5)
-    rows = rows.withColumn("quota", share(after) - share(first)).withColumn("own", after - first)
+    parts = parts.withColumn("first", first).withColumn("own", after - first).withColumn("quota", share(after) - share(first))
+    # a part's blocks are taken least(quota, CAP own) times in all, and only the last block of a source can be short
+    line = Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum(F.least("quota", CAP * F.col("own")) * F.col("block")).over(line), F.lit(0)))
+    # blocks are made where their part is; the last row of a line is alone in part PARTS
+    parts = parts.where(f"own > 0 or part = {PARTS} and source_size % block = 0")
+    parts = parts.repartition(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), "k", "part")
+    runs = parts.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.col("own") - 1, F.lit(0)) / RUN))))
+    lo, hi = F.col("run") * RUN, F.greatest(F.lit(1), F.least(F.col("own"), (F.col("run") + 1) * RUN)) - 1
+    rows = runs.withColumn("b", F.explode(F.sequence(lo, hi))).withColumn("b", F.col("first") + F.col("b"))
     seeded = Window.partitionBy("k", "part").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "k", "b").cast("binary")), "b")
     rows = rows.withColumn("place", F.row_number().over(seeded))
-    copies = F.least(F.lit(CAP), F.floor(F.col("quota") / F.col("own")) + F.when(F.col("place") <= F.col("quota") % F.col("own"), 1).otherwise(0))
-    rows = rows.withColumn("copies", F.when(F.col("real"), copies).otherwise(0).cast("long"))
-    held = F.least(F.col("block"), F.col("source_size") - F.col("b") * F.col("block"))
-    line = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.select("k", "b", "copies", F.coalesce(F.sum(F.col("copies") * held).over(line), F.lit(0)).cast("long").alias("before"))
+    some = F.greatest(F.col("own"), F.lit(1))
+    copies = F.least(F.lit(CAP), F.floor(F.col("quota") / some) + F.when(F.col("place") <= F.col("quota") % some, 1).otherwise(0))
+    rows = rows.withColumn("copies", F.when(F.col("own") > 0, copies).otherwise(0).cast("long"))
+    inside = Window.partitionBy("k", "part").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("base") + F.coalesce(F.sum(F.col("copies") * F.col("block")).over(inside), F.lit(0))
+    return rows.select("k", "b", "copies", before.cast("long").alias("before"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:

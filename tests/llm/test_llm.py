@@ -313,6 +313,22 @@ def test_seats_are_sainte_lague(spark):
     assert {r["rank"]: r.seats for r in rows} == {r["rank"]: sum(k == r["rank"] for _, k in seats) for r in rows}
 
 
+def test_small_source_beside_a_very_large_total(spark):
+    s = spark.createDataFrame([("a", 3_000_000_000), ("b", 1_000), ("c", 2_000_000_000), ("d", 700)], "source string, source_size long")
+    for r in mixing.seats(mixing.targets(s)).collect():
+        assert abs(r.seats * r.block - r.target) <= max(0.01 * r.target, r.block), r
+
+
+def test_ten_small_documents_in_a_mix_of_many_blocks(spark):
+    docs = [(i, "word " * 10, "small") for i in range(10)] + [(100 + i, "word " * 20_000, f"big{i % 2}") for i in range(24)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    out = mixing.mix(df).collect()
+    taken, target = collections.Counter(), {r.source: r.target for r in out}
+    for r in out:
+        taken[r.source] += r.taken
+    assert all(abs(taken[k] - t) <= max(2, 0.01 * t) for k, t in target.items()), (taken, target)
+
+
 # op7
 
 
