@@ -6,7 +6,8 @@ CORE = PASSAGE - WINDOW + 1 of its words follow it. Suffixes are classed by thei
 dropped. Each other suffix is sorted among its class by the words after the core, and again by the words before it, reversed. As in
 every suffix array, the longest match is with a neighbour in that order, so one comparison on each side gives the longest
 extension to the right and to the left. Extensions stop at WINDOW words, since a longer match has another minimiser there; a
-document's intervals are then united, and those of at least PASSAGE words are its repeated passages.
+document's intervals are then united, and those of at least PASSAGE words are candidates. As a candidate may be put together from matches
+with several texts, each of its stretches of PASSAGE words is counted over all candidates, and those that occur twice are united again.
 
 The order is made by range partitioning over (class, context), which also splits hot classes; the two suffixes at each partition edge
 are compared in a second step over two rows for each partition. A suffix at the edge of its text is padded with words that match nothing.
@@ -183,8 +184,21 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.int32()), pa.array(list(cols[3]), pa.int64())], names=["doc_id", "th", "start_word", "end_word", "passage"])
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of each PASSAGE words in the candidates of each text."""
+    for batch in batches:
+        text = utf8(batch.column("text"))
+        for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)):
+            words, _, first = hashed_words(text[lo:hi])
+            spans = [(i, x["start_word"], x["end_word"]) for i, own in enumerate(batch.column("at")[lo:hi].to_pylist()) for x in own]
+            doc = np.repeat([i for i, _, _ in spans], [e - s - PASSAGE + 1 for _, s, e in spans]).astype(np.int64)
+            pos = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e - PASSAGE + 1) for _, s, e in spans)])
+            own = pa.array(doc + lo)
+            yield from batches_of([pa.array(cores(words, first[doc] + pos, PASSAGE).view(np.int64)), batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(pos.astype(np.int32))], ["stretch", "doc_id", "th", "pos"], 20_000)
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, start_word, end_word, passage) for each repeated passage of each text; passage: the least core class in it."""
+    """(doc_id, th, start_word, end_word, passage) for each repeated passage of each text; passage: the least hash of PASSAGE words in it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where("text is not null")
     kept = store(keyed.mapInArrow(_kept, f"core long, doc_id {kind}, th long, pos int"), "op3-suffixes")
@@ -199,7 +213,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     each = spans.groupBy("doc_id", "th", "pos", "core").agg(F.max("r").alias("r"), F.max("l").alias("l")).where("r >= 0 and l >= 0")
     one = F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + CORE + F.col("r")).alias("e"), "core")
     lists = each.groupBy("doc_id", "th").agg(F.collect_list(one).alias("spans"))
-    return lists.mapInArrow(_united, f"doc_id {kind}, th long, start_word int, end_word int, passage long")
+    united = lists.mapInArrow(_united, f"doc_id {kind}, th long, start_word int, end_word int, passage long")
+    candidates = united.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start_word", "end_word")).alias("at"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th"))
+    texts = keyed.alias("d").join(candidates.alias("f"), same).select("d.doc_id", "d.th", "d.text", "f.at")
+    stretches = store(texts.mapInArrow(_stretches, f"stretch long, doc_id {kind}, th long, pos int"), "op3-stretches")
+    twice = store(stretches.groupBy("stretch").agg(F.count("*").alias("n")).where("n > 1").select("stretch"), "op3-twice")
+    held = stretches.join(twice, "stretch").groupBy("doc_id", "th")
+    runs = held.agg(F.collect_list(F.struct(F.col("pos").alias("s"), (F.col("pos") + PASSAGE).alias("e"), F.col("stretch").alias("core"))).alias("spans"))
+    return runs.mapInArrow(_united, f"doc_id {kind}, th long, start_word int, end_word int, passage long")
 
 
 def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -192,6 +192,20 @@ def test_repeated_passages(spark, rows, docs, empty):
     assert suffixes.repeated_passages(empty).count() == 0
 
 
+def test_adjoining_passages_of_different_documents(spark):
+    rng = random.Random(21)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts, k = {}, 0
+    for _ in range(30):
+        a, b, whole = fresh(40), fresh(40), fresh(60)
+        for w in (fresh(20) + a + b + fresh(20), fresh(20) + a + fresh(30), fresh(20) + b + fresh(30), fresh(9) + whole + b + fresh(9), whole + fresh(5)):
+            texts[k] = " ".join(w)
+            k += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, i) for r in suffixes.repeated_passages(df).collect() for i in range(r.start_word, r.end_word - suffixes.PASSAGE + 1)}
+    assert got == covered(texts)
+
+
 def test_hot_passage_over_many_partitions(spark):
     rng = random.Random(3)
     passage = words(rng, 60)
