@@ -39,10 +39,24 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir or the context's checkpoint folder. A local session without either (tests) gets a new one; a cluster must name it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if set_before.isDefined():
+            root = set_before.get()
+        elif spark.sparkContext.master.startswith("local"):
+            root = tempfile.mkdtemp(prefix="flowtide-")
+            spark.sparkContext.setCheckpointDir(root)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return root.rstrip("/")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path that driver and executors share: under spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowtide-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path below shared_root()."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:
