@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..session import shared_folder
 
 #: Most code points that one numpy pass handles at a time; longer texts make a pass of their own.
 PASS_CHARS = 2_000_000
@@ -19,26 +20,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new one only where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            root = jvm_dir.get()
-        else:
-            root = tempfile.mkdtemp(prefix="flowtide-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here and lost executors cost nothing."""
-    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: The column of with_row().
+ROW = "_flowtide_row"
+
+
+def with_row(scan: DataFrame) -> DataFrame:
+    """scan: a table read from files, or chosen rows and columns of one. Adds ROW, a number of each row made from its place in its file, so that rows alike are told apart and every scan finds the same number."""
+    place = scan.metadataColumn("_metadata")
+    return scan.withColumn(ROW, F.xxhash64(place["file_path"], place["row_index"]))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW; rows of any other origin than with_row() are written first, as a plan may make them in another order each time."""
+    return docs if ROW in docs.columns else with_row(store(docs, "rows"))
+
+
+def quoted(columns: list[str]) -> list[str]:
+    """Names for select(), which would read a dot as a step into a struct."""
+    return [f"`{c.replace('`', '``')}`" for c in columns]
+
+
+def kept_rows(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs, with all their columns, of which keep(texts of a batch) is true. Columns are renamed on the way, as Arrow functions take plain names only."""
+    at, names = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(utf8(batch.column(at))), pa.bool_()))
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
+
+
 def utf8(column: pa.Array) -> pa.Array:
     """A text column as large_string without nulls (null: empty), in one chunk."""
     if isinstance(column, pa.ChunkedArray):
