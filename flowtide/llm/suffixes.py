@@ -12,8 +12,12 @@ with several texts, each of its stretches of PASSAGE words is counted over all c
 The order is made by range partitioning over (class, context), which also splits hot classes; the two suffixes at each partition edge
 are compared in a second step over two rows for each partition. A suffix at the edge of its text is padded with words that match nothing.
 
-Cases: null and short texts have no passages; a passage that occurs twice within one document counts; rows alike in doc_id and text
-repeat each other and each get all spans; empty tables give empty results; texts are read whole; extra columns are ignored.
+Texts that are alike are one text on the way, so a group of copies costs no more than a member; all of its words are repeated, and each of
+its rows gets the spans.
+
+Cases: null and short texts have no passages; a passage that occurs twice within one document counts; rows alike in doc_id and text are
+copies like others and each get all spans; a null doc_id is a value like others; ties (equal contexts) match as far as contexts go; empty
+tables give empty results; texts are read whole, a very long one in a pass of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, hashed_words, mix, passes, store, table, utf8
+from .common import ROW, batches_of, hashed_words, mix, numbered, passes, store, table, utf8, with_row
 
 PASSAGE, WINDOW, GRAM = 50, 16, 4
 CORE = PASSAGE - WINDOW + 1
@@ -79,7 +83,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)):
             words, first, at, doc = _suffixes(text[lo:hi])
             own = pa.array(doc + lo)
-            yield from batches_of([pa.array(cores(words, at, CORE).view(np.int64)), batch.column("doc_id").take(own), batch.column("th").take(own), pa.array((at - first[doc]).astype(np.int32))], ["core", "doc_id", "th", "pos"], 20_000)
+            yield from batches_of([pa.array(cores(words, at, CORE).view(np.int64)), batch.column("th").take(own), batch.column(ROW).take(own), pa.array((at - first[doc]).astype(np.int32))], ["core", "th", ROW, "pos"], 20_000)
 
 
 def _context(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, step: int) -> list[bytes]:
@@ -103,7 +107,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = first[doc] + pos
             edges = first[doc], first[doc + 1]
             own = pa.array(doc + lo)
-            yield from batches_of([pa.array(cores(words, at, CORE).view(np.int64)), batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(pos.astype(np.int32)), pa.array(_context(words, *edges, at + CORE, 1), pa.binary()), pa.array(_context(words, *edges, at - 1, -1), pa.binary())], ["core", "doc_id", "th", "pos", "right", "left"])
+            yield from batches_of([pa.array(cores(words, at, CORE).view(np.int64)), batch.column("th").take(own), pa.array(pos.astype(np.int32)), pa.array(_context(words, *edges, at + CORE, 1), pa.binary()), pa.array(_context(words, *edges, at - 1, -1), pa.binary())], ["core", "th", "pos", "right", "left"])
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit(rows, lcp, edge):
         keys = pa.array(edge, pa.int32())
         ctx = pa.array([c if e else None for c, e in zip(rows.column("ctx").to_pylist(), edge)], pa.binary())
-        return pa.record_batch([*(rows.column(c) for c in ("core", "doc_id", "th", "pos")), pa.array(lcp.astype(np.int32)), pa.array([part] * rows.num_rows, pa.int32()), keys, ctx], names=["core", "doc_id", "th", "pos", "lcp", "part", "edge", "ctx"])
+        return pa.record_batch([*(rows.column(c) for c in ("core", "th", "pos")), pa.array(lcp.astype(np.int32)), pa.array([part] * rows.num_rows, pa.int32()), keys, ctx], names=["core", "th", "pos", "lcp", "part", "edge", "ctx"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -151,24 +155,24 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(held[0], np.array([held[1]]), [3 if held[2] else 2])
 
 
-def _extension(suffixes: DataFrame, context: str, kind: str) -> DataFrame:
-    """(core, doc_id, th, pos, lcp) of each suffix, lcp its longest match of ``context`` with another member of its class."""
-    rows = suffixes.select("core", "doc_id", "th", "pos", F.col(context).alias("ctx"))
+def _extension(suffixes: DataFrame, context: str) -> DataFrame:
+    """(core, th, pos, lcp) of each suffix, lcp its longest match of ``context`` with another member of its class."""
+    rows = suffixes.select("core", "th", "pos", F.col(context).alias("ctx"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "core", "ctx", "doc_id", "pos").sortWithinPartitions("core", "ctx", "doc_id", "pos")
-    out = store(ordered.mapInArrow(_neighbours, f"core long, doc_id {kind}, th long, pos int, lcp int, part int, edge int, ctx binary"), f"op3-{context}")
+    ordered = rows.repartitionByRange(parts, "core", "ctx", "th", "pos").sortWithinPartitions("core", "ctx", "th", "pos")
+    out = store(ordered.mapInArrow(_neighbours, "core long, th long, pos int, lcp int, part int, edge int, ctx binary"), f"op3-{context}")
     ends = out.where("edge > 0")
     w = Window.orderBy("part", F.col("edge") == 2, "edge")  # two rows for each partition at most
     sides = ends.withColumns({"pc": F.lag("core").over(w), "px": F.lag("ctx").over(w), "nc": F.lead("core").over(w), "nx": F.lead("ctx").over(w)})
     hexes = lambda x, y: F.greatest(*[F.when((F.substring(x, 1, 4 * k) == F.substring(y, 1, 4 * k)) & (F.hex(F.substring(x, 4 * k - 3, 4)) != "00000000"), k).otherwise(0) for k in range(1, WINDOW + 1)])
     match = lambda c, x: F.when(F.col(c) == F.col("core"), hexes("ctx", x)).otherwise(-1)
     fixed = sides.withColumn("lcp", F.greatest("lcp", match("pc", "px"), match("nc", "nx")))
-    keep = ["core", "doc_id", "th", "pos", "lcp"]
+    keep = ["core", "th", "pos", "lcp"]
     return out.where("edge = 0").select(*keep).unionByName(fixed.select(*keep))
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, th, spans: list of (s, e, core)) -> one row for each united interval of at least PASSAGE words."""
+    """(th, spans: list of (s, e, core)) -> one row for each united interval of at least PASSAGE words."""
     for batch in batches:
         rows = []
         for i, spans in enumerate(batch.column("spans").to_pylist()):
@@ -180,50 +184,53 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append(list(x))
             rows += [(i, *x) for x in out if x[1] - x[0] >= PASSAGE]
         cols = list(zip(*rows)) or [[]] * 4
-        own = pa.array(list(cols[0]), pa.int64())
-        yield pa.record_batch([batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.int32()), pa.array(list(cols[3]), pa.int64())], names=["doc_id", "th", "start_word", "end_word", "passage"])
+        yield pa.record_batch([batch.column("th").take(pa.array(list(cols[0]), pa.int64())), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.int32()), pa.array(list(cols[3]), pa.int64())], names=["th", "start_word", "end_word", "passage"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of each PASSAGE words in the candidates of each text."""
+    """The hash of each PASSAGE words in the candidates of each text; a text with copies is a candidate as a whole."""
     for batch in batches:
-        text = utf8(batch.column("text"))
+        text, copied = utf8(batch.column("text")), batch.column("copied").to_pylist()
         for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)):
             words, _, first = hashed_words(text[lo:hi])
-            spans = [(i, x["start_word"], x["end_word"]) for i, own in enumerate(batch.column("at")[lo:hi].to_pylist()) for x in own]
+            spans = []
+            for i, own in enumerate(batch.column("at")[lo:hi].to_pylist()):
+                n = int(first[i + 1] - first[i])
+                spans += [(i, 0, n)] if copied[lo + i] and n >= PASSAGE else [(i, x["start_word"], x["end_word"]) for x in own or ()]
             doc = np.repeat([i for i, _, _ in spans], [e - s - PASSAGE + 1 for _, s, e in spans]).astype(np.int64)
             pos = np.concatenate([np.zeros(0, np.int64), *(np.arange(s, e - PASSAGE + 1) for _, s, e in spans)])
             own = pa.array(doc + lo)
-            yield from batches_of([pa.array(cores(words, first[doc] + pos, PASSAGE).view(np.int64)), batch.column("doc_id").take(own), batch.column("th").take(own), pa.array(pos.astype(np.int32))], ["stretch", "doc_id", "th", "pos"], 20_000)
+            yield from batches_of([pa.array(cores(words, first[doc] + pos, PASSAGE).view(np.int64)), batch.column("th").take(own), batch.column("copied").take(own), pa.array(pos.astype(np.int32))], ["stretch", "th", "copied", "pos"], 20_000)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, start_word, end_word, passage) for each repeated passage of each text; passage: the least hash of PASSAGE words in it."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).where("text is not null")
-    kept = store(keyed.mapInArrow(_kept, f"core long, doc_id {kind}, th long, pos int"), "op3-suffixes")
+    """(doc_id, ROW, start_word, end_word, passage) for each repeated passage of each row; passage: the least hash of PASSAGE words in it."""
+    keyed = numbered(docs).select("doc_id", "text", ROW, F.xxhash64("text").alias("th")).where("text is not null")
+    heads = store(keyed.groupBy("th").agg(F.min(ROW).alias(ROW), (F.count("*") > 1).alias("copied")), "op3-heads")
+    kept = store(keyed.mapInArrow(_kept, f"core long, th long, {ROW} long, pos int"), "op3-suffixes")
+    two = lambda *columns: F.expr(" or ".join(f"min({c}) <> max({c})" for c in columns))
     # written, so that the join below shuffles both sides for itself and Spark can split the classes that are very large
-    repeated = store(kept.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "op3-repeated")
-    found = kept.join(repeated, "core").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("at"), F.count("*").alias("n"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th"))
-    texts = keyed.alias("d").join(found.withColumn("at", F.array_distinct("at")).alias("f"), same).select("d.doc_id", "d.th", "d.text", "f.at")
-    suffixes = store(texts.mapInArrow(_contexts, f"core long, doc_id {kind}, th long, pos int, right binary, left binary"), "op3-members")
-    right, left = _extension(suffixes, "right", kind), _extension(suffixes, "left", kind)
-    spans = right.select("core", "doc_id", "th", "pos", F.col("lcp").alias("r"), F.lit(0).alias("l")).unionByName(left.select("core", "doc_id", "th", "pos", F.lit(0).alias("r"), F.col("lcp").alias("l")))
-    each = spans.groupBy("doc_id", "th", "pos", "core").agg(F.max("r").alias("r"), F.max("l").alias("l")).where("r >= 0 and l >= 0")
+    repeated = store(kept.groupBy("core").agg(two("th", "pos").alias("two")).where("two").select("core"), "op3-repeated")
+    found = kept.join(repeated, "core").groupBy("th", ROW).agg(F.collect_list("pos").alias("at"))
+    texts = keyed.drop("th").join(found.join(heads.select("th", ROW), ["th", ROW]), ROW).select("th", "text", "at")
+    suffixes = store(texts.mapInArrow(_contexts, "core long, th long, pos int, right binary, left binary"), "op3-members")
+    right, left = _extension(suffixes, "right"), _extension(suffixes, "left")
+    spans = right.select("core", "th", "pos", F.col("lcp").alias("r"), F.lit(0).alias("l")).unionByName(left.select("core", "th", "pos", F.lit(0).alias("r"), F.col("lcp").alias("l")))
+    each = spans.groupBy("th", "pos", "core").agg(F.max("r").alias("r"), F.max("l").alias("l")).where("r >= 0 and l >= 0")
     one = F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + CORE + F.col("r")).alias("e"), "core")
-    lists = each.groupBy("doc_id", "th").agg(F.collect_list(one).alias("spans"))
-    united = lists.mapInArrow(_united, f"doc_id {kind}, th long, start_word int, end_word int, passage long")
-    candidates = united.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start_word", "end_word")).alias("at"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.th") == F.col("f.th"))
-    texts = keyed.alias("d").join(candidates.alias("f"), same).select("d.doc_id", "d.th", "d.text", "f.at")
-    stretches = store(texts.mapInArrow(_stretches, f"stretch long, doc_id {kind}, th long, pos int"), "op3-stretches")
-    twice = store(stretches.groupBy("stretch").agg(F.count("*").alias("n")).where("n > 1").select("stretch"), "op3-twice")
-    held = stretches.join(twice, "stretch").groupBy("doc_id", "th")
+    lists = each.groupBy("th").agg(F.collect_list(one).alias("spans"))
+    united = lists.mapInArrow(_united, "th long, start_word int, end_word int, passage long")
+    candidates = united.groupBy("th").agg(F.collect_list(F.struct("start_word", "end_word")).alias("at"))
+    candidates = heads.join(candidates, "th", "left").where("copied or at is not null")
+    texts = keyed.drop("th").join(candidates, ROW).select("th", "text", "copied", "at")
+    stretches = store(texts.mapInArrow(_stretches, "stretch long, th long, copied boolean, pos int"), "op3-stretches")
+    twice = store(stretches.groupBy("stretch").agg((F.max("copied") | two("th", "pos")).alias("two")).where("two").select("stretch"), "op3-twice")
+    held = stretches.join(twice, "stretch").groupBy("th")
     runs = held.agg(F.collect_list(F.struct(F.col("pos").alias("s"), (F.col("pos") + PASSAGE).alias("e"), F.col("stretch").alias("core"))).alias("spans"))
-    return runs.mapInArrow(_united, f"doc_id {kind}, th long, start_word int, end_word int, passage long")
+    found = store(runs.mapInArrow(_united, "th long, start_word int, end_word int, passage long"), "op3-spans")
+    return keyed.select("doc_id", ROW, "th").join(found, "th").drop("th")
 
 
 def op3_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeated_passages(table(spark, sf_dir, "documents"))
+    out = repeated_passages(with_row(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "passage")
