@@ -5,12 +5,15 @@ a word's first letter narrows the candidates to the languages that were seen to
 labels the words; neighbouring words with one label are a span. A text's language is the one that holds most letters, its score
 their share.
 
-Learning: counts of trigram buckets by language, from at most about TRAIN_ROWS labelled rows chosen by a hash of doc_id and text.
+Learning: counts of trigram buckets by language, from about TRAIN_ROWS labelled rows at most. The bound is dealt over the languages: one that
+has no more rows than its part is learned from all of them, of another so many are chosen by a hash of id and text, and its row of the least
+hash in any case, so that every label is learned. Rows alike are learned from once where rows are chosen.
 Viterbi runs over many texts at once, one step for each word position.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and no spans; without labelled rows every text is ``und``; ties go
-to the language first in code-point order; repeated rows give repeated rows; empty tables give empty results; extra columns are
-ignored. Span offsets count characters of the lower-cased text.
+to the language first in code-point order; repeated rows give repeated rows; a null id is a value like others, and its rows are never held
+out; texts are read whole, a very long one in a run of its own; empty tables give empty results; extra columns are ignored, or kept by
+known_only(). Span offsets count characters of the lower-cased text.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, char_class, code_points, passes, table, utf8, word_spans
+from .common import batches_of, char_class, code_points, kept_rows, passes, table, utf8, word_spans
 
+#: Labelled rows that are learned from, about, whatever the size of the table.
 TRAIN_ROWS = 20_000
 BITS = 16
 SMOOTHING = 0.5
@@ -104,12 +108,31 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
 
+def parts_of(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """How many rows each language may give: ``rows`` are dealt evenly, and what small languages leave goes to the others."""
+    out, left, open_ = {}, rows, len(counts)
+    for lang, n in sorted(counts.items(), key=lambda x: (x[1], x[0])):
+        out[lang] = min(n, max(1, left // open_))
+        left, open_ = left - out[lang], open_ - 1
+    return out
+
+
+def chosen(labelled: DataFrame, rows: int, key: str) -> DataFrame:
+    """(text, lang) of about ``rows`` labelled rows, by language."""
+    h = F.xxhash64(key, "text")
+    sizes = {r.lang: r for r in labelled.groupBy("lang").agg(F.count("*").alias("n"), F.min(h).alias("least")).collect()}
+    parts = parts_of({lang: r.n for lang, r in sizes.items()}, rows)
+    if all(parts[lang] == r.n for lang, r in sizes.items()):
+        return labelled.select("text", "lang")
+    limits = [(lang, max(r.least, 2**63 - 1 if parts[lang] == r.n else parts[lang] * 2**64 // r.n - 2**63)) for lang, r in sizes.items()]
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, _limit long"))  # a row for each label
+    return labelled.join(limits, "lang").where(h <= F.col("_limit")).groupBy("lang", h.alias("h")).agg(F.first("text").alias("text")).select("text", "lang")
+
+
 def learn(labelled: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id") -> Model:
-    """labelled: (key, text, lang). Learns from all rows, or from about ``rows`` of them chosen by a hash if there are more."""
-    labelled = labelled.where("lang is not null and text is not null")
-    every = max(1, labelled.count() // rows)
-    chosen = labelled.where(F.pmod(F.xxhash64(key, "lang"), F.lit(every)) == 0) if every > 1 else labelled
-    counts = chosen.select("text", "lang").mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    """labelled: (key, text, lang). Learns from all rows, or from about ``rows`` of them if there are more."""
+    labelled = labelled.where("lang is not null and text is not null").select(key, "text", "lang")
+    counts = chosen(labelled, rows, key).mapInArrow(_counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts.lang.unique())
     n = np.zeros(((1 << BITS) + len(NAMES), len(langs)))
     n[counts.bucket.to_numpy(), np.searchsorted(langs, counts.lang.to_numpy(dtype=str)) if langs else []] = counts.n.to_numpy()
@@ -206,23 +229,19 @@ def label(docs: DataFrame, model: Model, switch: float = SWITCH, key: str = "doc
     return docs.select(F.col(key).alias("doc_id"), "text").mapInArrow(_labelled(sent, switch), f"doc_id {kind}, lang_pred string, score double, spans array<struct<lang:string,start:long,end:long>>")
 
 
-def _kept(sent, switch: float, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _labelled(sent, switch)
-        for batch in batches:
-            lang, score = [], []
-            for out in rows(iter([pa.record_batch([pa.array(range(batch.num_rows)), batch.column("text")], names=["doc_id", "text"])])):
-                lang += out.column("lang_pred").to_pylist()
-                score += out.column("score").to_pylist()
-            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(lang, score)], pa.bool_()))
-
-    return run
-
-
 def known_only(docs: DataFrame, model: Model, least: float = 0.3, switch: float = SWITCH) -> DataFrame:
     """The rows, with all their columns, whose text has a language that holds at least the share ``least`` of its letters."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_kept(sent, switch, least), docs.schema)
+    rows = _labelled(sent, switch)
+
+    def keep(text: pa.Array) -> np.ndarray:
+        found = [np.zeros(0, np.bool_)]
+        for out in rows(iter([pa.record_batch([pa.array(range(len(text))), text], names=["doc_id", "text"])])):
+            known = pc.not_equal(out.column("lang_pred"), "und").to_numpy(zero_copy_only=False)
+            found.append(known & (out.column("score").to_numpy() >= least))
+        return np.concatenate(found)
+
+    return kept_rows(docs, keep)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
