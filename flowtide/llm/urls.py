@@ -2,17 +2,21 @@
 
 A host becomes its labels in reverse, each ended by a dot (``blog.example.org`` -> ``org.example.blog.``), so that a domain and all
 its subdomains are one interval of keys: ``org.`` to ``org/``. Such intervals are disjoint or nested. Hosts and rules are swept in
-sorted order; a stack holds the rules whose interval is open, and a url takes the longest of them whose path prefix fits.
+sorted order; a stack holds the rule hosts whose interval is open. The paths of one rule host are intervals of the same kind (a prefix and
+all that begins with it): they are sorted too, and each knows the path that encloses it, so the stack of paths that are open at a url's path is
+found by one binary search and the way outwards, however many rules a host has. The longest rule over all open hosts wins.
 
 The pages are never shuffled: each Arrow batch is sorted by itself, so a hot host costs nothing. Rules are sent to the tasks only
 up to MAX_RULE_BYTES; beyond, they are dealt into parts by a hash, one sweep each, and the longest match of all sweeps wins.
 
 Cases: a null url or one without ``://`` has empty host and path, fits no rule, and gets the default verdict; of equally long
-rules ``block`` wins over ``allow``; repeated rows are judged alike; empty tables give empty results; extra columns are ignored.
+rules ``block`` wins over ``allow``, then the one last by code point; a null id is a value like others; a very
+long url is read whole; repeated rows are judged alike; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,23 +59,47 @@ def active_rules(keys: list[str], rules: list[tuple[str, list]]) -> Iterator[tup
         yield key, [x for _, own in stack for x in own]
 
 
+class Paths:
+    """The path prefixes of one rule host, sorted, each with the index of the longest other that it begins with (-1: none)."""
+
+    def __init__(self, rules: list[tuple[str, tuple]]):
+        self.paths, self.found, self.outer = [], [], []
+        open_: list[int] = []
+        for path, found in sorted(rules):
+            while open_ and not path.startswith(self.paths[open_[-1]]):
+                open_.pop()
+            if open_ and self.paths[open_[-1]] == path:
+                self.found[open_[-1]] = max(self.found[open_[-1]], found)
+                continue
+            self.outer.append(open_[-1] if open_ else -1)
+            open_.append(len(self.paths))
+            self.paths.append(path)
+            self.found.append(found)
+
+    def longest(self, path: str) -> tuple | None:
+        at = bisect_right(self.paths, path) - 1
+        while at >= 0 and not path.startswith(self.paths[at]):
+            at = self.outer[at]
+        return self.found[at] if at >= 0 else None
+
+
 def _swept(rules: list[tuple[str, str, str]]):
     by_key: dict[str, list] = {}
     for host, path, verdict in rules:
-        by_key.setdefault(host_key(host), []).append((len(host) + len(path), verdict == "block", path, host + path, verdict))
-    ordered = sorted(by_key.items())
+        by_key.setdefault(host_key(host), []).append((path, (len(host) + len(path), verdict == "block", host + path, verdict)))
+    ordered = [(key, [Paths(own)]) for key, own in sorted(by_key.items())]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hosts, paths = batch.column("host").to_pylist(), batch.column("path").to_pylist()
             key_of = {h: host_key(h) for h in set(hosts)}
-            fits = {k: sorted(own, reverse=True) for k, own in active_rules(sorted(set(key_of.values())), ordered)}
-            found = [next((r for r in fits[key_of[h]] if p.startswith(r[2])), None) for h, p in zip(hosts, paths)]
-            new = [pa.array([f[3] if f else None for f in found], pa.string()), pa.array([f[4] if f else None for f in found], pa.string())]
+            fits = dict(active_rules(sorted(set(key_of.values())), ordered))
+            found = [max(filter(None, [own.longest(p) for own in fits[key_of[h]]]), default=None) for h, p in zip(hosts, paths)]
+            new = [pa.array([f[k] if f else None for f in found], pa.string()) for k in (2, 3)]
             keep = [n for n in batch.schema.names if n not in ("rule", "verdict")]
             if "rule" in batch.schema.names:  # of an earlier sweep over other rules
                 old = list(zip(batch.column("rule").to_pylist(), batch.column("verdict").to_pylist()))
-                best = [max([x for x in (o, (f[3], f[4]) if f else (None, None)) if x[0] is not None], key=lambda x: (len(x[0]), x[1]), default=(None, None)) for o, f in zip(old, found)]
+                best = [max([x for x in (o, f[2:] if f else (None, None)) if x[0] is not None], key=lambda x: (len(x[0]), x[1] == "block", x[0]), default=(None, None)) for o, f in zip(old, found)]
                 new = [pa.array([b[i] for b in best], pa.string()) for i in (0, 1)]
             yield pa.record_batch([*(batch.column(n) for n in keep), *new], names=[*keep, "rule", "verdict"])
 
