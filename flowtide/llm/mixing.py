@@ -7,11 +7,12 @@ PARTS contiguous shards; cumulative rounding divides its seats over them into wh
 taken quota div blocks times, and the first quota mod blocks of them in a seeded order once more.
 
 A source's documents lie on its word line in a seeded order. A block may begin or end inside a document, so a document's taken words
-are those of its part of the line, and every source meets its target up to one block of each shard. A hot source is cut into 256 cells by
-the seed's hash; no window holds more than one cell of documents.
+are those of its part of the line, and every source meets its target up to one block of each shard. A source is cut into 16**CELL_DIGITS cells by
+the seed's hash; no window holds more than one cell of documents. Words are counted once, and written with the ids.
 
-Cases: a null or blank text has no words and takes none; null sources are one source, ordered last; ties in the seeded order are rows
-alike; if there are no words all targets are 0; an empty table gives no rows; extra columns are ignored.
+Cases: a null or blank text has no words and takes none; null sources are one source, ordered last; a null doc_id is a value like others; ties in
+the seeded order are rows alike; a very long text may span many blocks; if there are no words all targets are 0; an empty table gives no rows;
+extra columns are ignored, but for those named in keep.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import quoted, store, table
 
 CAP, SEED, PARTS = 3, 11, 16
 #: Blocks: about SEATS in all, more where the smallest target would get fewer than LEAST_SEATS; a block has one word at least.
 SEATS, LEAST_SEATS = 65_536, 200
 #: Blocks of a part that are made from one sequence.
 RUN = 65_536
+#: Hexadecimal digits of the seed's hash that number the cells of a source.
+CELL_DIGITS = 3
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -99,10 +102,11 @@ def blocks(sources: DataFrame, seed: int) -> DataFrame:
 def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, *keep) for each document."""
     d = docs.select(
-        "doc_id", "source", *keep, word_count().alias("size"),
+        "doc_id", "source", *quoted(list(keep)), word_count().alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("k"),
         F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"), "text").cast("binary")).alias("h"),
-    ).withColumn("cell", F.substring("h", 1, 2))
+    ).withColumn("cell", F.substring("h", 1, CELL_DIGITS))
+    d = store(d, "op6-sizes")
     cells = d.groupBy("k", "cell").agg(F.sum("size").alias("held"), F.max("source").alias("source"))
     ahead = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.select("k", "cell", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
@@ -116,7 +120,7 @@ def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFr
         line = line.withColumn(f"b{i}", F.floor(F.col(f"x{i}") / F.col("block"))).join(at, ["k", f"b{i}"], "left")
     upto = lambda i: F.col(f"p{i}") + F.col(f"c{i}") * (F.col(f"x{i}") - F.col(f"b{i}") * F.col("block"))
     words = F.when(F.col("size") > 0, upto(1) - upto(0)).otherwise(0).cast("long")
-    return line.select("doc_id", "source", "size", "source_size", "target", words.alias("taken"), *keep)
+    return line.select("doc_id", "source", "size", "source_size", "target", words.alias("taken"), *quoted(list(keep)))
 
 
 def op6_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +141,7 @@ s3 AS (SELECT *, (sum(source_size) OVER ())::BIGINT AS total, (sum(weight) OVER
 s4 AS (SELECT *, cap_below + ratio * (weights - weight_below) <= total AS capped FROM s3),
 s5 AS (SELECT *, (sum(CASE WHEN capped THEN 3 * source_size ELSE 0 END) OVER ())::BIGINT AS cap_used, (sum(CASE WHEN capped THEN weight ELSE 0 END) OVER ())::BIGINT AS weight_used FROM s4),
 s6 AS (SELECT *, CASE WHEN capped THEN (3 * source_size)::DOUBLE ELSE weight * ((total - cap_used) / nullif(weights - weight_used, 0)) END AS target FROM s5),
-s7 AS (SELECT *, coalesce(greatest(1, floor(greatest(least(total / 65536, (min(CASE WHEN target > 0 THEN target END) OVER ()) / 200), total / 1048576))), 1)::BIGINT AS block FROM s6),
+s7 AS (SELECT *, coalesce(greatest(1, floor(least(total / 65536, (min(CASE WHEN target > 0 THEN target END) OVER ()) / 200))), 1)::BIGINT AS block FROM s6),
 s8 AS (SELECT *, floor(total / block)::BIGINT AS all_seats FROM s7),
 q AS (SELECT rank, row_number() OVER (ORDER BY target / (2 * j + 1) DESC, rank, j) AS place, all_seats
       FROM (SELECT rank, target, all_seats, unnest(range(0, (2 * target * all_seats / greatest(total, 1))::BIGINT + 3)) AS j FROM s8 WHERE target > 0)),
