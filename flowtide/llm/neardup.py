@@ -3,18 +3,22 @@
 Words are lower-cased runs of letters and digits; a document is the multiset of its five-word shingles (all its words as one shingle if
 it has fewer). The similarity is the weighted Jaccard coefficient of two multisets; links need SIMILARITY.
 
-Signatures: each shingle's count w is covered by the dyadic intervals (0,1], (1,2], (2,4], ... of the discretised weight axis. Each
-interval is a Poisson process with a rate of its width and M registers, made point by point from hashes; a point counts if its weight level
+Signatures: the discretised weight axis is halved again and again, towards its lower end, into the intervals (0,1], (1,2], (2,4], ...; a
+shingle of count w meets those that begin below w. Each interval is a Poisson process with a rate of its width and M registers, made point by
+point from hashes. A point's place in its interval, drawn from its hash, stands for all further halvings at once, and it counts if its weight level
 is at most w. A register keeps the earliest point of all shingles, so two documents agree in it with a probability equal to
 their similarity. Points are made only up to the time by which all registers are filled.
 
-Exact copies (same words) are one node from the start. Buckets of equal bands give candidates:
-buckets of at most SMALL nodes are compared in full (a linear number of pairs); in larger ones all nodes are compared with one hub; those whose
-nodes then lie in more than one component are cut into blocks of BLOCK nodes, those of the largest component apart, and each pair of
-blocks of which one at least is not of that component is compared by one task that reports only links that join components. So no link between components is lost, and no group's pairs are all emitted.
+Exact copies (same words) are one node from the start. Buckets of equal bands give candidates: buckets of at most SMALL nodes are compared
+in full (a linear number of pairs); in larger ones all nodes are compared with one hub. Those whose nodes then lie in more than one
+component are cut into blocks of at most BLOCK nodes and about BLOCK_BYTES of text, those of the largest component apart, and each pair of blocks of
+which one at least is not of that component is compared in two steps: by signatures alone, which leaves the nodes that have a
+partner in another component; then those, with their texts, in a task that reports only links that join components. A pair that shares several
+such buckets is compared in the first. So no link between components is lost, and no group's pairs are all emitted.
 
-Cases: texts without a word are nodes of their own, never linked (each row its own class); a null doc_id is a value like others; repeated rows are copies;
-empty tables give empty results; texts are read whole; extra columns are ignored.
+Cases: texts without a word are nodes of their own, never linked (each row its own class); a null doc_id is a value like others; repeated
+rows are copies, of which one stands for the class; ties for that go to the least row number; empty tables give empty results; texts are read
+whole, a very long one in a pass of its own; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, hashed_words, mix, passes, store, table, utf8
+from .common import ROW, batches_of, hashed_words, mix, numbered, passes, store, table, utf8, with_row
 
 SHINGLE, SIMILARITY = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
-SMALL, BLOCK = 16, 512
+SMALL, BLOCK, BLOCK_BYTES = 16, 256, 16 << 20
 #: Shingle hashes keep so many bits, as text number and hash are sorted as one whole number.
 HASH_BITS = 44
 #: A block's pair is verified if its signatures agree in so many of M registers: five standard errors below SIMILARITY.
@@ -114,7 +118,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = key != 0
             band_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]), pa.int32()), pa.array(bands[some].view(np.int64).ravel()))
             sigs = pa.array([s.tobytes() for s in sig.astype(np.uint16)], pa.binary())
-            yield from batches_of([batch.column("doc_id")[lo:hi], batch.column("th")[lo:hi], pa.array(key.view(np.int64)), band_lists, sigs], ["doc_id", "th", "node", "bands", "sig"])
+            size = pc.binary_length(text[lo:hi]).cast(pa.int64())
+            yield from batches_of([batch.column("doc_id")[lo:hi], batch.column(ROW)[lo:hi], pa.array(key.view(np.int64)), size, band_lists, sigs], ["doc_id", ROW, "node", "size", "bands", "sig"])
 
 
 def overlap(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
@@ -156,13 +161,33 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Dat
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(_verified(least), "a long, b long, similarity double")
 
 
+def _partnered(pdf):
+    """One pair of blocks, by signatures: the nodes that may be linked with one of another component on the other side."""
+    import pandas as pd
+
+    pdf = pdf.drop_duplicates("node").sort_values("node")
+    sig = np.stack([np.frombuffer(s, np.uint16) for s in pdf.sig])
+    bands = np.stack(pdf.bands.to_numpy())
+    node, side, comp, hot = pdf.node.to_numpy(), pdf.blk.to_numpy(), pdf.comp.to_numpy(), pdf.hot.to_numpy()
+    one, mine, some = pdf.bi.iloc[0] == pdf.bj.iloc[0], int(pdf.nth.iloc[0]), np.zeros(len(pdf), np.bool_)
+    for i in range(len(node)):
+        rest = np.arange(i + 1, len(node))
+        rest = rest[(comp[rest] != comp[i]) & (one | (side[rest] != side[i]))]
+        rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= LEAST_EQUAL]
+        earlier = [b for b in range(mine) if int(hot[i]) >> b & 1]  # bands before this one that are compared like this
+        rest = rest[~(bands[rest][:, earlier] == bands[i][earlier]).any(axis=1)]
+        some[rest] = True
+        some[i] |= len(rest) > 0
+    return pd.DataFrame({"band": pdf.band[some], "bi": pdf.bi[some], "bj": pdf.bj[some], "blk": side[some], "node": node[some], "comp": comp[some]})
+
+
 def _compared(least: float):
     """One pair of blocks: links between nodes of different components, as few as join them."""
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates("node")
+        pdf = pdf.sort_values("node")
         sig = np.stack([np.frombuffer(s, np.uint16) for s in pdf.sig])
         node, side, comp = pdf.node.to_numpy(), pdf.blk.to_numpy(), pdf.comp.to_numpy()
         parent = {c: c for c in set(comp.tolist())}
@@ -203,15 +228,30 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def block_pairs(large: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(band, nth, bi, bj, blk, node, comp): the members of each pair of blocks of the large buckets that hold several components. large: (band, nth, node, comp, size)."""
+    # the largest component of a bucket needs no comparison within itself: its blocks meet only the blocks of the others
+    sizes = large.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("bytes"))
+    top = sizes.groupBy("band").agg(F.max(F.struct("c", "comp", "bytes")).alias("t"), F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum("bytes").alias("bytes")).where("comps > 1")
+    top = top.select("band", F.col("t.comp").alias("main"), F.col("t.c").alias("n_main"), F.col("t.bytes").alias("b_main"), "n", "bytes")
+    of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    top = top.select("band", "main", of(F.col("n_main"), F.col("b_main")).alias("g_main"), of(F.col("n") - F.col("n_main"), F.col("bytes") - F.col("b_main")).alias("g_rest"))
+    large = large.join(store(top, "op7-mains"), "band").withColumn("is_main", F.col("comp") == F.col("main"))
+    blk = F.when(F.col("is_main"), F.col("g_rest") + F.pmod(F.xxhash64("node"), "g_main")).otherwise(F.pmod(F.xxhash64("node"), "g_rest")).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("g_rest")).otherwise(F.col("g_rest") + F.col("g_main")) - 1)
+    dealt = large.withColumn("blk", blk).withColumn("other", F.explode(others))
+    return dealt.select("band", "nth", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "comp")
+
+
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, th, node; links: a, b, similarity between nodes, as many as hold the components together)."""
+    """(rows: doc_id, ROW, node; links: a, b, similarity between nodes, as many as hold the components together)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    sketch = store(keyed.mapInArrow(_sketched, f"doc_id {kind}, th long, node long, bands array<long>, sig binary"), "op7-sketch")
-    rows = sketch.select("doc_id", "th", "node")
-    nodes = sketch.where("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "th", "bands", "sig")).alias("r")).select("node", "r.*")
+    keyed = numbered(docs).select("doc_id", "text", ROW)
+    sketch = store(keyed.mapInArrow(_sketched, f"doc_id {kind}, {ROW} long, node long, size long, bands array<long>, sig binary"), "op7-sketch")
+    rows = sketch.select("doc_id", ROW, "node")
+    nodes = sketch.where("node <> 0").groupBy("node").agg(F.min(F.struct(ROW, "size", "bands", "sig")).alias("r")).select("node", "r.*")
     nodes = store(nodes, "op7-nodes")
-    entries = nodes.select("node", F.explode("bands").alias("band"))
+    entries = nodes.select("node", "size", F.posexplode("bands").alias("nth", "band"))
     order = F.struct(F.xxhash64("node", "band").alias("o"), "node")
     # written, so that the joins with all rows of a band or component shuffle both sides and Spark can split the very large ones
     buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("hub")).where("n > 1")
@@ -222,43 +262,35 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     few = members.where(f"n <= {SMALL}").select("band", "node")
     full = few.join(few.select("band", F.col("node").alias("other")), "band").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b"))
     pairs = store(star.unionByName(full).distinct(), "op7-pairs")
-    held = members.select("node").distinct().join(nodes.select("node", "doc_id", "th"), "node")
-    same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th"))
-    texts = keyed.alias("d").join(held.alias("h"), same).select("h.node", "d.text")
-    texts = store(texts.withColumn("i", F.row_number().over(Window.partitionBy("node").orderBy(F.lit(1)))).where("i = 1").drop("i"), "op7-texts")
+    held = members.select("node").distinct().join(nodes.select("node", ROW), "node")
+    texts = store(keyed.select(ROW, "text").join(held, ROW).select("node", "text"), "op7-texts")
     first = store(verify(pairs, texts, least), "op7-links")
-    large = members.where(f"n > {SMALL}").select("band", "n", "node")
-    labels = components(first, "op7-first")
-    large = large.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    # the largest component of a bucket needs no comparison within itself: its blocks meet only the blocks of the others
-    sizes = large.groupBy("band", "comp").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("t"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("t.comp").alias("main"), F.col("t.c").alias("n_main"))
-    large = large.join(store(top, "op7-mains"), "band").withColumn("is_main", F.col("comp") == F.col("main"))
-    of = lambda n: F.ceil(n / BLOCK).cast("int")
-    g_main, g_rest = of(F.col("n_main")), of(F.col("n") - F.col("n_main"))
-    blk = F.when(F.col("is_main"), g_rest + F.pmod(F.xxhash64("node"), g_main)).otherwise(F.pmod(F.xxhash64("node"), g_rest)).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("is_main"), g_rest).otherwise(g_rest + g_main) - 1)
-    dealt = large.withColumn("blk", blk).withColumn("other", F.explode(others))
-    dealt = dealt.select("band", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "comp")
-    dealt = dealt.join(nodes.select("node", "sig"), "node").join(texts, "node")
+    large = members.where(f"n > {SMALL}").select("band", "nth", "node", "size")
+    large = large.join(components(first, "op7-first"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    dealt = store(block_pairs(large, nodes), "op7-dealt")
+    # the bands in which a node is compared by blocks, as bits
+    hot = dealt.select("node", "nth").distinct().groupBy("node").agg(F.sum(F.expr("shiftleft(1L, nth)")).alias("hot"))
+    signed = dealt.join(hot, "node").join(nodes.select("node", "bands", "sig"), "node")
+    blocks = "band long, bi int, bj int, blk int, node long, comp long"
+    near = store(signed.groupBy("band", "bi", "bj").applyInPandas(_partnered, blocks), "op7-partners")
+    dealt = near.join(nodes.select("node", "sig"), "node").join(texts, "node")
     second = store(dealt.groupBy("band", "bi", "bj").applyInPandas(_compared(least), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "op7-more")
     return rows, store(first.unionByName(second), "op7-all")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, th, class_id, class_key, links, keep): class_id is the least doc_id of the class; links: verified links of the row's text; keep: the row stands for its class. Rows without words are classes of their own."""
+    """(doc_id, ROW, class_id, class_key, keep): class_id is the least doc_id of the class; keep: the row stands for its class. Rows without words are classes of their own."""
     rows, found = links(docs, least)
     labels = components(found)
-    degree = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
-    node = rows.where("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
-    node = node.join(labels, "node", "left").join(degree, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    node = rows.where("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", ROW)).alias("r"))
+    node = node.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     head = store(node.groupBy("comp").agg(F.min("r").alias("head")), "op7-heads")
-    node = node.join(head, "comp").select("node", "comp", "head", F.coalesce("links", F.lit(0)).alias("links"))
+    node = node.join(head, "comp").select("node", "comp", "head")
     full = rows.join(node, "node", "left")
-    own = F.struct("doc_id", "th")
-    class_id = F.when(F.col("node") == 0, F.col("doc_id")).otherwise(F.col("head.doc_id"))
-    return full.select("doc_id", "th", class_id.alias("class_id"), F.coalesce("comp", F.lit(0)).alias("class_key"), F.coalesce("links", F.lit(0)).alias("links"), ((F.col("node") == 0) | own.eqNullSafe(F.col("head"))).alias("keep"))
+    lone = F.col("node") == 0
+    class_id = F.when(lone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    return full.select("doc_id", ROW, class_id.alias("class_id"), F.coalesce("comp", F.lit(0)).alias("class_key"), (lone | (F.col(ROW) == F.col(f"head.{ROW}"))).alias("keep"))
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("links").cast("long"), "keep")
+    return near_duplicates(with_row(table(spark, sf_dir, "documents"))).select("doc_id", "class_id", "keep")
