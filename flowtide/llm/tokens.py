@@ -5,13 +5,14 @@ spans are interval-joined (binary search over section starts) to sections: each
 last field is one. A line feed belongs to the section that it ends. A token that crosses a boundary goes, by RULE ``majority``,
 to the section that holds most of its bytes, the earlier one on a tie; by ``start``, to the section of its first byte.
 
-Cases: null fields are empty; an empty text has one empty line and no tokens of its own; repeated rows give repeated rows; empty
-tables give empty results; very long texts are encoded whole; extra columns are ignored.
+Cases: null fields are empty; an empty text has one empty line and no tokens of its own; a null id is a value like others; repeated rows give
+repeated rows; ties of bytes go to the earlier section; empty tables give empty results; very long texts are encoded whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, passes, raw_bytes, table, utf8
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A vocabulary file of the driver's machine; it is sent to the executors.
+VOCABULARY = os.environ.get("FLOWTIDE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How this vocabulary splits text before merging bytes (a fixed value that belongs to the vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -61,8 +63,11 @@ def allocate(ends: np.ndarray, sections: np.ndarray, rule: str = "majority") ->
     return first, crosses
 
 
-def _attributed(fields: int, path: str, pattern: str, rule: str):
+def _attributed(fields: int, name: str, pattern: str, rule: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(name)
         for batch in batches:
             text = utf8(batch.column("text"))
             leads = [pc.binary_length(utf8(batch.column(f"f{i}"))).to_numpy(zero_copy_only=False) + 1 for i in range(fields)]
@@ -90,10 +95,11 @@ def attribute(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang"), tex
     """(doc_id, n_tokens, field_tokens: tokens of each leading field, text_tokens, line_tokens: of each line, crossing: tokens over a boundary)."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     kind = docs.schema[key].dataType.simpleString()
+    docs.sparkSession.sparkContext.addFile(path)
     whole = docs.select(F.col(key).alias("doc_id"), *(blank(c).alias(f"f{i}") for i, c in enumerate(fields)), F.concat_ws("\n", *map(blank, [*fields, text])).alias("text"))
-    return whole.mapInArrow(_attributed(len(fields), path, pattern, rule), f"doc_id {kind}, n_tokens long, field_tokens array<long>, text_tokens long, line_tokens array<int>, crossing long")
+    return whole.mapInArrow(_attributed(len(fields), os.path.basename(path), pattern, rule), f"doc_id {kind}, n_tokens long, field_tokens array<long>, text_tokens long, line_tokens array<int>, crossing long")
 
 
-def op9_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = attribute(table(spark, sf_dir, "documents"))
+def op9_token_attribution(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    out = attribute(table(spark, sf_dir, "documents"), path=vocabulary)
     return out.select("doc_id", "n_tokens", F.col("field_tokens")[0].alias("source_tokens"), F.col("field_tokens")[1].alias("lang_tokens"), "text_tokens", F.size("line_tokens").alias("lines"), "line_tokens", "crossing")
