@@ -7,12 +7,15 @@ only if it holds a whole piece. A piece of n characters may be matched with k =
 n - q + 1 - k q q-grams with the text, all on at most k + 1 neighbouring diagonals. So shared q-grams are counted in bands of 2 (k + 1)
 diagonals that overlap by half; bands that reach the count are regions, and a region is verified by alignment within its band.
 
+Items of fewer than LEAST reduced characters are no evidence for an edited copy. A second rule holds for them: an item of LEAST_WORDS words and Q
+characters at least is matched without edits and as whole words, by all of its q-grams on one diagonal. Shorter items are no passages and match nothing.
+
 The texts are not shuffled. The benchmark goes to the tasks up to MAX_ITEM_BYTES; beyond, it is dealt into parts by a hash of the item
 and each part makes a pass of its own over the texts.
 
-Cases: null texts and items match nothing; items of fewer than LEAST characters after reduction are too short to be evidence and
-match nothing; repeated items and rows are each reported; empty tables give empty results; texts are read whole; extra columns are
-ignored. Offsets count characters of the lower-cased text.
+Cases: null texts and items match nothing; repeated items and rows are each reported; a null id is a value like others; of regions of one item that
+overlap (ties included) one is reported, with the most edits; empty tables give empty results; texts are read whole, a very long one in a pass of
+its own; extra columns are ignored, or kept by clean_only(). Offsets count characters of the lower-cased text.
 """
 
 from __future__ import annotations
@@ -26,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import char_class, code_points, passes, table, utf8
+from .common import char_class, code_points, kept_rows, passes, table, utf8
 
 Q = 8
 ERRORS = 0.1
 _PAD = np.uint32(0xFFFFFFFF)
 #: Cells of the first count of shared q-grams, by a hash of text, piece and diagonals.
 COUNT_BITS = 22
-PIECE, LEAST = 120, 30
+PIECE, LEAST, LEAST_WORDS = 120, 30, 3
 SHORT, STRIDE = 60, 15
 #: Regions that are aligned together.
 REGIONS = 20_000
@@ -90,7 +93,7 @@ def index(items: list[tuple]) -> Index:
     for i in range(len(items)):
         own = cps[starts[i] : starts[i + 1]]
         own = own[: len(own) - (len(own) > 0 and own[-1] == 32)]
-        if len(own) < LEAST:
+        if len(own) < Q or len(own) < LEAST and (own == 32).sum() < LEAST_WORDS - 1:
             continue
         for size, step in ((PIECE, PIECE // 2), (SHORT, STRIDE)):
             if size == SHORT and len(own) <= SHORT:
@@ -101,7 +104,7 @@ def index(items: list[tuple]) -> Index:
                 begin.append(c)
                 texts.append(own[c : c + size])
     n = np.array([len(t) for t in texts], np.int64)
-    budget = np.minimum((n * ERRORS).astype(np.int64), (n - Q) // Q)
+    budget = np.where(n < LEAST, 0, np.minimum((n * ERRORS).astype(np.int64), (n - Q) // Q))
     hs = [grams(t) for t in texts]
     h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
     piece = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
@@ -211,6 +214,11 @@ def matches(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[in
     found: dict[tuple[int, int], list] = {}
     for t, i, low, high, _ in regions(own, starts, ix):
         piece, k = ix.piece_text[i], int(ix.budget[i])
+        if len(piece) < LEAST:
+            text = np.concatenate([[32], own[starts[t] : starts[t + 1]], [32]])  # whole words only
+            whole = np.concatenate([[32], piece, [32]])
+            found.setdefault((t, int(ix.piece_item[i])), []).extend((at, at + len(piece), 0, i) for at in range(max(0, low), high + 1) if np.array_equal(text[at : at + len(whole)], whole))
+            continue
         base = max(0, low - k)
         text = own[starts[t] : starts[t + 1]][base : high + len(piece) + k + 1]
         exact = text.tobytes().find(piece.tobytes())
@@ -223,7 +231,7 @@ def matches(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[in
             back = text[:end][::-1]
             start = end - banded(piece[::-1], back, -k, k, k)[1]
         found.setdefault((t, int(ix.piece_item[i])), []).append((base + start, base + end, edits, i))
-    for (t, item), own_regions in sorted(found.items()):
+    for (t, item), own_regions in sorted(x for x in found.items() if x[1]):
         merged: list[list] = []
         for start, end, edits, i in sorted(own_regions):
             if merged and start <= merged[-1][1]:
@@ -271,18 +279,15 @@ def find(docs: DataFrame, items: DataFrame, key=None) -> DataFrame:
 
 
 def _clean(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = sent.value
-        for batch in batches:
-            text = utf8(batch.column("text"))
-            keep = np.ones(batch.num_rows, np.bool_)
-            for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)) if len(ix.need) else ():
-                own, starts, _ = reduced(text[lo:hi])
-                for t, *_ in matches(own, starts, ix):
-                    keep[lo + t] = False
-            yield batch.filter(pa.array(keep))
+    def keep(text: pa.Array) -> np.ndarray:
+        ix, out = sent.value, np.ones(len(text), np.bool_)
+        for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)) if len(ix.need) else ():
+            own, starts, _ = reduced(text[lo:hi])
+            for t, *_ in matches(own, starts, ix):
+                out[lo + t] = False
+        return out
 
-    return run
+    return keep
 
 
 def indexes(items: DataFrame) -> Iterator[Index]:
@@ -297,7 +302,7 @@ def indexes(items: DataFrame) -> Iterator[Index]:
 def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows, with all their columns, whose text holds no piece of an item."""
     for ix in indexes(items):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(ix)), docs.schema)
+        docs = kept_rows(docs, _clean(docs.sparkSession.sparkContext.broadcast(ix)))
     return docs
 
 
