@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontam, langid, lm, media, mixing, neardup, sharding, suffixes, tokens, urls
+from flowtide.llm import common, decontam, langid, lm, media, mixing, neardup, sharding, suffixes, tokens, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, shard string"
 WORD = re.compile(r"[^\W_]+")
@@ -61,44 +62,88 @@ def bag(text):
 
 
 def test_flow_moves_the_fewest():
-    flow = sharding.min_cost_flow([10, 2, 6], [6, 6, 6], lambda i, j: int(i != j))
+    flow = sharding.min_cost_flow({0: 10, 1: 2, 2: 6}, [6, 6, 6])
     assert flow == {(0, 0): 6, (0, 1): 4, (1, 1): 2, (2, 2): 6}
     with pytest.raises(ValueError):
-        sharding.min_cost_flow([5], [4], lambda i, j: 0)
+        sharding.min_cost_flow({0: 5}, [4])
 
 
 def test_flow_against_all_choices():
+    """Integer flows of few units, all of them tried."""
     rng = random.Random(1)
-    for _ in range(20):
-        old = [rng.randint(0, 9) for _ in range(4)]
-        new = [sum(old) // 3 + (j < sum(old) % 3) for j in range(3)]
-        flow = sharding.min_cost_flow(old, new, lambda i, j: int(i != j))
-        assert sum(n for (i, j), n in flow.items() if i != j) == sum(old) - sum(min(a, b) for a, b in zip(old, new))
-        assert [sum(n for (i, _), n in flow.items() if i == k) for k in range(4)] == old
+    for _ in range(30):
+        old = {i: rng.randint(0, 2) for i in rng.sample(range(6), 3)}
+        room = [sum(old.values()) // 3 + rng.randint(1, 2) for _ in range(3)]
+        flow = sharding.min_cost_flow(old, room)
+        units = [i for i, n in old.items() for _ in range(n)]
+        moved = [sum(i != j for i, j in zip(units, to)) for to in itertools.product(range(3), repeat=len(units)) if all(to.count(j) <= room[j] for j in range(3))]
+        assert sum(n for (i, j), n in flow.items() if i != j) == min(moved)
+        assert all(sum(n for (i, _), n in flow.items() if i == k) == n for k, n in old.items()) and all(sum(n for (_, j), n in flow.items() if j == k) <= r for k, r in enumerate(room))
 
 
-def test_resharding(spark, docs, rows):
+def test_cheapest_flow_with_prices():
+    """A detour that a later path must take back."""
+    edges = [(0, 1, 1, 1), (0, 2, 1, 4), (1, 2, 1, 1), (1, 3, 1, 5), (2, 3, 1, 1)]
+    assert sharding.cheapest_flow(4, edges, 0, 3, 2) == [1, 1, 0, 1, 1]
+    assert sharding.cheapest_flow(4, edges, 0, 3, 1) == [1, 0, 1, 0, 1]
+
+
+def test_flow_of_many_shards():
+    rng = random.Random(5)
+    old = {i: rng.randint(0, 10**12) for i in range(4_000)}
+    share = sum(old.values()) // 5_000 + 1
+    flow = sharding.min_cost_flow(old, [share] * 5_000)
+    assert sum(n for (i, j), n in flow.items() if i == j) == sum(min(n, share) for n in old.values()) and len(flow) < 4_000 + 5_000 + 4_000
+
+
+def resharded(docs, new):
     r = sharding.keyed(docs, sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
-    layout = sharding.plan(r, 3)
-    out = sharding.with_slots(sharding.rewrite(r, layout, docs.columns), ("doc_id",)).collect()
-    assert sorted((x.doc_id or -1, x.text or "") for x in out) == sorted((a or -1, b or "") for a, b, *_ in rows)
-    by = collections.defaultdict(list)
+    layout = sharding.plan(r, new)
+    out = sharding.with_slots(sharding.rewrite(r, layout, docs.columns)).collect()
+    sizes, slots = collections.Counter(), collections.defaultdict(list)
     for x in out:
-        by[x.shard].append(x)
-    sizes = {k: sum(len((x.text or "").encode()) + 1 for x in v) for k, v in by.items()}
+        sizes[x.shard] += len((x.text or "").encode()) + 1
+        slots[x.shard].append(x.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and layout.total == sum(sizes.values())
+    return out, sizes, layout
+
+
+def test_resharding(spark, docs, rows):
+    out, sizes, _ = resharded(docs, 3)
+    assert sorted((x.doc_id or -1, x.text or "") for x in out) == sorted((a or -1, b or "") for a, b, *_ in rows)
     biggest = max(len((b or "").encode()) for _, b, *_ in rows)
-    assert set(by) == {0, 1, 2} and max(sizes.values()) - min(sizes.values()) <= 2 * biggest
-    assert all(sorted(x.slot for x in v) == list(range(len(v))) for v in by.values())
-    assert layout.total == sum(sizes.values())
+    assert set(sizes) == {0, 1, 2} and max(sizes.values()) - min(sizes.values()) <= 2 * biggest
+
+
+def test_resharding_cuts_between_rows_alike(spark):
+    """Many rows alike with and without an id: every shard has its share, up to a row at each end."""
+    for many in (5, None):
+        given = [(many, "x" * 431, "a")] * 400 + [(i, "y" * 3, f"s{i % 5}") for i in range(100)]
+        df = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(3)
+        out, sizes, _ = resharded(df, 8)
+        share = (400 * 432 + 100 * 4) / 8
+        assert len(out) == 500 and set(sizes) == set(range(8)) and all(abs(n - share) <= 2 * 432 for n in sizes.values()), sizes
+
+
+def test_only_affected_blocks_are_written(spark):
+    df = spark.createDataFrame([(i, f"text {i}", f"s{i % 40}") for i in range(3_000)], "doc_id long, text string, source string")
+    r = sharding.keyed(df, sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
+    layout = sharding.plan(r, 8)
+    placed = layout.placed(r)
+    assert placed.where(f"{sharding.STAYS} and shard <> {sharding.WAS}").isEmpty()
+    moved = placed.where(f"shard <> {sharding.WAS}").agg(F.sum(sharding.SIZE)).first()[0]
+    assert abs(moved - layout.moved) <= 20 * 12 and moved < layout.total
+    written = placed.where(f"not {sharding.STAYS}").agg(F.sum(sharding.SIZE)).first()[0]
+    assert moved <= written < layout.total
 
 
 def test_resharding_of_nothing_and_of_columns_named_alike(spark, docs, empty):
-    r = sharding.keyed(empty, sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
-    assert sharding.with_slots(sharding.rewrite(r, sharding.plan(r), empty.columns), ("doc_id",)).count() == 0
-    alike = docs.withColumns({c: F.lit(c) for c in ("_n", "_base", "_r", "_hash", "_block", "_size", "size", "n", "first", "slot")})
+    assert resharded(empty, 8)[0] == []
+    names = ["_n", "_base", "_r", "_hash", "_block", "_size", "size", "n", "first", "a.b", "slot"]
+    alike = docs.withColumns({c: F.lit(c) for c in names})
     r = sharding.keyed(alike, sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
-    out = sharding.with_slots(sharding.rewrite(r, sharding.plan(r, 3), alike.columns), ("doc_id",))
-    assert {tuple(x) for x in out.select("_n", "_base", "_r", "_hash", "_block", "_size", "size", "n", "first").collect()} == {("_n", "_base", "_r", "_hash", "_block", "_size", "size", "n", "first")}
+    out = sharding.with_slots(sharding.rewrite(r, sharding.plan(r, 3), alike.columns))
+    assert {tuple(x) for x in out.select([f"`{c}`" for c in names[:-1]]).collect()} == {tuple(names[:-1])}
     assert out.count() == docs.count()
 
 
@@ -183,12 +228,13 @@ def covered(texts, n=suffixes.PASSAGE):
 
 
 def test_repeated_passages(spark, rows, docs, empty):
-    texts = {a: b for a, b, *_ in rows if a is not None}
-    spans = [(r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_passages(docs).collect()]
-    inside = {(d, i) for d, s, e in spans for i in range(s, e - suffixes.PASSAGE + 1)}
-    want = covered(texts)
-    assert want and want <= inside
-    assert {d for d, *_ in spans} == {d for d, _ in want}
+    more = [(i, " ".join(words(random.Random(i // 3), 120)), "en", "s", 0, "x", "y") for i in (300, 300, 300, 301)] + [(None, " ".join(words(random.Random(77), 80)), "en", "s", 0, "x", "y")] * 3
+    both = docs.unionByName(spark.createDataFrame(more, DOCS)).withColumns({c: F.lit(c) for c in ("core", "pos", "at", "a.b")})
+    given = [(r.doc_id, r.text) for r in both.collect()]
+    want = collections.Counter((given[k][0], i) for k, i in covered(dict(enumerate(t for _, t in given))))
+    found = suffixes.repeated_passages(both).collect()
+    got = collections.Counter((r.doc_id, i) for r in found for i in range(r.start_word, r.end_word - suffixes.PASSAGE + 1))
+    assert want and got == want and want[300, 0] == 3 and want[None, 0] == 3
     assert suffixes.repeated_passages(empty).count() == 0
 
 
@@ -244,9 +290,43 @@ def test_language(spark, docs, empty):
     assert langid.label(empty, model).count() == 0
 
 
-def test_viterbi_against_all_paths():
-    import itertools
+def test_no_language_is_lost_by_the_bound(spark):
+    rng = random.Random(8)
+    some = [(i, " ".join(words(rng, 8)), "en") for i in range(3_000)] + [(9_000 + i, " ".join(words(rng, 8, "de")), "de") for i in range(3)]
+    for ids in (True, False):
+        df = spark.createDataFrame([(i if ids else None, t, x) for i, t, x in some], "doc_id long, text string, lang string")
+        assert langid.learn(df, rows=500).langs == ["de", "en"]
+        n = collections.Counter(r.lang for r in langid.chosen(df, 500, "doc_id").collect())
+        assert n["de"] == 3 and 400 <= n["en"] <= 600
+    alike = spark.createDataFrame([(None, "the same text", "en")] * 2_000 + [(None, "der gleiche text", "de")] * 2_000, "doc_id long, text string, lang string")
+    assert langid.learn(alike, rows=50).langs == ["de", "en"] and langid.chosen(alike, 50, "doc_id").count() <= 4
+    assert langid.parts_of({"a": 3, "b": 1_000, "c": 10, "d": 90}, 100) == {"a": 3, "c": 10, "d": 43, "b": 44}
+
+
+def test_word_scores_against_plain_counts(spark):
+    """Log-likelihoods of words from plain trigram counts, and the language of most letters of the best path."""
+    rng = random.Random(31)
+    texts = [(3 * i + 2, " ".join(words(rng, 30, x)), x) for i, x in enumerate(["en", "de"] * 6)]
+    model = langid.learn(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    grams = lambda w: [f"\0{w}\0"[i : i + 3] for i in range(len(w))]
+    counts = {x: collections.Counter(g for _, t, y in texts if x == y for w in t.split() for g in grams(w)) for x in ("de", "en")}
+    kinds = len(set(counts["de"]) | set(counts["en"]))
+    given = " ".join(words(rng, 25, "en") + words(rng, 20, "de") + words(rng, 9, "en"))
+    logp = lambda w, x: sum(np.log((counts[x][g] + langid.SMOOTHING) / (sum(counts[x].values()) + langid.SMOOTHING * kinds)) for g in grams(w))
+    bucket, begin, *_ = langid._trigrams(pa.array([given], pa.large_string()))
+    got = np.add.reduceat(model.logp[bucket], begin, axis=0)
+    want = np.array([[logp(w, x) for x in ("de", "en")] for w in given.split()])
+    assert (np.abs(got - want) < 1e-2).mean() > 0.9 and np.abs(got - want).max() < 3  # a few trigrams share a bucket
+    best, path = {0: (want[0][0], [0]), 1: (want[0][1], [1])}, None
+    for w in want[1:]:
+        best = {k: max((s - (langid.SWITCH if j != k else 0) + w[k], [*p, k]) for j, (s, p) in best.items()) for k in (0, 1)}
+    path = max(best.values())[1]
+    held = [sum(len(w) for w, k in zip(given.split(), path) if k == x) for x in (0, 1)]
+    row = langid.label(spark.createDataFrame([(1, given)], "doc_id long, text string"), model).first()
+    assert row.lang_pred == ("de", "en")[held[1] >= held[0]] and abs(row.score - max(held) / sum(held)) < 1e-9
+
 
+def test_viterbi_against_all_paths():
     rng = np.random.default_rng(2)
     doc = np.array([0] * 5 + [2] * 3 + [3])
     s = rng.normal(size=(9, 3)).astype(np.float32) * 4
@@ -287,6 +367,25 @@ def test_urls(spark):
     assert urls.judge(df.where("false"), rules).count() == 0
 
 
+def test_many_nested_rules(spark, monkeypatch):
+    rng = random.Random(17)
+    hosts = ["org", "a.org", "b.a.org", "com", "x.com", "aorg", "a"]
+    part = lambda: "".join(rng.choice("ab/") for _ in range(rng.randint(0, 6)))
+    rules = sorted({(rng.choice(hosts), "/" + part(), rng.choice(["allow", "block"])) for _ in range(300)})
+    given = [(i, f"http://{rng.choice(['', 'c.', 'a.'])}{rng.choice(hosts)}/{part()}{part()}") for i in range(2_000)]
+
+    def plain(u):
+        host, path = u[7:].split("/", 1)
+        path = "/" + path
+        fit = [(len(h + p), v == "block", h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fit)[2:] if fit else (None, "allow")
+
+    pages, table = spark.createDataFrame(given, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")
+    for most in (32 << 20, 5_000):
+        monkeypatch.setattr(urls, "MAX_RULE_BYTES", most)
+        assert {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, table).collect()} == {i: plain(u) for i, u in given}
+
+
 # op6
 
 
@@ -390,6 +489,62 @@ def test_large_loose_group(spark, monkeypatch):
     assert got == {k: root(k) for k in texts}
 
 
+def test_recall_by_similarity(spark):
+    """Pairs of random texts of which a part of the words differ: those of similarity 0.8 and more share a class, in at least 99 of 100 cases."""
+    rng, texts = random.Random(23), {}
+    for k in range(300):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        changed = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 4)):
+            changed[at] = "z"
+        texts[2 * k], texts[2 * k + 1] = " ".join(base), " ".join(changed)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    near = 0
+    for k in range(300):
+        a, b = bag(texts[2 * k]), bag(texts[2 * k + 1])
+        both = sum((a & b).values())
+        if both >= 0.8 * (sum(a.values()) + sum(b.values()) - both):
+            near += got[2 * k] == got[2 * k + 1]
+        else:
+            assert got[2 * k] != got[2 * k + 1]
+    wanted = sum(sum((bag(texts[2 * k]) & bag(texts[2 * k + 1])).values()) * 1.8 >= 0.8 * 2 * 116 for k in range(300))
+    assert near >= 0.99 * wanted > 100
+
+
+def test_two_loose_groups_in_shared_buckets(spark, monkeypatch):
+    """A template with many fillings: most pairs are below the similarity, and blocks must find the others, of any bytes."""
+    rng, texts = random.Random(6), {}
+    template = words(rng, 200)
+    for i in range(90):
+        w = list(template)
+        at = rng.randrange(160)
+        w[at : at + 25] = [f"f{rng.randrange(6)}x{j}" for j in range(25)] if i % 3 else [f"g{i // 9}x{j}" for j in range(25)]
+        texts[i] = " ".join(w)
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    bags, parent = {k: bag(t) for k, t in texts.items()}, {k: k for k in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in itertools.combinations(texts, 2):
+        both = sum((bags[x] & bags[y]).values())
+        if both >= 0.8 * (sum(bags[x].values()) + sum(bags[y].values()) - both):
+            parent[max(root(x), root(y))] = min(root(x), root(y))
+    assert got == {k: root(k) for k in texts}
+
+
+def test_repeated_rows_keep_one(spark):
+    text = " ".join(words(random.Random(2), 40))
+    df = spark.createDataFrame([(5, text, "k")] * 3 + [(None, "", "k")] * 2 + [(None, text + " more", "k"), (7, None, "k")], "doc_id long, text string, `node.x` string")
+    rows = neardup.near_duplicates(df).collect()
+    assert len(rows) == 7 and sum(r.keep for r in rows if r.class_key) == 1 and sum(r.keep for r in rows if not r.class_key) == 3
+    assert {r.class_id for r in rows if r.class_key} <= {5, None} and len({r.class_key for r in rows if r.class_key}) == 1
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**44, 40, dtype=np.uint64)
@@ -506,6 +661,35 @@ def test_excerpts_at_every_offset():
     assert not list(decontam.matches(*decontam.reduced(others)[:2], ix))
 
 
+def test_short_items_match_as_whole_words(spark):
+    items = [(1, "What is the capital of Peru?"), (2, "of Peru"), (3, "a b c d"), (4, "photosynthesis")]
+    texts = [(1, "So: what IS the capital of  Peru, they asked"), (2, "what is the capital of Perus"), (3, "what is the capitol of peru"), (4, "photosynthesis a b c d of Peru"), (5, "What is the capital of Peru")]
+    found = decontam.find(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.key, r.item_id, r.edits) for r in found} == {(1, 1, 0), (5, 1, 0)}
+    assert [(r.start, r.end) for r in found if r.key == 1] == [(4, 32)]
+
+
+def test_filter_against_full_alignment():
+    """Pieces with up to their budget of random edits, and random texts: what full alignment finds, the filter finds, and nothing else."""
+    rng = random.Random(40)
+    item = "".join(rng.choice("abcdefgh ") for _ in range(60)).strip().replace("  ", " x")[:56]
+    ix = decontam.index([(1, item)])
+    plain = "".join(chr(c) for c in ix.piece_text[0])
+    assert len(ix.need) == 1
+    texts = []
+    for _ in range(200):
+        own = list(plain)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randrange(len(own))
+            own[at] = rng.choice(["", rng.choice("abcdefgh"), own[at] + rng.choice("abcdefgh")])
+        fill = lambda: "".join(rng.choice("ijklm") for _ in range(rng.randint(0, 30)))
+        texts.append((fill() + "".join(own) + fill()))
+    own, starts, _ = decontam.reduced(pa.array(texts, pa.large_string()))
+    reduced = ["".join(chr(c) for c in own[a:b]) for a, b in zip(starts, starts[1:])]
+    want = {t for t, x in enumerate(reduced) if distance(plain, x) <= ix.budget[0]}
+    assert {t for t, *_ in decontam.matches(own, starts, ix)} == want and 20 < len(want) < 180
+
+
 def test_banded_alignment():
     rng = random.Random(0)
     code = lambda s: np.array([ord(c) for c in s], np.uint32)
@@ -548,7 +732,7 @@ def test_pipeline(spark, tmp_path, rows):
 def test_pipeline_of_nothing_and_of_columns_named_alike(spark, tmp_path, rows):
     import corpus_pipeline
 
-    names = ["_id", "_th", "_key", "_n", "_copy", "_copies", "copies", "node", "keep", "k", "h", "size", "taken", "lang_pred", "score"]
+    names = ["a.b", "x`y", "_id", "_th", "_key", "_n", "_copy", "_copies", "copies", "node", "keep", "k", "h", "size", "taken", "lang_pred", "score"]
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     given = spark.createDataFrame(rows[:12], DOCS).withColumns({c: F.lit(c) for c in names})
     for kind, docs in (("none", given.where("false")), ("null", given.where("doc_id = 1").withColumn("text", F.lit(None).cast("string"))), ("some", given)):
@@ -557,4 +741,4 @@ def test_pipeline_of_nothing_and_of_columns_named_alike(spark, tmp_path, rows):
             stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"{kind}{k}"))
             docs = spark.read.parquet(str(tmp_path / f"{kind}{k}"))
             assert set(columns) <= set(docs.columns) and (k == 4 or docs.columns == columns)
-        assert {tuple(r) for r in docs.select(names).collect()} == ({tuple(names)} if kind == "some" else set())
+        assert {tuple(r) for r in docs.select(common.quoted(names)).collect()} == ({tuple(names)} if kind == "some" else set())
