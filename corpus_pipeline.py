@@ -1,33 +1,26 @@
 """A corpus pipeline: stages over the documents table, each written as Parquet and read again as the next one's documents.
 
-All stages but the last return the columns of documents. Rows alike in doc_id and text count as one document from the near-duplicate
-stage on. Null texts go in the first stage, as they have no language.
+All stages but the last return the columns of documents, whatever their names. A stage takes a table read from files, as rows are told
+apart by their place in them; run() sees to that.
+
+Cases, for all stages: a null doc_id, source or lang is a value like others; null texts and texts without a letter go in the first stage, as they have
+no language, and match nothing in later ones; texts are read whole, however long; rows alike in doc_id and text are copies, of which the second stage
+keeps one; ties (which of a class stays) go to the least doc_id, then to the least row number; an empty table gives an empty table at every stage; extra
+columns are kept, but for any named shard or slot in the last stage, which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.llm import common, decontam, langid, mixing, neardup, sharding
 from flowtide.session import ship
 
-
 #: Names of the columns that the stages add on the way; documents may have columns of any other name.
-HASH, ID, KEY, NTH, COPIES, COPY = (f"_flowtide_{x}" for x in ("hash", "id", "key", "nth", "copies", "copy"))
-
-
-def _one_each(docs: DataFrame) -> DataFrame:
-    """docs with HASH, a hash of the text, and one row of those alike in doc_id and text."""
-    docs = docs.withColumn(HASH, F.xxhash64("text"))
-    return docs.withColumn(NTH, F.row_number().over(Window.partitionBy("doc_id", HASH).orderBy(F.lit(1)))).where(F.col(NTH) == 1).drop(NTH)
-
-
-def _joined(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """docs of _one_each() with the columns of chosen: (ID, KEY, ...)."""
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(ID)) & (F.col(HASH) == F.col(KEY))).drop(ID, KEY)
+COPIES, COPY, HASH = "_flowtide_copies", "_flowtide_copy", "_flowtide_hash"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +32,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates, the one with the least doc_id."""
     ship(spark)
-    heads = neardup.near_duplicates(docs).where("keep").select(F.col("doc_id").alias(ID), F.col("th").alias(KEY)).distinct()
-    return _joined(_one_each(docs), heads).select(*docs.columns)
+    columns, docs = common.quoted(docs.columns), common.with_row(docs)
+    heads = neardup.near_duplicates(docs).where("keep").select(common.ROW)
+    return docs.join(heads, common.ROW, "left_semi").select(*columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,19 +45,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents by the words that the mix takes of them; a part of a document becomes a whole one or none by a seeded draw."""
-    ids = mixing.mix(docs.withColumn(HASH, F.xxhash64("text")), keep=(HASH,))
+    columns, docs = common.quoted(docs.columns), common.with_row(docs)
+    taken = mixing.mix(docs.withColumn(HASH, F.xxhash64("text")), keep=(common.ROW, HASH)).where("taken > 0")
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", HASH), F.lit(1 << 20)) / (1 << 20)
-    copies = ids.where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + draw).cast("int"))
-    chosen = copies.groupBy(F.col("doc_id").alias(ID), F.col(HASH).alias(KEY)).agg(F.sum("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
-    return _joined(_one_each(docs), chosen).withColumn(COPY, F.explode(F.sequence(F.lit(1), COPIES))).select(*docs.columns)
+    copies = taken.select(common.ROW, F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
+    return docs.join(copies, common.ROW).withColumn(COPY, F.explode(F.sequence(F.lit(1), COPIES))).select(*columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lay the documents, landed by source, into shards of equal bytes; adds shard and slot."""
-    rows = sharding.keyed(docs, sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
-    placed = rows.withColumn("shard", sharding.plan(rows).shard())
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    return sharding.with_slots(placed, ("doc_id",)).select(*columns, "shard", "slot")
+    columns = common.quoted([c for c in docs.columns if c not in ("shard", "slot")])
+    rows = sharding.keyed(common.with_row(docs), sharding.landed_shard(), sharding.size_of(), ("doc_id", "text"))
+    placed = sharding.plan(rows).placed(rows.drop("shard"))
+    return sharding.with_slots(placed).select(*columns, "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
