@@ -83,7 +83,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)):
             words, first, at, doc = _suffixes(text[lo:hi])
             own = pa.array(doc + lo)
-            yield from batches_of([pa.array(cores(words, at, CORE).view(np.int64)), batch.column("th").take(own), batch.column(ROW).take(own), pa.array((at - first[doc]).astype(np.int32))], ["core", "th", ROW, "pos"], 20_000)
+            yield from batches_of([pa.array(cores(words, at, CORE).view(np.int64)), batch.column("th").take(own), pa.array((at - first[doc]).astype(np.int32))], ["core", "th", "pos"], 20_000)
 
 
 def _context(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, step: int) -> list[bytes]:
@@ -172,19 +172,26 @@ def _extension(suffixes: DataFrame, context: str) -> DataFrame:
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(th, spans: list of (s, e, core)) -> one row for each united interval of at least PASSAGE words."""
+    """(th, spans: list of (s, core, e), or of (s, core) if all have PASSAGE words) -> one row for each united interval of at least PASSAGE words."""
     for batch in batches:
-        rows = []
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
-            out: list[list] = []
-            for x in sorted((x["s"], x["e"], x["core"]) for x in spans):
-                if out and x[0] <= out[-1][1]:
-                    out[-1][1], out[-1][2] = max(out[-1][1], x[1]), min(out[-1][2], x[2])
-                else:
-                    out.append(list(x))
-            rows += [(i, *x) for x in out if x[1] - x[0] >= PASSAGE]
-        cols = list(zip(*rows)) or [[]] * 4
-        yield pa.record_batch([batch.column("th").take(pa.array(list(cols[0]), pa.int64())), pa.array(list(cols[1]), pa.int32()), pa.array(list(cols[2]), pa.int32()), pa.array(list(cols[3]), pa.int64())], names=["th", "start_word", "end_word", "passage"])
+        lists = batch.column("spans")
+        own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        spans = lists.flatten()
+        s, core = (spans.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+        e = spans.field(2).to_numpy(zero_copy_only=False).astype(np.int64) if spans.type.num_fields > 2 else s + PASSAGE
+        order = np.lexsort((s, own))
+        own, s, e, core = own[order], s[order], e[order], core[order]
+        reach = np.maximum.accumulate(e + (own << 40)) - (own << 40)  # the end of all intervals of the text so far
+        begins = np.ones(len(s), np.bool_)
+        begins[1:] = (own[1:] != own[:-1]) | (s[1:] > reach[:-1])
+        first = np.flatnonzero(begins)
+        if len(first):
+            end, least = np.maximum.reduceat(e, first), np.minimum.reduceat(core, first)
+            long = end - s[first] >= PASSAGE
+            first, end, least = first[long], end[long], least[long]
+        else:
+            end = least = first
+        yield pa.record_batch([batch.column("th").take(pa.array(own[first])), pa.array(s[first].astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(least)], names=["th", "start_word", "end_word", "passage"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,26 +214,27 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, ROW, start_word, end_word, passage) for each repeated passage of each row; passage: the least hash of PASSAGE words in it."""
     keyed = numbered(docs).select("doc_id", "text", ROW, F.xxhash64("text").alias("th")).where("text is not null")
     heads = store(keyed.groupBy("th").agg(F.min(ROW).alias(ROW), (F.count("*") > 1).alias("copied")), "op3-heads")
-    kept = store(keyed.mapInArrow(_kept, f"core long, th long, {ROW} long, pos int"), "op3-suffixes")
-    two = lambda *columns: F.expr(" or ".join(f"min({c}) <> max({c})" for c in columns))
+    kept = store(keyed.mapInArrow(_kept, "core long, th long, pos int"), "op3-suffixes")
+    place = F.xxhash64("th", "pos")
     # written, so that the join below shuffles both sides for itself and Spark can split the classes that are very large
-    repeated = store(kept.groupBy("core").agg(two("th", "pos").alias("two")).where("two").select("core"), "op3-repeated")
-    found = kept.join(repeated, "core").groupBy("th", ROW).agg(F.collect_list("pos").alias("at"))
-    texts = keyed.drop("th").join(found.join(heads.select("th", ROW), ["th", ROW]), ROW).select("th", "text", "at")
+    repeated = store(kept.groupBy("core").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("core"), "op3-repeated")
+    found = kept.join(repeated, "core").groupBy("th").agg(F.collect_set("pos").alias("at"))
+    texts = keyed.drop("th").join(found.join(heads, "th"), ROW).select("th", "text", "at")
     suffixes = store(texts.mapInArrow(_contexts, "core long, th long, pos int, right binary, left binary"), "op3-members")
     right, left = _extension(suffixes, "right"), _extension(suffixes, "left")
     spans = right.select("core", "th", "pos", F.col("lcp").alias("r"), F.lit(0).alias("l")).unionByName(left.select("core", "th", "pos", F.lit(0).alias("r"), F.col("lcp").alias("l")))
     each = spans.groupBy("th", "pos", "core").agg(F.max("r").alias("r"), F.max("l").alias("l")).where("r >= 0 and l >= 0")
-    one = F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + CORE + F.col("r")).alias("e"), "core")
+    one = F.struct((F.col("pos") - F.col("l")).alias("s"), "core", (F.col("pos") + CORE + F.col("r")).alias("e"))
     lists = each.groupBy("th").agg(F.collect_list(one).alias("spans"))
     united = lists.mapInArrow(_united, "th long, start_word int, end_word int, passage long")
     candidates = united.groupBy("th").agg(F.collect_list(F.struct("start_word", "end_word")).alias("at"))
     candidates = heads.join(candidates, "th", "left").where("copied or at is not null")
     texts = keyed.drop("th").join(candidates, ROW).select("th", "text", "copied", "at")
     stretches = store(texts.mapInArrow(_stretches, "stretch long, th long, copied boolean, pos int"), "op3-stretches")
-    twice = store(stretches.groupBy("stretch").agg((F.max("copied") | two("th", "pos")).alias("two")).where("two").select("stretch"), "op3-twice")
+    often = F.sum(F.when(F.col("copied"), 2).otherwise(1))  # a place is one row, so rows are occurrences
+    twice = store(stretches.groupBy("stretch").agg(often.alias("n")).where("n > 1").select("stretch"), "op3-twice")
     held = stretches.join(twice, "stretch").groupBy("th")
-    runs = held.agg(F.collect_list(F.struct(F.col("pos").alias("s"), (F.col("pos") + PASSAGE).alias("e"), F.col("stretch").alias("core"))).alias("spans"))
+    runs = held.agg(F.collect_list(F.struct(F.col("pos").alias("s"), F.col("stretch").alias("core"))).alias("spans"))
     found = store(runs.mapInArrow(_united, "th long, start_word int, end_word int, passage long"), "op3-spans")
     return keyed.select("doc_id", ROW, "th").join(found, "th").drop("th")
 
