@@ -11,10 +11,11 @@ their similarity. Points are made only up to the time by which all registers are
 
 Exact copies (same words) are one node from the start. Buckets of equal bands give candidates: buckets of at most SMALL nodes are compared
 in full (a linear number of pairs); in larger ones all nodes are compared with one hub. Those whose nodes then lie in more than one
-component are cut into blocks of at most BLOCK nodes and about BLOCK_BYTES of text, those of the largest component apart, and each pair of blocks of
-which one at least is not of that component is compared in two steps: by signatures alone, which leaves the nodes that have a
-partner in another component; then those, with their texts, in a task that reports only links that join components. A pair that shares several
-such buckets is compared in the first. So no link between components is lost, and no group's pairs are all emitted.
+component have a largest component and a rest. Both are cut into blocks of about BLOCK nodes and BLOCK_BYTES of text at most; blocks of the rest meet each
+other and those of the largest component. Where many buckets share that component, it meets the rest of all of them at once, if that takes fewer
+comparisons than one bucket after the other. A pair of blocks is compared in two steps: by signatures alone, which leaves the nodes that have a
+partner in another component; then those, with their texts, in a task that reports only links that join components. So no link between
+components is lost, and no group's pairs are all emitted.
 
 Cases: texts without a word are nodes of their own, never linked (each row its own class); a null doc_id is a value like others; repeated
 rows are copies, of which one stands for the class; ties for that go to the least row number; empty tables give empty results; texts are read
@@ -35,7 +36,9 @@ from .common import ROW, batches_of, hashed_words, mix, numbered, passes, store,
 
 SHINGLE, SIMILARITY = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
-SMALL, BLOCK, BLOCK_BYTES = 16, 256, 16 << 20
+SMALL, BLOCK, BLOCK_BYTES = 16, 512, 16 << 20
+#: A pair of blocks: kind 0 of the rest of a bucket, 1 of a bucket and its largest component, 2 of a component and the rest of all its buckets.
+PAIR = ["kind", "grp", "bi", "bj"]
 #: Shingle hashes keep so many bits, as text number and hash are sorted as one whole number.
 HASH_BITS = 44
 #: A block's pair is verified if its signatures agree in so many of M registers: five standard errors below SIMILARITY.
@@ -163,22 +166,16 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> Dat
 
 def _partnered(pdf):
     """One pair of blocks, by signatures: the nodes that may be linked with one of another component on the other side."""
-    import pandas as pd
-
-    pdf = pdf.drop_duplicates("node").sort_values("node")
+    pdf = pdf.sort_values("node")
     sig = np.stack([np.frombuffer(s, np.uint16) for s in pdf.sig])
-    bands = np.stack(pdf.bands.to_numpy())
-    node, side, comp, hot = pdf.node.to_numpy(), pdf.blk.to_numpy(), pdf.comp.to_numpy(), pdf.hot.to_numpy()
-    one, mine, some = pdf.bi.iloc[0] == pdf.bj.iloc[0], int(pdf.nth.iloc[0]), np.zeros(len(pdf), np.bool_)
-    for i in range(len(node)):
-        rest = np.arange(i + 1, len(node))
+    side, comp, one, some = pdf.blk.to_numpy(), pdf.comp.to_numpy(), pdf.bi.iloc[0] == pdf.bj.iloc[0], np.zeros(len(pdf), np.bool_)
+    for i in range(len(pdf)):
+        rest = np.arange(i + 1, len(pdf))
         rest = rest[(comp[rest] != comp[i]) & (one | (side[rest] != side[i]))]
         rest = rest[(sig[rest] == sig[i]).sum(axis=1) >= LEAST_EQUAL]
-        earlier = [b for b in range(mine) if int(hot[i]) >> b & 1]  # bands before this one that are compared like this
-        rest = rest[~(bands[rest][:, earlier] == bands[i][earlier]).any(axis=1)]
         some[rest] = True
         some[i] |= len(rest) > 0
-    return pd.DataFrame({"band": pdf.band[some], "bi": pdf.bi[some], "bj": pdf.bj[some], "blk": side[some], "node": node[some], "comp": comp[some]})
+    return pdf.loc[some, [*PAIR, "blk", "node", "comp"]]
 
 
 def _compared(least: float):
@@ -228,19 +225,28 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def block_pairs(large: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(band, nth, bi, bj, blk, node, comp): the members of each pair of blocks of the large buckets that hold several components. large: (band, nth, node, comp, size)."""
-    # the largest component of a bucket needs no comparison within itself: its blocks meet only the blocks of the others
-    sizes = large.groupBy("band", "comp").agg(F.count("*").alias("c"), F.sum("size").alias("bytes"))
-    top = sizes.groupBy("band").agg(F.max(F.struct("c", "comp", "bytes")).alias("t"), F.count("*").alias("comps"), F.sum("c").alias("n"), F.sum("bytes").alias("bytes")).where("comps > 1")
-    top = top.select("band", F.col("t.comp").alias("main"), F.col("t.c").alias("n_main"), F.col("t.bytes").alias("b_main"), "n", "bytes")
-    of = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
-    top = top.select("band", "main", of(F.col("n_main"), F.col("b_main")).alias("g_main"), of(F.col("n") - F.col("n_main"), F.col("bytes") - F.col("b_main")).alias("g_rest"))
-    large = large.join(store(top, "op7-mains"), "band").withColumn("is_main", F.col("comp") == F.col("main"))
-    blk = F.when(F.col("is_main"), F.col("g_rest") + F.pmod(F.xxhash64("node"), "g_main")).otherwise(F.pmod(F.xxhash64("node"), "g_rest")).cast("int")
-    others = F.sequence(F.lit(0), F.when(F.col("is_main"), F.col("g_rest")).otherwise(F.col("g_rest") + F.col("g_main")) - 1)
-    dealt = large.withColumn("blk", blk).withColumn("other", F.explode(others))
-    return dealt.select("band", "nth", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "comp")
+def block_pairs(large: DataFrame) -> DataFrame:
+    """(PAIR, blk, node, comp): the members of each pair of blocks of the large buckets that hold several components. large: (band, node, comp, size)."""
+    sizes = large.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("t"), F.count("*").alias("comps")).where("comps > 1").select("band", F.col("t.comp").alias("main"))
+    hot = store(large.join(store(top, "op7-mains"), "band").withColumn("is_main", F.col("comp") == F.col("main")), "op7-hot")
+    n = lambda cond: F.count_if(cond)
+    apart = hot.groupBy("main", "band").agg((n(F.col("is_main")) * n(~F.col("is_main"))).alias("pairs")).groupBy("main").agg(F.sum("pairs").alias("apart"))
+    together = hot.select("main", "node", "is_main").distinct().groupBy("main").agg((n(F.col("is_main")) * n(~F.col("is_main"))).alias("together"))
+    dense = store(apart.join(together, "main").where("together <= apart").select("main", F.lit(True).alias("dense")), "op7-dense")
+    met = hot.join(dense, "main", "left").withColumn("kind", F.when(F.col("dense"), 2).otherwise(1))
+    met = met.select("kind", F.when(F.col("dense"), F.col("main")).otherwise(F.col("band")).alias("grp"), "node", "comp", "size", "is_main").distinct()
+    rest = hot.where("not is_main").select(F.lit(0).alias("kind"), F.col("band").alias("grp"), "node", "comp", "size", "is_main")
+    rows = store(met.unionByName(rest), "op7-met")
+    of = lambda cond: F.greatest(F.ceil(n(cond) / BLOCK), F.ceil(F.sum(F.when(cond, F.col("size")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    blocks = rows.groupBy("kind", "grp").agg(of(F.col("is_main")).alias("g_main"), of(~F.col("is_main")).alias("g_rest"))
+    rows = rows.join(store(blocks, "op7-blocks"), ["kind", "grp"])
+    own = F.when(F.col("is_main"), F.col("g_rest") + F.pmod(F.xxhash64("node"), "g_main")).otherwise(F.pmod(F.xxhash64("node"), "g_rest")).cast("int")
+    # the largest component meets the rest, and the rest it; with nothing else to meet, the rest meets itself
+    first = F.when((F.col("kind") > 0) & ~F.col("is_main"), F.col("g_rest")).otherwise(0)
+    last = F.when((F.col("kind") > 0) & ~F.col("is_main"), F.col("g_rest") + F.col("g_main")).otherwise(F.col("g_rest")) - 1
+    dealt = rows.withColumn("blk", own).withColumn("other", F.explode(F.sequence(first, last)))
+    return dealt.select("kind", "grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "node", "comp")
 
 
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +257,7 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     rows = sketch.select("doc_id", ROW, "node")
     nodes = sketch.where("node <> 0").groupBy("node").agg(F.min(F.struct(ROW, "size", "bands", "sig")).alias("r")).select("node", "r.*")
     nodes = store(nodes, "op7-nodes")
-    entries = nodes.select("node", "size", F.posexplode("bands").alias("nth", "band"))
+    entries = nodes.select("node", "size", F.explode("bands").alias("band"))
     order = F.struct(F.xxhash64("node", "band").alias("o"), "node")
     # written, so that the joins with all rows of a band or component shuffle both sides and Spark can split the very large ones
     buckets = entries.groupBy("band").agg(F.count("*").alias("n"), F.min(order).alias("hub")).where("n > 1")
@@ -265,16 +271,12 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
     held = members.select("node").distinct().join(nodes.select("node", ROW), "node")
     texts = store(keyed.select(ROW, "text").join(held, ROW).select("node", "text"), "op7-texts")
     first = store(verify(pairs, texts, least), "op7-links")
-    large = members.where(f"n > {SMALL}").select("band", "nth", "node", "size")
+    large = members.where(f"n > {SMALL}").select("band", "node", "size")
     large = large.join(components(first, "op7-first"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    dealt = store(block_pairs(large, nodes), "op7-dealt")
-    # the bands in which a node is compared by blocks, as bits
-    hot = dealt.select("node", "nth").distinct().groupBy("node").agg(F.sum(F.expr("shiftleft(1L, nth)")).alias("hot"))
-    signed = dealt.join(hot, "node").join(nodes.select("node", "bands", "sig"), "node")
-    blocks = "band long, bi int, bj int, blk int, node long, comp long"
-    near = store(signed.groupBy("band", "bi", "bj").applyInPandas(_partnered, blocks), "op7-partners")
+    dealt = block_pairs(large).join(nodes.select("node", "sig"), "node")
+    near = store(dealt.groupBy(*PAIR).applyInPandas(_partnered, "kind int, grp long, bi int, bj int, blk int, node long, comp long"), "op7-partners")
     dealt = near.join(nodes.select("node", "sig"), "node").join(texts, "node")
-    second = store(dealt.groupBy("band", "bi", "bj").applyInPandas(_compared(least), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "op7-more")
+    second = store(dealt.groupBy(*PAIR).applyInPandas(_compared(least), "a long, b long, similarity double").dropDuplicates(["a", "b"]), "op7-more")
     return rows, store(first.unionByName(second), "op7-all")
 
 
