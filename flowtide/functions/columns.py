@@ -20,9 +20,9 @@ DESCRIPTORS = (
 
 #: Vendor flight status, letters only and lower case -> status shown (fixed values).
 STATUS = {
-    "unknown": "Unknown", "expected": "Expected", "scheduled": "Scheduled", "enroute": "EnRoute", "active": "EnRoute", "checkin": "CheckIn", "boarding": "Boarding",
-    "gateclosed": "GateClosed", "departed": "Departed", "delayed": "Delayed", "approaching": "Approaching", "arrived": "Arrived", "landed": "Arrived",
-    "canceled": "Cancelled", "cancelled": "Cancelled", "diverted": "Diverted", "incident": "Diverted", "canceleduncertain": "Cancelled",
+    "expected": "Expected", "expectedarrival": "Expected", "enroute": "EnRoute", "checkin": "Scheduled", "boarding": "Boarding", "gateclosed": "Boarding", "departed": "Departed",
+    "delayed": "Delayed", "approaching": "EnRoute", "arrived": "Arrived", "canceled": "Cancelled", "cancelled": "Cancelled", "diverted": "Diverted", "canceleduncertain": "Cancelled",
+    "unknown": "Unknown", "scheduled": "Scheduled", "active": "EnRoute", "landed": "Arrived", "incident": "Incident",
 }
 
 PEOPLE = ("Pedestrian", "Cyclist")
@@ -117,11 +117,10 @@ def route_mode(route_type: Column | str) -> Column:
 
 
 def confidence(samples: Column | str, quality: Column | str) -> Column:
-    """Struct(level, reason) of a signal."""
-    incomplete = ~F.coalesce(c(quality) == "complete", F.lit(False))
-    level = F.when(incomplete, "low").when(c(samples) >= 12, "high").otherwise("medium")
-    reason = F.when(incomplete, "data quality is not complete").otherwise(F.format_string("%d matching history samples", c(samples).cast("int")))
-    return F.struct(level.alias("level"), reason.alias("reason"))
+    """Struct(level, history_samples, basis) of a signal."""
+    complete = F.coalesce(c(quality) == "complete", F.lit(False))
+    level = F.when(~complete, "low").when(c(samples) >= 12, "high").otherwise("medium")
+    return F.struct(level.alias("level"), c(samples).cast("long").alias("history_samples"), F.lit("matched weekday and hour").alias("basis"))
 
 
 # predicates ---------------------------------------------------------------------------------------------------------------
@@ -160,10 +159,16 @@ def text_matches(words: list[str], *columns: str) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(F.lower(F.col(x)).contains(w.lower()), F.lit(False)) for x in columns for w in words], F.lit(False))
 
 
+def title_case(text: Column | str) -> Column:
+    """Each run of letters with a capital first and small letters after."""
+    return F.array_join(F.transform(F.regexp_extract_all(c(text), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), F.initcap), "")
+
+
 def status_name(raw: Column | str) -> Column:
-    key = F.lower(F.regexp_replace(c(raw), "[^A-Za-z]", ""))
+    """The known name of a vendor's status; others in title case; Unknown if there is none."""
+    key = F.regexp_replace(F.lower(c(raw)), "[^a-z]", "")
     known = F.create_map(*[F.lit(x) for pair in STATUS.items() for x in pair])
-    return F.when(F.coalesce(F.trim(c(raw)), F.lit("")) == "", "Unknown").otherwise(F.coalesce(F.try_element_at(known, key), F.initcap(F.trim(c(raw)))))
+    return F.when(F.coalesce(c(raw), F.lit("")) == "", "Unknown").otherwise(F.coalesce(F.try_element_at(known, key), title_case(raw)))
 
 
 # text and keys ------------------------------------------------------------------------------------------------------------
@@ -189,6 +194,11 @@ def cell_id(lat: Column | str, lon: Column | str, places: int = 2) -> Column:
     return F.concat_ws("_", *(F.format_string(f"%.{places}f", F.round(c(x), places)) for x in (lat, lon)))
 
 
+def grid_id(lat: Column | str, lon: Column | str, places: int = 2) -> Column:
+    """The rounding grid of the layer over all feeds as a text key: plain numbers and a comma."""
+    return F.concat_ws(",", *(F.round(c(x), places).cast("string") for x in (lat, lon)))
+
+
 # geometry -----------------------------------------------------------------------------------------------------------------
 
 

@@ -62,12 +62,12 @@ def fit_seasonal_baseline(history: DataFrame, min_samples: int = 8) -> DataFrame
 
 
 def score_observations(current: DataFrame, baseline: DataFrame, config: Thresholds = Thresholds()) -> DataFrame:
-    """Adds expected_count, history_samples, mad, robust_z, absolute_change, relative_change, change_direction, status and data_quality."""
+    """Adds expected_count, history_samples, mad, robust_z, absolute_change and relative_change (both without sign), change_direction, status and data_quality."""
     rows = null_safe(current.withColumn("day_of_week", F.weekday("date")), baseline, SEASON, "left")
     change = F.col("count") - F.col("expected_count")
     scale = F.greatest(MAD_SIGMA * F.col("mad"), F.sqrt(F.col("expected_count") + 1), F.lit(1.0))
     known = F.col("expected_count").isNotNull()
-    rows = rows.withColumns({"absolute_change": change, "robust_z": F.when(known, change / scale), "relative_change": F.when(known, change / F.greatest(F.abs("expected_count"), F.lit(10.0)))})
+    rows = rows.withColumns({"absolute_change": F.abs(change), "robust_z": F.when(known, change / scale), "relative_change": F.when(known, F.abs(change) / F.greatest(F.abs("expected_count"), F.lit(10.0)))})
     gate = passes_gates("robust_z", "absolute_change", "relative_change", config.z, config.absolute, config.relative)
     return rows.withColumns({
         "change_direction": change_direction("count", "expected_count"),
@@ -85,13 +85,15 @@ def backtest(history: DataFrame, held: DataFrame, min_samples: int = 8) -> DataF
 def leave_one_out_ratio(daily: DataFrame, site: str, day: str, value: str) -> DataFrame:
     """A site's day over the median of its other days of the same weekday.
 
-    The days of a site and weekday are gathered once; their number is bounded by the period, not by the traffic.
+    A day's rank r among the n values of its group says where the middle of the others lies: the value of 0-based rank k among the others is that
+    of rank k among all if k is below r, of rank k + 1 otherwise. So the sorted values of a group are gathered once, not once for each row.
     """
     rows = daily.withColumn("_dow", F.weekday(day))
-    w = Window.partitionBy(site, "_dow")
-    others = F.sort_array(F.filter(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).alias("v"))).over(w), lambda x: x["d"] != F.col(day)))
-    values = F.sort_array(F.transform(others, lambda x: x["v"]))
-    n = F.size("_v")
-    middle = F.when(n % 2 == 1, F.get("_v", F.floor(n / 2).cast("int"))).otherwise((F.get("_v", (n / 2).cast("int") - 1) + F.get("_v", (n / 2).cast("int"))) / 2)
-    rows = rows.withColumn("_v", values).withColumn("other_median", middle).withColumn("other_days", n)
-    return rows.withColumn("loo_ratio", F.when(F.col("other_median") > 0, F.col(value) / F.col("other_median"))).drop("_dow", "_v")
+    rank = F.row_number().over(Window.partitionBy(site, "_dow").orderBy(value, day)) - 1
+    lists = rows.groupBy(site, "_dow").agg(F.sort_array(F.collect_list(value)).alias("_all"))
+    rows = null_safe(rows.withColumn("_r", rank), lists, [site, "_dow"]).withColumn("other_days", F.size("_all") - 1)
+    n = F.col("other_days")
+    at = lambda k: F.get("_all", (k + F.when(k >= F.col("_r"), 1).otherwise(0)).cast("int"))
+    low, high = F.floor((n - 1) / 2), F.floor(n / 2)
+    rows = rows.withColumn("other_median", F.when(n > 0, (at(low) + at(high)) / 2))
+    return rows.withColumn("loo_ratio", F.when(F.col("other_median") > 0, F.col(value) / F.col("other_median"))).drop("_dow", "_all", "_r")

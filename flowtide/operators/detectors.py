@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import cell_id, severity, severity_rank
+from ..functions.columns import grid_id, is_weekend, severity, severity_rank
 from .baseline import null_safe
 from .joins import match_windows
 from .transit import CELL_KEYS, DELAY_KEYS, DWELL_KEYS, union_all
@@ -24,70 +24,81 @@ def _row(df: DataFrame, code: str, name: str, kind: str, entity: Column, start:
     )
 
 
-def _whole(x: str) -> Column:
-    return F.round(x).cast("long")
+def _say(template: str, *values: Column | str) -> Column:
+    """The template with the values in place of {}; doubles keep their decimal point."""
+    parts = template.split("{}")
+    values = [F.col(v) if isinstance(v, str) else v for v in values]
+    return F.concat(F.lit(parts[0]), *[x for v, t in zip(values, parts[1:]) for x in (v.cast("string"), F.lit(t))])
 
 
 def delay_outliers(fact: DataFrame, base: DataFrame, z: float = 2.5) -> DataFrame:
     e = null_safe(fact.where("ARRIVAL_DELAY_SECS is not null"), base.drop("MODE"), DELAY_KEYS)
     score = (F.col("ARRIVAL_DELAY_SECS") - F.col("MED_DELAY")) / F.col("SIGMA_DELAY")
-    detail = F.format_string("%s at %s ran %ds vs typical %ds", "ROUTE_SHORT_NAME", "STOP_NAME", _whole("ARRIVAL_DELAY_SECS"), _whole("MED_DELAY"))
+    detail = _say("{} at {} ran {}s vs typical {}s", "ROUTE_SHORT_NAME", "STOP_NAME", "ARRIVAL_DELAY_SECS", F.round("MED_DELAY"))
     return _row(e.where(F.abs(score) >= z), "D01", "delay_outlier", "STOP_EVENT", F.concat_ws("|", "TRIP_INSTANCE_ID", "STOP_SEQUENCE"), "SCHED_ARRIVAL_LOCAL", "SCHED_ARRIVAL_LOCAL", "ARRIVAL_DELAY_SECS", "MED_DELAY", score, detail)
 
 
-def _headway(h: DataFrame, code: str, name: str, wanted: Column, score: Column, verb: str) -> DataFrame:
+def _headway(h: DataFrame, code: str, name: str, wanted: Column, score: Column, template: str) -> DataFrame:
     h = h.where(F.col("FREQUENCY_CLASS").isin("FREQUENT", "HIGH_FREQUENCY") & F.col("SCHED_HEADWAY_SECS").between(120, 1800) & wanted)
-    detail = F.format_string(f"%s {verb} at %s: %ds actual vs %ds scheduled", "ROUTE_SHORT_NAME", "STOP_NAME", "ACTUAL_HEADWAY_SECS", "SCHED_HEADWAY_SECS")
+    detail = _say(template, "ROUTE_SHORT_NAME", "STOP_NAME", "ACTUAL_HEADWAY_SECS", "SCHED_HEADWAY_SECS")
     return _row(h, code, name, "HEADWAY", F.concat_ws("->", "PREV_TRIP_INSTANCE_ID", "TRIP_INSTANCE_ID"), "PREV_ACTUAL_ARRIVAL", "ACTUAL_ARRIVAL_LOCAL", "ACTUAL_HEADWAY_SECS", "SCHED_HEADWAY_SECS", score, detail, F.concat_ws("|", "TRIP_INSTANCE_ID", "STOP_ID"))
 
 
 def bunching(h: DataFrame) -> DataFrame:
-    return _headway(h, "D02", "bunching", F.col("HEADWAY_RATIO") < 0.4, (1 - F.col("HEADWAY_RATIO")) * 4, "bunched")
+    return _headway(h, "D02", "bunching", F.col("HEADWAY_RATIO") < 0.4, (1 - F.col("HEADWAY_RATIO")) * 4, "{} bunched at {}: {}s gap vs {}s scheduled")
 
 
 def gapping(h: DataFrame) -> DataFrame:
-    return _headway(h, "D03", "gapping", F.col("HEADWAY_RATIO") > 1.8, F.least((F.col("HEADWAY_RATIO") - 1) * 2, F.lit(10.0)), "gap")
+    return _headway(h, "D03", "gapping", F.col("HEADWAY_RATIO") > 1.8, F.least((F.col("HEADWAY_RATIO") - 1) * 2, F.lit(10.0)), "{} gap at {}: {}s vs {}s scheduled")
 
 
-def _trips(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("TRIP_INSTANCE_ID", "SERVICE_DATE", "ROUTE_ID", "ROUTE_SHORT_NAME", "MODE").agg(F.count("*").alias("SCHEDULED"), F.count_if("IS_OBSERVED").alias("OBSERVED"), F.min("SCHED_ARRIVAL_LOCAL").alias("FIRST"), F.max("SCHED_ARRIVAL_LOCAL").alias("LAST"))
+def trips_seen(fact: DataFrame) -> DataFrame:
+    """Each trip's scheduled stops and those with an actual arrival: how many, the first and the last."""
+    return fact.groupBy("TRIP_INSTANCE_ID", "SERVICE_DATE", "ROUTE_ID", "ROUTE_SHORT_NAME", "MODE").agg(
+        F.count("*").alias("SCHEDULED"), F.count("ACTUAL_ARRIVAL_LOCAL").alias("OBSERVED"), F.min("SCHED_ARRIVAL_LOCAL").alias("FIRST"), F.max("SCHED_ARRIVAL_LOCAL").alias("LAST"),
+        F.min("ACTUAL_ARRIVAL_LOCAL").alias("FIRST_OBSERVED"), F.max("ACTUAL_ARRIVAL_LOCAL").alias("LAST_OBSERVED"),
+    )
 
 
 def ghost_trips(fact: DataFrame) -> DataFrame:
-    detail = F.format_string("%s trip %s: none of %d scheduled stops observed", "ROUTE_SHORT_NAME", "TRIP_INSTANCE_ID", "SCHEDULED")
-    return _row(_trips(fact).where("OBSERVED = 0"), "D04", "ghost_trip", "TRIP_INSTANCE", F.col("TRIP_INSTANCE_ID"), "FIRST", "LAST", F.lit(0), "SCHEDULED", F.lit(4.0), detail, band=F.lit("HIGH"))
+    """Trips of which no stop has an actual arrival."""
+    detail = _say("{} trip {} scheduled {} stops, none observed", "ROUTE_SHORT_NAME", "TRIP_INSTANCE_ID", "SCHEDULED")
+    return _row(trips_seen(fact).where("OBSERVED = 0"), "D04", "ghost_trip", "TRIP_INSTANCE", F.col("TRIP_INSTANCE_ID"), "FIRST", "LAST", F.lit(0), "SCHEDULED", F.lit(4.0), detail, band=F.lit("HIGH"))
 
 
 def dwell_outliers(fact: DataFrame, base: DataFrame, z: float = 3.0) -> DataFrame:
     """Only stops that take longer than usual."""
     e = null_safe(fact.where("DWELL_SECS is not null"), base, DWELL_KEYS)
     score = (F.col("DWELL_SECS") - F.col("MED_DWELL")) / F.col("SIGMA_DWELL")
-    detail = F.format_string("%s dwelt %ds at %s vs typical %ds", "ROUTE_SHORT_NAME", _whole("DWELL_SECS"), "STOP_NAME", _whole("MED_DWELL"))
+    detail = _say("{} held {}s at {} vs typical {}s", "ROUTE_SHORT_NAME", "DWELL_SECS", "STOP_NAME", F.round("MED_DWELL"))
     return _row(e.where(score >= z), "D05", "dwell_outlier", "STOP_EVENT", F.concat_ws("|", "TRIP_INSTANCE_ID", "STOP_SEQUENCE"), "ACTUAL_ARRIVAL_LOCAL", "ACTUAL_DEPARTURE_LOCAL", "DWELL_SECS", "MED_DWELL", score, detail)
 
 
 def teleports(motion: DataFrame) -> DataFrame:
+    """Always HIGH; expected is what a vehicle of the mode can do."""
     rail = F.col("MODE") == "RAIL"
-    limit, unit = F.when(rail, 160).otherwise(120), F.when(rail, 55.0).otherwise(35.0)
-    hit = motion.where((F.col("IMPLIED_KMH") > limit) & F.col("SECS_SINCE_PREV").between(5, 300))
-    detail = F.format_string("%s moved %dm in %ds", "ROUTE_SHORT_NAME", _whole("METRES_SINCE_PREV"), "SECS_SINCE_PREV")
+    of = lambda train, bus: F.when(rail, train).otherwise(bus)
+    hit = motion.where((F.col("IMPLIED_KMH") > of(160.0, 120.0)) & F.col("SECS_SINCE_PREV").between(5, 300))
+    detail = _say("vehicle {} implied {} km/h over {}m in {}s", "VEHICLE_ID", F.round("IMPLIED_KMH"), F.round("METRES_SINCE_PREV"), "SECS_SINCE_PREV")
     entity = F.concat_ws("|", "TRIP_INSTANCE_ID", F.date_format("PING_LOCAL", "yyyyMMddHHmmss"))
-    return _row(hit, "D06", "teleport", "VEHICLE", F.col("VEHICLE_ID"), "PREV_PING_LOCAL", "PING_LOCAL", "IMPLIED_KMH", limit.cast("double"), F.least(F.col("IMPLIED_KMH") / unit, F.lit(12.0)), detail, entity)
+    return _row(hit, "D06", "teleport", "VEHICLE", F.col("VEHICLE_ID"), "PREV_PING_LOCAL", "PING_LOCAL", "IMPLIED_KMH", of(110.0, 70.0), F.least(F.col("IMPLIED_KMH") / of(55.0, 35.0), F.lit(12.0)), detail, entity, band=F.lit("HIGH"))
 
 
 def stale_vehicles(motion: DataFrame) -> DataFrame:
-    """Device clocks that lag more than 90 s on at least three pings of a trip."""
+    """Device clocks that lag more than 90 s on at least three pings of a trip. The usual lag is 25 s."""
     late = motion.where("DEVICE_LAG_SECS > 90").groupBy("TRIP_INSTANCE_ID", "VEHICLE_ID", "SERVICE_DATE", "ROUTE_ID", "ROUTE_SHORT_NAME", "MODE")
     late = late.agg(F.count("*").alias("PINGS"), F.max("DEVICE_LAG_SECS").alias("LAG"), F.min("PING_LOCAL").alias("FIRST"), F.max("PING_LOCAL").alias("LAST")).where("PINGS >= 3")
-    detail = F.format_string("%s clock up to %ds behind on %d pings", "VEHICLE_ID", "LAG", "PINGS")
-    return _row(late, "D07", "stale_vehicle", "VEHICLE", F.col("VEHICLE_ID"), "FIRST", "LAST", "LAG", F.lit(0), F.least(F.col("LAG") / 60, F.lit(12.0)), detail, F.col("TRIP_INSTANCE_ID"))
+    detail = _say("vehicle {} telemetry stalled {}s across {} pings", "VEHICLE_ID", "LAG", "PINGS")
+    entity = F.concat_ws("|", "TRIP_INSTANCE_ID", F.date_format("FIRST", "yyyyMMddHHmmss"))
+    return _row(late, "D07", "stale_vehicle", "VEHICLE", F.col("VEHICLE_ID"), "FIRST", "LAST", "LAG", F.lit(25.0), F.least(F.col("LAG") / 60, F.lit(12.0)), detail, entity)
 
 
 def truncations(fact: DataFrame) -> DataFrame:
-    """Trips of at least six stops of which some, but less than 80 %, were observed."""
+    """Trips of at least six stops of which some, but less than 80 %, have an actual arrival; the window is from the first to the last of those."""
     share = F.col("OBSERVED") / F.col("SCHEDULED")
-    detail = F.format_string("%s trip %s: %d of %d stops observed", "ROUTE_SHORT_NAME", "TRIP_INSTANCE_ID", "OBSERVED", "SCHEDULED")
-    return _row(_trips(fact).where((F.col("OBSERVED") > 0) & (F.col("SCHEDULED") >= 6) & (share < 0.8)), "D08", "trip_truncation", "TRIP_INSTANCE", F.col("TRIP_INSTANCE_ID"), "FIRST", "LAST", "OBSERVED", "SCHEDULED", (1 - share) * 5, detail)
+    detail = _say("{} reported {} of {} scheduled stops then stopped", "ROUTE_SHORT_NAME", "OBSERVED", "SCHEDULED")
+    hit = trips_seen(fact).where((F.col("OBSERVED") > 0) & (F.col("SCHEDULED") >= 6) & (share < 0.8))
+    return _row(hit, "D08", "trip_truncation", "TRIP_INSTANCE", F.col("TRIP_INSTANCE_ID"), "FIRST_OBSERVED", "LAST_OBSERVED", "OBSERVED", "SCHEDULED", (1 - share) * 5, detail)
 
 
 def cluster_shocks(bins: DataFrame, base: DataFrame, z: float = 2.5, min_trips: int = 3) -> DataFrame:
@@ -95,7 +106,7 @@ def cluster_shocks(bins: DataFrame, base: DataFrame, z: float = 2.5, min_trips:
     b = null_safe(bins.withColumn("BIN_HOUR", F.hour("SCHED_BIN_15MIN")), base, CELL_KEYS)
     score = (F.col("MED_DELAY_SECS") - F.col("MED_CELL_DELAY")) / F.col("SIGMA_CELL")
     entity = F.concat_ws("|", "CELL_ID", F.date_format("SCHED_BIN_15MIN", "yyyyMMddHHmm"))
-    detail = F.format_string("cell %s: %d trips, median delay %ds vs typical %ds", "CELL_ID", "TRIPS", _whole("MED_DELAY_SECS"), _whole("MED_CELL_DELAY"))
+    detail = _say("cell median delay {}s vs baseline {}s across {} trips on {} routes", F.round("MED_DELAY_SECS"), F.round("MED_CELL_DELAY"), "TRIPS", "ROUTES")
     end = F.col("SCHED_BIN_15MIN") + F.make_dt_interval(mins=F.lit(15))
     return _row(b.where((F.col("TRIPS") >= min_trips) & (score >= z)), "D09", "cluster_shock", "CELL", F.col("CELL_ID"), "SCHED_BIN_15MIN", end, "MED_DELAY_SECS", "MED_CELL_DELAY", score, detail, entity)
 
@@ -106,18 +117,20 @@ def all_detections(frames: list[DataFrame]) -> DataFrame:
 
 
 def anomaly_summary(found: DataFrame) -> DataFrame:
-    n = lambda s: F.count_if(F.col("SEVERITY") == s)
-    return found.groupBy("DETECTOR", "DETECTOR_NAME").agg(F.count("*").alias("ANOMALIES"), n("HIGH").alias("HIGH"), n("MEDIUM").alias("MEDIUM"), n("LOW").alias("LOW"), F.countDistinct("SERVICE_DATE").alias("DAYS"), F.countDistinct("ROUTE_ID").alias("ROUTES"))
+    """Detections by detector and severity."""
+    return found.where("SEVERITY <> 'NONE'").groupBy("DETECTOR", "DETECTOR_NAME", "SEVERITY").agg(F.count("*").alias("ANOMALIES"), F.countDistinct("SERVICE_DATE").alias("DATES_AFFECTED"), F.countDistinct("ROUTE_ID").alias("ROUTES_AFFECTED"), F.round(F.median("SCORE"), 2).alias("MEDIAN_SCORE"))
 
 
-def worst_days(found: DataFrame) -> DataFrame:
-    return found.groupBy("SERVICE_DATE").agg(F.count("*").alias("ANOMALIES"), F.count_if(F.col("SEVERITY") == "HIGH").alias("HIGH"), F.countDistinct("DETECTOR").alias("DETECTORS"), F.countDistinct("ROUTE_ID").alias("ROUTES"))
+def worst_days(found: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Detections by service day. calendar: (SERVICE_DATE, DAY_TYPE, HOLIDAY_NAME)."""
+    days = found.where("SEVERITY <> 'NONE'").groupBy("SERVICE_DATE").agg(F.count("*").alias("ANOMALIES"), F.count_if(F.col("SEVERITY") == "HIGH").alias("HIGH_SEVERITY"), F.countDistinct("ROUTE_ID").alias("ROUTES_AFFECTED"))
+    return days.join(calendar.select("SERVICE_DATE", "DAY_TYPE", "HOLIDAY_NAME"), "SERVICE_DATE")
 
 
 def hot_cells(found: DataFrame, bins: DataFrame) -> DataFrame:
-    """Cells by their shocks. The mode is not in the key, so a cell-bin of two modes counts for each."""
-    shocks = found.where("DETECTOR = 'D09'").select(F.col("ENTITY_ID").alias("CELL_ID"), F.col("WINDOW_START").alias("SCHED_BIN_15MIN"), "SCORE")
-    return shocks.join(bins.select("CELL_ID", "SCHED_BIN_15MIN", "CELL_LAT", "CELL_LON", "TRIPS"), ["CELL_ID", "SCHED_BIN_15MIN"]).groupBy("CELL_ID").agg(F.count("*").alias("SHOCKS"), F.max("SCORE").alias("PEAK_SCORE"), F.avg("CELL_LAT").alias("CELL_LAT"), F.avg("CELL_LON").alias("CELL_LON"), F.sum("TRIPS").alias("TRIPS"))
+    """Cells and modes by their shocks. A shock's id has no mode, so it counts for each mode of its cell and quarter hour."""
+    shocks = found.where("DETECTOR = 'D09'").select(F.col("ENTITY_ID").alias("CELL_ID"), F.col("WINDOW_START").alias("SCHED_BIN_15MIN"))
+    return bins.join(shocks, ["CELL_ID", "SCHED_BIN_15MIN"]).groupBy("CELL_ID", "CELL_LAT", "CELL_LON", "MODE").agg(F.count("*").alias("HOT_BINS"), F.round(F.max("MED_DELAY_SECS"), 1).alias("WORST_MED_DELAY_SECS"))
 
 
 def scorecard(found: DataFrame, truth: DataFrame, tolerance_min: int = 15) -> DataFrame:
@@ -155,38 +168,83 @@ def headline(found: DataFrame, truth: DataFrame, fact: DataFrame, tolerance_min:
 
 
 def stop_hotspots(found: DataFrame, stops: DataFrame, least: int = 50, least_high: int = 10, tier_high: int = 20) -> DataFrame:
-    """Stops with many anomalies or many high ones: tier, routes, top detector (ties by name) and worst example (ties by id)."""
+    """Stops with a place and many anomalies, or many high ones: counts by severity, tier, modes, top detector (ties by name) and worst example: the greatest signed score (ties by id)."""
     rows = found.where("STOP_ID is not null")
     per_detector = rows.groupBy("STOP_ID", "DETECTOR_NAME").agg(F.count("*").alias("n"))
     top = per_detector.groupBy("STOP_ID").agg(F.min(F.struct((-F.col("n")).alias("m"), "DETECTOR_NAME")).alias("t")).select("STOP_ID", F.col("t.DETECTOR_NAME").alias("top_detector"), (-F.col("t.m")).alias("top_detector_count"))
-    worst = F.min(F.struct((-F.abs("SCORE")).alias("s"), "ANOMALY_ID", "DETAIL"))
-    out = rows.groupBy("STOP_ID").agg(F.count("*").alias("anomalies"), F.count_if(F.col("SEVERITY") == "HIGH").alias("high"), F.array_sort(F.collect_set("ROUTE_SHORT_NAME")).alias("routes"), worst.alias("w"))
+    n = lambda s: F.count_if(F.col("SEVERITY") == s)
+    worst = F.min(F.struct((-F.col("SCORE")).alias("s"), "ANOMALY_ID", F.struct(F.date_format("SERVICE_DATE", "yyyy-MM-dd").alias("date"), F.hour("WINDOW_START").alias("hour"), F.col("SEVERITY").alias("severity"), F.col("SCORE").alias("score"), F.col("DETAIL").alias("detail")).alias("example")))
+    out = rows.groupBy("STOP_ID").agg(F.count("*").alias("anomalies"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"), F.array_sort(F.collect_set("MODE")).alias("modes"), F.array_sort(F.collect_set("ROUTE_SHORT_NAME")).alias("routes"), worst.alias("w"))
     out = out.where((F.col("anomalies") >= least) | (F.col("high") >= least_high)).join(top, "STOP_ID").join(stops.select("STOP_ID", "STOP_NAME", "STOP_LAT", "STOP_LON"), "STOP_ID")
-    return out.withColumns({"tier": F.when(F.col("high") >= tier_high, "high").otherwise("elevated"), "worst_id": F.col("w.ANOMALY_ID"), "worst_score": -F.col("w.s"), "worst_detail": F.col("w.DETAIL")}).drop("w")
+    return out.withColumns({"tier": F.when(F.col("high") >= tier_high, "high").otherwise("elevated"), "worst_id": F.col("w.ANOMALY_ID"), "worst_score": -F.col("w.s"), "worst_example": F.col("w.example")}).drop("w")
 
 
 # the layer over all feeds -----------------------------------------------------------------------------------------------------
 
+#: What the feeds of the layer measure (fixed values).
+METRICS = {"sensors": "ped+vehicle / hr", "nzta": "traffic / hr (synthetic)", "flights": "total movements / hr"}
+UNIFIED = ["source", "location", "lat", "lon", "event_date", "event_hour", "is_weekend", "severity", "score", "metric", "is_synthetic"]
+
+
+def _feed(df: DataFrame, source: str, location: str, score: str, metric: Column, synthetic: bool) -> DataFrame:
+    return df.select(F.lit(source).alias("source"), F.col(location).alias("location"), "lat", "lon", "event_date", "event_hour", "is_weekend", "severity", F.round(score, 2).alias("score"), metric.alias("metric"), F.lit(synthetic).alias("is_synthetic"))
+
+
+def sensor_feed(hourly: DataFrame, streets: DataFrame, z: float = 2.5) -> DataFrame:
+    """Street hours far from the mean of their hour and kind of day. streets: (street, centroid_lat, centroid_lon)."""
+    base = hourly.groupBy("street", "hour", "is_weekend").agg(F.avg("total_count").alias("_m"), F.stddev_samp("total_count").alias("_s"))
+    rows = null_safe(hourly, base, ["street", "hour", "is_weekend"]).withColumn("z", F.when(F.col("_s") > 0, (F.col("total_count") - F.col("_m")) / F.col("_s"))).where(F.abs("z") >= z)
+    rows = rows.join(streets.select("street", F.col("centroid_lat").alias("lat"), F.col("centroid_lon").alias("lon")), "street", "left")
+    rows = rows.withColumns({"event_date": F.col("date"), "event_hour": F.col("hour"), "severity": F.when(F.abs("z") >= 3.5, "HIGH").when(F.abs("z") >= 2.5, "MEDIUM")})
+    return _feed(rows, "sensors", "street", "z", F.lit(METRICS["sensors"]), False)
+
+
+def transit_feed(found: DataFrame, stops: DataFrame) -> DataFrame:
+    """Detections at a stop with a place, by the hour in which their window begins."""
+    rows = found.join(stops.select("STOP_ID", "STOP_NAME", F.col("STOP_LAT").alias("lat"), F.col("STOP_LON").alias("lon")), "STOP_ID").where("lat is not null")
+    rows = rows.withColumns({"event_date": F.col("SERVICE_DATE"), "event_hour": F.hour("WINDOW_START"), "is_weekend": is_weekend("SERVICE_DATE"), "severity": F.col("SEVERITY"), "score": F.col("SCORE")})
+    return _feed(rows, "metlink", "STOP_NAME", "score", F.col("DETECTOR_NAME"), True)
 
-def unify_feeds(feeds: dict[str, DataFrame]) -> DataFrame:
-    """feeds: name -> (location, lat, lon, event_date, event_hour, severity, score). MEDIUM and above, by column name."""
-    return union_all([df.withColumn("source", F.lit(name)).where("severity in ('HIGH', 'MEDIUM')") for name, df in feeds.items()])
+
+def highway_feed(disaggregated: DataFrame) -> DataFrame:
+    """Hours of the days of rollup.disaggregate(), which carry the day's score and severity."""
+    return _feed(disaggregated, "nzta", "location", "robust_z", F.lit(METRICS["nzta"]), True)
+
+
+def flight_feed(scored: DataFrame, name: str, lat: float, lon: float) -> DataFrame:
+    """Hours of one airport."""
+    rows = scored.withColumns({"location": F.lit(name), "lat": F.lit(lat), "lon": F.lit(lon)})
+    return _feed(rows, "flights", "location", "robust_z", F.lit(METRICS["flights"]), False)
+
+
+def unify_feeds(feeds: list[DataFrame]) -> DataFrame:
+    """Rows of UNIFIED columns of all feeds, MEDIUM and above, by column name."""
+    return union_all([df.select(*UNIFIED).where("severity in ('HIGH', 'MEDIUM')") for df in feeds])
 
 
 def anomaly_points(unified: DataFrame) -> DataFrame:
-    """Hits and greatest severity rank by source, location, day and hour."""
-    return unified.groupBy("source", "location", "event_date", "event_hour").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"), F.count("*").alias("hits"), F.max(severity_rank("severity")).alias("sev_rank"))
+    """Hits and greatest severity rank by source, place, day and hour; the metric is any of theirs (the least)."""
+    return unified.groupBy("source", "location", "lat", "lon", "event_date", "event_hour", "is_weekend").agg(F.min("metric").alias("metric"), F.count("*").alias("hits"), F.max(severity_rank("severity")).alias("sev_rank"))
 
 
-def conform(points: DataFrame, sources: list[str], places: int = 2) -> DataFrame:
+#: Source -> its column of hits in the conformed layer (fixed values).
+HITS = {"sensors": "sensor_hits", "metlink": "metlink_hits", "nzta": "nzta_hits", "flights": "flight_hits"}
+
+
+def conform(unified: DataFrame, places: int = 2) -> DataFrame:
     """One row for each cell, day and hour: hits by source, their total, the number and names of the sources that agree."""
-    rows = points.where("lat is not null and lon is not null").withColumn("cell_id", cell_id("lat", "lon", places))
-    by = [F.sum(F.when(F.col("source") == s, F.col("hits")).otherwise(0)).alias(f"{s}_hits") for s in sources]
-    return rows.groupBy("cell_id", "event_date", "event_hour").agg(F.min(F.round("lat", places)).alias("cell_lat"), F.min(F.round("lon", places)).alias("cell_lon"), *by, F.sum("hits").alias("total_hits"), F.countDistinct("source").alias("sources_hit"), F.max("sev_rank").alias("max_sev_rank"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
+    rows = unified.where("lat is not null").withColumns({"cell_lat": F.round("lat", places), "cell_lon": F.round("lon", places), "cell_id": grid_id("lat", "lon", places)})
+    by = [F.count_if(F.col("source") == s).alias(name) for s, name in HITS.items()]
+    return rows.groupBy("cell_id", "cell_lat", "cell_lon", "event_date", "event_hour").agg(*by, F.count("*").alias("total_hits"), F.countDistinct("source").alias("sources_hit"), F.max(severity_rank("severity")).alias("max_sev_rank"), F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources"))
+
+
+def source_totals(unified: DataFrame) -> DataFrame:
+    return unified.groupBy("source").agg(F.count("*").alias("anomaly_records"), F.countDistinct("location").alias("locations"), F.countDistinct("event_date").alias("dates"))
 
 
 def corroboration(conformed: DataFrame) -> DataFrame:
-    return conformed.groupBy("sources_hit").agg(F.count("*").alias("cell_hours"), F.sum("total_hits").alias("total_hits"))
+    """How many cell-hours so many sources agree on, in how many cells and on how many days."""
+    return conformed.groupBy("sources_hit").agg(F.count("*").alias("cell_hours"), F.countDistinct("cell_id").alias("cells"), F.countDistinct("event_date").alias("dates"))
 
 
 def top_cells(conformed: DataFrame, least: int = 2, n: int = 100) -> DataFrame:

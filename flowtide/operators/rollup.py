@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import c, hour_of_week, is_weekend, iso_dow, street_of, sunday_dow, utc_to_local
+from ..functions.columns import hour_of_week, is_people, is_weekend, iso_dow, street_of, sunday_dow, utc_to_local
 
 COUNT_KEY = ["date", "siteID", "laneNumber", "flowDirection", "classWeight"]
 
@@ -91,12 +91,17 @@ def hourly_movements(moves: DataFrame, first: Column, last: Column) -> DataFrame
     return grid.withColumn("is_weekend", is_weekend("event_date"))
 
 
-def diurnal_weights(hourly: DataFrame, value: str = "count") -> DataFrame:
-    """(is_weekend, hour, weight): the share of each hour in its kind of day; the weights of a kind sum to 1."""
-    sums = hourly.groupBy(is_weekend("date").alias("is_weekend"), "hour").agg(F.sum(value).alias("n"))
+def diurnal_weights(hourly: DataFrame, value: str = "total_count") -> DataFrame:
+    """(is_weekend, hour, weight): the share of each hour in its kind of day, learned from vehicles only; the weights of a kind sum to 1. hourly: by transport_class and date."""
+    vehicles = hourly.where(~is_people("transport_class"))
+    sums = vehicles.groupBy(is_weekend("date").alias("is_weekend"), "hour").agg(F.sum(value).alias("n"))
     return sums.select("is_weekend", "hour", (F.col("n") / F.sum("n").over(Window.partitionBy("is_weekend"))).alias("weight"))
 
 
-def disaggregate(daily: DataFrame, weights: DataFrame, value: str = "total_count") -> DataFrame:
-    """Each day's total spread over its hours by weight, marked as synthetic."""
-    return daily.join(F.broadcast(weights), "is_weekend").withColumns({f"hourly_{value}": c(value) * F.col("weight"), "is_synthetic": F.lit(True)})
+def disaggregate(scored: DataFrame, weights: DataFrame) -> DataFrame:
+    """The days of sites with a place, spread over their hours by weight and marked as synthetic; ratio, score and severity of the day go to every hour."""
+    hours = scored.where("lat is not null").join(F.broadcast(weights), "is_weekend")  # 24 weights for each kind of day
+    return hours.select(
+        "SiteRef", F.col("site_name").alias("location"), "state_highway", "lat", "lon", F.col("count_date").alias("event_date"), F.col("hour").alias("event_hour"), "is_weekend",
+        (F.col("total_count") * F.col("weight")).alias("observed_synth"), "ratio", "robust_z", "severity", F.col("change").alias("direction"), F.lit(True).alias("is_synthetic"),
+    )

@@ -9,6 +9,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialized
 from .baseline import SEASON, fit_seasonal_baseline, null_safe, score_observations
 from .config import Thresholds
 
@@ -69,17 +70,21 @@ def data_gaps(baseline: DataFrame, current: DataFrame, day: date, hour: int) ->
 def analyze_snapshot(frame: DataFrame, target: str | datetime, lookback_weeks: int = 12, config: Thresholds = Thresholds(), min_samples: int = 8) -> Snapshot:
     """Score the observations of the target hour against the weeks before it. Rows after the target are never read."""
     day, hour = local_hour(target)
+    requested = datetime.fromisoformat(target) if isinstance(target, str) else target
     at = datetime(day.year, day.month, day.day, hour)
     moment = F.make_timestamp_ntz(F.year("date"), F.month("date"), F.dayofmonth("date"), F.col("hour"), F.lit(0), F.lit(0))
     first = at - timedelta(weeks=lookback_weeks)
     history = frame.where((F.col("date") >= F.lit(first.date())) & (F.col("date") <= F.lit(day))).where((moment >= F.lit(first).cast("timestamp_ntz")) & (moment < F.lit(at).cast("timestamp_ntz")))
     current = frame.where((F.col("date") == F.lit(day)) & (F.col("hour") == hour))
-    baseline = fit_seasonal_baseline(history, min_samples)
+    # read by the scores, the gaps and the health row
+    baseline = materialized(fit_seasonal_baseline(history, min_samples), "baseline")
     scored = score_observations(current, baseline, config)
     gaps = data_gaps(baseline, current, day, hour)
-    expected = baseline.where((F.col("day_of_week") == day.weekday()) & (F.col("hour") == hour)).agg(F.count("*").alias("expected_series"))
-    seen = scored.agg(F.count("*").alias("observed_series"), F.count_if(F.col("status") == "candidate").alias("candidates"), F.count_if(F.col("status") == "insufficient_baseline").alias("insufficient_baseline"))
-    health = seen.crossJoin(expected).crossJoin(gaps.agg(F.count("*").alias("data_gaps"))).select(F.lit(str(target)).alias("target_at"), F.lit(lookback_weeks).alias("lookback_weeks"), "observed_series", "expected_series", "data_gaps", "candidates", "insufficient_baseline")
+    expected = baseline.where((F.col("day_of_week") == day.weekday()) & (F.col("hour") == hour)).agg(F.count("*").alias("expected_groups"))
+    seen = scored.agg(F.count("*").alias("observed_groups"), F.count_if(F.col("status") == "candidate").alias("candidate_count"), F.count_if(F.col("status") == "insufficient_baseline").alias("insufficient_baseline_count"))
+    health = seen.crossJoin(expected).crossJoin(gaps.agg(F.count("*").alias("data_gap_groups"))).select(
+        F.lit(requested.isoformat()).alias("target_at"), F.lit("batch replay").alias("publisher_mode"), "observed_groups", "expected_groups", "data_gap_groups", "candidate_count", "insufficient_baseline_count"
+    )
     return Snapshot(scored, scored.where("status = 'candidate'"), gaps, health)
 
 

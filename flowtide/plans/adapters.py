@@ -62,8 +62,9 @@ def stop_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     route = F.col("o_custkey") % 20
     l = l.withColumns({"STOP_SEQUENCE": F.row_number().over(line), "SERVICE_DATE": F.date_add(F.lit("2024-01-01").cast("date"), (F.datediff("o_orderdate", F.lit("1992-01-01")) % 14).cast("int")), "_seen": F.col("l_returnflag") != "R"})
     l = l.withColumn("SCHED_ARRIVAL_LOCAL", F.col("SERVICE_DATE").cast("timestamp_ntz") + F.make_dt_interval(hours=(5 + F.col("o_orderkey") % 18).cast("int"), mins=F.col("STOP_SEQUENCE") * 3))
-    delay = F.when(F.col("_seen"), F.datediff("l_shipdate", "o_orderdate"))
-    l = l.withColumns({"ARRIVAL_DELAY_SECS": delay, "DWELL_SECS": F.when(F.col("_seen"), F.col("l_quantity").cast("int"))})
+    # as in the feed, a stop that is not reported has no actual times either
+    known = F.col("_seen") & (F.col("l_discount") < 0.09)
+    l = l.withColumns({"ARRIVAL_DELAY_SECS": F.when(known, F.datediff("l_shipdate", "o_orderdate")), "DWELL_SECS": F.when(known, F.col("l_quantity").cast("int"))})
     l = l.withColumn("ACTUAL_ARRIVAL_LOCAL", F.col("SCHED_ARRIVAL_LOCAL") + F.make_dt_interval(secs=F.col("ARRIVAL_DELAY_SECS")))
     return l.select(
         F.col("l_orderkey").cast("string").alias("TRIP_INSTANCE_ID"), "SERVICE_DATE", F.concat(F.lit("R"), route).alias("ROUTE_ID"), route.cast("string").alias("ROUTE_SHORT_NAME"), F.when(F.col("o_custkey") % 5 != 0, (F.col("o_custkey") % 2).cast("int")).alias("DIRECTION_ID"),
@@ -92,7 +93,7 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, i = F.col("user_id") % 10, F.col("event_id")
     e = table(spark, sf_dir, "events")
     return e.select(
-        v.cast("string").alias("TRIP_INSTANCE_ID"), F.concat(F.lit("V"), v).alias("VEHICLE_ID"), F.to_date("ts").alias("SERVICE_DATE"), F.concat(F.lit("R"), v).alias("ROUTE_ID"), v.cast("string").alias("ROUTE_SHORT_NAME"), F.when(v < 7, "BUS").otherwise("RAIL").alias("MODE"),
+        F.concat_ws("|", v, F.date_format("ts", "yyyyMMdd")).alias("TRIP_INSTANCE_ID"), F.concat(F.lit("V"), v).alias("VEHICLE_ID"), F.to_date("ts").alias("SERVICE_DATE"), F.concat(F.lit("R"), v).alias("ROUTE_ID"), v.cast("string").alias("ROUTE_SHORT_NAME"), F.when(v < 7, "BUS").otherwise("RAIL").alias("MODE"),
         F.col("ts").alias("PING_LOCAL"), (F.col("ts") - F.make_dt_interval(secs=i * 7 % 150)).alias("DEVICE_TS_LOCAL"), (-41.3 + (i * 37 % 1000) / 10000.0).alias("LATITUDE"), (174.7 + (i * 53 % 1000) / 10000.0).alias("LONGITUDE"),
     )
 
@@ -120,28 +121,56 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A table that many queries read, written once for each application and folder of tables, which do not change meanwhile."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _made:
+        _made[key] = materialized(build(), name)
+    return _made[key]
+
+
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = transit.stage_stop_events(stop_events(spark, sf_dir))
-    return transit.stop_event_fact(events, routes(spark, sf_dir), stops(spark, sf_dir))
+    """The staged events are written once, as both dimensions and the fact read them."""
+    events = once(spark, sf_dir, "staged-events", lambda: transit.stage_stop_events(stop_events(spark, sf_dir)))
+    return once(spark, sf_dir, "fact", lambda: transit.stop_event_fact(events, routes(spark, sf_dir, events), stops(spark, sf_dir, events)))
+
+
+def routes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return transit.route_dimension(transit.stage_routes(gtfs_routes(spark, sf_dir)), stop_events(spark, sf_dir) if events is None else events, ROUTE_DAYS)
+
+
+def stops(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    return transit.stop_dimension(transit.stage_stops(gtfs_stops(spark, sf_dir)), stop_events(spark, sf_dir) if events is None else events)
+
+
+def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "motion", lambda: transit.ping_motion(pings(spark, sf_dir)))
 
 
-def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transit.route_dimension(transit.stage_routes(gtfs_routes(spark, sf_dir)), stop_events(spark, sf_dir), ROUTE_DAYS)
+def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, sf_dir, "bins", lambda: transit.spatial_bins(fact(spark, sf_dir), min_n=BIN_EVENTS))
 
 
-def stops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transit.stop_dimension(transit.stage_stops(gtfs_stops(spark, sf_dir)), stop_events(spark, sf_dir))
+#: Detector -> its rows.
+DETECTORS = {
+    "D01": lambda s, d: detectors.delay_outliers(fact(s, d), transit.delay_baseline(fact(s, d)), DELAY_Z),
+    "D02": lambda s, d: detectors.bunching(transit.headways(fact(s, d))),
+    "D03": lambda s, d: detectors.gapping(transit.headways(fact(s, d))),
+    "D04": lambda s, d: detectors.ghost_trips(fact(s, d)),
+    "D05": lambda s, d: detectors.dwell_outliers(fact(s, d), transit.dwell_baseline(fact(s, d)), DWELL_Z),
+    "D06": lambda s, d: detectors.teleports(motion(s, d)),
+    "D07": lambda s, d: detectors.stale_vehicles(motion(s, d)),
+    "D08": lambda s, d: detectors.truncations(fact(s, d)),
+    "D09": lambda s, d: detectors.cluster_shocks(bins(s, d), transit.spatial_baseline(bins(s, d), BASE_BINS), SHOCK_Z, 2),
+}
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nine detectors. The fact, the bins and the motion feed several of them and are written once; so is the result, which reports read more than once."""
-    f = materialized(fact(spark, sf_dir), "fact")
-    h, m, b = transit.headways(f), materialized(transit.ping_motion(pings(spark, sf_dir)), "motion"), materialized(transit.spatial_bins(f, min_n=BIN_EVENTS), "bins")
-    found = detectors.all_detections([
-        detectors.delay_outliers(f, transit.delay_baseline(f), DELAY_Z), detectors.bunching(h), detectors.gapping(h), detectors.ghost_trips(f), detectors.dwell_outliers(f, transit.dwell_baseline(f), DWELL_Z),
-        detectors.teleports(m), detectors.stale_vehicles(m), detectors.truncations(f), detectors.cluster_shocks(b, transit.spatial_baseline(b, BASE_BINS), SHOCK_Z, 2),
-    ])
-    return materialized(found, "detections")
+    """All nine detectors, written once: the reports and the scorecard read them."""
+    return once(spark, sf_dir, "detections", lambda: detectors.all_detections([rows(spark, sf_dir) for rows in DETECTORS.values()]))
 
 
 #: Thresholds that fire on these tables, whose delays are spread evenly.

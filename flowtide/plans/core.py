@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import baseline, boards, detectors, rollup, snapshot
+from ..sources.landed import AIRPORT
 from . import adapters as A
 from .oracle import sql
 from .registry import query
@@ -21,7 +22,7 @@ def day(name: str = "date"):
 
 
 def snap(s, d):
-    return snapshot.analyze_snapshot(A.observations(s, d, 2), A.TARGET, A.WEEKS, A.GATES, A.MIN_SAMPLES)
+    return snapshot.analyze_snapshot(A.once(s, d, "hourly", lambda: A.observations(s, d, 2)), A.TARGET, A.WEEKS, A.GATES, A.MIN_SAMPLES)
 
 
 SERIES = ["countline_id", "transport_class", "direction"]
@@ -50,7 +51,7 @@ def _(s, d):
     return snap(s, d).candidates.select("countline_id", "transport_class", "count", "expected_count", *r4("robust_z"))
 
 
-@query("d03_health", sql("scored gaps base", "SELECT '2024-01-29T12:00:00' AS target_at, 4 AS lookback_weeks, (SELECT count(*) FROM scored) AS observed_series, (SELECT count(*) FROM base WHERE day_of_week = 0 AND hour = 12) AS expected_series, (SELECT count(*) FROM gaps) AS data_gaps, (SELECT count(*) FROM scored WHERE status = 'candidate') AS candidates, (SELECT count(*) FROM scored WHERE status = 'insufficient_baseline') AS insufficient_baseline"))
+@query("d03_health", sql("scored gaps base", "SELECT '2024-01-29T12:00:00' AS target_at, 'batch replay' AS publisher_mode, (SELECT count(*) FROM scored) AS observed_groups, (SELECT count(*) FROM base WHERE day_of_week = 0 AND hour = 12) AS expected_groups, (SELECT count(*) FROM gaps) AS data_gap_groups, (SELECT count(*) FROM scored WHERE status = 'candidate') AS candidate_count, (SELECT count(*) FROM scored WHERE status = 'insufficient_baseline') AS insufficient_baseline_count"))
 def _(s, d):
     return snap(s, d).health
 
@@ -178,45 +179,39 @@ def _(s, d):
 
 
 def weights(s, d):
-    return rollup.diurnal_weights(A.observations(s, d))
+    return rollup.diurnal_weights(class_hourly(s, d))
 
 
-@query("d17_diurnal_weights", sql("obs", "SELECT isodow(date) >= 6 AS is_weekend, hour, round(sum(count) / sum(sum(count)) OVER (PARTITION BY isodow(date) >= 6), 4) AS weight FROM obs GROUP BY isodow(date) >= 6, hour"))
+@query("d17_diurnal_weights", sql("dw", "SELECT is_weekend, hour, round(weight, 4) AS weight FROM dw"))
 def _(s, d):
     return weights(s, d).select("is_weekend", "hour", *r4("weight"))
 
 
-@query("d18_disaggregated", sql("daily obs", "SELECT SiteRef, strftime(count_date, '%Y-%m-%d') AS count_date, w.hour, round(total_count * weight, 4) AS hourly_total_count, true AS is_synthetic FROM daily JOIN (SELECT isodow(date) >= 6 AS is_weekend, hour, sum(count) / sum(sum(count)) OVER (PARTITION BY isodow(date) >= 6) AS weight FROM obs GROUP BY isodow(date) >= 6, hour) w USING (is_weekend)"))
-def _(s, d):
-    return rollup.disaggregate(site_days(s, d), weights(s, d)).select("SiteRef", day("count_date"), "hour", *r4("hourly_total_count"), "is_synthetic")
-
-
-FEEDS = {"sensor": "Pedestrian", "transit": "Cyclist", "highway": "error", "flight": "purchase"}
-FEED_SQL = """zz AS (SELECT countline_id AS location, transport_class, date, hour, count, (count - avg(count) OVER (PARTITION BY transport_class, hour)) / nullif(stddev_samp(count) OVER (PARTITION BY transport_class, hour), 0) AS score FROM obs),
-uni AS (SELECT CASE transport_class WHEN 'Pedestrian' THEN 'sensor' WHEN 'Cyclist' THEN 'transit' WHEN 'error' THEN 'highway' ELSE 'flight' END AS source, location, -41.3 + (location::INT % 4) * 0.01::DOUBLE AS lat, 174.7 + (location::INT % 3) * 0.01::DOUBLE AS lon, date AS event_date, hour AS event_hour, score, CASE WHEN abs(score) >= 2.0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM zz WHERE transport_class IN ('Pedestrian', 'Cyclist', 'error', 'purchase') AND abs(score) >= 1.0),
-pts AS (SELECT source, location, event_date, event_hour, min(lat) AS lat, min(lon) AS lon, count(*) AS hits, max(CASE severity WHEN 'HIGH' THEN 3 ELSE 2 END)::INT AS sev_rank FROM uni GROUP BY ALL),
-cf AS (SELECT printf('%.2f', round(lat, 2)) || '_' || printf('%.2f', round(lon, 2)) AS cell_id, event_date, event_hour, min(round(lat, 2)) AS cell_lat, min(round(lon, 2)) AS cell_lon, coalesce(sum(hits) FILTER (WHERE source = 'sensor'), 0)::BIGINT AS sensor_hits, coalesce(sum(hits) FILTER (WHERE source = 'transit'), 0)::BIGINT AS transit_hits,
-  coalesce(sum(hits) FILTER (WHERE source = 'highway'), 0)::BIGINT AS highway_hits, coalesce(sum(hits) FILTER (WHERE source = 'flight'), 0)::BIGINT AS flight_hits, sum(hits)::BIGINT AS total_hits, count(DISTINCT source) AS sources_hit, max(sev_rank) AS max_sev_rank, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources FROM pts GROUP BY 1, 2, 3)"""
+def site_hours(s, d):
+    return rollup.disaggregate(site_scores(s, d), weights(s, d))
 
 
-def feed_sql(body: str) -> str:
-    return sql("obs", "").rstrip() + ",\n" + FEED_SQL + "\n" + body
+@query("d18_disaggregated", sql("hwh", "SELECT SiteRef, location, state_highway, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, round(observed_synth, 4) AS observed_synth, ratio, robust_z, severity, direction, is_synthetic FROM hwh"))
+def _(s, d):
+    return site_hours(s, d).select("SiteRef", "location", "state_highway", day("event_date"), "event_hour", *r4("observed_synth"), "ratio", "robust_z", "severity", "direction", "is_synthetic")
 
 
-def feeds(s, d) -> dict[str, DataFrame]:
-    z = baseline.mean_score(A.observations(s, d), ["transport_class", "hour"], "count")
-    z = z.withColumn("score", (F.col("count") - F.col("baseline_mean")) / F.when(F.col("baseline_sd") != 0, F.col("baseline_sd"))).where("abs(score) >= 1.0")
-    k = F.col("countline_id").cast("int")
-    z = z.select("transport_class", F.col("countline_id").alias("location"), (-41.3 + k % 4 * 0.01).alias("lat"), (174.7 + k % 3 * 0.01).alias("lon"), F.col("date").alias("event_date"), F.col("hour").alias("event_hour"), "score", F.when(F.abs("score") >= 2, "HIGH").otherwise("MEDIUM").alias("severity"))
-    return {n: z.where(F.col("transport_class") == k).drop("transport_class") for n, k in FEEDS.items()}
+def unified(s, d) -> DataFrame:
+    """The four layers as one table, written once: points, cells and reports read it."""
+    streets = rollup.street_dimension(A.metadata(s, d))
+    build = lambda: detectors.unify_feeds([
+        detectors.sensor_feed(street_hourly(s, d), streets), detectors.transit_feed(A.detections(s, d), A.stops(s, d, A.fact(s, d))),
+        detectors.highway_feed(site_hours(s, d)), detectors.flight_feed(flight_scores(s, d), *AIRPORT),
+    ])
+    return A.once(s, d, "unified", build)
 
 
 def points(s, d):
-    return detectors.anomaly_points(detectors.unify_feeds(feeds(s, d)))
+    return detectors.anomaly_points(unified(s, d))
 
 
 def conformed(s, d):
-    return detectors.conform(points(s, d), list(FEEDS))
+    return detectors.conform(unified(s, d))
 
 
 @query("d19_sensor_anomalies", sql("class_z", "SELECT transport_class, strftime(date, '%Y-%m-%d') AS date, hour, z, CASE WHEN abs(z) >= 3.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM class_z WHERE abs(z) >= 2.5"))
@@ -225,37 +220,47 @@ def _(s, d):
     return z.where("abs(z) >= 2.5").select("transport_class", day(), "hour", "z", C.severity("z").alias("severity"))
 
 
-@query("d20_unified", feed_sql("SELECT source, location, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, severity, round(score, 4) AS score FROM uni"))
+UNI = "location, round(lat, 4) AS lat, round(lon, 4) AS lon, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, is_weekend"
+
+
+def uni(*more: str) -> list:
+    return ["source", "location", *r4("lat", "lon"), day("event_date"), "event_hour", "is_weekend", *more]
+
+
+@query("d20_unified", sql("uni", f"SELECT source, {UNI}, severity, score, metric, is_synthetic FROM uni"))
 def _(s, d):
-    return detectors.unify_feeds(feeds(s, d)).select("source", "location", day("event_date"), "event_hour", "severity", *r4("score"))
+    return unified(s, d).select(*uni("severity", "score", "metric", "is_synthetic"))
 
 
-@query("d21_points", feed_sql("SELECT source, location, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, hits, sev_rank FROM pts"))
+@query("d21_points", sql("pts", f"SELECT source, {UNI}, metric, hits, sev_rank FROM pts"))
 def _(s, d):
-    return points(s, d).select("source", "location", day("event_date"), "event_hour", "hits", "sev_rank")
+    return points(s, d).select(*uni("metric", "hits", "sev_rank"))
+
+
+CELL = "cell_id, cell_lat, cell_lon, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, sensor_hits, metlink_hits, nzta_hits, flight_hits, total_hits, sources_hit, sources"
 
 
-@query("d22_conformed", feed_sql("SELECT cell_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, round(cell_lat, 4) AS cell_lat, round(cell_lon, 4) AS cell_lon, sensor_hits, transit_hits, highway_hits, flight_hits, total_hits, sources_hit, max_sev_rank, sources FROM cf"))
+@query("d22_conformed", sql("cf", f"SELECT {CELL}, max_sev_rank FROM cf"))
 def _(s, d):
-    return conformed(s, d).withColumns({"event_date": day("event_date"), "cell_lat": F.round("cell_lat", 4), "cell_lon": F.round("cell_lon", 4)})
+    return conformed(s, d).withColumn("event_date", day("event_date"))
 
 
-@query("d23_corroboration", feed_sql("SELECT sources_hit, count(*) AS cell_hours, sum(total_hits)::BIGINT AS total_hits FROM cf GROUP BY 1"))
+@query("d23_corroboration", sql("cf", "SELECT sources_hit, count(*) AS cell_hours, count(DISTINCT cell_id) AS cells, count(DISTINCT event_date) AS dates FROM cf GROUP BY 1"))
 def _(s, d):
     return detectors.corroboration(conformed(s, d))
 
 
-@query("d23_top_cells", feed_sql("SELECT cell_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, total_hits, sources_hit, sources FROM (SELECT * FROM cf WHERE sources_hit >= 2 ORDER BY sources_hit DESC, total_hits DESC, cell_id, cf.event_date, event_hour LIMIT 100)"))
+@query("d23_top_cells", sql("cf", f"SELECT {CELL} FROM (SELECT * FROM cf ORDER BY sources_hit DESC, total_hits DESC, cell_id, cf.event_date, event_hour LIMIT 100)"))
 def _(s, d):
-    return detectors.top_cells(conformed(s, d)).select("cell_id", day("event_date"), "event_hour", "total_hits", "sources_hit", "sources")
+    return detectors.top_cells(conformed(s, d), 1).drop("max_sev_rank").withColumn("event_date", day("event_date"))
 
 
-@query("d23_source_totals", feed_sql("SELECT source, count(*) AS n, count(*) FILTER (WHERE severity = 'HIGH') AS high FROM uni GROUP BY 1"))
+@query("d23_source_totals", sql("uni", "SELECT source, count(*) AS anomaly_records, count(DISTINCT location) AS locations, count(DISTINCT event_date) AS dates FROM uni GROUP BY 1"))
 def _(s, d):
-    return detectors.unify_feeds(feeds(s, d)).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "HIGH").alias("high"))
+    return detectors.source_totals(unified(s, d))
 
 
-@query("d24_cell_summary", feed_sql("SELECT cell_id, count(*) AS cell_hours, max(sources_hit) AS max_sources, sum(total_hits)::BIGINT AS total_hits FROM cf GROUP BY 1"))
+@query("d24_cell_summary", sql("cf", "SELECT cell_id, count(*) AS cell_hours, max(sources_hit) AS max_sources, sum(total_hits)::BIGINT AS total_hits FROM cf GROUP BY 1"))
 def _(s, d):
     return detectors.cell_summary(conformed(s, d))
 

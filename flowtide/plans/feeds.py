@@ -11,9 +11,9 @@ from ..sinks import writers as K
 from ..sources import landed as S
 from ..streaming import jobs as M
 from . import adapters as A
-from .core import cameras, class_hourly, conformed, day, feed_sql, r4, site_scores, snap, street_hourly
-from .network import ts
-from .oracle import sql
+from .core import cameras, class_hourly, conformed, day, points, r4, site_scores, snap, street_hourly
+from .network import hotspot_sql, hotspots, ts
+from .oracle import sql, step_sql
 from .registry import query
 
 # sources and sinks: derived rows are written by a sink and read by a source
@@ -89,8 +89,8 @@ def _(s, d):
 @query("s10_json_array", "SELECT user_id::VARCHAR AS callsign, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
 def _(s, d):
     path = shared_folder(s, "array")
-    rows = A.table(s, d, "events").where("event_type = 'view'").groupBy(F.to_date("ts").alias("day")).agg(F.collect_list(F.struct(F.col("user_id").cast("string").alias("callsign"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lastSeen"))).alias("a"))
-    rows.repartition("day").select(F.to_json("a")).write.text(path)
+    rows = A.table(s, d, "events").where("event_type = 'view'").groupBy(chunk()).agg(F.collect_list(F.struct(F.col("user_id").cast("string").alias("callsign"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("lastSeen"))).alias("a"))
+    rows.select(F.to_json("a")).write.text(path)
     return S.load_json_lines(s, path, "callsign string, lastSeen long").groupBy("callsign").agg(F.count("*").alias("n"))
 
 
@@ -100,16 +100,26 @@ def _(s, d):
     return s.sql("SELECT n_name, count(*) AS n FROM v_supplier JOIN v_nation ON s_nationkey = n_nationkey GROUP BY n_name")
 
 
-@query("s12_constants", "SELECT r_name, k AS is_synthetic FROM region, (VALUES (true), (false)) t(k)")
+@query("s12_constants", "SELECT r_name, TABLE_NAME AS name, k AS is_synthetic FROM region, (VALUES ('fct_stop_event', true), ('fct_vehicle_ping', true), ('fct_anomaly_truth', true), ('dim_route', false), ('dim_stop', false), ('dim_service_date', false)) t(TABLE_NAME, k) UNION ALL SELECT r_name, 'Wellington Airport (WLG) -41.3272 174.8052', NULL FROM region UNION ALL SELECT r_name, d || ' ' || n, NULL FROM region, (VALUES ('2026-04-03', 'Good Friday'), ('2026-04-06', 'Easter Monday'), ('2026-04-25', 'ANZAC Day'), ('2026-04-27', 'ANZAC Day (observed)'), ('2026-04-03', '2026-04-26')) h(d, n)")
 def _(s, d):
-    flags = S.constant(s, S.PROVENANCE, "TABLE_NAME string, SOURCE_KIND string, IS_SYNTHETIC boolean, NOTES string").select(F.col("IS_SYNTHETIC").alias("is_synthetic")).distinct()
-    return A.table(s, d, "region").select("r_name").crossJoin(flags)
+    sources = S.constant(s, S.PROVENANCE, "TABLE_NAME string, SOURCE_KIND string, IS_SYNTHETIC boolean, NOTES string").select(F.col("TABLE_NAME").alias("name"), F.col("IS_SYNTHETIC").alias("is_synthetic"))
+    airport = S.constant(s, [S.AIRPORT], "name string, lat double, lon double").select(F.concat_ws(" ", "name", "lat", "lon").alias("name"))
+    days = S.constant(s, S.PUBLIC_HOLIDAYS + S.SCHOOL_HOLIDAYS, "a string, b string").select(F.concat_ws(" ", "a", "b").alias("name"))
+    return A.table(s, d, "region").select("r_name").crossJoin(sources.unionByName(airport.unionByName(days), allowMissingColumns=True))
+
+
+def chunk():
+    """1,000 events: a payload is of bounded size, whatever the size of the table."""
+    return F.floor(F.col("event_id") / 1000).alias("chunk")
 
 
 def polls(s, d, *cols):
-    """One poll a day and type, with entities as JSON."""
-    e = A.table(s, d, "events")
-    return e.groupBy(F.to_timestamp(F.to_date("ts")).alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.collect_list(F.struct(*cols)).alias("entity"))).alias("payload"))
+    """Polls of at most 1,000 entities as JSON."""
+    return polled(A.table(s, d, "events"), F.struct(F.collect_list(F.struct(*cols)).alias("entity")))
+
+
+def polled(events, payload, **more):
+    return events.groupBy(chunk()).agg(F.to_timestamp(F.min(F.to_date("ts"))).alias("snapshot_ts"), F.to_json(payload).alias("payload"), *[v.alias(k) for k, v in more.items()]).drop("chunk")
 
 
 SECS = 1704067200
@@ -120,9 +130,7 @@ def _(s, d):
     trip = F.when(F.col("event_id") % 2 == 0, F.struct(F.col("user_id").cast("string").alias("route_id"), F.lit(None).cast("string").alias("routeId"))).otherwise(F.struct(F.lit(None).cast("string").alias("route_id"), F.col("user_id").cast("string").alias("routeId")))
     lat = F.when(F.col("event_type") == "error", F.lit("bad")).otherwise(F.col("value").cast("string"))
     v = F.struct(trip.alias("trip"), F.struct(lat.alias("latitude")).alias("position"), F.struct(F.concat(F.lit("V"), "user_id").alias("id")).alias("vehicle"), (F.col("event_id") + SECS).alias("timestamp"))
-    e = A.table(s, d, "events").select("ts", "event_type", "event_id", "user_id", "value")
-    p = e.groupBy(F.to_timestamp(F.to_date("ts")).alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("event_id").cast("string").alias("id"), v.alias("vehicle"))).alias("entity"))).alias("payload"))
-    out = S.vehicle_positions(p)
+    out = S.vehicle_positions(polls(s, d, F.col("event_id").cast("string").alias("id"), v.alias("vehicle")))
     return out.select((F.unix_timestamp("vehicle_ts") - 1704067200).cast("string").alias("id"), "vehicle_id", "route_id", "latitude", ts("vehicle_ts"))
 
 
@@ -149,9 +157,9 @@ def _(s, d):
         raw = F.when(F.col("event_type") == k, v).otherwise(raw)
     e = A.table(s, d, "events").withColumns({"raw": raw, "at": F.date_format("ts", "yyyy-MM-dd HH:mm'Z'"), "fno": F.concat(F.lit("NZ "), "user_id"), "day": F.to_timestamp(F.to_date("ts"))})
     leg = F.struct(F.col("fno").alias("number"), F.col("raw").alias("status"), F.struct(F.struct(F.col("at").alias("utc")).alias("scheduledTime")).alias("movement"))
-    a = e.where("event_id % 2 = 0").groupBy(F.col("day").alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.collect_list(leg).alias("arrivals"))).alias("payload"), F.lit("a").alias("vendor"))
+    a = polled(e.where("event_id % 2 = 0"), F.struct(F.collect_list(leg).alias("arrivals")), vendor=F.lit("a"))
     row = F.struct(F.struct(F.col("fno").alias("iata")).alias("flight"), F.col("raw").alias("flight_status"), F.struct(F.col("at").alias("scheduled")).alias("departure"))
-    b = e.where("event_id % 2 = 1").groupBy(F.col("day").alias("snapshot_ts"), "event_type").agg(F.to_json(F.struct(F.lit("departure").alias("direction"), F.collect_list(row).alias("data"))).alias("payload"), F.lit("b").alias("vendor"))
+    b = polled(e.where("event_id % 2 = 1"), F.struct(F.lit("departure").alias("direction"), F.collect_list(row).alias("data")), vendor=F.lit("b"))
     return S.flight_boards(a.unionByName(b)).select("source", "direction", "flight_no", "status", "flight_key")
 
 
@@ -187,14 +195,20 @@ def _(s, d):
     return S.arcgis_rows(pages, {"OBJECTID": "bigint", "SiteRef": "string", "startDate": "bigint"}).select("OBJECTID", "SiteRef", day())
 
 
-@query("s20_camera_catalogue", "SELECT s_suppkey::VARCHAR AS camera_id, s_name AS camera_name, s_nationkey::DOUBLE AS lat FROM supplier WHERE s_suppkey % 7 <> 0")
+@query("s20_camera_catalogue", "SELECT s_suppkey::VARCHAR AS camera_id, CASE WHEN s_suppkey % 5 = 0 THEN 'Camera ' || s_suppkey ELSE s_name END AS camera_name, s_nationkey::DOUBLE AS lat, CASE WHEN s_suppkey % 2 = 0 THEN 'North' ELSE '' END AS region, s_suppkey % 3 = 0 AS offline, 'https://www.trafficnz.info/camera/' || s_suppkey || '.jpg' AS image_url FROM supplier WHERE s_suppkey % 7 <> 0")
 def _(s, d):
+    """Catalogues of at most 1,000 cameras: even ones as nested JSON, odd ones as XML with a namespace; each lists its cameras twice, the last time rightly."""
     k = F.col("s_suppkey")
-    sup = A.table(s, d, "supplier")
-    ident = F.when(k % 7 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string"))
-    rows = sup.select(F.lit(2).alias("seq"), F.create_map(F.lit("cameraId"), ident, F.lit("title"), F.col("s_name"), F.lit("y"), F.col("s_nationkey").cast("string"), F.lit("lng"), F.lit("170")).alias("attributes"))
-    old = sup.select(F.lit(1).alias("seq"), F.create_map(F.lit("id"), ident, F.lit("name"), F.lit("old"), F.lit("lat"), F.lit("1"), F.lit("lon"), F.lit("1")).alias("attributes"))
-    return S.cameras(rows.union(old)).select("camera_id", "camera_name", "lat")
+    sup = A.table(s, d, "supplier").withColumns({"chunk": F.floor(k / 1000), "ident": F.when(k % 7 == 0, F.concat(F.lit("x"), k)).otherwise(k.cast("string")), "title": F.when(k % 5 != 0, F.col("s_name")), "off": F.when(k % 3 == 0, "Yes").otherwise("no")})
+    old = F.struct(F.col("ident").alias("id"), F.lit("old").alias("name"), F.lit("1").alias("lat"), F.lit("1").alias("lon"))
+    new = F.struct(F.col("ident").alias("Camera-ID"), F.col("title").alias("Site Name"), F.col("s_nationkey").alias("Y"), F.lit(170.5).alias("LNG"), F.lit("North").alias("Region_Name"), F.col("off").alias("isOffline"), F.struct(F.lit(0).alias("frames")).alias("nested"))
+    json_docs = sup.where(k % 2 == 0).groupBy("chunk").agg(F.to_json(F.struct(F.struct(F.collect_list(old).alias("before"), F.struct(F.collect_list(new).alias("cameras")).alias("now")).alias("response"))).alias("doc"))
+    tag = F.concat(F.lit('<c:camera id="'), "ident", F.lit('"><c:latitude>'), "s_nationkey", F.lit("</c:latitude><c:x>170.5</c:x>"), F.coalesce(F.concat(F.lit("<c:description> "), "title", F.lit(" </c:description>")), F.lit("")), F.lit("<c:offline>"), "off", F.lit("</c:offline></c:camera>"))
+    xml_docs = sup.where(k % 2 == 1).groupBy("chunk").agg(F.concat(F.lit('<c:list xmlns:c="urn:cameras">'), F.array_join(F.collect_list(tag), ""), F.lit("</c:list>")).alias("doc"))
+    path = shared_folder(s, "cameras")
+    docs = json_docs.unionByName(xml_docs).select(F.monotonically_increasing_id().alias("n"), "doc")
+    docs.write.partitionBy("n").text(path)
+    return S.cameras(S.camera_records(s, f"{path}/*/")).select("camera_id", "camera_name", "lat", "region", "offline", "image_url")
 
 
 @query("p15_region_filter", "SELECT s_suppkey AS camera_id FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_name LIKE '%1%'")
@@ -203,24 +217,26 @@ def _(s, d):
     return S.in_region(n.select(F.col("s_suppkey").alias("camera_id"), F.col("n_name").alias("region"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")), "1", 0, 0, 1, 1).select("camera_id")
 
 
-@query("k01_signal_features", sql("scored meta", "SELECT 'movement:' || s.countline_id || ':' || transport_class || ':ALL:2024-01-29T12:00:00' AS id, status, NAME AS name, round(robust_z, 4) AS robust_z, CASE WHEN data_quality <> 'complete' THEN 'low' WHEN history_samples >= 12 THEN 'high' ELSE 'medium' END AS level, round(LONGITUDE_START_LINE, 4) AS lon FROM scored s JOIN meta ON meta.COUNTLINE_ID = s.countline_id"))
+@query("k01_signal_features", sql("scored meta", "SELECT 'movement:' || s.countline_id || ':' || transport_class || ':ALL:2024-01-29T12:00:00' AS id, status, NAME AS name, round(robust_z, 4) AS robust_z, CASE WHEN data_quality <> 'complete' THEN 'low' WHEN history_samples >= 12 THEN 'high' ELSE 'medium' END AS level, history_samples, 'matched weekday and hour' AS basis, 'Fixed sensors do not represent every city journey.' AS first_limitation, 5 AS limitations, round(LONGITUDE_START_LINE, 4) AS lon FROM scored s JOIN meta ON meta.COUNTLINE_ID = s.countline_id"))
 def _(s, d):
     f = K.signal_features(snap(s, d).scored, A.metadata(s, d), "2024-01-31")
-    p = F.from_json("feature", "geometry struct<coordinates:array<array<double>>>, properties struct<status:string,name:string,robust_z:double,signal_confidence:struct<level:string>>")
-    return f.select("id", p.alias("p")).select("id", "p.properties.status", "p.properties.name", F.round("p.properties.robust_z", 4).alias("robust_z"), F.col("p.properties.signal_confidence.level").alias("level"), F.round(F.col("p.geometry.coordinates")[0][0], 4).alias("lon"))
+    p = F.from_json("feature", "geometry struct<coordinates:array<array<double>>>, properties struct<status:string,name:string,robust_z:double,signal_confidence:struct<level:string,history_samples:long,basis:string>,limitations:array<string>>")
+    x = f.select("id", p.alias("p")).select("id", "p.properties.*", F.round(F.col("p.geometry.coordinates")[0][0], 4).alias("lon"))
+    return x.select("id", "status", "name", F.round("robust_z", 4).alias("robust_z"), "signal_confidence.*", F.col("limitations")[0].alias("first_limitation"), F.size("limitations").alias("limitations"), "lon")
 
 
-@query("k02_coverage", sql("meta", "SELECT COUNTLINE_ID AS id, NAME AS name, round(LONGITUDE_END_LINE, 4) AS lon, round(LATITUDE_END_LINE, 4) AS lat FROM meta"))
+@query("k02_coverage", sql("meta", "SELECT 'countline:' || COUNTLINE_ID AS id, NAME AS name, round(LONGITUDE_END_LINE, 4) AS lon, round(LATITUDE_END_LINE, 4) AS lat FROM meta"))
 def _(s, d):
     f = K.coverage_features(A.metadata(s, d))
     p = F.from_json("feature", "geometry struct<coordinates:array<array<double>>>, properties struct<name:string>")
     return f.select("id", p.alias("p")).select("id", "p.properties.name", F.round(F.col("p.geometry.coordinates")[1][0], 4).alias("lon"), F.round(F.col("p.geometry.coordinates")[1][1], 4).alias("lat"))
 
 
-@query("k03_health_document", sql("scored", "SELECT count(*) AS observed_series, '2024-01-31' AS data_as_of FROM scored"))
+@query("k03_health_document", sql("scored gaps", "SELECT '2024-01-29T12:00:00' AS target_at, 'batch replay' AS publisher_mode, (SELECT count(*) FROM scored) AS observed_groups, (SELECT count(*) FROM gaps) AS data_gap_groups, '2024-01-31' AS data_as_of, 'at least monthly' AS publisher_cadence, 'Wellington City Council Transport Sensors' AS source, '12-week matched-weekday/hour median and MAD' AS method, 'Publisher data is batch refreshed, not a live emergency feed.' AS last_limitation"))
 def _(s, d):
     doc = K.health_document(snap(s, d).health, "2024-01-31")
-    return doc.select(F.from_json("document", "observed_series long, data_as_of string").alias("h")).select("h.*")
+    h = doc.select(F.from_json("document", "target_at string, publisher_mode string, observed_groups long, data_gap_groups long, data_as_of string, publisher_cadence string, source string, method string, limitations array<string>").alias("h")).select("h.*")
+    return h.withColumn("last_limitation", F.element_at("limitations", -1)).drop("limitations")
 
 
 @query("k05_camera_layer", sql("meta", "SELECT count(*) AS n, count(*) FILTER (WHERE lat BETWEEN s AND n AND lon BETWEEN w AND e) AS within FROM (SELECT -41.3 + (s_suppkey % 100) * 0.001::DOUBLE AS lat, 174.75 + (s_suppkey % 90) * 0.001::DOUBLE AS lon FROM supplier), (SELECT min(LATITUDE_START_LINE) AS s, max(LATITUDE_END_LINE) AS n, min(LONGITUDE_START_LINE) AS w, max(LONGITUDE_END_LINE) AS e FROM meta)").replace("AND n AND lon", "AND north AND lon").replace("max(LATITUDE_END_LINE) AS n,", "max(LATITUDE_END_LINE) AS north,"))
@@ -230,11 +246,19 @@ def _(s, d):
     return f.select(F.from_json("feature", "properties struct<within_countline_frame:boolean>").alias("f")).agg(F.count("*").alias("n"), F.count_if("f.properties.within_countline_frame").alias("within"))
 
 
-@query("k04_hotspot_features", sql("found st", "SELECT h.STOP_ID AS id, anomalies, high FROM (SELECT STOP_ID, count(*) AS anomalies, count(*) FILTER (WHERE SEVERITY = 'HIGH') AS high FROM found WHERE STOP_ID IS NOT NULL GROUP BY 1 HAVING count(*) >= 50 OR count(*) FILTER (WHERE SEVERITY = 'HIGH') >= 10) h JOIN st ON st.STOP_ID = h.STOP_ID"))
+@query("k04_hotspot_features", hotspot_sql("SELECT STOP_ID AS id, row_number() OVER (ORDER BY anomalies DESC, STOP_ID)::INT AS rank, 'transit-stop:' || STOP_ID AS feature_id, anomalies AS anomaly_count, medium AS medium_count, low AS low_count, modes, tier AS severity_tier, worst_detail, worst_hour, round(STOP_LON, 6) AS lon, 5 AS limitations FROM hs"))
+def _(s, d):
+    p = F.from_json("feature", "id string, geometry struct<coordinates:array<double>>, properties struct<anomaly_count:long,medium_count:long,low_count:long,modes:array<string>,severity_tier:string,worst_example:struct<hour:int,detail:string>,limitations:array<string>>")
+    f = K.hotspot_features(hotspots(s, d)).select("id", "rank", p.alias("f")).select("id", "rank", F.col("f.id").alias("feature_id"), "f.properties.*", F.col("f.geometry.coordinates")[0].alias("lon"))
+    return f.withColumns({"modes": F.array_join("modes", ","), "worst_detail": F.col("worst_example.detail"), "worst_hour": F.col("worst_example.hour"), "limitations": F.size("limitations")}).drop("worst_example")
+
+
+@query("k04_hotspot_collection", hotspot_sql("SELECT count(*) AS features, (SELECT count(*) FROM st) AS stop_count, first(STOP_ID ORDER BY anomalies DESC, STOP_ID) AS first_stop FROM hs"))
 def _(s, d):
-    h = detectors.stop_hotspots(A.detections(s, d), A.stops(s, d))
-    f = K.point_features(h, "STOP_ID", "STOP_LON", "STOP_LAT", ["anomalies", "high", "routes", "tier"])
-    return f.select("id", F.from_json("feature", "properties struct<anomalies:long,high:long>").alias("f")).select("id", "f.properties.anomalies", "f.properties.high")
+    stops = A.stops(s, d, A.fact(s, d)).count()
+    doc = K.collection(K.hotspot_features(hotspots(s, d)), "transit-anomaly-collection/v1", "2024-01-31", "rank", stop_count=F.lit(stops), hotspot_count=F.count("*"))
+    c = doc.select(F.from_json("document", "stop_count long, hotspot_count long, features array<struct<id:string>>").alias("c"))
+    return c.select(F.col("c.hotspot_count").alias("features"), "c.stop_count", F.regexp_replace(F.get("c.features", F.lit(0))["id"], "transit-stop:", "").alias("first_stop"))
 
 
 @query("k11_flat_rows", "SELECT s_suppkey::VARCHAR AS id, 'Point' AS geometry_type, round(174.75 + (s_suppkey % 90) * 0.001::DOUBLE, 4) AS lon, s_name AS who_name, s_nationkey AS who_nation, 'a | b' AS tags FROM supplier")
@@ -252,8 +276,8 @@ def _(s, d):
 
 # streams ---------------------------------------------------------------------------------------------------------------------
 
-FILLED = ("estimated_utc", "actual_utc")
-DEDUP = "SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY flight_key ORDER BY (estimated_utc IS NOT NULL)::INT + (actual_utc IS NOT NULL)::INT DESC, snapshot_ts DESC, event_id) = 1"
+FILLED = ("actual_utc", "estimated_utc")
+DEDUP = "SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY flight_key ORDER BY actual_utc DESC NULLS LAST, estimated_utc DESC NULLS LAST, snapshot_ts DESC, event_id) = 1"
 
 
 def board(s, d):
@@ -268,17 +292,17 @@ def stream_of(s, d, build):
     return M.landed(s, path, s.read.parquet(path).schema)
 
 
-@query("m01_snapshots", "SELECT count(*) AS n, count(DISTINCT user_id) AS keys FROM events")
+@query("m01_snapshots", sql("fs", f"SELECT flight_key, event_id, status FROM ({DEDUP})"))
 def _(s, d):
     store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
     M.run(store.start(stream_of(s, d, board(s, d))))
-    return s.read.parquet(f"{store.root}/snapshots").agg(F.count("*").alias("n"), F.countDistinct("flight_key").alias("keys"))
+    return s.read.parquet(f"{store.root}/snapshots").select("flight_key", "event_id", "status")
 
 
 @query("m02_latest_state", sql("fs", f"SELECT flight_key, status, gate, strftime(snapshot_ts, '%Y-%m-%d %H:%M:%S') AS last_seen_ts FROM ({DEDUP})"))
 def _(s, d):
     store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
-    q = M.run(store.start(stream_of(s, d, board(s, d).coalesce(1))))
+    q = M.run(store.start(stream_of(s, d, board(s, d))))
     return store.last(s, q).select("flight_key", "status", "gate", ts("last_seen_ts"))
 
 
@@ -296,19 +320,15 @@ def _(s, d):
 @query("m05_ingest_log", "SELECT count(*) AS rows_fetched, count(DISTINCT user_id) AS rows_changed, true AS ok FROM events")
 def _(s, d):
     store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
-    M.run(store.start(stream_of(s, d, board(s, d).coalesce(1))))
+    M.run(store.start(stream_of(s, d, board(s, d))))
     return s.read.parquet(f"{store.root}/ingest").select("rows_fetched", "rows_changed", "ok")
 
 
-def last_table(s, q, root):
-    return s.read.parquet(f"{root}/batch={q.lastProgress['batchId']}")
-
-
 @query("m06_stream_hourly", "SELECT event_type, strftime(t, '%Y-%m-%d') AS event_date, hour(t)::INT AS event_hour, count(*) AS n FROM (SELECT event_type, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Pacific/Auckland' AS t FROM events) GROUP BY 1, 2, 3")
 def _(s, d):
     root = shared_folder(s, "hourly")
-    q = M.run(M.complete_table(M.hourly_counts(stream_of(s, d, A.table(s, d, "events")), "ts", "Pacific/Auckland", "event_type"), root))
-    return last_table(s, q, root).withColumn("event_date", day("event_date"))
+    M.run(M.updated_table(M.hourly_counts(stream_of(s, d, A.table(s, d, "events")), "ts", "Pacific/Auckland", "event_type"), root))
+    return M.read_updated(s, root, "bin_start", "event_type").drop("bin_start").withColumn("event_date", day("event_date"))
 
 
 CELLS = "printf('%.2f', round(-41.3 + (event_id * 37 % 30) / 1000.0::DOUBLE + 0.0003, 2)) || '_' || printf('%.2f', round(174.7 + (event_id * 53 % 30) / 1000.0::DOUBLE + 0.0003, 2))"
@@ -319,8 +339,8 @@ def _(s, d):
     i = F.col("event_id")
     e = A.table(s, d, "events").select("ts", "value", (-41.3 + i * 37 % 30 / 1000.0 + 0.0003).alias("lat"), (174.7 + i * 53 % 30 / 1000.0 + 0.0003).alias("lon"))
     root = shared_folder(s, "cells")
-    q = M.run(M.complete_table(M.cell_bins(stream_of(s, d, e), "ts", "lat", "lon", "value", 2), root))
-    return last_table(s, q, root).select("cell_id", ts("bin_start"), "n", *r4("median_value", "p90_value"))
+    M.run(M.updated_table(M.cell_bins(stream_of(s, d, e), "ts", "lat", "lon", "value", 2), root))
+    return M.read_updated(s, root, "bin_start", "cell_id").select("cell_id", ts("bin_start"), "n", *r4("median_value", "p90_value"))
 
 
 @query("m08_stream_archive", "SELECT strftime(t, '%Y-%m-%d') AS service_date, hour(t)::INT AS hour, count(*) AS n FROM (SELECT (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Pacific/Auckland' AS t FROM events) GROUP BY 1, 2")
@@ -415,9 +435,36 @@ def _(s, d):
     return reports.heatmap(e, "user_id", "h", 15)
 
 
-@query("q06_highway_metrics", sql("dscored", "SELECT count(*) AS site_days, count(*) FILTER (WHERE severity <> 'NONE') AS flagged, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(DISTINCT SiteRef) AS sites, count(DISTINCT SiteRef) FILTER (WHERE no_location) AS no_location FROM dscored"))
+HIGHWAY = "severity IN ('HIGH', 'MEDIUM') AND change IN ('DROP') AND count_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'"
+
+
+def highways(s, d):
+    return reports.highway_filter(site_scores(s, d), ("1993-01-01", "1997-12-31"), ["HIGH", "MEDIUM"], ["DROP"])
+
+
+@query("q06_highway_metrics", sql("dscored", f"SELECT count(*) AS site_days, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(DISTINCT SiteRef) AS sites, min(ratio) AS low_ratio FROM dscored WHERE {HIGHWAY}"))
+def _(s, d):
+    return reports.highway_metrics(highways(s, d))
+
+
+@query("q06_highway_top", sql("dscored", f"SELECT SiteRef, strftime(count_date, '%Y-%m-%d') AS count_date, total_count, round(baseline_median) AS baseline, ratio, robust_z, severity, no_location FROM dscored WHERE {HIGHWAY} QUALIFY row_number() OVER (ORDER BY abs(coalesce(robust_z, 0)) DESC, SiteRef, dscored.count_date) <= 400"))
+def _(s, d):
+    return reports.highway_top(highways(s, d), 400).select("SiteRef", day("count_date"), "total_count", "baseline", "ratio", "robust_z", "severity", "no_location")
+
+
+@query("q06_highway_points", sql("dscored", f"SELECT SiteRef, min(site_name) AS site_name, min(state_highway) AS state_highway, round(avg(lat), 4) AS lat, round(avg(lon), 4) AS lon, count(*) AS anomaly_days, count(*) FILTER (WHERE severity = 'HIGH') AS high_days, min(ratio) AS lowest_ratio FROM dscored WHERE {HIGHWAY} AND lat IS NOT NULL GROUP BY 1"))
+def _(s, d):
+    return reports.highway_points(highways(s, d)).withColumns({"lat": F.round("lat", 4), "lon": F.round("lon", 4)})
+
+
+@query("q06_highway_no_location", sql("dscored", f"SELECT SiteRef, strftime(count_date, '%Y-%m-%d') AS count_date, total_count, ratio, severity FROM dscored WHERE {HIGHWAY} AND no_location"))
 def _(s, d):
-    return reports.highway_metrics(site_scores(s, d))
+    return reports.highway_no_location(highways(s, d)).select("SiteRef", day("count_date"), "total_count", "ratio", "severity")
+
+
+@query("q06_highway_heatmap", sql("dscored", f"SELECT SiteRef, strftime(count_date, '%Y-%m-%d') AS count_date, ratio FROM dscored WHERE ratio IS NOT NULL AND SiteRef IN (SELECT SiteRef FROM dscored WHERE {HIGHWAY} GROUP BY 1 ORDER BY count(*) DESC, SiteRef LIMIT 2)"))
+def _(s, d):
+    return reports.highway_heatmap(site_scores(s, d), highways(s, d), 2).select("SiteRef", day("count_date"), "ratio")
 
 
 @query("q07_site_day_ratios", sql("dscored", "SELECT SiteRef, isodow(count_date)::INT AS dow, min(ratio) AS lowest FROM dscored GROUP BY 1, 2"))
@@ -425,16 +472,59 @@ def _(s, d):
     return site_scores(s, d).groupBy("SiteRef", C.iso_dow("count_date").alias("dow")).agg(F.min("ratio").alias("lowest"))
 
 
-@query("q08_corroborated", feed_sql("SELECT cell_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, sources_hit FROM cf WHERE sources_hit >= 2 AND event_hour BETWEEN 6 AND 20"))
+@query("q08_corroborated", sql("cf", "SELECT cell_id, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, sources_hit FROM cf WHERE sources_hit >= 1 AND event_hour BETWEEN 6 AND 20"))
+def _(s, d):
+    return conformed(s, d).where("sources_hit >= 1 and event_hour between 6 and 20").select("cell_id", day("event_date"), "event_hour", "sources_hit")
+
+
+@query("q08_points", sql("pts", "SELECT source, location, strftime(event_date, '%Y-%m-%d') AS event_date, event_hour, metric, sum(hits)::BIGINT AS hits, max(sev_rank) AS sev_rank FROM pts WHERE source IN ('sensors', 'metlink', 'flights') AND sev_rank >= 3 AND event_hour = 12 AND lat IS NOT NULL GROUP BY source, location, lat, lon, pts.event_date, event_hour, metric"))
 def _(s, d):
-    return conformed(s, d).where("sources_hit >= 2 and event_hour between 6 and 20").select("cell_id", day("event_date"), "event_hour", "sources_hit")
+    return reports.combined_points(points(s, d), ["sensors", "metlink", "flights"], 3, hour=12).select("source", "location", day("event_date"), "event_hour", "metric", "hits", "sev_rank")
 
 
-@query("q09_playback", feed_sql("SELECT strftime(x::DATE, '%Y-%m-%d') AS event_date, y::INT AS event_hour, count(cell_id) AS cells, coalesce(sum(total_hits), 0)::BIGINT AS hits FROM generate_series(DATE '2024-01-01', DATE '2024-01-07', INTERVAL 1 DAY) a(x) CROSS JOIN generate_series(0, 23) b(y) LEFT JOIN cf ON cf.event_date = x::DATE AND cf.event_hour = y GROUP BY 1, 2"))
+@query("q09_playback", sql("cf", "SELECT strftime(x::DATE, '%Y-%m-%d') AS event_date, y::INT AS event_hour, count(cell_id) AS cells, coalesce(sum(total_hits), 0)::BIGINT AS hits FROM generate_series(DATE '2024-01-01', DATE '2024-01-07', INTERVAL 1 DAY) a(x) CROSS JOIN generate_series(0, 23) b(y) LEFT JOIN cf ON cf.event_date = x::DATE AND cf.event_hour = y GROUP BY 1, 2"))
 def _(s, d):
     return reports.playback(conformed(s, d), "2024-01-01", "2024-01-07").withColumn("event_date", day("event_date"))
 
 
+SIGNALS = "sg AS (SELECT s.countline_id, NAME AS name, transport_class, direction, count AS observed_count, expected_count, round(robust_z, 4) AS robust_z, change_direction, data_quality, history_samples FROM scored s JOIN meta ON meta.COUNTLINE_ID = s.countline_id WHERE robust_z IS NOT NULL)"
+
+
+def signal_sql(body: str) -> str:
+    return sql("scored meta gaps", "").rstrip() + ",\n" + SIGNALS + "\n" + body
+
+
+def brief_signals(s, d):
+    return reports.named_signals(snap(s, d).scored, A.metadata(s, d)).withColumn("robust_z", F.round("robust_z", 4))
+
+
+LINE = ["countline_id", "name", "transport_class", "observed_count", "expected_count", "robust_z"]
+
+
+def _brief(name: str, condition: str, k: int | None, **kw) -> None:
+    top = f" QUALIFY row_number() OVER (ORDER BY abs(robust_z) DESC, countline_id, transport_class, direction) <= {k}" if k else ""
+    query(name, signal_sql(f"SELECT {', '.join(LINE)} FROM sg WHERE {condition}{top}"))(lambda s, d: reports.brief(brief_signals(s, d), k, **kw).select(*LINE))
+
+
+_brief("q10_brief_top", "true", 5)
+_brief("q10_brief_drops", "change_direction = 'decrease'", 5, way="decrease")
+_brief("q10_brief_rises", "change_direction = 'increase'", 5, way="increase")
+_brief("q10_brief_people", "transport_class IN ('Pedestrian', 'Cyclist', 'E-scooter')", None, people=True)
+_brief("q10_brief_vehicles", "transport_class NOT IN ('Pedestrian', 'Cyclist', 'E-scooter')", None, people=False)
+
+
+@query("q10_brief_quality", signal_sql("SELECT (SELECT count(*) FROM gaps) AS data_gap_groups, (SELECT count(*) FROM scored WHERE status = 'insufficient_baseline') AS insufficient_baseline_count, (SELECT count(*) FROM scored s JOIN meta ON meta.COUNTLINE_ID = s.countline_id) AS signals, (SELECT count(*) FROM scored s JOIN meta ON meta.COUNTLINE_ID = s.countline_id WHERE data_quality <> 'complete') AS low_confidence, 5 AS limitations"))
+def _(s, d):
+    x = snap(s, d)
+    return reports.brief_quality(x.health, reports.named_signals(x.scored, A.metadata(s, d)), len(K.LIMITATIONS)).select("data_gap_groups", "insufficient_baseline_count", "signals", "low_confidence", "limitations")
+
+
+@query("q10_brief_hotspots", hotspot_sql("SELECT STOP_NAME, anomalies, high, top_detector, worst_detail FROM hs QUALIFY row_number() OVER (ORDER BY anomalies DESC, STOP_ID) <= 3"))
+def _(s, d):
+    h = hotspots(s, d).orderBy(F.desc("anomalies"), "STOP_ID").limit(3)
+    return h.select("STOP_NAME", "anomalies", "high", "top_detector", F.col("worst_example.detail").alias("worst_detail"))
+
+
 @query("q10_brief_people_drops", sql("street_obs", f"SELECT transport_class, strftime(date, '%Y-%m-%d') AS date, hour, z FROM (SELECT transport_class, date, hour, total, round((total - avg(total) OVER w) / nullif(stddev_samp(total) OVER w, 0), 3) AS z FROM (SELECT transport_class, date, hour, sum(count) AS total FROM street_obs GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY transport_class, hour, isodow(date) >= 6)) WHERE transport_class IN ('Pedestrian', 'Cyclist') AND z < 0 ORDER BY abs(z) DESC, transport_class, date, hour LIMIT 10").replace("ORDER BY abs(z) DESC, transport_class, date, hour LIMIT 10", "QUALIFY row_number() OVER (ORDER BY abs(z) DESC, transport_class, date, hour) <= 10"))
 def _(s, d):
     return reports.top_signals(class_hourly(s, d), 10, people=True, drops=True).select("transport_class", day(), "hour", "z")
@@ -451,21 +541,36 @@ def _(s, d):
     return A.table(s, d, "part").where(C.text_matches(["Ring", "WIDGET"], "p_name")).select("p_partkey", "p_name")
 
 
-@query("q11_grounding", sql("scored meta", "SELECT (SELECT count(*) FROM scored) AS observed, least(40, (SELECT count(*) FROM supplier)) AS cameras, least(40, (SELECT count(*) FROM scored)) AS signals"))
+@query("q11_grounding", hotspot_sql("SELECT 'signals' AS part, s.countline_id || '|' || transport_class AS id, status AS note FROM scored s JOIN meta ON meta.COUNTLINE_ID = s.countline_id UNION ALL SELECT 'cameras', s_suppkey::VARCHAR, s_name FROM supplier WHERE s_suppkey IN (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 40) UNION ALL SELECT 'hotspots', STOP_ID, top_detector FROM (SELECT * FROM hs ORDER BY anomalies DESC, STOP_ID LIMIT 40) UNION ALL SELECT 'health', target, 'batch replay' FROM (SELECT '2024-01-29T12:00:00' AS target)").replace("WITH ", "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({q})" for n, q in step_sql("scored meta")) + ",\n", 1))
 def _(s, d):
-    snapshot = snap(s, d)
-    g = reports.grounding(snapshot.health, snapshot.scored, cameras(s, d))
-    return g.select(F.from_json("context", "health struct<observed_series:long>, signals array<struct<status:string>>, cameras array<struct<camera_id:long>>").alias("c")).select(F.col("c.health.observed_series").alias("observed"), F.size("c.cameras").cast("long").alias("cameras"), F.size("c.signals").cast("long").alias("signals"))
+    x = snap(s, d)
+    g = reports.grounding(x.health, reports.named_signals(x.scored, A.metadata(s, d)), cameras(s, d), hotspots(s, d))
+    parts = "health struct<target_at:string,publisher_mode:string>, signals array<struct<countline_id:string,transport_class:string,status:string>>, cameras array<struct<id:string,name:string>>, transit_hotspots array<struct<id:string,top_detector:string>>, guardrails array<string>"
+    c = g.select(F.from_json("context", parts).alias("c"))
+    row = lambda part, ident, note: c.select(F.lit(part).alias("part"), F.explode(f"c.{part}").alias("x")).select("part", ident.alias("id"), F.col(note).alias("note"))
+    rows = row("signals", F.concat_ws("|", "x.countline_id", "x.transport_class"), "x.status").union(row("cameras", F.col("x.id"), "x.name")).union(row("transit_hotspots", F.col("x.id"), "x.top_detector").withColumn("part", F.lit("hotspots")))
+    return rows.union(c.select(F.lit("health"), "c.health.target_at", "c.health.publisher_mode"))
 
 
-@query("q12_feed_counts", "SELECT 'features' AS feed, count(*) AS n FROM nation UNION ALL SELECT 'lines', count(*) FROM events UNION ALL SELECT 'array', count(*) FROM supplier")
+@query("q12_feed_counts", "SELECT 'features' AS feed, count(*) AS n FROM nation UNION ALL SELECT 'lines', count(*) FROM events UNION ALL SELECT 'array', count(*) FROM supplier UNION ALL SELECT 'csv', count(*) FROM customer UNION ALL SELECT 'document', 1 UNION ALL SELECT 'broken', NULL")
 def _(s, d):
-    return reports.feed_counts({"features": A.table(s, d, "nation"), "lines": A.table(s, d, "events"), "array": A.table(s, d, "supplier")})
+    """Every format landed as files and counted from them."""
+    f, l, a, c, o, b = (shared_folder(s, f"feed-{k}") for k in ("features", "lines", "array", "csv", "document", "broken"))
+    K.collection(K.point_features(A.table(s, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.lit(1.0).alias("lon"), F.lit(2.0).alias("lat"), "n_name"), "id", "lon", "lat", ["n_name"]), "nations/v1", "2024-01-31").select("document").write.text(f)
+    K.write_json_lines(A.table(s, d, "events").select("event_id", "event_type"), l)
+    A.table(s, d, "supplier").groupBy(F.floor(F.col("s_suppkey") / 1000)).agg(F.to_json(F.collect_list(F.struct("s_suppkey"))).alias("j")).select("j").write.text(a)
+    K.write_csv(A.table(s, d, "customer").select("c_custkey", "c_name"), c)
+    A.table(s, d, "region").agg(F.to_json(F.struct(F.count("*").alias("regions"))).alias("j")).write.text(o)
+    A.table(s, d, "region").agg(F.concat(F.lit("{"), F.max("r_name"))).write.text(b)
+    return reports.feed_counts(s, {"features": (f, "json"), "lines": (l, "ndjson"), "array": (a, "json"), "csv": (c, "csv"), "document": (o, "json"), "broken": (b, "json")})
 
 
-@query("q13_filter_metadata", sql("obs", "SELECT strftime(min(date), '%Y-%m-%d') AS first, strftime(max(date), '%Y-%m-%d') AS last, string_agg(DISTINCT transport_class, ',' ORDER BY transport_class) AS classes FROM obs"))
+@query("q13_filter_metadata", sql("obs found dscored", "SELECT (SELECT strftime(min(date), '%Y-%m-%d') FROM obs) AS first, (SELECT strftime(max(date), '%Y-%m-%d') FROM obs) AS last, (SELECT string_agg(DISTINCT transport_class, ',' ORDER BY transport_class) FROM obs) AS classes, (SELECT string_agg(DISTINCT DETECTOR || ' ' || DETECTOR_NAME, ',' ORDER BY DETECTOR || ' ' || DETECTOR_NAME) FROM found) AS detectors, (SELECT string_agg(DISTINCT MODE, ',' ORDER BY MODE) FROM found) AS modes, (SELECT string_agg(DISTINCT state_highway, ',' ORDER BY state_highway) FROM dscored) AS highways"))
 def _(s, d):
-    return reports.filter_metadata(A.observations(s, d), "date", transport_class="classes").select(day("first"), day("last"), F.array_join("classes", ",").alias("classes"))
+    found = A.detections(s, d).withColumn("detector", F.concat_ws(" ", "DETECTOR", "DETECTOR_NAME"))
+    out = reports.filter_metadata(A.observations(s, d), "date", transport_class="classes").crossJoin(reports.filter_metadata(found, "SERVICE_DATE", detector="detectors", MODE="modes").select("detectors", "modes"))
+    out = out.crossJoin(reports.filter_metadata(site_scores(s, d), "count_date", state_highway="highways").select("highways"))
+    return out.select(day("first"), day("last"), *[F.array_join(c, ",").alias(c) for c in ("classes", "detectors", "modes", "highways")])
 
 
 @query("q15_class_by_name", sql("obs meta", "SELECT NAME, hour, sum(count) AS volume FROM obs JOIN meta ON meta.COUNTLINE_ID = obs.countline_id WHERE transport_class = 'Pedestrian' GROUP BY 1, 2"))

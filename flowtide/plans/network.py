@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..operators import detectors, joins, transit
+from ..sources import landed as S
 from . import adapters as A
 from .core import day, r4
 from .oracle import SEVERITY, sql
@@ -68,21 +71,21 @@ def _(s, d):
 
 @query("d39_ping_motion", sql("mo", "SELECT TRIP_INSTANCE_ID, strftime(PING_LOCAL, '%Y-%m-%d %H:%M:%S.%f') AS PING_LOCAL, SECS_SINCE_PREV, round(METRES_SINCE_PREV, 3) AS METRES_SINCE_PREV, round(IMPLIED_KMH, 3) AS IMPLIED_KMH, DEVICE_LAG_SECS FROM mo"))
 def _(s, d):
-    m = transit.ping_motion(A.pings(s, d))
+    m = A.motion(s, d)
     return m.select("TRIP_INSTANCE_ID", F.date_format("PING_LOCAL", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("PING_LOCAL"), "SECS_SINCE_PREV", F.round("METRES_SINCE_PREV", 3).alias("METRES_SINCE_PREV"), F.round("IMPLIED_KMH", 3).alias("IMPLIED_KMH"), "DEVICE_LAG_SECS")
 
 
 @query("d40_spatial_bins", sql("sb", f"SELECT CELL_ID, MODE, {TS.format('SCHED_BIN_15MIN')}, STOP_EVENTS, ROUTES, TRIPS, MED_DELAY_SECS, round(P90_DELAY_SECS, 4) AS P90_DELAY_SECS FROM sb"))
 def _(s, d):
-    return transit.spatial_bins(A.fact(s, d), min_n=A.BIN_EVENTS).select("CELL_ID", "MODE", ts("SCHED_BIN_15MIN"), "STOP_EVENTS", "ROUTES", "TRIPS", "MED_DELAY_SECS", *r4("P90_DELAY_SECS"))
+    return A.bins(s, d).select("CELL_ID", "MODE", ts("SCHED_BIN_15MIN"), "STOP_EVENTS", "ROUTES", "TRIPS", "MED_DELAY_SECS", *r4("P90_DELAY_SECS"))
 
 
 @query("d41_spatial_baseline", sql("bs", "SELECT CELL_ID, DAY_TYPE, MODE, BIN_HOUR, n AS N_BINS, med AS MED_CELL_DELAY, round(SIGMA_CELL, 7) AS SIGMA_CELL FROM bs"))
 def _(s, d):
-    return transit.spatial_baseline(transit.spatial_bins(A.fact(s, d), min_n=A.BIN_EVENTS), A.BASE_BINS).withColumn("SIGMA_CELL", F.round("SIGMA_CELL", 7))
+    return transit.spatial_baseline(A.bins(s, d), A.BASE_BINS).withColumn("SIGMA_CELL", F.round("SIGMA_CELL", 7))
 
 
-_OUT = ["ANOMALY_ID", "DETECTOR_NAME", "ENTITY_ID", "MODE", "STOP_ID"]
+_OUT = ["ANOMALY_ID", "DETECTOR_NAME", "ENTITY_ID", "MODE", "STOP_ID", "DETAIL"]
 
 
 def _shown(df):
@@ -92,26 +95,15 @@ def _shown(df):
 _SEV = SEVERITY.format("SCORE")
 
 
-def _detector(name: str, code: str, build) -> None:
+def _detector(name: str, code: str) -> None:
     body = f"SELECT {', '.join(_OUT)}, {TS.format('WINDOW_START')}, {TS.format('WINDOW_END')}, round(OBSERVED_VALUE, 4) AS OBSERVED_VALUE, round(EXPECTED_VALUE, 4) AS EXPECTED_VALUE, round(SCORE, 4) AS SCORE, SEVERITY FROM found WHERE DETECTOR = '{code}'"
     need = f"dt{int(code[1:])}"
-    one = sql(need, "").rstrip() + f",\nfound AS (SELECT *, {'\'HIGH\'' if code == 'D04' else _SEV} AS SEVERITY FROM {need})\n" + body
-    query(name, one)(lambda s, d: _shown(build(s, d)))
-
-
-def _bins(s, d):
-    return transit.spatial_bins(A.fact(s, d), min_n=A.BIN_EVENTS)
+    one = sql(need, "").rstrip() + f",\nfound AS (SELECT *, {'\'HIGH\'' if code in ('D04', 'D06') else _SEV} AS SEVERITY FROM {need})\n" + body
+    query(name, one)(lambda s, d: _shown(A.DETECTORS[code](s, d)))
 
 
-_detector("d42_delay_outlier", "D01", lambda s, d: detectors.delay_outliers(A.fact(s, d), transit.delay_baseline(A.fact(s, d)), A.DELAY_Z))
-_detector("d43_bunching", "D02", lambda s, d: detectors.bunching(transit.headways(A.fact(s, d))))
-_detector("d44_gapping", "D03", lambda s, d: detectors.gapping(transit.headways(A.fact(s, d))))
-_detector("d45_ghost_trip", "D04", lambda s, d: detectors.ghost_trips(A.fact(s, d)))
-_detector("d46_dwell_outlier", "D05", lambda s, d: detectors.dwell_outliers(A.fact(s, d), transit.dwell_baseline(A.fact(s, d)), A.DWELL_Z))
-_detector("d47_teleport", "D06", lambda s, d: detectors.teleports(transit.ping_motion(A.pings(s, d))))
-_detector("d48_stale_vehicle", "D07", lambda s, d: detectors.stale_vehicles(transit.ping_motion(A.pings(s, d))))
-_detector("d49_truncation", "D08", lambda s, d: detectors.truncations(A.fact(s, d)))
-_detector("d50_cluster_shock", "D09", lambda s, d: detectors.cluster_shocks(_bins(s, d), transit.spatial_baseline(_bins(s, d), A.BASE_BINS), A.SHOCK_Z, 2))
+for _name in ("d42_delay_outlier", "d43_bunching", "d44_gapping", "d45_ghost_trip", "d46_dwell_outlier", "d47_teleport", "d48_stale_vehicle", "d49_truncation", "d50_cluster_shock"):
+    _detector(_name, f"D0{int(_name[1:3]) - 41}")
 
 
 @query("u04_all_detections", sql("found", "SELECT ANOMALY_ID, DETECTOR, ROUTE_ID, round(SCORE, 4) AS SCORE, SEVERITY FROM found"))
@@ -119,21 +111,27 @@ def _(s, d):
     return A.detections(s, d).select("ANOMALY_ID", "DETECTOR", "ROUTE_ID", *r4("SCORE"), "SEVERITY")
 
 
-@query("d51_summary", sql("found", "SELECT DETECTOR, DETECTOR_NAME, count(*) AS ANOMALIES, count(*) FILTER (WHERE SEVERITY = 'HIGH') AS HIGH, count(*) FILTER (WHERE SEVERITY = 'MEDIUM') AS MEDIUM, count(*) FILTER (WHERE SEVERITY = 'LOW') AS LOW, count(DISTINCT SERVICE_DATE) AS DAYS, count(DISTINCT ROUTE_ID) AS ROUTES FROM found GROUP BY 1, 2"))
+@query("d51_summary", sql("found", "SELECT DETECTOR, DETECTOR_NAME, SEVERITY, count(*) AS ANOMALIES, count(DISTINCT SERVICE_DATE) AS DATES_AFFECTED, count(DISTINCT ROUTE_ID) AS ROUTES_AFFECTED, round(median(SCORE), 2) AS MEDIAN_SCORE FROM found WHERE SEVERITY <> 'NONE' GROUP BY ALL"))
 def _(s, d):
     return detectors.anomaly_summary(A.detections(s, d))
 
 
-@query("d51_worst_days", sql("found", "SELECT strftime(SERVICE_DATE, '%Y-%m-%d') AS SERVICE_DATE, count(*) AS ANOMALIES, count(*) FILTER (WHERE SEVERITY = 'HIGH') AS HIGH, count(DISTINCT DETECTOR) AS DETECTORS, count(DISTINCT ROUTE_ID) AS ROUTES FROM found GROUP BY 1"))
+def service_days(s, d):
+    """The calendar of the days with events; the first is a public holiday."""
+    days = A.fact(s, d).select("SERVICE_DATE").distinct()
+    holidays = S.constant(s, [(datetime.date(2024, 1, 1), "New Year")], "SERVICE_DATE date, HOLIDAY_NAME string")
+    return transit.service_calendar(days, holidays, S.constant(s, [(datetime.date(2024, 1, 3), datetime.date(2024, 1, 5))], "first date, last date"))
+
+
+@query("d51_worst_days", sql("found", "SELECT strftime(SERVICE_DATE, '%Y-%m-%d') AS SERVICE_DATE, CASE WHEN SERVICE_DATE = DATE '2024-01-01' THEN 'PUBLIC_HOLIDAY' WHEN isodow(SERVICE_DATE) = 7 THEN 'SUNDAY' WHEN isodow(SERVICE_DATE) = 6 THEN 'SATURDAY' ELSE 'WEEKDAY' END AS DAY_TYPE, CASE WHEN SERVICE_DATE = DATE '2024-01-01' THEN 'New Year' END AS HOLIDAY_NAME, count(*) AS ANOMALIES, count(*) FILTER (WHERE SEVERITY = 'HIGH') AS HIGH_SEVERITY, count(DISTINCT ROUTE_ID) AS ROUTES_AFFECTED FROM found WHERE SEVERITY <> 'NONE' AND SERVICE_DATE IN (SELECT SERVICE_DATE FROM ev) GROUP BY found.SERVICE_DATE"))
 def _(s, d):
-    return detectors.worst_days(A.detections(s, d)).withColumn("SERVICE_DATE", day("SERVICE_DATE"))
+    return detectors.worst_days(A.detections(s, d), service_days(s, d)).withColumn("SERVICE_DATE", day("SERVICE_DATE"))
 
 
-@query("d51_hot_cells", sql("dt9 sb", "SELECT CELL_ID, count(*) AS SHOCKS, round(max(SCORE), 4) AS PEAK_SCORE, round(avg(CELL_LAT), 4) AS CELL_LAT, round(avg(CELL_LON), 4) AS CELL_LON, sum(TRIPS)::BIGINT AS TRIPS FROM dt9 JOIN sb ON sb.CELL_ID = ENTITY_ID AND sb.SCHED_BIN_15MIN = WINDOW_START GROUP BY 1"))
+@query("d51_hot_cells", sql("dt9 sb", "SELECT CELL_ID, round(sb.CELL_LAT, 4) AS CELL_LAT, round(sb.CELL_LON, 4) AS CELL_LON, sb.MODE, count(*) AS HOT_BINS, round(max(MED_DELAY_SECS), 1) AS WORST_MED_DELAY_SECS FROM dt9 JOIN sb ON sb.CELL_ID = ENTITY_ID AND sb.SCHED_BIN_15MIN = WINDOW_START GROUP BY CELL_ID, round(sb.CELL_LAT, 4), round(sb.CELL_LON, 4), sb.MODE"))
 def _(s, d):
-    b = _bins(s, d)
-    x = detectors.hot_cells(detectors.cluster_shocks(b, transit.spatial_baseline(b, A.BASE_BINS), A.SHOCK_Z, 2), b)
-    return x.select("CELL_ID", "SHOCKS", *r4("PEAK_SCORE", "CELL_LAT", "CELL_LON"), "TRIPS")
+    b = A.bins(s, d).withColumns({"CELL_LAT": F.round("CELL_LAT", 4), "CELL_LON": F.round("CELL_LON", 4)})
+    return detectors.hot_cells(A.DETECTORS["D09"](s, d), b)
 
 
 @query("d52_matched", sql("mt", "SELECT ANOMALY_ID, TRUTH_ID, EPISODE_TYPE FROM mt"))
@@ -162,11 +160,24 @@ def _(s, d):
     return detectors.headline(A.detections(s, d), A.truth(s, d), A.fact(s, d))
 
 
-@query("d27_stop_hotspots", sql("found st", """SELECT h.STOP_ID, anomalies, high, top_detector, top_detector_count, CASE WHEN high >= 20 THEN 'high' ELSE 'elevated' END AS tier, STOP_NAME, round(worst, 4) AS worst_score, worst_id FROM
-  (SELECT STOP_ID, count(*) AS anomalies, count(*) FILTER (WHERE SEVERITY = 'HIGH') AS high, max(abs(SCORE)) AS worst, first(ANOMALY_ID ORDER BY abs(SCORE) DESC, ANOMALY_ID) AS worst_id FROM found WHERE STOP_ID IS NOT NULL GROUP BY 1 HAVING count(*) >= 50 OR count(*) FILTER (WHERE SEVERITY = 'HIGH') >= 10) h
-  JOIN (SELECT STOP_ID, first(DETECTOR_NAME ORDER BY n DESC, DETECTOR_NAME) AS top_detector, max(n) AS top_detector_count FROM (SELECT STOP_ID, DETECTOR_NAME, count(*) AS n FROM found WHERE STOP_ID IS NOT NULL GROUP BY 1, 2) GROUP BY 1) t ON t.STOP_ID = h.STOP_ID JOIN st ON st.STOP_ID = h.STOP_ID"""))
+HOTSPOTS = """hs AS (SELECT h.*, top_detector, top_detector_count, CASE WHEN high >= 20 THEN 'high' ELSE 'elevated' END AS tier, STOP_NAME, STOP_LAT, STOP_LON FROM
+  (SELECT STOP_ID, count(*) AS anomalies, count(*) FILTER (WHERE SEVERITY = 'HIGH') AS high, count(*) FILTER (WHERE SEVERITY = 'MEDIUM') AS medium, count(*) FILTER (WHERE SEVERITY = 'LOW') AS low, string_agg(DISTINCT MODE, ',' ORDER BY MODE) AS modes, max(SCORE) AS worst_score, first(ANOMALY_ID ORDER BY SCORE DESC, ANOMALY_ID) AS worst_id, first(DETAIL ORDER BY SCORE DESC, ANOMALY_ID) AS worst_detail,
+     first(hour(WINDOW_START)::INT ORDER BY SCORE DESC, ANOMALY_ID) AS worst_hour FROM found WHERE STOP_ID IS NOT NULL GROUP BY 1 HAVING count(*) >= 50 OR count(*) FILTER (WHERE SEVERITY = 'HIGH') >= 10) h
+  JOIN (SELECT STOP_ID, first(DETECTOR_NAME ORDER BY n DESC, DETECTOR_NAME) AS top_detector, max(n) AS top_detector_count FROM (SELECT STOP_ID, DETECTOR_NAME, count(*) AS n FROM found WHERE STOP_ID IS NOT NULL GROUP BY 1, 2) GROUP BY 1) t ON t.STOP_ID = h.STOP_ID JOIN st ON st.STOP_ID = h.STOP_ID)"""
+
+
+def hotspot_sql(body: str) -> str:
+    return sql("found st", "").rstrip() + ",\n" + HOTSPOTS + "\n" + body
+
+
+def hotspots(s, d):
+    return detectors.stop_hotspots(A.detections(s, d), A.stops(s, d, A.fact(s, d)))
+
+
+@query("d27_stop_hotspots", hotspot_sql("SELECT STOP_ID, anomalies, high, medium, low, modes, top_detector, top_detector_count, tier, STOP_NAME, round(worst_score, 4) AS worst_score, worst_id, worst_detail, worst_hour FROM hs"))
 def _(s, d):
-    return detectors.stop_hotspots(A.detections(s, d), A.stops(s, d)).select("STOP_ID", "anomalies", "high", "top_detector", "top_detector_count", "tier", "STOP_NAME", *r4("worst_score"), "worst_id")
+    h = hotspots(s, d).withColumns({"modes": F.array_join("modes", ","), "worst_detail": F.col("worst_example.detail"), "worst_hour": F.col("worst_example.hour")})
+    return h.select("STOP_ID", "anomalies", "high", "medium", "low", "modes", "top_detector", "top_detector_count", "tier", "STOP_NAME", *r4("worst_score"), "worst_id", "worst_detail", "worst_hour")
 
 
 @query("d61_tagged_events", sql("ev tr", "SELECT TRIP_INSTANCE_ID, STOP_SEQUENCE, TRUTH_ID, EPISODE_TYPE AS TRUTH_EPISODE_TYPE FROM ev LEFT JOIN tr ON tr.ROUTE_ID = ev.ROUTE_ID AND tr.SERVICE_DATE = ev.SERVICE_DATE AND SCHED_HOUR >= START_HOUR AND SCHED_HOUR < START_HOUR + ceil(DURATION_MINS / 60)"))

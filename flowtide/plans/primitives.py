@@ -87,9 +87,9 @@ def _(s, d):
     return site_scores(s, d).groupBy(C.severity_rank("severity").alias("rank")).agg(F.count("*").alias("n"))
 
 
-@query("p12_confidence", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'low' WHEN user_id % 30 >= 12 THEN 'high' ELSE 'medium' END AS level FROM events")
+@query("p12_confidence", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'low' WHEN user_id % 30 >= 12 THEN 'high' ELSE 'medium' END AS level, user_id % 30 AS history_samples, 'matched weekday and hour' AS basis FROM events")
 def _(s, d):
-    return events(s, d).select("event_id", C.confidence(F.col("user_id") % 30, F.when(F.col("event_id") % 4 != 0, "complete").otherwise("no_matching_history"))["level"].alias("level"))
+    return events(s, d).select("event_id", C.confidence(F.col("user_id") % 30, F.when(F.col("event_id") % 4 != 0, "complete").otherwise("no_matching_history")).alias("c")).select("event_id", "c.*")
 
 
 @query("p13_calendar", "SELECT event_id, isodow(ts)::INT AS iso_dow, ((isodow(ts) - 1) * 24 + hour(ts))::INT AS hour_of_week, isodow(ts) >= 6 AS is_weekend FROM events")
@@ -132,9 +132,18 @@ def _(s, d):
     return A.observations(s, d).groupBy(C.is_people("transport_class").alias("people")).agg(F.sum("count").alias("n"))
 
 
-@query("p22_status_names", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Cancelled' WHEN 1 THEN 'EnRoute' WHEN 2 THEN 'Unknown' WHEN 3 THEN 'Strange Thing' ELSE 'Arrived' END AS status FROM events")
+#: Spelling -> name, in the order in which events take them.
+SPELLINGS = [
+    ("Expected", "Expected"), ("expected arrival", "Expected"), ("En-route", "EnRoute"), ("CheckIn", "Scheduled"), ("boarding", "Boarding"), ("Gate Closed", "Boarding"), ("departed", "Departed"), ("DELAYED", "Delayed"),
+    ("approaching", "EnRoute"), ("Arrived", "Arrived"), ("CANCELED", "Cancelled"), ("cancelled", "Cancelled"), ("diverted", "Diverted"), ("canceledUncertain", "Cancelled"), ("unknown", "Unknown"), ("scheduled", "Scheduled"), ("active", "EnRoute"),
+    ("landed", "Arrived"), ("incident", "Incident"), ("", "Unknown"), (None, "Unknown"), ("strange thing", "Strange Thing"), ("on-stand 2b", "On-Stand 2B"), ("  ", "  "),
+]
+_quoted = lambda x: "NULL" if x is None else f"'{x}'"
+
+
+@query("p22_status_names", f"SELECT event_id, name AS status FROM events JOIN (VALUES {', '.join(f'({i}, {_quoted(n)})' for i, (_, n) in enumerate(SPELLINGS))}) t(i, name) ON event_id % {len(SPELLINGS)} = i")
 def _(s, d):
-    raw = F.element_at(F.array(*map(F.lit, ["CANCELED", "En-route", "  ", "strange thing", "landed"])), (F.col("event_id") % 5 + 1).cast("int"))
+    raw = F.get(F.array(*[F.lit(x).cast("string") for x, _ in SPELLINGS]), (F.col("event_id") % len(SPELLINGS)).cast("int"))
     return events(s, d).select("event_id", C.status_name(raw).alias("status"))
 
 

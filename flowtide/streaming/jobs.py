@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,10 +24,9 @@ def landed(spark: SparkSession, path: str, schema, files_per_batch: int | None =
     return out.withColumns({f.name: F.col(f.name).cast("timestamp") for f in out.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def most_complete(df: DataFrame, key: str, filled: list[str], order: str, *ties: str) -> DataFrame:
-    """One row of each key in a batch: the one with most known values, then the latest."""
-    known = sum((F.col(c).isNotNull().cast("int") for c in filled), F.lit(0))
-    w = Window.partitionBy(key).orderBy(known.desc(), F.desc_nulls_last(order), *ties)
+def most_complete(df: DataFrame, key: str, best: list[str], order: str, *ties: str) -> DataFrame:
+    """One row of each key in a batch: the greatest by the columns of ``best``, of which unknown values come last, then the latest."""
+    w = Window.partitionBy(key).orderBy(*map(F.desc_nulls_last, [*best, order]), *ties)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -60,36 +60,56 @@ def change_log(snapshots: DataFrame, key: str, order: list[str], watched: list[s
 
 @dataclass(frozen=True)
 class PollStore:
-    """Folders of a poll job. State is one folder for each batch, made from the batch before, so a repeated batch writes the same again."""
+    """Folders of a poll job. Each batch writes its own folders, made from the batches before it, so a repeated batch writes the same again.
+
+    State is dealt into buckets by a hash of the key. A batch writes only the buckets that it touches; the state is, for each bucket, what the last batch
+    that touched it has written. Which batch that is is read from the folders' names, so only those files are opened.
+    """
 
     root: str
     key: str
-    filled: tuple[str, ...]
+    best: tuple[str, ...]
     ties: tuple[str, ...] = ()
+    buckets: int = 64
 
     def at(self, kind: str, batch: int) -> str:
         return f"{self.root}/{kind}/batch={batch}"
 
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
     def state(self, spark: SparkSession, batch: int) -> DataFrame:
-        return spark.read.parquet(self.at("state", batch))
+        """The state after a batch."""
+        rows = spark.read.parquet(f"{self.root}/state").where(F.col("batch") <= batch)
+        last = spark.read.parquet(f"{self.root}/touched").where(F.col("batch") <= batch).groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # a row for each bucket
+        by_batch: dict[int, list[int]] = {}
+        for r in last:
+            by_batch.setdefault(r.batch, []).append(r.bucket)
+        wanted = reduce(lambda a, b: a | b, [(F.col("batch") == k) & F.col("bucket").isin(v) for k, v in by_batch.items()], F.lit(False))
+        return rows.where(wanted).drop("batch")
 
     def process(self, df: DataFrame, batch: int) -> None:
-        """Dedup, change log against the state before, snapshot, new state, ingest log: in that order."""
+        """The raw batch, its dedup as snapshot, the change log against the state before, the touched buckets of the new state, the ingest log: in that order."""
         spark = df.sparkSession
-        rows = most_complete(df, self.key, list(self.filled), "snapshot_ts", *self.ties)
-        empty = rows.withColumns({"first_seen_ts": F.col("snapshot_ts"), "last_seen_ts": F.col("snapshot_ts")}).where("false")
-        before = self.state(spark, batch - 1) if batch else empty
-        changes(before, rows, self.key).write.mode("overwrite").parquet(self.at("changes", batch))
-        df.write.mode("overwrite").parquet(self.at("snapshots", batch))
-        merged(before, rows, self.key).write.mode("overwrite").parquet(self.at("state", batch))
-        fetched, changed_rows = (spark.read.parquet(self.at(k, batch)).agg(F.count("*").alias(n)) for k, n in (("snapshots", "rows_fetched"), ("changes", "rows_changed")))
-        fetched.crossJoin(changed_rows).select(F.current_timestamp().alias("run_ts"), "rows_fetched", "rows_changed", F.lit(True).alias("ok"), F.lit("").alias("message")).write.mode("overwrite").parquet(self.at("ingest", batch))
+        write = lambda rows, kind, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(self.at(kind, batch))
+        write(df, "polls")
+        polled = spark.read.schema(df.schema).parquet(self.at("polls", batch))
+        write(most_complete(polled, self.key, list(self.best), "snapshot_ts", *self.ties), "snapshots")
+        rows = spark.read.schema(df.schema).parquet(self.at("snapshots", batch))
+        write(rows.select(self.bucket().alias("bucket")).distinct().coalesce(1), "touched")
+        touched = [r.bucket for r in spark.read.parquet(self.at("touched", batch)).collect()]
+        seen = {"first_seen_ts": F.col("snapshot_ts"), "last_seen_ts": F.col("snapshot_ts")}
+        before = self.state(spark, batch - 1).where(F.col("bucket").isin(touched)).drop("bucket") if batch else rows.withColumns(seen).where("false")
+        write(changes(before, rows, self.key), "changes")
+        write(merged(before, rows, self.key).withColumn("bucket", self.bucket()).repartition("bucket"), "state", "bucket")
+        fetched, changed_rows = (spark.read.parquet(self.at(k, batch)).agg(F.count("*").alias(n)) for k, n in (("polls", "rows_fetched"), ("changes", "rows_changed")))
+        write(fetched.crossJoin(changed_rows).select(F.current_timestamp().alias("run_ts"), "rows_fetched", "rows_changed", F.lit(True).alias("ok"), F.lit("").alias("message")), "ingest")
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/progress").trigger(**(trigger or {"availableNow": True})).start()
 
     def last(self, spark: SparkSession, query: StreamingQuery) -> DataFrame:
-        return self.state(spark, query.lastProgress["batchId"])
+        return self.state(spark, query.lastProgress["batchId"]).drop("bucket")
 
 
 def hourly_counts(events: DataFrame, ts: str, zone: str, *by: str, streaming: bool = True) -> DataFrame:
@@ -97,23 +117,30 @@ def hourly_counts(events: DataFrame, ts: str, zone: str, *by: str, streaming: bo
     e = events.withWatermark(ts, WATERMARK) if streaming else events
     out = e.groupBy(F.window(ts, "1 hour").alias("w"), *by).agg(F.count("*").alias("n"))
     local = F.from_utc_timestamp(F.col("w.start"), zone)
-    return out.select(F.to_date(local).alias("event_date"), F.hour(local).alias("event_hour"), *by, "n")
+    return out.select(F.col("w.start").alias("bin_start"), F.to_date(local).alias("event_date"), F.hour(local).alias("event_hour"), *by, "n")
 
 
-def cell_bins(events: DataFrame, ts: str, lat: str, lon: str, value: str, min_n: int = 5, streaming: bool = True) -> DataFrame:
-    """Quarter-hour aggregates of cells with at least min_n events."""
+def cell_bins(events: DataFrame, ts: str, lat: str, lon: str, value: str, min_n: int = 5, streaming: bool = True, accuracy: int | None = None) -> DataFrame:
+    """Quarter-hour aggregates of cells with at least min_n events. Exact percentiles keep all values of the open windows in the state; with an accuracy they are approximate and their state is bounded."""
     e = events.withWatermark(ts, WATERMARK) if streaming else events
-    out = e.groupBy(F.window(ts, "15 minutes").alias("w"), cell_id(lat, lon, 2).alias("cell_id")).agg(F.count("*").alias("n"), F.median(value).alias("median_value"), F.percentile(value, F.lit(0.9)).alias("p90_value"))
+    at = lambda p: F.percentile_approx(value, p, accuracy) if accuracy else F.percentile(value, F.lit(p))
+    out = e.groupBy(F.window(ts, "15 minutes").alias("w"), cell_id(lat, lon, 2).alias("cell_id")).agg(F.count("*").alias("n"), at(0.5).alias("median_value"), at(0.9).alias("p90_value"))
     return out.where(F.col("n") >= min_n).select(F.col("w.start").alias("bin_start"), "cell_id", "n", "median_value", "p90_value")
 
 
-def complete_table(stream: DataFrame, root: str) -> StreamingQuery:
-    """Keep the whole result of a streaming aggregation as a table for each batch, in folders batch=n."""
+def updated_table(stream: DataFrame, root: str) -> StreamingQuery:
+    """Write the groups of a streaming aggregation that each batch changes, in folders batch=n. State goes with the watermark; read_updated() has the last row of each group."""
 
     def save(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/batch={batch}")
+        df.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
+
+    return stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+
 
-    return stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+def read_updated(spark: SparkSession, root: str, *key: str) -> DataFrame:
+    rows = spark.read.parquet(f"{root}/rows")
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*key, "batch")]), "batch").alias("_last"))
+    return last.select(*key, "_last.*")
 
 
 def archive(stream: DataFrame, path: str, progress: str, ts: str, zone: str) -> StreamingQuery:

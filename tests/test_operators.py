@@ -1,10 +1,13 @@
 import datetime as dt
 import json
+import random
+import statistics
 
 from pyspark.sql import functions as F
 
 from flowtide.functions import columns as C
 from flowtide.operators import boards, detectors, joins, rollup, transit
+from flowtide.operators.baseline import leave_one_out_ratio
 from flowtide.sinks import writers
 from flowtide.sources import landed
 from flowtide.streaming import jobs
@@ -22,9 +25,9 @@ def test_traps(spark):
     got = ask(
         spark, boundary=C.minutes_between(at("2026-01-01 00:00:59"), at("2026-01-01 00:01:01")), week=C.week_of_month(F.lit("2026-04-08").cast("date")), sunday=C.iso_dow(F.lit("2026-04-05").cast("date")),
         street=C.street_of(F.lit("S12 Cuba Street Crossing north")), bare=C.street_of(F.lit("Road")), late=C.service_seconds(F.lit("25:10:00")), bad=C.service_seconds(F.lit("x")), times=C.tolerant_utc(F.lit("2026-01-02 03:04Z")).cast("long"),
-        status=C.status_name(F.lit("Canceled")), unknown=C.status_name(F.lit(" ")), cell=C.cell_id(F.lit(-41.2849), F.lit(174.7)), band=C.punctuality(F.lit(-60)), quarter=F.date_format(C.quarter_hour(at("2026-01-01 10:44:59")), "HH:mm"),
+        status=C.status_name(F.lit("Canceled")), unknown=C.status_name(F.lit("")), gate=C.status_name(F.lit("Gate Closed")), incident=C.status_name(F.lit("incident")), other=C.status_name(F.lit("on-stand 2b")), grid=C.grid_id(F.lit(-41.3), F.lit(174.8052)), cell=C.cell_id(F.lit(-41.2849), F.lit(174.7)), band=C.punctuality(F.lit(-60)), quarter=F.date_format(C.quarter_hour(at("2026-01-01 10:44:59")), "HH:mm"),
     )
-    assert got == {"boundary": 1, "week": 2, "sunday": 7, "street": "Cuba Street", "bare": "Road", "late": 90600, "bad": None, "times": 1767323040, "status": "Cancelled", "unknown": "Unknown", "cell": "-41.28_174.70", "band": "ON_TIME", "quarter": "10:30"}
+    assert got == {"boundary": 1, "week": 2, "sunday": 7, "street": "Cuba Street", "bare": "Road", "late": 90600, "bad": None, "times": 1767323040, "status": "Cancelled", "unknown": "Unknown", "gate": "Boarding", "incident": "Incident", "other": "On-Stand 2B", "grid": "-41.3,174.81", "cell": "-41.28_174.70", "band": "ON_TIME", "quarter": "10:30"}
 
 
 def test_windows_match_with_and_without_route(spark):
@@ -39,6 +42,29 @@ def test_windows_match_with_and_without_route(spark):
     assert [r.TRUTH_ID for r in detectors.missed_episodes(found, truth).collect()] == ["t3"]
 
 
+def test_windows_against_all_pairs(spark):
+    """Random windows, some of which end before they begin, in bins of an hour."""
+    rng, day = random.Random(3), dt.date(2026, 4, 1)
+    t = lambda: dt.datetime(2026, 4, 1, rng.randrange(24), rng.randrange(60))
+    found = [(str(i), day, rng.choice(["R1", "R2", None]), *rng.choice([lambda a, b: (a, b), lambda a, b: (min(a, b), max(a, b))])(t(), t())) for i in range(60)] + [("n", day, "R1", None, None)]
+    truth = [(str(i), "x", rng.choice(["R1", "R2"]), day, *sorted((t(), t()))) for i in range(25)]
+    f = spark.createDataFrame(found, "ANOMALY_ID string, SERVICE_DATE date, ROUTE_ID string, WINDOW_START timestamp_ntz, WINDOW_END timestamp_ntz")
+    e = spark.createDataFrame(truth, "TRUTH_ID string, EPISODE_TYPE string, ROUTE_ID string, SERVICE_DATE date, WINDOW_START_LOCAL timestamp_ntz, WINDOW_END_LOCAL timestamp_ntz")
+    slack, want = dt.timedelta(minutes=15), []
+    for a, _, r, s, z in found:
+        hits = [k for k, _, q, _, b, c in truth if s and (r is None or r == q) and s <= c + slack and z >= b - slack]
+        want += [(a, k) for k in hits] or [(a, "")]
+    assert sorted((r.ANOMALY_ID, r.TRUTH_ID or "") for r in joins.match_windows(f, e).collect()) == sorted(want)
+
+
+def test_leave_one_out(spark):
+    rng = random.Random(4)
+    rows = [(s, dt.date(2026, 1, 1) + dt.timedelta(days=k), float(rng.randrange(9))) for s in "ab" for k in range(60) if rng.random() < 0.8] + [("c", dt.date(2026, 1, 1), 5.0)]
+    for r in leave_one_out_ratio(spark.createDataFrame(rows, "site string, day date, n double"), "site", "day", "n").collect():
+        others = [n for s, d, n in rows if s == r.site and d != r.day and d.weekday() == r.day.weekday()]
+        assert r.other_days == len(others) and r.other_median == (statistics.median(others) if others else None)
+
+
 def test_nearest_beyond_the_first_grid(spark):
     p = spark.createDataFrame([("p", -41.0, 174.0), ("q", -20.0, 174.0)], "k string, lat double, lon double")
     t = spark.createDataFrame([("near", -41.001, 174.0), ("far", -30.0, 174.0)], "c string, lat double, lon double")
@@ -46,17 +72,22 @@ def test_nearest_beyond_the_first_grid(spark):
     assert got == {"p": "near", "q": "far"}
 
 
-def test_ghost_truncation_and_teleport(spark):
-    s = "TRIP_INSTANCE_ID string, SERVICE_DATE date, ROUTE_ID string, ROUTE_SHORT_NAME string, MODE string, IS_OBSERVED boolean, SCHED_ARRIVAL_LOCAL timestamp_ntz"
+def test_ghost_truncation_teleport_and_stale(spark):
+    s = "TRIP_INSTANCE_ID string, SERVICE_DATE date, ROUTE_ID string, ROUTE_SHORT_NAME string, MODE string, IS_OBSERVED boolean, SCHED_ARRIVAL_LOCAL timestamp_ntz, ACTUAL_ARRIVAL_LOCAL timestamp_ntz"
     day, t = dt.date(2026, 4, 1), lambda m: dt.datetime(2026, 4, 1, 8, m)
-    rows = [("ghost", day, "R", "1", "BUS", False, t(i)) for i in range(3)] + [("cut", day, "R", "1", "BUS", i < 4, t(i)) for i in range(6)] + [("fine", day, "R", "1", "BUS", True, t(i)) for i in range(6)]
+    # a trip that runs but reports no stop is a ghost, and one that stops reporting is cut off
+    rows = [("ghost", day, "R", "1", "BUS", True, t(i), None) for i in range(3)] + [("cut", day, "R", "1", "BUS", True, t(i), t(i + 10) if i < 4 else None) for i in range(6)] + [("fine", day, "R", "1", "BUS", True, t(i), t(i)) for i in range(6)]
     f = spark.createDataFrame(rows, s)
-    assert [r.ENTITY_ID for r in detectors.ghost_trips(f).collect()] == ["ghost"]
+    assert [(r.ENTITY_ID, r.DETAIL) for r in detectors.ghost_trips(f).collect()] == [("ghost", "1 trip ghost scheduled 3 stops, none observed")]
     cut = detectors.truncations(f).collect()
-    assert [(r.ENTITY_ID, round(r.SCORE, 3)) for r in cut] == [("cut", 1.667)]
-    pings = spark.createDataFrame([("t", "v", day, "R", "1", "BUS", t(0), t(0), -41.0, 174.0), ("t", "v", day, "R", "1", "BUS", t(1), t(1), -41.1, 174.0)], "TRIP_INSTANCE_ID string, VEHICLE_ID string, SERVICE_DATE date, ROUTE_ID string, ROUTE_SHORT_NAME string, MODE string, PING_LOCAL timestamp_ntz, DEVICE_TS_LOCAL timestamp_ntz, LATITUDE double, LONGITUDE double")
+    assert [(r.ENTITY_ID, round(r.SCORE, 3), r.WINDOW_START, r.WINDOW_END, r.DETAIL) for r in cut] == [("cut", 1.667, t(10), t(13), "1 reported 4 of 6 scheduled stops then stopped")]
+    p = "TRIP_INSTANCE_ID string, VEHICLE_ID string, SERVICE_DATE date, ROUTE_ID string, ROUTE_SHORT_NAME string, MODE string, PING_LOCAL timestamp_ntz, DEVICE_TS_LOCAL timestamp_ntz, LATITUDE double, LONGITUDE double"
+    pings = spark.createDataFrame([("t", "v", day, "R", "1", "RAIL", t(0), t(0), -41.0, 174.0), ("t", "v", day, "R", "1", "RAIL", t(2), t(2), -41.05, 174.0)], p)
     jump = detectors.teleports(transit.ping_motion(pings)).first()
-    assert jump.SEVERITY == "HIGH" and jump.SCORE == 12.0
+    assert jump.SEVERITY == "HIGH" and jump.EXPECTED_VALUE == 110.0 and jump.DETAIL == "vehicle v implied 167.0 km/h over 5560.0m in 120s"
+    late = spark.createDataFrame([("t", "v", day, "R", "1", "BUS", t(10 + i), t(5), -41.0, 174.0) for i in range(5)], p)
+    stale = detectors.stale_vehicles(transit.ping_motion(late)).first()
+    assert (stale.ANOMALY_ID, stale.EXPECTED_VALUE, stale.DETAIL) == ("D07|t|20260401081100", 25.0, "vehicle v telemetry stalled 540s across 4 pings")
 
 
 def test_grid_keeps_missing_apart_from_zero(spark):
@@ -108,17 +139,20 @@ def test_shared_frames(spark):
 
 
 def test_camera_catalogues(spark, tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps([{"id": 2, "name": "old", "latitude": -41, "longitude": 174}, {"cameraId": "2", "title": "new", "lat": "-41.5", "lng": "174.5"}, {"id": "x3", "lat": 1, "lon": 1}, {"id": 4, "lat": 999, "lon": 1}]))
-    (tmp_path / "c.xml").write_text("<all><camera><id>7</id><name>Bay</name><lat>-41.2</lat><lon>174.9</lon></camera><camera><id>5</id><name>Hill</name><lat>-41.3</lat><lon>174.8</lon></camera></all>")
-    assert [(r.camera_id, r.camera_name, r.lat) for r in landed.cameras(landed.camera_records(spark, str(tmp_path / "c.json"))).collect()] == [("2", "new", -41.5)]
-    assert [(r.camera_id, r.camera_name) for r in landed.cameras(landed.camera_records(spark, str(tmp_path / "c.xml"), "xml")).collect()] == [("5", "Hill"), ("7", "Bay")]
+    (tmp_path / "c.json").write_text(json.dumps({"list": [{"id": 2, "name": "old", "latitude": -41, "longitude": 174}, {"deep": {"Camera-ID": "2", "title": " new ", "lat": "-41.5", "lng": "174.5", "Region_Name": "North", "isOffline": True}}, {"id": "x3", "lat": 1, "lon": 1}, {"id": 4, "lat": 999, "lon": 1}, {"number": 5, "y": 1, "x": 2, "name": ""}]}))
+    (tmp_path / "c.xml").write_text('<a:all xmlns:a="urn:x"><a:camera id="7"><a:name>Bay</a:name><lat>-41.2</lat><lon>174.9</lon><status>Offline</status></a:camera><camera><id>5</id><name>Hill</name><lat>-41.3</lat><lon>174.8</lon></camera></a:all>')
+    (tmp_path / "bad.json").write_text("{")
+    of = lambda name: [(r.camera_id, r.camera_name, r.lat, r.region, r.offline) for r in landed.cameras(landed.camera_records(spark, str(tmp_path / name))).collect()]
+    assert of("c.json") == [("2", "new", -41.5, "North", True), ("5", "Camera 5", 1.0, "", False)]
+    assert of("c.xml") == [("5", "Hill", -41.3, "", False), ("7", "Bay", -41.2, "", True)]
+    assert of("bad.json") == []
 
 
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(dt.datetime(2026, 1, 1, h, m), k) for h in range(5) for m in (1, 20, 59) for k in "ab"]
     spark.createDataFrame(rows, "ts timestamp, kind string").repartition(3).write.parquet(str(tmp_path / "in"))
     batch = spark.read.parquet(str(tmp_path / "in"))
-    q = jobs.run(jobs.complete_table(jobs.hourly_counts(jobs.landed(spark, str(tmp_path / "in"), batch.schema, 1), "ts", "Pacific/Auckland", "kind"), str(tmp_path / "out")))
-    got = spark.read.parquet(f"{tmp_path}/out/batch={q.lastProgress['batchId']}")
-    want = jobs.hourly_counts(batch, "ts", "Pacific/Auckland", "kind", streaming=False)
+    jobs.run(jobs.updated_table(jobs.hourly_counts(jobs.landed(spark, str(tmp_path / "in"), batch.schema), "ts", "Pacific/Auckland", "kind"), str(tmp_path / "out")))
+    got = jobs.read_updated(spark, str(tmp_path / "out"), "bin_start", "kind")
+    want = jobs.hourly_counts(batch, "ts", "Pacific/Auckland", "kind", streaming=False).select(got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

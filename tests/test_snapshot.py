@@ -31,11 +31,11 @@ def test_drop_gap_and_health(spark, target):
     s = snapshot.analyze_snapshot(frame(spark, CURRENT, FUTURE), target)
     row = s.candidates.collect()
     assert len(row) == 1
-    assert (row[0].expected_count, row[0].history_samples, row[0].change_direction, row[0].status, row[0].data_quality) == (100.0, 12, "decrease", "candidate", "complete")
+    assert (row[0].expected_count, row[0].history_samples, row[0].absolute_change, row[0].relative_change, row[0].change_direction, row[0].status, row[0].data_quality) == (100.0, 12, 80.0, 0.8, "decrease", "candidate", "complete")
     gaps = s.gaps.collect()
     assert [(g.direction, g.status) for g in gaps] == [("NE", "data_gap")]
     h = s.health.first().asDict()
-    assert h == {"target_at": target, "lookback_weeks": 12, "observed_series": 1, "expected_series": 2, "data_gaps": 1, "candidates": 1, "insufficient_baseline": 0}
+    assert h == {"target_at": target, "publisher_mode": "batch replay", "observed_groups": 1, "expected_groups": 2, "data_gap_groups": 1, "candidate_count": 1, "insufficient_baseline_count": 0}
 
 
 def test_no_history_is_not_zero_flow(spark):
@@ -93,10 +93,14 @@ def test_signal_contract(spark):
     f = json.loads(features.first().feature)
     assert f["id"] == "movement:1:Pedestrian:SW:2026-08-06T08:00:00"
     assert f["geometry"]["coordinates"] == [[174.1, -41.1], [174.2, -41.2]]
-    assert len(f["properties"]) == 21 and f["properties"]["signal_confidence"]["level"] == "high" and f["properties"]["limitations"]
+    assert len(f["properties"]) == 21 and f["properties"]["signal_confidence"] == {"level": "high", "history_samples": 12, "basis": "matched weekday and hour"} and f["properties"]["limitations"] == writers.LIMITATIONS
     doc = json.loads(writers.collection(features, "movement-signal-collection/v1", "2026-08-06").first().document)
     assert doc["type"] == "FeatureCollection" and len(doc["features"]) == 1
-    assert json.loads(writers.health_document(s.health, "2026-08-06").first().document)["observed_series"] == 1
+    health = json.loads(writers.health_document(s.health, "2026-08-06").first().document)
+    assert health["observed_groups"] == 1 and health["source"] == "Wellington City Council Transport Sensors" and len(health["limitations"]) == 5
+    with pytest.MonkeyPatch.context() as m, pytest.raises(ValueError, match="too many"):
+        m.setattr(writers, "MOST_FEATURES", 0)
+        writers.collection(features, "movement-signal-collection/v1", "2026-08-06")
 
 
 def test_split(spark):
