@@ -570,18 +570,91 @@ def test_media_round_trip(docs, rows, empty):
     assert media.read_avi(media.to_avi(empty)).count() == 0
 
 
-def test_frames_bit_by_bit_and_shots():
-    px = np.random.default_rng(0).integers(0, 256, 576 * 2, dtype=np.uint8)
-    jpegs = [media.HEAD + s.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9" for s in media.encode_scans(px)]
-    assert np.array_equal(np.concatenate([media.decode_frame(j).ravel() for j in jpegs]), px)
-    flat = [media.HEAD + s.tobytes().replace(b"\xff", b"\xff\0") + b"\xff\xd9" for s in media.encode_scans(np.repeat(np.array([20] * 6 + [200] * 6, np.uint8), 576))]
-    got, first, _ = media._decode_batch([media.avi(flat)])
-    hist = np.stack([np.bincount(f >> 4, minlength=16) for f in got])
-    assert np.flatnonzero(media.shots(hist, np.zeros(12, int))[0]).tolist() == [6]
+def bit_by_bit(jpeg):
+    """A lossless one-component JPEG, decoded a bit at a time."""
+    at, codes = 2, {}
+    while True:
+        marker, n = int.from_bytes(jpeg[at : at + 2]), int.from_bytes(jpeg[at + 2 : at + 4])
+        body = jpeg[at + 4 : at + 2 + n]
+        at += 2 + n
+        if marker == 0xFFC3:
+            height, width = int.from_bytes(body[1:3]), int.from_bytes(body[3:5])
+        elif marker == 0xFFC4:
+            code, k = 0, 17
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    codes[f"{code:0{length}b}"] = body[k]
+                    code, k = code + 1, k + 1
+                code <<= 1
+        elif marker == 0xFFDA:
+            break
+    assert not any(set(c) == {"1"} for c in codes)
+    bits = "".join(f"{x:08b}" for x in jpeg[at:-2].replace(b"\xff\0", b"\xff"))
+    out, p = np.zeros((height, width), int), 0
+    for y in range(height):
+        for x in range(width):
+            word = ""
+            while word not in codes:
+                word, p = word + bits[p], p + 1
+            c = codes[word]
+            v = int(bits[p : p + c] or "0", 2)
+            p += c
+            out[y, x] = (v if v >> (c - 1) else v - (1 << c) + 1) if c else 0
+            out[y, x] += out[y, x - 1] if x else out[y - 1, x] if y else 128
+    assert set(bits[p:]) <= {"1"} and len(bits) - p < 8
+    return out
+
+
+def test_frames_against_a_bit_by_bit_decoder():
+    rng = np.random.default_rng(0)
+    for px in (rng.integers(0, 256, (4, 24, 24)), np.full((3, 24, 24), 128), rng.integers(90, 99, (5, 7, 10)), rng.choice([0, 255], (2, 3, 5)), np.zeros((1, 1, 1))):
+        px = px.astype(np.uint8)
+        jpegs = media.encode(px, np.array([0, 1, len(px)]) if len(px) > 1 else np.array([0, 1]))
+        assert all(np.array_equal(bit_by_bit(j), p) for j, p in zip(jpegs, px))
+        got, height, width = media.decode(jpegs)
+        assert (height, width) == px.shape[1:] and np.array_equal(got.reshape(px.shape), px)
+
+
+def test_code_lengths_are_optimal():
+    rng = random.Random(2)
+    for _ in range(30):
+        counts = tuple(rng.choice([0, 1, 2, 5, 40, 300]) for _ in range(5))
+        used = [n for n in counts if n]
+        lengths = media.code_lengths(counts)
+        assert [n > 0 for n in counts] == [x > 0 for x in lengths] and sum(2.0**-x for x in lengths if x) < 1 or not used
+        if used:  # the best of all prefix codes that leave a word free
+            best = min(sum(n * x for n, x in zip(used, xs)) for xs in itertools.product(range(1, 6), repeat=len(used)) if sum(2.0**-x for x in xs) < 1)
+            assert sum(n * x for n, x in zip(counts, lengths)) == best
+
+
+def test_files_of_one_batch_keep_their_rate_and_size():
+    def file(px, fps):
+        px = np.asarray(px, np.uint8)
+        return media.avi(media.encode(px, np.array([0, len(px)])), px.shape[2], px.shape[1], fps)
+
+    shot = np.repeat([20] * 6 + [200] * 6, 8 * 6).reshape(12, 8, 6)
+    one, two, three = media._described([file(shot, 10), file(shot[:, :4, :4], 50), file(shot, 30)])
+    times = lambda row: [(c["first_frame"], c["frames"], c["start_ms"], c["end_ms"], c["mean_luma"]) for c in row[-1]]
+    assert times(one) == [(0, 6, 0, 600, 20.0), (6, 6, 600, 1200, 200.0)]
+    assert times(two) == [(0, 6, 0, 120, 20.0), (6, 6, 120, 240, 200.0)]
+    assert times(three)[1] == (6, 6, 200, 400, 200.0) and (one[0], two[0]) == (12 * 48, 12 * 16)
     with pytest.raises(ValueError):
         media.parse_avi(b"RIFF....WAVE")
 
 
+def test_shots_against_plain_sums():
+    rng = np.random.default_rng(5)
+    hist = rng.multinomial(576, rng.dirichlet(np.ones(16)), 60)
+    hist[30:] = hist[30:, ::-1]
+    doc = np.repeat([0, 1, 2], [25, 30, 5])
+    cut, diff = media.shots(hist, doc)
+    for i in range(60):
+        own = [j for j in range(i) if doc[j] == doc[i]]
+        d = [int(np.abs(hist[j] - hist[j - 1]).sum()) for j in own if j - 1 in own][-media.WINDOW :]
+        now = int(np.abs(hist[i] - hist[i - 1]).sum()) if own else 0
+        assert diff[i] == now and cut[i] == (bool(own) and now > (np.mean(d) + media.DEVIATIONS * np.std(d) if d else 0) and now > 2 * 576 * media.FLOOR)
+
+
 # op9
 
 
