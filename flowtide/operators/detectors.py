@@ -187,7 +187,7 @@ UNIFIED = ["source", "location", "lat", "lon", "event_date", "event_hour", "is_w
 
 
 def _feed(df: DataFrame, source: str, location: str, score: str, metric: Column, synthetic: bool) -> DataFrame:
-    return df.select(F.lit(source).alias("source"), F.col(location).alias("location"), "lat", "lon", "event_date", "event_hour", "is_weekend", "severity", F.round(score, 2).alias("score"), metric.alias("metric"), F.lit(synthetic).alias("is_synthetic"))
+    return df.select(F.lit(source).alias("source"), F.col(location).alias("location"), "lat", "lon", "event_date", "event_hour", "is_weekend", "severity", (F.round(F.col(score) * 100) / 100).alias("score"), metric.alias("metric"), F.lit(synthetic).alias("is_synthetic"))
 
 
 def sensor_feed(hourly: DataFrame, streets: DataFrame, z: float = 2.5) -> DataFrame:

@@ -22,7 +22,7 @@ def day(name: str = "date"):
 
 
 def snap(s, d):
-    return snapshot.analyze_snapshot(A.once(s, d, "hourly", lambda: A.observations(s, d, 2)), A.TARGET, A.WEEKS, A.GATES, A.MIN_SAMPLES)
+    return snapshot.analyze_snapshot(A.once(s, d, "hourly", lambda: A.busy_observations(s, d)), A.TARGET, A.WEEKS, A.GATES, A.MIN_SAMPLES)
 
 
 SERIES = ["countline_id", "transport_class", "direction"]
@@ -41,7 +41,7 @@ def _(s, d):
 
 @query("d01_seasonal_baseline", sql("base", "SELECT countline_id, transport_class, direction, day_of_week, hour, expected_count, history_samples, mad FROM base"))
 def _(s, d):
-    o = A.observations(s, d, 2)
+    o = A.busy_observations(s, d)
     at = F.make_timestamp_ntz(F.year("date"), F.month("date"), F.dayofmonth("date"), F.col("hour"), F.lit(0), F.lit(0))
     return baseline.fit_seasonal_baseline(o.where((at >= F.lit("2024-01-01 12:00:00").cast("timestamp_ntz")) & (at < F.lit("2024-01-29 12:00:00").cast("timestamp_ntz"))), A.MIN_SAMPLES)
 
@@ -70,7 +70,7 @@ def _(s, d):
 @query("d06_backtest", sql("obs2", """SELECT count(*) AS rows, count(m) AS matched, round(avg(abs(count - m)), 4) AS mae FROM (SELECT *, isodow(date) AS w FROM obs2 WHERE date > DATE '2024-01-22') o
   LEFT JOIN (SELECT countline_id, transport_class, direction, isodow(date) AS w, hour, median(count) AS m FROM obs2 WHERE date <= DATE '2024-01-22' GROUP BY ALL HAVING count(*) >= 3) b USING (countline_id, transport_class, direction, w, hour)"""))
 def _(s, d):
-    o = A.observations(s, d, 2)
+    o = A.busy_observations(s, d)
     return baseline.backtest(o.where("date <= date'2024-01-22'"), o.where("date > date'2024-01-22'"), 3).select("rows", "matched", *r4("mae"))
 
 

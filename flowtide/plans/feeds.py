@@ -435,11 +435,11 @@ def _(s, d):
     return reports.heatmap(e, "user_id", "h", 15)
 
 
-HIGHWAY = "severity IN ('HIGH', 'MEDIUM') AND change IN ('DROP') AND count_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'"
+HIGHWAY = "severity IN ('HIGH', 'MEDIUM', 'LOW') AND change IN ('DROP', 'SURGE') AND count_date BETWEEN DATE '1993-01-01' AND DATE '1997-12-31'"
 
 
 def highways(s, d):
-    return reports.highway_filter(site_scores(s, d), ("1993-01-01", "1997-12-31"), ["HIGH", "MEDIUM"], ["DROP"])
+    return reports.highway_filter(site_scores(s, d), ("1993-01-01", "1997-12-31"), ["HIGH", "MEDIUM", "LOW"], ["DROP", "SURGE"])
 
 
 @query("q06_highway_metrics", sql("dscored", f"SELECT count(*) AS site_days, count(*) FILTER (WHERE severity = 'HIGH') AS high, count(DISTINCT SiteRef) AS sites, min(ratio) AS low_ratio FROM dscored WHERE {HIGHWAY}"))

@@ -9,8 +9,8 @@ METRES = "12742000 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians
 STREET = r"coalesce(nullif(trim(regexp_replace(regexp_replace({0}, '^S\d+\s+', '', 'i'), '[\s-]+(road|crossing|lane).*$', '', 'i')), ''), {0})"
 
 
-def _obs(n: int) -> str:
-    return f"""SELECT (user_id % {n})::VARCHAR AS countline_id, ts::DATE AS date, hour(ts)::INT AS hour, count(*)::DOUBLE AS count,
+def _obs(n: int, count: str = "count(*)") -> str:
+    return f"""SELECT (user_id % {n})::VARCHAR AS countline_id, ts::DATE AS date, hour(ts)::INT AS hour, {count}::DOUBLE AS count,
       CASE event_type WHEN 'view' THEN 'Pedestrian' WHEN 'click' THEN 'Cyclist' ELSE event_type END AS transport_class, 'ALL' AS direction FROM events GROUP BY ALL"""
 
 
@@ -27,7 +27,7 @@ SEQ = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partk
 #: name -> (needed names, SQL)
 CTES: dict[str, tuple[str, str]] = {
     "obs": ("", _obs(25)),
-    "obs2": ("", _obs(2)),
+    "obs2": ("", _obs(2, "sum(user_id % 50)")),
     "meta": ("", "SELECT 'V' || n_nationkey AS VIEWPOINT_ID, n_nationkey::VARCHAR AS COUNTLINE_ID, 'S' || n_nationkey || ' ' || r_name || ' Road ' || n_name AS NAME, -41.3 + n_nationkey * 0.002::DOUBLE AS LATITUDE_START_LINE, 174.75 + n_nationkey * 0.003::DOUBLE AS LONGITUDE_START_LINE, -41.299 + n_nationkey * 0.002::DOUBLE AS LATITUDE_END_LINE, 174.751 + n_nationkey * 0.003::DOUBLE AS LONGITUDE_END_LINE FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "hist": ("obs2", "SELECT *, (isodow(date) - 1)::INT AS day_of_week FROM obs2 WHERE date + to_hours(hour) >= TIMESTAMP '2024-01-01 12:00:00' AND date + to_hours(hour) < TIMESTAMP '2024-01-29 12:00:00'"),
     "base0": ("hist", _robust("hist", "countline_id, transport_class, direction, day_of_week, hour", "count")),
@@ -64,13 +64,13 @@ CTES: dict[str, tuple[str, str]] = {
     "ev0": ("", f"SELECT *, {SEQ} AS STOP_SEQUENCE, DATE '2024-01-01' + (date_diff('day', DATE '1992-01-01', o_orderdate::DATE) % 14)::INT AS SERVICE_DATE, l_returnflag <> 'R' AS seen, (date_diff('day', o_orderdate::DATE, l_shipdate::DATE))::INT AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
     "ev1": ("ev0", "SELECT *, SERVICE_DATE + to_hours((5 + o_orderkey % 18)::INT) + to_minutes(STOP_SEQUENCE * 3) AS SCHED_ARRIVAL_LOCAL, CASE WHEN seen AND l_discount < 0.09 THEN d END AS ARRIVAL_DELAY_SECS, CASE WHEN seen AND l_discount < 0.09 THEN trunc(l_quantity)::INT END AS DWELL_SECS FROM ev0"),
     "ev": ("ev1", f"""SELECT l_orderkey::VARCHAR AS TRIP_INSTANCE_ID, SERVICE_DATE, 'R' || (o_custkey % 20) AS ROUTE_ID, (o_custkey % 20)::VARCHAR AS ROUTE_SHORT_NAME, CASE WHEN o_custkey % 5 <> 0 THEN (o_custkey % 2)::INT END AS DIRECTION_ID,
-        CASE WHEN o_custkey % 20 < 14 THEN 'BUS' WHEN o_custkey % 20 < 18 THEN 'RAIL' ELSE 'FERRY' END AS MODE, 'P' || (l_partkey % 50) AS STOP_ID, STOP_SEQUENCE, {DAY_TYPE.format('SERVICE_DATE')} AS DAY_TYPE, SCHED_ARRIVAL_LOCAL, SCHED_ARRIVAL_LOCAL + to_seconds(ARRIVAL_DELAY_SECS) AS ACTUAL_ARRIVAL_LOCAL,
+        CASE WHEN o_custkey % 20 < 14 THEN 'BUS' WHEN o_custkey % 20 < 18 THEN 'RAIL' ELSE 'FERRY' END AS MODE, 'P' || (l_partkey // 40) AS STOP_ID, STOP_SEQUENCE, {DAY_TYPE.format('SERVICE_DATE')} AS DAY_TYPE, SCHED_ARRIVAL_LOCAL, SCHED_ARRIVAL_LOCAL + to_seconds(ARRIVAL_DELAY_SECS) AS ACTUAL_ARRIVAL_LOCAL,
         SCHED_ARRIVAL_LOCAL + to_seconds(ARRIVAL_DELAY_SECS + DWELL_SECS) AS ACTUAL_DEPARTURE_LOCAL, ARRIVAL_DELAY_SECS, DWELL_SECS, seen AS IS_OBSERVED, l_discount < 0.09 AS IS_REPORTED, hour(SCHED_ARRIVAL_LOCAL)::INT AS SCHED_HOUR, time_bucket(INTERVAL 15 MINUTE, SCHED_ARRIVAL_LOCAL) AS SCHED_BIN_15MIN FROM ev1"""),
     "rt": ("ev", """SELECT 'R' || k AS ROUTE_ID, k::VARCHAR AS ROUTE_SHORT_NAME, CASE WHEN k < 14 THEN 3 WHEN k < 18 THEN 2 ELSE 4 END AS ROUTE_TYPE, CASE WHEN k < 14 THEN 'BUS' WHEN k < 18 THEN 'RAIL' ELSE 'FERRY' END AS MODE, coalesce(t, 0) AS TRIP_INSTANCES, coalesce(s, 0) AS DISTINCT_STOPS,
         CASE WHEN coalesce(t, 0) / 5.0 >= 120 THEN 'HIGH_FREQUENCY' WHEN coalesce(t, 0) / 5.0 >= 40 THEN 'FREQUENT' WHEN coalesce(t, 0) / 5.0 >= 10 THEN 'STANDARD' ELSE 'INFREQUENT' END AS FREQUENCY_CLASS
       FROM (SELECT DISTINCT c_custkey % 20 AS k FROM customer) LEFT JOIN (SELECT ROUTE_ID AS r, count(DISTINCT TRIP_INSTANCE_ID) AS t, count(DISTINCT STOP_ID) AS s FROM ev GROUP BY 1) ON r = 'R' || k"""),
-    "st": ("ev", """SELECT 'P' || k AS STOP_ID, 'Stop ' || k AS STOP_NAME, round(-41.30 + k * 0.001::DOUBLE, 3) AS STOP_LAT, round(174.765 + k * 0.001::DOUBLE, 3) AS STOP_LON, coalesce(r, 0) AS ROUTES_SERVED, coalesce(n, 0) AS MATCHED_EVENTS, greatest(coalesce(n, 0), 1) AS STOP_EVENTS,
-        round(-41.30 + k * 0.001::DOUBLE, 3) BETWEEN -41.300 AND -41.270 AND round(174.765 + k * 0.001::DOUBLE, 3) BETWEEN 174.765 AND 174.790 AS IS_CBD FROM (SELECT DISTINCT p_partkey % 50 AS k FROM part) LEFT JOIN (SELECT STOP_ID AS s, count(DISTINCT ROUTE_ID) AS r, count(*) AS n FROM ev GROUP BY 1) ON s = 'P' || k WHERE k <> 0"""),
+    "st": ("ev", """SELECT 'P' || k AS STOP_ID, 'Stop ' || k AS STOP_NAME, round(-41.30 + (k % 50) * 0.001::DOUBLE, 3) AS STOP_LAT, round(174.765 + (k % 50) * 0.001::DOUBLE, 3) AS STOP_LON, coalesce(r, 0) AS ROUTES_SERVED, coalesce(n, 0) AS MATCHED_EVENTS, greatest(coalesce(n, 0), 1) AS STOP_EVENTS,
+        round(-41.30 + (k % 50) * 0.001::DOUBLE, 3) BETWEEN -41.300 AND -41.270 AND round(174.765 + (k % 50) * 0.001::DOUBLE, 3) BETWEEN 174.765 AND 174.790 AS IS_CBD FROM (SELECT DISTINCT p_partkey // 40 AS k FROM part) LEFT JOIN (SELECT STOP_ID AS s, count(DISTINCT ROUTE_ID) AS r, count(*) AS n FROM ev GROUP BY 1) ON s = 'P' || k WHERE k <> 0"""),
     "fact": ("ev rt st", """SELECT ev.*, CASE WHEN DAY_TYPE = 'WEEKDAY' AND SCHED_HOUR BETWEEN 7 AND 8 THEN 'AM_PEAK' WHEN DAY_TYPE = 'WEEKDAY' AND SCHED_HOUR BETWEEN 16 AND 17 THEN 'PM_PEAK' WHEN SCHED_HOUR BETWEEN 9 AND 15 THEN 'INTERPEAK' WHEN SCHED_HOUR >= 19 OR SCHED_HOUR < 6 THEN 'EVENING' ELSE 'SHOULDER' END AS TIME_BAND,
         STOP_NAME, STOP_LAT, STOP_LON, IS_CBD, FREQUENCY_CLASS, CASE WHEN ARRIVAL_DELAY_SECS IS NULL THEN 'NOT_OBSERVED' WHEN ARRIVAL_DELAY_SECS < -60 THEN 'EARLY' WHEN ARRIVAL_DELAY_SECS <= 300 THEN 'ON_TIME' WHEN ARRIVAL_DELAY_SECS <= 900 THEN 'LATE' ELSE 'VERY_LATE' END AS PUNCTUALITY_BAND
       FROM ev LEFT JOIN (SELECT STOP_ID, STOP_NAME, STOP_LAT, STOP_LON, IS_CBD FROM st) USING (STOP_ID) LEFT JOIN (SELECT ROUTE_ID, FREQUENCY_CLASS FROM rt) USING (ROUTE_ID)"""),
@@ -83,7 +83,7 @@ CTES: dict[str, tuple[str, str]] = {
     "fw": ("fact", "SELECT * FROM fact WHERE DWELL_SECS IS NOT NULL"),
     "bw0": ("fw", _robust("fw", "STOP_ID, TIME_BAND, DAY_TYPE, MODE", "DWELL_SECS")),
     "bw": ("bw0", "SELECT *, greatest(1.4826 * mad, 10.0) AS SIGMA_DWELL FROM bw0 WHERE n >= 5"),
-    "pg": ("", "SELECT (user_id % 10)::VARCHAR || '|' || strftime(ts, '%Y%m%d') AS TRIP_INSTANCE_ID, 'V' || (user_id % 10) AS VEHICLE_ID, ts::DATE AS SERVICE_DATE, 'R' || (user_id % 10) AS ROUTE_ID, (user_id % 10)::VARCHAR AS ROUTE_SHORT_NAME, CASE WHEN user_id % 10 < 7 THEN 'BUS' ELSE 'RAIL' END AS MODE, ts AS PING_LOCAL, ts - to_seconds((event_id * 7 % 150)::INT) AS DEVICE_TS_LOCAL, -41.3 + (event_id * 37 % 1000) / 10000.0::DOUBLE AS LATITUDE, 174.7 + (event_id * 53 % 1000) / 10000.0::DOUBLE AS LONGITUDE FROM events"),
+    "pg": ("", "SELECT (user_id // 10)::VARCHAR || '|' || strftime(ts, '%Y%m%d') AS TRIP_INSTANCE_ID, 'V' || (user_id // 10) AS VEHICLE_ID, ts::DATE AS SERVICE_DATE, 'R' || (user_id // 10 % 10) AS ROUTE_ID, (user_id // 10 % 10)::VARCHAR AS ROUTE_SHORT_NAME, CASE WHEN user_id // 10 % 10 < 7 THEN 'BUS' ELSE 'RAIL' END AS MODE, ts AS PING_LOCAL, ts - to_seconds((event_id * 7 % 150)::INT) AS DEVICE_TS_LOCAL, -41.3 + (event_id * 37 % 1000) / 10000.0::DOUBLE AS LATITUDE, 174.7 + (event_id * 53 % 1000) / 10000.0::DOUBLE AS LONGITUDE FROM events"),
     "mo0": ("pg", "SELECT *, lag(LATITUDE) OVER w AS PLAT, lag(LONGITUDE) OVER w AS PLON, lag(PING_LOCAL) OVER w AS PREV_PING_LOCAL FROM pg WINDOW w AS (PARTITION BY TRIP_INSTANCE_ID ORDER BY PING_LOCAL, LATITUDE, LONGITUDE)"),
     "mo1": ("mo0", f"SELECT *, date_diff('second', PREV_PING_LOCAL, PING_LOCAL) AS SECS_SINCE_PREV, {METRES.format('PLAT', 'PLON', 'LATITUDE', 'LONGITUDE')} AS METRES_SINCE_PREV, date_diff('second', DEVICE_TS_LOCAL, PING_LOCAL) AS DEVICE_LAG_SECS FROM mo0 WHERE PLAT IS NOT NULL"),
     "mo": ("mo1", "SELECT *, CASE WHEN SECS_SINCE_PREV > 0 THEN METRES_SINCE_PREV / SECS_SINCE_PREV * 3.6 END AS IMPLIED_KMH FROM mo1"),

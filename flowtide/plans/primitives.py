@@ -163,9 +163,9 @@ def _(s, d):
     return A.observations(s, d).join(m, "countline_id").groupBy("NAME").agg(F.sum("count").alias("n"))
 
 
-@query("j03_anti_null_safe", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("j03_anti_null_safe", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber = 6)")
 def _(s, d):
-    return baseline.null_safe(A.table(s, d, "part").select("p_partkey"), lines(s, d).select(F.col("l_partkey").alias("p_partkey")).distinct(), ["p_partkey"], "left_anti")
+    return baseline.null_safe(A.table(s, d, "part").select("p_partkey"), lines(s, d).where("l_linenumber = 6").select(F.col("l_partkey").alias("p_partkey")).distinct(), ["p_partkey"], "left_anti")
 
 
 @query("j04_anti", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
