@@ -8,14 +8,16 @@ is scored as if it had not been learned from: its own counts are taken out.
 The texts are read once and written as chunks of at most CHUNK_CHARS characters: the distinct words of the chunk, and each document as
 numbers among them. A chunk sends the counts of its distinct words and bigrams to parts by ranges of their hash; a part adds up what all
 chunks have sent and answers each chunk with the totals of just the words and bigrams that it holds. Chunks and answers meet by chunk, where the
-documents are scored. A frequent word is one entry of a chunk, so no part is larger than others, and there are as many parts as chunks: all of
-it grows with the corpus, and the driver gets only the number of chunks, words and distinct words.
+documents are scored. A frequent word is one entry of a chunk, so no part is larger than others, and there is a part for every two chunks: all of
+it grows with the corpus, and the driver gets only the number of chunks, words and distinct words. The bytes sent grow with the corpus, the number of
+messages with its square, as each chunk writes to each part.
 
 Word and bigram counts cover all documents. A document's losses are mean negative natural logarithms per word; score is target loss
 minus background loss, so low scores are close to the target.
 
 Cases: a null text or one without a word has 0 tokens and null losses; a null doc_id is never labelled; documents labelled twice count
-once; without target documents the target model is uniform; empty tables give empty results; extra columns are ignored.
+once; repeated rows are documents of their own, each scored with the others learned from; texts are read whole, a very long one is a chunk of its own;
+there are no ties; without target documents the target model is uniform; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ from .common import batches_of, hashed_words, mix, passes, store, table, utf8
 
 #: Dirichlet smoothing towards the unigram model, and of the unigram model itself.
 PRIOR, ADD = 20.0, 0.1
-#: Characters of the texts of a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 16_000_000
+#: Characters of the texts of a chunk; a longer text is a chunk of its own. Chunks for each part of the counts.
+CHUNK_CHARS, CHUNKS_A_PART = 8_000_000, 2
 #: Words of the documents that are scored together.
 PASS_WORDS = 500_000
-#: Target ids are broadcast up to this number; beyond, documents and ids are joined by a shuffle.
-MOST_IDS = 2_000_000
+#: Target ids are broadcast up to so many bytes; beyond, documents and ids are joined by a shuffle.
+MOST_ID_BYTES = 64 << 20
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -199,7 +201,8 @@ def _scored(size: int, totals: tuple[int, int], scale: float):
 def flagged(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """(doc_id, text, target)."""
     ids = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True))
-    if ids.count() <= MOST_IDS:
+    # a row of a broadcast table takes some 40 bytes beside its id
+    if (ids.agg(F.sum(F.octet_length(F.col("doc_id").cast("string")) + 40)).first()[0] or 0) <= MOST_ID_BYTES:
         ids = F.broadcast(ids)
     return docs.select("doc_id", "text").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
@@ -215,7 +218,7 @@ def learn(rows: DataFrame) -> Models:
     kind = rows.schema["doc_id"].dataType.simpleString()
     chunks = store(rows.mapInArrow(_chunked(CHUNK_CHARS), f"chunk long, doc_ids array<{kind}>, words binary, ids binary, lengths binary, target binary"), "op2-chunks")
     every = chunks.select("lengths", "target").mapInArrow(_n_words, "n long, nt long").agg(F.count("*").alias("chunks"), F.sum("n").alias("n"), F.sum("nt").alias("nt")).first()
-    counts = chunks.select("chunk", "words", "ids", "lengths", "target").mapInArrow(_sent(max(1, every["chunks"])), "chunk long, kind int, part int, keys binary, n binary, nt binary")
+    counts = chunks.select("chunk", "words", "ids", "lengths", "target").mapInArrow(_sent(max(1, -(-every["chunks"] // CHUNKS_A_PART))), "chunk long, kind int, part int, keys binary, n binary, nt binary")
     answers = store(counts.groupBy("kind", "part").applyInArrow(_answered, "chunk long, kind int, part int, n binary, nt binary, held long"), "op2-counts")
     held = answers.where("chunk = -1 and kind = 0").agg(F.sum("held")).first()[0] or 0
     n, nt = every["n"] or 0, every["nt"] or 0
