@@ -126,7 +126,8 @@ def _(s, d):
 
 
 def site_days(s, d):
-    return rollup.site_daily(rollup.distinct_observations(A.highway_counts(s, d), ["l_orderkey", "laneNumber"]), A.highway_sites(s, d))
+    """Written once, as a score reads its rows three times."""
+    return A.once(s, d, "site-days", lambda: rollup.site_daily(rollup.distinct_observations(A.highway_counts(s, d), ["l_orderkey", "laneNumber"]), A.highway_sites(s, d)))
 
 
 def site_scores(s, d):
@@ -161,7 +162,7 @@ def _(s, d):
 
 def flight_hours(s, d):
     e = A.table(s, d, "events").withColumn("t", F.unix_timestamp(F.col("ts").cast("timestamp"))).select(F.lit(" NZ1 ").alias("callsign"), F.lit("c8").alias("icao24"), F.col("t").alias("lastSeen"), F.col("t").alias("firstSeen"), F.col("event_type").isin("view", "click").alias("a"))
-    return rollup.hourly_movements(rollup.movements(e.where("a"), e.where("not a")), F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))
+    return A.once(s, d, "flight-hours", lambda: rollup.hourly_movements(rollup.movements(e.where("a"), e.where("not a")), F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date")))
 
 
 def flight_scores(s, d):

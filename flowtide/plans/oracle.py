@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from ..functions.columns import DESCRIPTORS
+
 DOW = "isodow({0})"
 DAY_TYPE = "CASE WHEN isodow({0}) = 7 THEN 'SUNDAY' WHEN isodow({0}) = 6 THEN 'SATURDAY' ELSE 'WEEKDAY' END"
 SEVERITY = "CASE WHEN abs({0}) >= 3.5 THEN 'HIGH' WHEN abs({0}) >= 2.5 THEN 'MEDIUM' WHEN abs({0}) >= 1.5 THEN 'LOW' ELSE 'NONE' END"
 METRES = "12742000 * asin(sqrt(pow(sin(radians({2} - {0}) / 2), 2) + cos(radians({0})) * cos(radians({2})) * pow(sin(radians({3} - {1}) / 2), 2)))"
-STREET = r"coalesce(nullif(trim(regexp_replace(regexp_replace({0}, '^S\d+\s+', '', 'i'), '[\s-]+(road|crossing|lane).*$', '', 'i')), ''), {0})"
+STREET = r"coalesce(nullif(trim(regexp_replace(regexp_replace({0}, '^S\d+\s+', '', 'i'), '[\s-]+(" + DESCRIPTORS + r").*$', '', 'i')), ''), {0})"
 
 
 def _obs(n: int, count: str = "count(*)") -> str:

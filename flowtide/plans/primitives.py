@@ -11,7 +11,7 @@ from ..sources import landed as S
 from . import adapters as A
 from .core import day, r4, site_scores, snap
 from .network import ts
-from .oracle import DAY_TYPE, SEVERITY, sql
+from .oracle import DAY_TYPE, SEVERITY, STREET, sql
 from .registry import query
 
 
@@ -431,11 +431,17 @@ def _(s, d):
 # scalar functions --------------------------------------------------------------------------------------------------------------
 
 
-@query("f01_text_f02_street", r"SELECT p_partkey, coalesce(nullif(trim(regexp_replace(regexp_replace('S' || p_partkey || ' ' || p_name || ' Street Bridge - west', '^s\d+\s+', '', 'i'), '[\s-]+(bridge).*$', '', 'i')), ''), p_name) AS street FROM part")
+#: Ends of sensor names: descriptors of many kinds, several at once, none, and one that is part of a word.
+ENDS = ["Street Bridge - west", "Quay Shared Path north", "Road", "Terrace Cyclelanes", "St Northbound lane", "Ave-lhs", "Hill underpass exit", "Square", "SideRoad kerb", "Parkway Entrance", "Lane", "Place Vehicle"]
+_PLACE = "'S' || p_partkey || ' ' || p_name || ' ' || ([{}])[(p_partkey % {} + 1)::INT]".format(", ".join(f"'{e}'" for e in ENDS), len(ENDS))
+
+
+@query("f01_text_f02_street", f"SELECT p_partkey, {STREET.format('name')} AS street FROM (SELECT p_partkey, {_PLACE} AS name FROM part)")
 def _(s, d):
     C.register_sql(s)
-    A.table(s, d, "part").createOrReplaceTempView("v_part")
-    return s.sql("SELECT p_partkey, street_of(concat('S', p_partkey, ' ', p_name, ' Street Bridge - west')) AS street FROM v_part")
+    ends = F.get(F.array(*map(F.lit, ENDS)), (F.col("p_partkey") % len(ENDS)).cast("int"))
+    A.table(s, d, "part").select("p_partkey", F.concat(F.lit("S"), "p_partkey", F.lit(" "), "p_name", F.lit(" "), ends).alias("name")).createOrReplaceTempView("v_part")
+    return s.sql("SELECT p_partkey, street_of(name) AS street FROM v_part")
 
 
 @query("f03_split_pad_f04_format", "SELECT c_custkey, split_part(c_name, '#', 2) AS num, lpad((c_custkey % 100)::VARCHAR, 3, '0') AS pad, length(c_mktsegment) AS len, upper(c_mktsegment) || ' at ' || c_nationkey AS txt FROM customer")
