@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +33,12 @@ ROW = "_flowtide_row"
 
 
 def with_row(scan: DataFrame) -> DataFrame:
-    """scan: a table read from files, or chosen rows and columns of one. Adds ROW, a number of each row made from its place in its file, so that rows alike are told apart and every scan finds the same number."""
-    place = scan.metadataColumn("_metadata")
+    """scan: a table read from files, or chosen rows and columns of one; rows of memory are written first. Adds ROW, a number of each row made from its place in its file, so that rows alike are told apart and every scan finds the same number."""
+    try:
+        place = scan.metadataColumn("_metadata")
+    except AnalysisException:
+        scan = store(scan, "rows")
+        place = scan.metadataColumn("_metadata")
     return scan.withColumn(ROW, F.xxhash64(place["file_path"], place["row_index"]))
 
 
