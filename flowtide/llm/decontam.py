@@ -1,7 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items and texts are reduced to lower-case letters and digits with single spaces. Items are cut into pieces of PIECE
-characters that overlap by half, and into pieces of SHORT characters that begin every STRIDE characters; shorter items are one piece. So
+Benchmark items and texts are reduced to lower-case letters and digits with single spaces. Items are cut into pieces of SHORT characters that
+begin every STRIDE characters; an item of at most PIECE characters is a piece as a whole, too. (Of longer stretches, one of two halves
+holds no more than its share of the edits, so longer pieces would find nothing else.) So
 an excerpt of at least SHORT + STRIDE - 1 = 74 reduced characters is found wherever it begins and ends, with up to 6 edits in it; a shorter one
 only if it holds a whole piece. A piece of n characters may be matched with k = floor(ERRORS n) edits; such a match shares at least
 n - q + 1 - k q q-grams with the text, all on at most k + 1 neighbouring diagonals. So shared q-grams are counted in bands of 2 (k + 1)
@@ -34,8 +35,8 @@ from .common import char_class, code_points, kept_rows, passes, table, utf8
 Q = 8
 ERRORS = 0.1
 _PAD = np.uint32(0xFFFFFFFF)
-#: Cells of the first count of shared q-grams, by a hash of text, piece and diagonals.
-COUNT_BITS = 22
+#: Characters of the texts that are searched at a time, and cells of the first count of their shared q-grams, by a hash of text, piece and diagonals.
+PASS, COUNT_BITS = 1_000_000, 20
 PIECE, LEAST, LEAST_WORDS = 120, 30, 3
 SHORT, STRIDE = 60, 15
 #: Regions that are aligned together.
@@ -95,14 +96,14 @@ def index(items: list[tuple]) -> Index:
         own = own[: len(own) - (len(own) > 0 and own[-1] == 32)]
         if len(own) < Q or len(own) < LEAST and (own == 32).sum() < LEAST_WORDS - 1:
             continue
-        for size, step in ((PIECE, PIECE // 2), (SHORT, STRIDE)):
-            if size == SHORT and len(own) <= SHORT:
-                continue  # one piece already
-            cuts = [0] if len(own) <= size else [*range(0, len(own) - size, step), len(own) - size]
-            for c in cuts:
-                owner.append(i)
-                begin.append(c)
-                texts.append(own[c : c + size])
+        cuts = [(0, len(own))] if len(own) <= PIECE else []
+        if len(own) > SHORT:
+            # the last two pieces side by side, so that every 2 * SHORT characters hold two pieces
+            cuts += [(c, SHORT) for c in sorted({*range(0, len(own) - SHORT, STRIDE), len(own) - SHORT, max(0, len(own) - 2 * SHORT)})]
+        for c, size in cuts:
+            owner.append(i)
+            begin.append(c)
+            texts.append(own[c : c + size])
     n = np.array([len(t) for t in texts], np.int64)
     budget = np.where(n < LEAST, 0, np.minimum((n * ERRORS).astype(np.int64), (n - Q) // Q))
     hs = [grams(t) for t in texts]
@@ -113,7 +114,7 @@ def index(items: list[tuple]) -> Index:
     hashes, first = np.unique(h[order], return_index=True)
     seen = np.zeros(1 << 22, np.bool_)
     seen[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-    return Index([k for k, _ in items], np.array(owner, np.int64), texts, np.array(begin, np.int64), budget, n - Q + 1 - budget * Q, hashes, np.append(first, len(h)), piece[order], at[order], seen)
+    return Index([k for k, _ in items], np.array(owner, np.int64), texts, np.array(begin, np.int64), budget, n - Q + 1 - budget * Q, hashes, np.append(first, len(h)), piece[order].astype(np.int32), at[order].astype(np.int32), seen)
 
 
 def banded(piece: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int]:
@@ -175,16 +176,16 @@ def regions(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[in
     at, which, text = at[fits], which[fits], text[fits]
     n = ix.first[which + 1] - ix.first[which]
     entry = np.repeat(ix.first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    piece, text = ix.entry_piece[entry], np.repeat(text, n)
-    diagonal = np.repeat(at - starts[text[np.cumsum(n) - n]] if len(n) else at, n) - ix.entry_at[entry]
-    pair = text * len(ix.need) + piece
-    step = ix.budget[piece] + 1
-    band = (diagonal + PIECE) // step + 1  # a region is two neighbouring bands
+    piece, j = ix.entry_piece[entry], ix.entry_at[entry]
+    diagonal = np.repeat((at - starts[text]).astype(np.int32), n) - j
+    band = (diagonal + np.int32(PIECE)) // (ix.budget.astype(np.int32) + np.int32(1))[piece] + np.int32(1)  # a region is two neighbouring bands
     # neighbouring bands have neighbouring cells, so that each cell's best two are found once
-    cell = (((pair * (2654435761 * 2246822519 & 0xFFFFFFFF) & 0xFFFFFFFF) >> (32 - COUNT_BITS)) + band) & ((1 << COUNT_BITS) - 1)
-    rough = np.bincount(cell, minlength=1 << COUNT_BITS)
-    enough = (rough + np.maximum(np.roll(rough, 1), np.roll(rough, -1)))[cell] >= ix.need[piece]
-    pair, band, j = pair[enough], band[enough], ix.entry_at[entry][enough]
+    mixed = np.repeat(text.astype(np.uint32) * np.uint32(2654435761), n) + piece.astype(np.uint32) * np.uint32(2246822519)
+    cell = (((mixed ^ (mixed >> np.uint32(15))) * np.uint32(668265263)) >> np.uint32(32 - COUNT_BITS)).astype(np.int64) + band & ((1 << COUNT_BITS) - 1)
+    rough = np.bincount(cell, minlength=1 << COUNT_BITS).astype(np.int32)
+    enough = (rough + np.maximum(np.roll(rough, 1), np.roll(rough, -1)))[cell] >= ix.need.astype(np.int32)[piece]
+    pair = np.repeat(text, n)[enough] * len(ix.need) + piece[enough]
+    band, j = band[enough].astype(np.int64), j[enough].astype(np.int64)
     if not len(pair):
         return
     # exact: distinct q-gram positions of the piece in each pair of bands
@@ -250,7 +251,7 @@ def _matched(sent):
         for batch in batches:
             text = utf8(batch.column("text"))
             rows = []
-            for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)) if len(ix.need) else ():
+            for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False), PASS) if len(ix.need) else ():
                 own, starts, offset = reduced(text[lo:hi])
                 for t, item, start, end, edits, pieces in matches(own, starts, ix):
                     at = offset[starts[t] : starts[t + 1]]
@@ -281,7 +282,7 @@ def find(docs: DataFrame, items: DataFrame, key=None) -> DataFrame:
 def _clean(sent):
     def keep(text: pa.Array) -> np.ndarray:
         ix, out = sent.value, np.ones(len(text), np.bool_)
-        for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)) if len(ix.need) else ():
+        for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False), PASS) if len(ix.need) else ():
             own, starts, _ = reduced(text[lo:hi])
             for t, *_ in matches(own, starts, ix):
                 out[lo + t] = False
