@@ -8,7 +8,8 @@ taken quota div blocks times, and the first quota mod blocks of them in a seeded
 
 A source's documents lie on its word line in a seeded order. A block may begin or end inside a document, so a document's taken words
 are those of its part of the line, and every source meets its target up to one block of each shard. A source is cut into 16**CELL_DIGITS cells by
-the seed's hash; no window holds more than one cell of documents. Words are counted once, and written with the ids.
+the seed's hash; no window holds more than one cell of documents. Words are counted once, and written with the ids. Only the table of sources, one
+row each, passes through one task.
 
 Cases: a null or blank text has no words and takes none; null sources are one source, ordered last; a null doc_id is a value like others; ties in
 the seeded order are rows alike; a very long text may span many blocks; if there are no words all targets are 0; an empty table gives no rows;
