@@ -116,6 +116,11 @@ def brief_quality(health: DataFrame, signals: DataFrame, limitations: int) -> Da
     return health.crossJoin(low).withColumn("limitations", F.lit(limitations))
 
 
+def brief_cameras(layer: DataFrame) -> DataFrame:
+    """One row: cameras of detectors.camera_layer(), those inside the countline frame and those flagged offline."""
+    return layer.agg(F.count("*").alias("cameras"), F.count_if("within_countline_frame").alias("within"), F.count_if("offline").alias("offline"))
+
+
 def grounding(health: DataFrame, signals: DataFrame, cameras: DataFrame, hotspots: DataFrame, n: int = 40) -> DataFrame:
     """One JSON record for an agent: health, all signals (of one hour), the first n cameras and hotspots, guardrails."""
     s = signals.agg(F.sort_array(F.collect_list(F.struct("countline_id", "transport_class", "direction", "name", "status", "observed_count", "expected_count", "robust_z"))).alias("signals"))

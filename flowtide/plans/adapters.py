@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,14 +135,16 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _made: dict[tuple[str, str, str], DataFrame] = {}
+_making = threading.RLock()
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A table that many queries read, written once for each application and folder of tables, which do not change meanwhile."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made:
-        _made[key] = materialized(build(), name)
-    return _made[key]
+    with _making:
+        if key not in _made:
+            _made[key] = materialized(build(), name)
+        return _made[key]
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -519,6 +519,12 @@ def _(s, d):
     return reports.brief_quality(x.health, reports.named_signals(x.scored, A.metadata(s, d)), len(K.LIMITATIONS)).select("data_gap_groups", "insufficient_baseline_count", "signals", "low_confidence", "limitations")
 
 
+@query("q10_brief_cameras", sql("meta", "SELECT count(*) AS cameras, count(*) FILTER (WHERE lat BETWEEN south AND north AND lon BETWEEN west AND east) AS within, count(*) FILTER (WHERE off) AS offline FROM (SELECT -41.3 + (s_suppkey % 100) * 0.001::DOUBLE AS lat, 174.75 + (s_suppkey % 90) * 0.001::DOUBLE AS lon, s_suppkey % 3 = 0 AS off FROM supplier), (SELECT min(LATITUDE_START_LINE) AS south, max(LATITUDE_END_LINE) AS north, min(LONGITUDE_START_LINE) AS west, max(LONGITUDE_END_LINE) AS east FROM meta)"))
+def _(s, d):
+    layer = detectors.camera_layer(cameras(s, d).withColumn("offline", F.col("camera_id") % 3 == 0), A.metadata(s, d))
+    return reports.brief_cameras(layer)
+
+
 @query("q10_brief_hotspots", hotspot_sql("SELECT STOP_NAME, anomalies, high, top_detector, worst_detail FROM hs QUALIFY row_number() OVER (ORDER BY anomalies DESC, STOP_ID) <= 3"))
 def _(s, d):
     h = hotspots(s, d).orderBy(F.desc("anomalies"), "STOP_ID").limit(3)

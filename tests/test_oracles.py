@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import math
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import pytest
@@ -27,17 +28,34 @@ def rows(names, values):
     return sorted((tuple(plain(r[i]) for i in order) for r in values), key=repr)
 
 
-@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
-def test_matches_sql(spark, name):
+@pytest.fixture(scope="module")
+def answers(spark):
+    """name -> future of (columns, rows) by Spark; several queries run at a time."""
+
+    def ask(name):
+        df = registry.QUERIES[name](spark, SF)
+        return df.columns, df.collect()
+
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(ask, name) for name in sorted(registry.ORACLES)}
+
+
+@pytest.fixture(scope="module")
+def tables():
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
     for p in Path(SF).glob("*.parquet"):
         con.sql(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
-    df = registry.QUERIES[name](spark, SF)
-    want = con.sql(registry.ORACLES[name])
-    assert sorted(df.columns) == sorted(want.columns)
-    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+    return con
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_matches_sql(answers, tables, name):
+    columns, got = answers[name].result()
+    want = tables.sql(registry.ORACLES[name])
+    assert sorted(columns) == sorted(want.columns)
+    assert rows(columns, got) == rows(want.columns, want.fetchall())
 
 
 def test_every_query_has_sql():
