@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialized
-from .baseline import SEASON, fit_seasonal_baseline, null_safe, score_observations
+from .baseline import fit_seasonal_baseline, null_safe, score_observations
 from .config import Thresholds
 
 #: Positional source columns and their names (fixed values).

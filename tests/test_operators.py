@@ -131,6 +131,23 @@ def test_poll_store_in_two_batches(spark, tmp_path):
     assert [(r.rows_fetched, r.rows_changed) for r in log] == [(3, 2), (3, 2)]
 
 
+def test_features_as_lines_and_an_array(spark, tmp_path):
+    f = writers.point_features(spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "id string, lon double, lat double"), "id", "lon", "lat", ["id"])
+    writers.write_features(f, str(tmp_path / "lines"))
+    assert sorted(json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "lines")).collect()) == ["a", "b"]
+    (tmp_path / "array.json").write_text(json.dumps([{"callsign": "x", "lastSeen": 1}, {"callsign": "y", "lastSeen": 2}], indent=1))
+    assert sorted((r.callsign, r.lastSeen) for r in landed.load_json_array(spark, str(tmp_path / "array.json"), "callsign string, lastSeen long").collect()) == [("x", 1), ("y", 2)]
+
+
+def test_first_frames_of_a_stream(spark, tmp_path):
+    t = lambda m: dt.datetime(2026, 1, 1, 0, m)
+    spark.createDataFrame([(t(0), "c1", "x"), (t(1), "c1", "x"), (t(2), "c1", "y"), (t(3), "c2", "x")], "ts timestamp, camera string, content string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.landed(spark, str(tmp_path / "in"), "ts timestamp, camera string, content string")
+    out = jobs.first_frames(stream, "ts", "camera", "content").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start()
+    jobs.run(out)
+    assert sorted((r.camera, r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("c1", "x"), ("c1", "y"), ("c2", "x")]
+
+
 def test_shared_frames(spark):
     f = spark.createDataFrame([(1, c, "same", i) for i, c in enumerate("abc")] + [(1, "d", "own", 9)], "run int, camera string, content string, seq int")
     got = {r.camera: r.is_unavailable for r in boards.shared_frames(f, "run", "camera", "content").collect()}
