@@ -566,6 +566,8 @@ def test_media_round_trip(docs, rows, empty):
         r = out[a]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert sum(c.frames for c in r.clips) == len(payload) // 576
+    clips = media.clip_rows(media.to_avi(docs.where("doc_id = 65"))).collect()
+    assert [(c.doc_id, c.first_frame, c.frames, c.start_ms, c.end_ms) for c in clips] == [(65, c.first_frame, c.frames, c.start_ms, c.end_ms) for c in out[65].clips] and clips[-1].end_ms == round(out[65].payload_bytes // 576 * 1000 / media.FPS)
     assert (out[63].media_sha256, out[63].feature) == (out[64].media_sha256, out[64].feature)
     assert media.read_avi(media.to_avi(empty)).count() == 0
 
