@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from flowtide.session import ship
 
-from . import decontam, langid, lm, media, mixing, neardup, periods, sharding, suffixes, tokens, urls
+from . import decontam, langid, lm, media, mixing, neardup, negatives, periods, sharding, suffixes, tokens, urls
 
 _OPERATORS = [
     sharding.op1_flow_resharding,
@@ -18,6 +18,7 @@ _OPERATORS = [
     tokens.op9_token_attribution,
     decontam.op10_decontamination,
     periods.op12_periodic_runs,
+    negatives.op13_hard_negatives,
 ]
 
 
