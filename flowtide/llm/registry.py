@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from flowtide.session import ship
 
-from . import decontam, langid, lm, media, mixing, neardup, negatives, periods, sharding, suffixes, tokens, urls
+from . import decontam, langid, lm, media, mixing, neardup, negatives, ngramjoin, periods, sharding, suffixes, tokens, urls
 
 _OPERATORS = [
     sharding.op1_flow_resharding,
@@ -17,6 +17,7 @@ _OPERATORS = [
     media.op8_avi_mjpeg,
     tokens.op9_token_attribution,
     decontam.op10_decontamination,
+    ngramjoin.op11_ngram_jaccard,
     periods.op12_periodic_runs,
     negatives.op13_hard_negatives,
 ]
