@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import grid_id, is_weekend, severity, severity_rank
 from .baseline import null_safe
-from .joins import match_windows
 from .transit import CELL_KEYS, DELAY_KEYS, DWELL_KEYS, union_all
 
 COLUMNS = ["ANOMALY_ID", "DETECTOR", "DETECTOR_NAME", "SERVICE_DATE", "ENTITY_TYPE", "ENTITY_ID", "ROUTE_ID", "ROUTE_SHORT_NAME", "MODE", "STOP_ID", "WINDOW_START", "WINDOW_END", "OBSERVED_VALUE", "EXPECTED_VALUE", "SCORE", "SEVERITY", "DETAIL"]
@@ -133,35 +132,36 @@ def hot_cells(found: DataFrame, bins: DataFrame) -> DataFrame:
     return bins.join(shocks, ["CELL_ID", "SCHED_BIN_15MIN"]).groupBy("CELL_ID", "CELL_LAT", "CELL_LON", "MODE").agg(F.count("*").alias("HOT_BINS"), F.round(F.max("MED_DELAY_SECS"), 1).alias("WORST_MED_DELAY_SECS"))
 
 
-def scorecard(found: DataFrame, truth: DataFrame, tolerance_min: int = 15) -> DataFrame:
-    """Per detector: matched rows as flagged, TP, FP, episodes hit, precision of rows, recall of episodes, and the F1 of the two; also distinct detections, as a
-    detection inside two windows is two rows."""
-    m = match_windows(found, truth, tolerance_min)
+def scorecard(matched: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per detector, from the rows of match_windows(): rows flagged, true and false ones, episodes hit, precision of rows, recall of episodes, and the F1 of
+    the two; also distinct detections, as a detection in two windows is two rows."""
     hit = F.col("TRUTH_ID").isNotNull()
-    per = m.groupBy("DETECTOR", "DETECTOR_NAME").agg(F.count("*").alias("FLAGGED"), F.count_if(hit).alias("TP"), F.count_if(~hit).alias("FP"), F.countDistinct("TRUTH_ID").alias("TRUTHS_HIT"), F.countDistinct("ANOMALY_ID").alias("DISTINCT_FLAGGED"))
-    per = per.crossJoin(truth.agg(F.count("*").alias("ALL_TRUTHS")))
-    p, r = F.col("TP") / F.nullif("FLAGGED", F.lit(0)), F.col("TRUTHS_HIT") / F.nullif("ALL_TRUTHS", F.lit(0))
+    per = matched.groupBy("DETECTOR", "DETECTOR_NAME").agg(F.count("*").alias("FLAGGED"), F.count_if(hit).alias("TRUE_POSITIVES"), F.count_if(~hit).alias("FALSE_POSITIVES"), F.countDistinct("TRUTH_ID").alias("TRUTHS_HIT"), F.countDistinct("ANOMALY_ID").alias("DISTINCT_FLAGGED"))
+    per = per.crossJoin(truth.agg(F.count("*").alias("TRUTHS_TOTAL")))
+    p, r = F.col("TRUE_POSITIVES") / F.nullif("FLAGGED", F.lit(0)), F.col("TRUTHS_HIT") / F.nullif("TRUTHS_TOTAL", F.lit(0))
     return per.withColumns({"PRECISION_PCT": F.round(100 * p, 1), "EPISODE_RECALL_PCT": F.round(100 * r, 1), "F1": F.round(2 * p * r / F.nullif(p + r, F.lit(0.0)), 3)})
 
 
-def missed_episodes(found: DataFrame, truth: DataFrame, tolerance_min: int = 15) -> DataFrame:
-    hit = match_windows(found, truth, tolerance_min).where("TRUTH_ID is not null").select("TRUTH_ID").distinct()
-    return truth.join(hit, "TRUTH_ID", "left_anti")
+def missed_episodes(matched: DataFrame, truth: DataFrame) -> DataFrame:
+    """Episodes in which no detection of a severity begins."""
+    missed = truth.join(matched.where("TRUTH_ID is not null").select("TRUTH_ID").distinct(), "TRUTH_ID", "left_anti")
+    return missed.select("TRUTH_ID", "EPISODE_TYPE", "ROUTE_SHORT_NAME", "MODE", "SERVICE_DATE", "WINDOW_START_LOCAL", "DURATION_MINS", F.round("MAGNITUDE", 2).alias("MAGNITUDE"))
 
 
-def recall_by_type(found: DataFrame, truth: DataFrame, tolerance_min: int = 15) -> DataFrame:
-    """Episodes and those detected by type, with the names of the detectors that fired."""
-    m = match_windows(found, truth, tolerance_min).where("TRUTH_ID is not null").groupBy("EPISODE_TYPE").agg(F.countDistinct("TRUTH_ID").alias("DETECTED"), F.array_join(F.array_sort(F.collect_set("DETECTOR_NAME")), ", ").alias("DETECTORS_FIRED"))
-    t = truth.groupBy("EPISODE_TYPE").agg(F.count("*").alias("EPISODES"))
-    return t.join(m, "EPISODE_TYPE", "left").withColumns({"DETECTED": F.coalesce("DETECTED", F.lit(0)), "DETECTORS_FIRED": F.coalesce("DETECTORS_FIRED", F.lit("")), "RECALL_PCT": F.round(100 * F.coalesce("DETECTED", F.lit(0)) / F.col("EPISODES"), 1)})
+def recall_by_type(matched: DataFrame, truth: DataFrame) -> DataFrame:
+    """Episodes and those detected by type, with the codes of the detectors that fired (null: none)."""
+    fired = matched.where("TRUTH_ID is not null").select("TRUTH_ID", "DETECTOR").distinct()
+    rows = truth.select("TRUTH_ID", "EPISODE_TYPE").join(fired.withColumn("_hit", F.col("TRUTH_ID")), "TRUTH_ID", "left")
+    out = rows.groupBy("EPISODE_TYPE").agg(F.countDistinct("TRUTH_ID").alias("EPISODES"), F.countDistinct("_hit").alias("EPISODES_DETECTED"), F.array_sort(F.collect_set("DETECTOR")).alias("_codes"))
+    return out.select("EPISODE_TYPE", "EPISODES", "EPISODES_DETECTED", F.round(100 * F.col("EPISODES_DETECTED") / F.col("EPISODES"), 1).alias("RECALL_PCT"), F.when(F.size("_codes") > 0, F.array_join("_codes", ", ")).alias("DETECTORS_THAT_FIRED"))
 
 
-def headline(found: DataFrame, truth: DataFrame, fact: DataFrame, tolerance_min: int = 15) -> DataFrame:
-    """One row: sizes of the inputs, anomalies, high ones, episodes and those caught."""
-    caught = match_windows(found, truth, tolerance_min).agg(F.countDistinct("TRUTH_ID").alias("EPISODES_CAUGHT"))
-    a = found.agg(F.count("*").alias("ANOMALIES"), F.count_if(F.col("SEVERITY") == "HIGH").alias("HIGH"), F.countDistinct("DETECTOR").alias("DETECTORS"))
-    f = fact.agg(F.count("*").alias("STOP_EVENTS"), F.countDistinct("TRIP_INSTANCE_ID").alias("TRIPS"), F.countDistinct("SERVICE_DATE").alias("DAYS"))
-    return a.crossJoin(f).crossJoin(truth.agg(F.count("*").alias("EPISODES"))).crossJoin(caught)
+def headline(matched: DataFrame, found: DataFrame, truth: DataFrame, fact: DataFrame, pings: DataFrame, synthetic: bool = True) -> DataFrame:
+    """One row: sizes of the inputs, anomalies of a severity, episodes and those hit, recall of episodes and precision of matched rows."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    m = matched.agg(F.countDistinct("TRUTH_ID").alias("TRUTH_EPISODES_HIT"), F.round(100.0 * F.count("TRUTH_ID") / F.nullif(F.count("*"), F.lit(0)), 1).alias("OVERALL_PRECISION_PCT"))
+    out = n(fact, "STOP_EVENTS").crossJoin(n(pings, "VEHICLE_PINGS")).crossJoin(n(found.where("SEVERITY <> 'NONE'"), "ANOMALIES_FLAGGED")).crossJoin(n(truth, "TRUTH_EPISODES")).crossJoin(m)
+    return out.withColumns({"OVERALL_RECALL_PCT": F.round(100.0 * F.col("TRUTH_EPISODES_HIT") / F.nullif("TRUTH_EPISODES", F.lit(0)), 1), "IS_SYNTHETIC_DATASET": F.lit(synthetic)})
 
 
 # stop hotspots --------------------------------------------------------------------------------------------------------------

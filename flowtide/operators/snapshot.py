@@ -50,6 +50,7 @@ class Snapshot:
     candidates: DataFrame
     gaps: DataFrame
     health: DataFrame
+    baseline: DataFrame
 
 
 def local_hour(target: str | datetime) -> tuple[date, int]:
@@ -67,8 +68,8 @@ def data_gaps(baseline: DataFrame, current: DataFrame, day: date, hour: int) ->
     return null_safe(expected, current.select(*group).distinct(), group, "left_anti").withColumn("status", F.lit("data_gap"))
 
 
-def analyze_snapshot(frame: DataFrame, target: str | datetime, lookback_weeks: int = 12, config: Thresholds = Thresholds(), min_samples: int = 8) -> Snapshot:
-    """Score the observations of the target hour against the weeks before it. Rows after the target are never read."""
+def analyze_snapshot(frame: DataFrame, target: str | datetime, lookback_weeks: int = 12, config: Thresholds = Thresholds(), min_samples: int = 8, fitted: DataFrame | None = None) -> Snapshot:
+    """Score the observations of the target hour against the weeks before it. Rows after the target are never read. fitted: the baseline of these weeks, if there is one."""
     day, hour = local_hour(target)
     requested = datetime.fromisoformat(target) if isinstance(target, str) else target
     at = datetime(day.year, day.month, day.day, hour)
@@ -77,7 +78,7 @@ def analyze_snapshot(frame: DataFrame, target: str | datetime, lookback_weeks: i
     history = frame.where((F.col("date") >= F.lit(first.date())) & (F.col("date") <= F.lit(day))).where((moment >= F.lit(first).cast("timestamp_ntz")) & (moment < F.lit(at).cast("timestamp_ntz")))
     current = frame.where((F.col("date") == F.lit(day)) & (F.col("hour") == hour))
     # read by the scores, the gaps and the health row
-    baseline = materialized(fit_seasonal_baseline(history, min_samples), "baseline")
+    baseline = materialized(fit_seasonal_baseline(history, min_samples), "baseline") if fitted is None else fitted
     scored = score_observations(current, baseline, config)
     gaps = data_gaps(baseline, current, day, hour)
     expected = baseline.where((F.col("day_of_week") == day.weekday()) & (F.col("hour") == hour)).agg(F.count("*").alias("expected_groups"))
@@ -85,7 +86,7 @@ def analyze_snapshot(frame: DataFrame, target: str | datetime, lookback_weeks: i
     health = seen.crossJoin(expected).crossJoin(gaps.agg(F.count("*").alias("data_gap_groups"))).select(
         F.lit(requested.isoformat()).alias("target_at"), F.lit("batch replay").alias("publisher_mode"), "observed_groups", "expected_groups", "data_gap_groups", "candidate_count", "insufficient_baseline_count"
     )
-    return Snapshot(scored, scored.where("status = 'candidate'"), gaps, health)
+    return Snapshot(scored, scored.where("status = 'candidate'"), gaps, health, baseline)
 
 
 def chronological_split(df: DataFrame, train_end: str, validation_end: str, test_end: str, column: str = "date") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import cell_id, day_type, frequency_class, haversine_m, in_box, local_to_utc, punctuality, quarter_hour, route_mode, seconds_between, service_seconds, speed_kmh, time_band, trip_instance, week_of_month
 from .baseline import robust_baseline, sigma
 from .joins import services_on
+from .ranges import lagged
 
 #: The central business district (fixed values): south, west, north, east.
 CBD = (-41.300, 174.765, -41.270, 174.790)
@@ -78,6 +79,13 @@ def stage_stop_events(events: DataFrame) -> DataFrame:
     return e.withColumn("TIME_BAND", time_band("DAY_TYPE", "SCHED_HOUR"))
 
 
+def stage_pings(pings: DataFrame) -> DataFrame:
+    """Pings with their UTC time, the fault flag and the episode that they carry."""
+    return pings.withColumn("PING_UTC", local_to_utc("PING_LOCAL")).select(
+        "TRIP_INSTANCE_ID", "VEHICLE_ID", "SERVICE_DATE", "ROUTE_ID", "ROUTE_SHORT_NAME", "DIRECTION_ID", "MODE", "PING_LOCAL", "PING_UTC", "DEVICE_TS_LOCAL", "LATITUDE", "LONGITUDE", "HAS_GPS_FAULT", "TRUTH_ID", "IS_SYNTHETIC",
+    )
+
+
 def route_dimension(routes: DataFrame, events: DataFrame, days: float = 30.0) -> DataFrame:
     """Routes with their trip instances, distinct stops and frequency class; routes without events have none."""
     used = events.groupBy("ROUTE_ID").agg(F.countDistinct("TRIP_INSTANCE_ID").alias("TRIP_INSTANCES"), F.countDistinct("STOP_ID").alias("DISTINCT_STOPS"))
@@ -127,11 +135,13 @@ def dwell_baseline(fact: DataFrame, min_n: int = 5) -> DataFrame:
     return base.select(*DWELL_KEYS, F.col("n").alias("N_OBS"), F.col("median").alias("MED_DWELL"), sigma("mad", 10.0).alias("SIGMA_DWELL"))
 
 
-def ping_motion(pings: DataFrame) -> DataFrame:
-    """Metres, seconds and km/h since the ping before of the same trip, and the lag of the device clock."""
-    line = Window.partitionBy("TRIP_INSTANCE_ID").orderBy("PING_LOCAL", "LATITUDE", "LONGITUDE")
-    before = lambda x: F.lag(x).over(line)
-    p = pings.withColumns({"PREV_LATITUDE": before("LATITUDE"), "PREV_LONGITUDE": before("LONGITUDE"), "PREV_PING_LOCAL": before("PING_LOCAL")}).where("PREV_LATITUDE is not null")
+def ping_motion(pings: DataFrame, spread: bool = False) -> DataFrame:
+    """Metres, seconds and km/h since the ping before of the same trip, and the lag of the device clock. spread: for trips with so many pings that one task can't
+    hold them, the pings of a trip lie in ranges of time."""
+    order, before = ["PING_LOCAL", "LATITUDE", "LONGITUDE"], {"PREV_LATITUDE": "LATITUDE", "PREV_LONGITUDE": "LONGITUDE", "PREV_PING_LOCAL": "PING_LOCAL"}
+    line = Window.partitionBy("TRIP_INSTANCE_ID").orderBy(*order)
+    p = lagged(pings, ["TRIP_INSTANCE_ID"], order, before) if spread else pings.withColumns({name: F.lag(c).over(line) for name, c in before.items()})
+    p = p.where("PREV_LATITUDE is not null")
     p = p.withColumns({"SECS_SINCE_PREV": seconds_between("PREV_PING_LOCAL", "PING_LOCAL"), "METRES_SINCE_PREV": haversine_m("PREV_LATITUDE", "PREV_LONGITUDE", "LATITUDE", "LONGITUDE"), "DEVICE_LAG_SECS": seconds_between("DEVICE_TS_LOCAL", "PING_LOCAL")})
     return p.withColumn("IMPLIED_KMH", speed_kmh("METRES_SINCE_PREV", "SECS_SINCE_PREV"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import day_type
-from ..operators import detectors, transit
+from ..operators import detectors, joins, transit
 from ..operators.config import Thresholds
 from ..session import materialized
 
@@ -108,6 +108,7 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.concat_ws("|", v, F.date_format("ts", "yyyyMMdd")).alias("TRIP_INSTANCE_ID"), F.concat(F.lit("V"), v).alias("VEHICLE_ID"), F.to_date("ts").alias("SERVICE_DATE"), F.concat(F.lit("R"), v % 10).alias("ROUTE_ID"), (v % 10).cast("string").alias("ROUTE_SHORT_NAME"), F.when(v % 10 < 7, "BUS").otherwise("RAIL").alias("MODE"),
         F.col("ts").alias("PING_LOCAL"), (F.col("ts") - F.make_dt_interval(secs=i * 7 % 150)).alias("DEVICE_TS_LOCAL"), (-41.3 + (i * 37 % 1000) / 10000.0).alias("LATITUDE"), (174.7 + (i * 53 % 1000) / 10000.0).alias("LONGITUDE"),
+        (v % 2).cast("int").alias("DIRECTION_ID"), (F.col("event_type") == "error").alias("HAS_GPS_FAULT"), F.when(F.col("event_type") == "error", i.cast("string")).alias("TRUTH_ID"), F.lit(True).alias("IS_SYNTHETIC"),
     )
 
 
@@ -117,7 +118,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     e = e.withColumns({"SERVICE_DATE": F.date_add(F.lit("2024-01-01").cast("date"), (F.dayofmonth("ts") - 1) % 14), "START_HOUR": F.hour("ts"), "DURATION_MINS": (30 + u % 60).cast("int")})
     e = e.withColumn("WINDOW_START_LOCAL", F.col("SERVICE_DATE").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("START_HOUR")))
-    return e.select(F.col("event_id").cast("string").alias("TRUTH_ID"), F.when(u % 3 == 0, "crash").when(u % 3 == 1, "closure").otherwise("storm").alias("EPISODE_TYPE"), F.concat(F.lit("R"), u % 20).alias("ROUTE_ID"), "SERVICE_DATE", "START_HOUR", "DURATION_MINS", "WINDOW_START_LOCAL", (F.col("WINDOW_START_LOCAL") + F.make_dt_interval(mins=F.col("DURATION_MINS"))).alias("WINDOW_END_LOCAL"))
+    return e.select(F.col("event_id").cast("string").alias("TRUTH_ID"), F.when(u % 3 == 0, "crash").when(u % 3 == 1, "closure").otherwise("storm").alias("EPISODE_TYPE"), F.concat(F.lit("R"), u % 20).alias("ROUTE_ID"), (u % 20).cast("string").alias("ROUTE_SHORT_NAME"), F.when(u % 20 < 14, "BUS").when(u % 20 < 18, "RAIL").otherwise("FERRY").alias("MODE"), (0.5 + u % 300 / 300).alias("MAGNITUDE"), "SERVICE_DATE", "START_HOUR", "DURATION_MINS", "WINDOW_START_LOCAL", (F.col("WINDOW_START_LOCAL") + F.make_dt_interval(mins=F.col("DURATION_MINS"))).alias("WINDOW_END_LOCAL"))
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,18 +163,23 @@ def stops(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) ->
 
 
 def motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return once(spark, sf_dir, "motion", lambda: transit.ping_motion(pings(spark, sf_dir)))
+    return once(spark, sf_dir, "motion", lambda: transit.ping_motion(transit.stage_pings(pings(spark, sf_dir))))
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "bins", lambda: transit.spatial_bins(fact(spark, sf_dir), min_n=BIN_EVENTS))
 
 
+def headways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Read by two detectors and the headway queries."""
+    return once(spark, sf_dir, "headways", lambda: transit.headways(fact(spark, sf_dir)))
+
+
 #: Detector -> its rows.
 DETECTORS = {
     "D01": lambda s, d: detectors.delay_outliers(fact(s, d), transit.delay_baseline(fact(s, d)), DELAY_Z),
-    "D02": lambda s, d: detectors.bunching(transit.headways(fact(s, d))),
-    "D03": lambda s, d: detectors.gapping(transit.headways(fact(s, d))),
+    "D02": lambda s, d: detectors.bunching(headways(s, d)),
+    "D03": lambda s, d: detectors.gapping(headways(s, d)),
     "D04": lambda s, d: detectors.ghost_trips(fact(s, d)),
     "D05": lambda s, d: detectors.dwell_outliers(fact(s, d), transit.dwell_baseline(fact(s, d)), DWELL_Z),
     "D06": lambda s, d: detectors.teleports(motion(s, d)),
@@ -188,5 +194,10 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, sf_dir, "detections", lambda: detectors.all_detections([rows(spark, sf_dir) for rows in DETECTORS.values()]))
 
 
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections against labelled episodes, written once: the scorecard, the recall and the headline read them."""
+    return once(spark, sf_dir, "matched", lambda: joins.match_windows(detections(spark, sf_dir), truth(spark, sf_dir)))
+
+
 #: Thresholds that fire on these tables, whose delays are spread evenly.
 DELAY_Z, DWELL_Z, SHOCK_Z, BIN_EVENTS, BASE_BINS = 1.5, 1.2, 1.2, 2, 3

@@ -22,7 +22,9 @@ def day(name: str = "date"):
 
 
 def snap(s, d):
-    return snapshot.analyze_snapshot(A.once(s, d, "hourly", lambda: A.busy_observations(s, d)), A.TARGET, A.WEEKS, A.GATES, A.MIN_SAMPLES)
+    """The hourly counts and the baseline are written once; some fifteen queries read them."""
+    analyze = lambda fitted=None: snapshot.analyze_snapshot(A.once(s, d, "hourly", lambda: A.busy_observations(s, d)), A.TARGET, A.WEEKS, A.GATES, A.MIN_SAMPLES, fitted)
+    return analyze(A.once(s, d, "snapshot-baseline", lambda: analyze().baseline))
 
 
 SERIES = ["countline_id", "transport_class", "direction"]

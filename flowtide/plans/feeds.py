@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import boards, detectors, joins, reports
+from ..operators.nearest import nearest
+from ..operators.quantiles import RANK_ERROR
 from ..session import shared_folder
 from ..sinks import writers as K
 from ..sources import landed as S
 from ..streaming import jobs as M
+from ..streaming.state import StateStorePolls as State
 from . import adapters as A
 from .core import cameras, class_hourly, conformed, day, points, r4, site_scores, snap, street_hourly
 from .network import hotspot_sql, hotspots, ts
@@ -292,18 +295,22 @@ def stream_of(s, d, build):
     return M.landed(s, path, s.read.parquet(path).schema)
 
 
+def board_polls(s, d):
+    """One poll of the flight board."""
+    store = State(shared_folder(s, "polls"), "flight_key", FILLED, ties=("event_id",))
+    M.run(store.start(stream_of(s, d, board(s, d))))
+    return store
+
+
 @query("m01_snapshots", sql("fs", f"SELECT flight_key, event_id, status FROM ({DEDUP})"))
 def _(s, d):
-    store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
-    M.run(store.start(stream_of(s, d, board(s, d))))
-    return s.read.parquet(f"{store.root}/snapshots").select("flight_key", "event_id", "status")
+    store = board_polls(s, d)
+    return store.snapshots(s).select("flight_key", "event_id", "status")
 
 
 @query("m02_latest_state", sql("fs", f"SELECT flight_key, status, gate, strftime(snapshot_ts, '%Y-%m-%d %H:%M:%S') AS last_seen_ts FROM ({DEDUP})"))
 def _(s, d):
-    store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
-    q = M.run(store.start(stream_of(s, d, board(s, d))))
-    return store.last(s, q).select("flight_key", "status", "gate", ts("last_seen_ts"))
+    return board_polls(s, d).latest(s).select("flight_key", "status", "gate", ts("last_seen_ts"))
 
 
 @query("m03_change_log", sql("fs", """SELECT event_id, flight_key, previous_status, status FROM (SELECT *, lag(status) OVER w AS previous_status, row_number() OVER w AS n, lag(estimated_utc) OVER w AS e, lag(actual_utc) OVER w AS a, lag(gate) OVER w AS g FROM fs WINDOW w AS (PARTITION BY flight_key ORDER BY snapshot_ts, event_id))
@@ -319,15 +326,13 @@ def _(s, d):
 
 @query("m05_ingest_log", "SELECT count(*) AS rows_fetched, count(DISTINCT user_id) AS rows_changed, true AS ok FROM events")
 def _(s, d):
-    store = M.PollStore(shared_folder(s, "polls"), "flight_key", FILLED, ("event_id",))
-    M.run(store.start(stream_of(s, d, board(s, d))))
-    return s.read.parquet(f"{store.root}/ingest").select("rows_fetched", "rows_changed", "ok")
+    return board_polls(s, d).ingest_log(s).select("rows_fetched", "rows_changed", "ok")
 
 
 @query("m06_stream_hourly", "SELECT event_type, strftime(t, '%Y-%m-%d') AS event_date, hour(t)::INT AS event_hour, count(*) AS n FROM (SELECT event_type, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Pacific/Auckland' AS t FROM events) GROUP BY 1, 2, 3")
 def _(s, d):
     root = shared_folder(s, "hourly")
-    M.run(M.updated_table(M.hourly_counts(stream_of(s, d, A.table(s, d, "events")), "ts", "Pacific/Auckland", "event_type"), root))
+    M.run(M.updated_table(M.hourly_counts(stream_of(s, d, A.table(s, d, "events")), "ts", "Pacific/Auckland", "event_type"), root, "bin_start", "event_type"))
     return M.read_updated(s, root, "bin_start", "event_type").drop("bin_start").withColumn("event_date", day("event_date"))
 
 
@@ -339,10 +344,24 @@ def _(s, d):
     i = F.col("event_id")
     e = A.table(s, d, "events").select("ts", "value", (-41.3 + i * 37 % 30 / 1000.0 + 0.0003).alias("lat"), (174.7 + i * 53 % 30 / 1000.0 + 0.0003).alias("lon"))
     root = shared_folder(s, "cells")
-    M.run(M.updated_table(M.cell_bins(stream_of(s, d, e), "ts", "lat", "lon", "value", 2), root))
+    M.run(M.updated_table(M.cell_bins(stream_of(s, d, e), "ts", "lat", "lon", "value", 2, exact=True), root, "bin_start", "cell_id"))
     return M.read_updated(s, root, "bin_start", "cell_id").select("cell_id", ts("bin_start"), "n", *r4("median_value", "p90_value"))
 
 
+@query("m07_sketched_cells", f"SELECT {CELLS} AS cell_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, true AS median_is_near, true AS p90_is_near FROM events GROUP BY 1, 2")
+def _(s, d):
+    """Quarter-hour sketches of a stream, merged into days without a second reading; the ranks of their quantiles among all values of the day are within the stated error, and half a value."""
+    i = F.col("event_id")
+    e = A.table(s, d, "events").select("ts", "value", (-41.3 + i * 37 % 30 / 1000.0 + 0.0003).alias("lat"), (174.7 + i * 53 % 30 / 1000.0 + 0.0003).alias("lon"))
+    root = shared_folder(s, "sketches")
+    M.run(M.updated_table(M.cell_bins(stream_of(s, d, e), "ts", "lat", "lon", "value", 1), root, "bin_start", "cell_id"))
+    bins = M.read_updated(s, root, "bin_start", "cell_id").withColumn("day", day("bin_start"))
+    days = M.cell_quantiles(bins, "cell_id", "day", median=0.5, p90=0.9)
+    all_ = e.select(C.cell_id("lat", "lon", 2).alias("cell_id"), day("ts").alias("day"), "value").join(days, ["cell_id", "day"])
+    rank = lambda q, p: (F.count_if(F.col("value") < F.col(q)) <= (p + RANK_ERROR) * F.count("*") + 0.5) & (F.count_if(F.col("value") <= F.col(q)) >= (p - RANK_ERROR) * F.count("*") - 0.5)
+    return all_.groupBy("cell_id", "day").agg(F.first("n").alias("n"), rank("median", 0.5).alias("median_is_near"), rank("p90", 0.9).alias("p90_is_near"))
+
+
 @query("m08_stream_archive", "SELECT strftime(t, '%Y-%m-%d') AS service_date, hour(t)::INT AS hour, count(*) AS n FROM (SELECT (ts AT TIME ZONE 'UTC') AT TIME ZONE 'Pacific/Auckland' AS t FROM events) GROUP BY 1, 2")
 def _(s, d):
     path, progress = shared_folder(s, "stream-archive"), shared_folder(s, "progress")
@@ -539,7 +558,7 @@ def _(s, d):
 @query("q10_nearest_camera_j18", sql("meta", "SELECT COUNTLINE_ID, camera_id, round(m, 2) AS metres FROM (SELECT COUNTLINE_ID, s_suppkey AS camera_id, 6371000 * sqrt(pow(radians(lon - LONGITUDE_START_LINE) * cos(radians((lat + LATITUDE_START_LINE) / 2)), 2) + pow(radians(lat - LATITUDE_START_LINE), 2)) AS m FROM meta, (SELECT s_suppkey, -41.3 + (s_suppkey % 100) * 0.001::DOUBLE AS lat, 174.75 + (s_suppkey % 90) * 0.001::DOUBLE AS lon FROM supplier)) QUALIFY row_number() OVER (PARTITION BY COUNTLINE_ID ORDER BY m, camera_id) = 1"))
 def _(s, d):
     p = A.metadata(s, d).select("COUNTLINE_ID", F.col("LATITUDE_START_LINE").alias("lat"), F.col("LONGITUDE_START_LINE").alias("lon"))
-    return joins.nearest(p, cameras(s, d), "COUNTLINE_ID", "camera_id", 0.01).select("COUNTLINE_ID", "camera_id", F.round("metres", 2).alias("metres"))
+    return nearest(p, cameras(s, d), "COUNTLINE_ID", "camera_id").select("COUNTLINE_ID", "camera_id", F.round("metres", 2).alias("metres"))
 
 
 @query("q10_name_lookup_p21", "SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE '%ring%' OR lower(p_name) LIKE '%widget%'")

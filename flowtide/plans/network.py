@@ -28,6 +28,12 @@ def _(s, d):
     return e.select("TRIP_INSTANCE_ID", "STOP_SEQUENCE", ts("SCHED_ARRIVAL_LOCAL"), ts("SCHED_ARRIVAL_UTC"), "SCHED_HOUR", "TIME_BAND", ts("SCHED_BIN_15MIN"))
 
 
+@query("d31_staged_pings", sql("pg", f"SELECT TRIP_INSTANCE_ID, VEHICLE_ID, {DAY}, ROUTE_ID, ROUTE_SHORT_NAME, DIRECTION_ID, MODE, {TS.format('PING_LOCAL')}, strftime((PING_LOCAL AT TIME ZONE 'Pacific/Auckland') AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS PING_UTC, {TS.format('DEVICE_TS_LOCAL')}, round(LATITUDE, 6) AS LATITUDE, round(LONGITUDE, 6) AS LONGITUDE, HAS_GPS_FAULT, TRUTH_ID, true AS IS_SYNTHETIC FROM pg"))
+def _(s, d):
+    p = transit.stage_pings(A.pings(s, d))
+    return p.withColumns({"SERVICE_DATE": day("SERVICE_DATE"), "PING_LOCAL": ts("PING_LOCAL"), "PING_UTC": ts("PING_UTC"), "DEVICE_TS_LOCAL": ts("DEVICE_TS_LOCAL"), "LATITUDE": F.round("LATITUDE", 6), "LONGITUDE": F.round("LONGITUDE", 6)})
+
+
 @query("d32_route_dimension", sql("rt", "SELECT ROUTE_ID, ROUTE_SHORT_NAME, ROUTE_TYPE::INT AS ROUTE_TYPE, MODE, TRIP_INSTANCES, DISTINCT_STOPS, FREQUENCY_CLASS FROM rt"))
 def _(s, d):
     return A.routes(s, d).select("ROUTE_ID", "ROUTE_SHORT_NAME", "ROUTE_TYPE", "MODE", "TRIP_INSTANCES", "DISTINCT_STOPS", "FREQUENCY_CLASS")
@@ -55,7 +61,7 @@ def _(s, d):
 
 @query("d36_headways", sql("hd", "SELECT TRIP_INSTANCE_ID, STOP_ID, STOP_SEQUENCE, PREV_TRIP_INSTANCE_ID, SCHED_HEADWAY_SECS, ACTUAL_HEADWAY_SECS, round(HEADWAY_RATIO, 7) AS HEADWAY_RATIO FROM hd"))
 def _(s, d):
-    return transit.headways(A.fact(s, d)).select("TRIP_INSTANCE_ID", "STOP_ID", "STOP_SEQUENCE", "PREV_TRIP_INSTANCE_ID", "SCHED_HEADWAY_SECS", "ACTUAL_HEADWAY_SECS", F.round("HEADWAY_RATIO", 7).alias("HEADWAY_RATIO"))
+    return A.headways(s, d).select("TRIP_INSTANCE_ID", "STOP_ID", "STOP_SEQUENCE", "PREV_TRIP_INSTANCE_ID", "SCHED_HEADWAY_SECS", "ACTUAL_HEADWAY_SECS", F.round("HEADWAY_RATIO", 7).alias("HEADWAY_RATIO"))
 
 
 @query("d37_delay_baseline", sql("bd fd", """SELECT b.ROUTE_ID, b.DIRECTION_ID, b.STOP_ID, b.TIME_BAND, b.DAY_TYPE, n AS N_OBS, med AS MED_DELAY, round(q1, 4) AS Q1_DELAY, round(q3, 4) AS Q3_DELAY, round(p95, 4) AS P95_DELAY, mad AS MAD_DELAY, round(SIGMA_DELAY, 7) AS SIGMA_DELAY
@@ -69,10 +75,10 @@ def _(s, d):
     return transit.dwell_baseline(A.fact(s, d)).withColumn("SIGMA_DWELL", F.round("SIGMA_DWELL", 7))
 
 
-@query("d39_ping_motion", sql("mo", "SELECT TRIP_INSTANCE_ID, strftime(PING_LOCAL, '%Y-%m-%d %H:%M:%S.%f') AS PING_LOCAL, SECS_SINCE_PREV, round(METRES_SINCE_PREV, 3) AS METRES_SINCE_PREV, round(IMPLIED_KMH, 3) AS IMPLIED_KMH, DEVICE_LAG_SECS FROM mo"))
+@query("d39_ping_motion", sql("mo", "SELECT TRIP_INSTANCE_ID, strftime(PING_LOCAL, '%Y-%m-%d %H:%M:%S.%f') AS PING_LOCAL, HAS_GPS_FAULT, TRUTH_ID, SECS_SINCE_PREV, round(METRES_SINCE_PREV, 3) AS METRES_SINCE_PREV, round(IMPLIED_KMH, 3) AS IMPLIED_KMH, DEVICE_LAG_SECS FROM mo"))
 def _(s, d):
     m = A.motion(s, d)
-    return m.select("TRIP_INSTANCE_ID", F.date_format("PING_LOCAL", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("PING_LOCAL"), "SECS_SINCE_PREV", F.round("METRES_SINCE_PREV", 3).alias("METRES_SINCE_PREV"), F.round("IMPLIED_KMH", 3).alias("IMPLIED_KMH"), "DEVICE_LAG_SECS")
+    return m.select("TRIP_INSTANCE_ID", F.date_format("PING_LOCAL", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("PING_LOCAL"), "HAS_GPS_FAULT", "TRUTH_ID", "SECS_SINCE_PREV", F.round("METRES_SINCE_PREV", 3).alias("METRES_SINCE_PREV"), F.round("IMPLIED_KMH", 3).alias("IMPLIED_KMH"), "DEVICE_LAG_SECS")
 
 
 @query("d40_spatial_bins", sql("sb", f"SELECT CELL_ID, MODE, {TS.format('SCHED_BIN_15MIN')}, STOP_EVENTS, ROUTES, TRIPS, MED_DELAY_SECS, round(P90_DELAY_SECS, 4) AS P90_DELAY_SECS FROM sb"))
@@ -134,30 +140,30 @@ def _(s, d):
     return detectors.hot_cells(A.DETECTORS["D09"](s, d), b)
 
 
-@query("d52_matched", sql("mt", "SELECT ANOMALY_ID, TRUTH_ID, EPISODE_TYPE FROM mt"))
+@query("d52_matched", sql("mt", "SELECT ANOMALY_ID, DETECTOR, DETECTOR_NAME, strftime(SERVICE_DATE, '%Y-%m-%d') AS SERVICE_DATE, ROUTE_ID, SEVERITY, round(SCORE, 4) AS SCORE, TRUTH_ID, EPISODE_TYPE FROM mt"))
 def _(s, d):
-    return joins.match_windows(A.detections(s, d), A.truth(s, d)).select("ANOMALY_ID", "TRUTH_ID", "EPISODE_TYPE")
+    return A.matched(s, d).select("ANOMALY_ID", "DETECTOR", "DETECTOR_NAME", day("SERVICE_DATE"), "ROUTE_ID", "SEVERITY", *r4("SCORE"), "TRUTH_ID", "EPISODE_TYPE")
 
 
-@query("d53_scorecard", sql("mt", """SELECT DETECTOR, DETECTOR_NAME, FLAGGED, TP, FP, TRUTHS_HIT, DISTINCT_FLAGGED, ALL_TRUTHS, round(100 * p, 1) AS PRECISION_PCT, round(100 * r, 1) AS EPISODE_RECALL_PCT, round(2 * p * r / nullif(p + r, 0), 3) AS F1 FROM (SELECT *, TP / nullif(FLAGGED, 0) AS p, TRUTHS_HIT / nullif(ALL_TRUTHS, 0) AS r FROM
-  (SELECT DETECTOR, DETECTOR_NAME, count(*) AS FLAGGED, count(TRUTH_ID) AS TP, count(*) FILTER (WHERE TRUTH_ID IS NULL) AS FP, count(DISTINCT TRUTH_ID) AS TRUTHS_HIT, count(DISTINCT ANOMALY_ID) AS DISTINCT_FLAGGED, (SELECT count(*) FROM tr) AS ALL_TRUTHS FROM mt GROUP BY 1, 2))"""))
+@query("d53_scorecard", sql("mt", """SELECT DETECTOR, DETECTOR_NAME, FLAGGED, TRUE_POSITIVES, FALSE_POSITIVES, TRUTHS_HIT, DISTINCT_FLAGGED, TRUTHS_TOTAL, round(100 * p, 1) AS PRECISION_PCT, round(100 * r, 1) AS EPISODE_RECALL_PCT, round(2 * p * r / nullif(p + r, 0), 3) AS F1 FROM (SELECT *, TRUE_POSITIVES / nullif(FLAGGED, 0) AS p, TRUTHS_HIT / nullif(TRUTHS_TOTAL, 0) AS r FROM
+  (SELECT DETECTOR, DETECTOR_NAME, count(*) AS FLAGGED, count(TRUTH_ID) AS TRUE_POSITIVES, count(*) FILTER (WHERE TRUTH_ID IS NULL) AS FALSE_POSITIVES, count(DISTINCT TRUTH_ID) AS TRUTHS_HIT, count(DISTINCT ANOMALY_ID) AS DISTINCT_FLAGGED, (SELECT count(*) FROM tr) AS TRUTHS_TOTAL FROM mt GROUP BY 1, 2))"""))
 def _(s, d):
-    return detectors.scorecard(A.detections(s, d), A.truth(s, d))
+    return detectors.scorecard(A.matched(s, d), A.truth(s, d))
 
 
-@query("d54_missed_episodes", sql("mt", "SELECT TRUTH_ID, EPISODE_TYPE, ROUTE_ID FROM tr WHERE TRUTH_ID NOT IN (SELECT TRUTH_ID FROM mt WHERE TRUTH_ID IS NOT NULL)"))
+@query("d54_missed_episodes", sql("mt", f"SELECT TRUTH_ID, EPISODE_TYPE, ROUTE_SHORT_NAME, MODE, {DAY}, {TS.format('WINDOW_START_LOCAL')}, DURATION_MINS, round(MAGNITUDE, 2) AS MAGNITUDE FROM tr WHERE TRUTH_ID NOT IN (SELECT TRUTH_ID FROM mt WHERE TRUTH_ID IS NOT NULL)"))
 def _(s, d):
-    return detectors.missed_episodes(A.detections(s, d), A.truth(s, d)).select("TRUTH_ID", "EPISODE_TYPE", "ROUTE_ID")
+    return detectors.missed_episodes(A.matched(s, d), A.truth(s, d)).withColumns({"SERVICE_DATE": day("SERVICE_DATE"), "WINDOW_START_LOCAL": ts("WINDOW_START_LOCAL")})
 
 
-@query("d54_recall_by_type", sql("mt", "SELECT t.EPISODE_TYPE, EPISODES, coalesce(DETECTED, 0) AS DETECTED, coalesce(f, '') AS DETECTORS_FIRED, round(100 * coalesce(DETECTED, 0) / EPISODES, 1) AS RECALL_PCT FROM (SELECT EPISODE_TYPE, count(*) AS EPISODES FROM tr GROUP BY 1) t LEFT JOIN (SELECT EPISODE_TYPE, count(DISTINCT TRUTH_ID) AS DETECTED, string_agg(DISTINCT DETECTOR_NAME, ', ' ORDER BY DETECTOR_NAME) AS f FROM mt WHERE TRUTH_ID IS NOT NULL GROUP BY 1) m ON m.EPISODE_TYPE = t.EPISODE_TYPE"))
+@query("d54_recall_by_type", sql("mt", "SELECT t.EPISODE_TYPE, count(DISTINCT t.TRUTH_ID) AS EPISODES, count(DISTINCT m.TRUTH_ID) AS EPISODES_DETECTED, round(100.0 * count(DISTINCT m.TRUTH_ID) / nullif(count(DISTINCT t.TRUTH_ID), 0), 1) AS RECALL_PCT, string_agg(DISTINCT m.DETECTOR, ', ' ORDER BY m.DETECTOR) AS DETECTORS_THAT_FIRED FROM tr t LEFT JOIN mt m ON m.TRUTH_ID = t.TRUTH_ID GROUP BY 1"))
 def _(s, d):
-    return detectors.recall_by_type(A.detections(s, d), A.truth(s, d)).select("EPISODE_TYPE", "EPISODES", "DETECTED", "DETECTORS_FIRED", "RECALL_PCT")
+    return detectors.recall_by_type(A.matched(s, d), A.truth(s, d))
 
 
-@query("d55_headline", sql("mt", "SELECT (SELECT count(*) FROM found) AS ANOMALIES, (SELECT count(*) FROM found WHERE SEVERITY = 'HIGH') AS HIGH, (SELECT count(DISTINCT DETECTOR) FROM found) AS DETECTORS, (SELECT count(*) FROM fact) AS STOP_EVENTS, (SELECT count(DISTINCT TRIP_INSTANCE_ID) FROM fact) AS TRIPS, (SELECT count(DISTINCT SERVICE_DATE) FROM fact) AS DAYS, (SELECT count(*) FROM tr) AS EPISODES, (SELECT count(DISTINCT TRUTH_ID) FROM mt) AS EPISODES_CAUGHT"))
+@query("d55_headline", sql("mt", "SELECT (SELECT count(*) FROM fact) AS STOP_EVENTS, (SELECT count(*) FROM pg) AS VEHICLE_PINGS, (SELECT count(*) FROM found WHERE SEVERITY <> 'NONE') AS ANOMALIES_FLAGGED, (SELECT count(*) FROM tr) AS TRUTH_EPISODES, (SELECT count(DISTINCT TRUTH_ID) FROM mt) AS TRUTH_EPISODES_HIT, (SELECT round(100.0 * count(DISTINCT TRUTH_ID) / nullif((SELECT count(*) FROM tr), 0), 1) FROM mt) AS OVERALL_RECALL_PCT, (SELECT round(100.0 * count(TRUTH_ID) / nullif(count(*), 0), 1) FROM mt) AS OVERALL_PRECISION_PCT, true AS IS_SYNTHETIC_DATASET"))
 def _(s, d):
-    return detectors.headline(A.detections(s, d), A.truth(s, d), A.fact(s, d))
+    return detectors.headline(A.matched(s, d), A.detections(s, d), A.truth(s, d), A.fact(s, d), A.pings(s, d))
 
 
 HOTSPOTS = """hs AS (SELECT h.*, top_detector, top_detector_count, CASE WHEN high >= 20 THEN 'high' ELSE 'elevated' END AS tier, STOP_NAME, STOP_LAT, STOP_LON FROM

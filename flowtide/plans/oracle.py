@@ -85,7 +85,7 @@ CTES: dict[str, tuple[str, str]] = {
     "fw": ("fact", "SELECT * FROM fact WHERE DWELL_SECS IS NOT NULL"),
     "bw0": ("fw", _robust("fw", "STOP_ID, TIME_BAND, DAY_TYPE, MODE", "DWELL_SECS")),
     "bw": ("bw0", "SELECT *, greatest(1.4826 * mad, 10.0) AS SIGMA_DWELL FROM bw0 WHERE n >= 5"),
-    "pg": ("", "SELECT (user_id // 10)::VARCHAR || '|' || strftime(ts, '%Y%m%d') AS TRIP_INSTANCE_ID, 'V' || (user_id // 10) AS VEHICLE_ID, ts::DATE AS SERVICE_DATE, 'R' || (user_id // 10 % 10) AS ROUTE_ID, (user_id // 10 % 10)::VARCHAR AS ROUTE_SHORT_NAME, CASE WHEN user_id // 10 % 10 < 7 THEN 'BUS' ELSE 'RAIL' END AS MODE, ts AS PING_LOCAL, ts - to_seconds((event_id * 7 % 150)::INT) AS DEVICE_TS_LOCAL, -41.3 + (event_id * 37 % 1000) / 10000.0::DOUBLE AS LATITUDE, 174.7 + (event_id * 53 % 1000) / 10000.0::DOUBLE AS LONGITUDE FROM events"),
+    "pg": ("", "SELECT (user_id // 10)::VARCHAR || '|' || strftime(ts, '%Y%m%d') AS TRIP_INSTANCE_ID, 'V' || (user_id // 10) AS VEHICLE_ID, ts::DATE AS SERVICE_DATE, 'R' || (user_id // 10 % 10) AS ROUTE_ID, (user_id // 10 % 10)::VARCHAR AS ROUTE_SHORT_NAME, CASE WHEN user_id // 10 % 10 < 7 THEN 'BUS' ELSE 'RAIL' END AS MODE, ts AS PING_LOCAL, ts - to_seconds((event_id * 7 % 150)::INT) AS DEVICE_TS_LOCAL, -41.3 + (event_id * 37 % 1000) / 10000.0::DOUBLE AS LATITUDE, 174.7 + (event_id * 53 % 1000) / 10000.0::DOUBLE AS LONGITUDE, (user_id // 10 % 2)::INT AS DIRECTION_ID, event_type = 'error' AS HAS_GPS_FAULT, CASE WHEN event_type = 'error' THEN event_id::VARCHAR END AS TRUTH_ID FROM events"),
     "mo0": ("pg", "SELECT *, lag(LATITUDE) OVER w AS PLAT, lag(LONGITUDE) OVER w AS PLON, lag(PING_LOCAL) OVER w AS PREV_PING_LOCAL FROM pg WINDOW w AS (PARTITION BY TRIP_INSTANCE_ID ORDER BY PING_LOCAL, LATITUDE, LONGITUDE)"),
     "mo1": ("mo0", f"SELECT *, date_diff('second', PREV_PING_LOCAL, PING_LOCAL) AS SECS_SINCE_PREV, {METRES.format('PLAT', 'PLON', 'LATITUDE', 'LONGITUDE')} AS METRES_SINCE_PREV, date_diff('second', DEVICE_TS_LOCAL, PING_LOCAL) AS DEVICE_LAG_SECS FROM mo0 WHERE PLAT IS NOT NULL"),
     "mo": ("mo1", "SELECT *, CASE WHEN SECS_SINCE_PREV > 0 THEN METRES_SINCE_PREV / SECS_SINCE_PREV * 3.6 END AS IMPLIED_KMH FROM mo1"),
@@ -93,7 +93,7 @@ CTES: dict[str, tuple[str, str]] = {
         quantile_cont(ARRIVAL_DELAY_SECS, 0.9) AS P90_DELAY_SECS, avg(STOP_LAT) AS CELL_LAT, avg(STOP_LON) AS CELL_LON FROM fact WHERE ARRIVAL_DELAY_SECS IS NOT NULL AND STOP_LAT IS NOT NULL GROUP BY 1, 2, 3, 4, 5 HAVING count(*) >= 2"""),
     "bs0": ("sb", _robust("sb", "CELL_ID, DAY_TYPE, MODE, BIN_HOUR", "MED_DELAY_SECS")),
     "bs": ("bs0", "SELECT *, greatest(1.4826 * mad, 15.0) AS SIGMA_CELL FROM bs0 WHERE n >= 3"),
-    "tr": ("", """SELECT event_id::VARCHAR AS TRUTH_ID, CASE user_id % 3 WHEN 0 THEN 'crash' WHEN 1 THEN 'closure' ELSE 'storm' END AS EPISODE_TYPE, 'R' || (user_id % 20) AS ROUTE_ID, DATE '2024-01-01' + ((day(ts) - 1) % 14)::INT AS SERVICE_DATE, hour(ts)::INT AS START_HOUR, (30 + user_id % 60)::INT AS DURATION_MINS,
+    "tr": ("", """SELECT event_id::VARCHAR AS TRUTH_ID, CASE user_id % 3 WHEN 0 THEN 'crash' WHEN 1 THEN 'closure' ELSE 'storm' END AS EPISODE_TYPE, 'R' || (user_id % 20) AS ROUTE_ID, (user_id % 20)::VARCHAR AS ROUTE_SHORT_NAME, CASE WHEN user_id % 20 < 14 THEN 'BUS' WHEN user_id % 20 < 18 THEN 'RAIL' ELSE 'FERRY' END AS MODE, 0.5 + (user_id % 300) / 300.0::DOUBLE AS MAGNITUDE, DATE '2024-01-01' + ((day(ts) - 1) % 14)::INT AS SERVICE_DATE, hour(ts)::INT AS START_HOUR, (30 + user_id % 60)::INT AS DURATION_MINS,
         (DATE '2024-01-01' + ((day(ts) - 1) % 14)::INT) + to_hours(hour(ts)) AS WINDOW_START_LOCAL, (DATE '2024-01-01' + ((day(ts) - 1) % 14)::INT) + to_hours(hour(ts)) + to_minutes((30 + user_id % 60)::INT) AS WINDOW_END_LOCAL FROM events WHERE event_type = 'error'"""),
     "tp": ("fact", "SELECT TRIP_INSTANCE_ID, SERVICE_DATE, ROUTE_ID, ROUTE_SHORT_NAME, MODE, count(*) AS SCHEDULED, count(*) FILTER (WHERE ACTUAL_ARRIVAL_LOCAL IS NOT NULL) AS OBSERVED, min(SCHED_ARRIVAL_LOCAL) AS FIRST, max(SCHED_ARRIVAL_LOCAL) AS LAST, min(ACTUAL_ARRIVAL_LOCAL) AS FIRST_OBSERVED, max(ACTUAL_ARRIVAL_LOCAL) AS LAST_OBSERVED FROM fact GROUP BY ALL"),
     "dt1": ("fd bd", "SELECT 'D01|' || TRIP_INSTANCE_ID || '|' || STOP_SEQUENCE AS ANOMALY_ID, 'D01' AS DETECTOR, 'delay_outlier' AS DETECTOR_NAME, SERVICE_DATE, TRIP_INSTANCE_ID || '|' || STOP_SEQUENCE AS ENTITY_ID, e.ROUTE_ID, ROUTE_SHORT_NAME, e.MODE, e.STOP_ID, SCHED_ARRIVAL_LOCAL AS WINDOW_START, SCHED_ARRIVAL_LOCAL AS WINDOW_END, ARRIVAL_DELAY_SECS::DOUBLE AS OBSERVED_VALUE, med::DOUBLE AS EXPECTED_VALUE, (ARRIVAL_DELAY_SECS - med) / SIGMA_DELAY AS SCORE, format('{} at {} ran {}s vs typical {}s', ROUTE_SHORT_NAME, STOP_NAME, round(ARRIVAL_DELAY_SECS), round(med)) AS DETAIL FROM fd e JOIN bd b ON b.ROUTE_ID = e.ROUTE_ID AND b.DIRECTION_ID IS NOT DISTINCT FROM e.DIRECTION_ID AND b.STOP_ID = e.STOP_ID AND b.TIME_BAND = e.TIME_BAND AND b.DAY_TYPE = e.DAY_TYPE WHERE abs((ARRIVAL_DELAY_SECS - med) / SIGMA_DELAY) >= 1.5"),
@@ -107,7 +107,7 @@ CTES: dict[str, tuple[str, str]] = {
     "dt9": ("sb bs", "SELECT 'D09|' || CELL_ID || '|' || strftime(SCHED_BIN_15MIN, '%Y%m%d%H%M') AS ANOMALY_ID, 'D09' AS DETECTOR, 'cluster_shock' AS DETECTOR_NAME, SERVICE_DATE, CELL_ID AS ENTITY_ID, NULL::VARCHAR AS ROUTE_ID, NULL::VARCHAR AS ROUTE_SHORT_NAME, MODE, NULL::VARCHAR AS STOP_ID, SCHED_BIN_15MIN AS WINDOW_START, SCHED_BIN_15MIN + INTERVAL 15 MINUTE AS WINDOW_END, MED_DELAY_SECS::DOUBLE AS OBSERVED_VALUE, med::DOUBLE AS EXPECTED_VALUE, (MED_DELAY_SECS - med) / SIGMA_CELL AS SCORE, format('cell median delay {}s vs baseline {}s across {} trips on {} routes', round(MED_DELAY_SECS), round(med), TRIPS, ROUTES) AS DETAIL FROM sb JOIN bs USING (CELL_ID, DAY_TYPE, MODE, BIN_HOUR) WHERE TRIPS >= 2 AND (MED_DELAY_SECS - med) / SIGMA_CELL >= 1.2"),
     "found0": ("dt1 dt2 dt3 dt4 dt5 dt6 dt7 dt8 dt9", " UNION ALL BY NAME ".join(f"SELECT * FROM dt{i}" for i in range(1, 10))),
     "found": ("found0", f"SELECT *, CASE WHEN DETECTOR IN ('D04', 'D06') THEN 'HIGH' ELSE {SEVERITY.format('SCORE')} END AS SEVERITY FROM found0"),
-    "mt": ("found tr", "SELECT f.*, t.TRUTH_ID, t.EPISODE_TYPE FROM found f LEFT JOIN tr t ON t.SERVICE_DATE = f.SERVICE_DATE AND (f.ROUTE_ID IS NULL OR f.ROUTE_ID = t.ROUTE_ID) AND f.WINDOW_START <= t.WINDOW_END_LOCAL + INTERVAL 15 MINUTE AND f.WINDOW_END >= t.WINDOW_START_LOCAL - INTERVAL 15 MINUTE"),
+    "mt": ("found tr", "SELECT f.*, t.TRUTH_ID, t.EPISODE_TYPE FROM found f LEFT JOIN tr t ON t.SERVICE_DATE = f.SERVICE_DATE AND (f.ROUTE_ID IS NULL OR f.ROUTE_ID = t.ROUTE_ID) AND f.WINDOW_START >= t.WINDOW_START_LOCAL - INTERVAL 15 MINUTE AND f.WINDOW_START <= t.WINDOW_END_LOCAL + INTERVAL 15 MINUTE WHERE f.SEVERITY <> 'NONE'"),
     "ssen": ("street_hourly meta", f"""SELECT 'sensors' AS source, street AS location, c.lat, c.lon, date AS event_date, hour AS event_hour, is_weekend, CASE WHEN abs(zz) >= 3.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, round(zz, 2) AS score, 'ped+vehicle / hr' AS metric, false AS is_synthetic
         FROM (SELECT h.*, CASE WHEN sd > 0 THEN (total_count - mu) / sd END AS zz FROM street_hourly h JOIN (SELECT street, hour, is_weekend, avg(total_count) AS mu, stddev_samp(total_count) AS sd FROM street_hourly GROUP BY ALL) b USING (street, hour, is_weekend))
         LEFT JOIN (SELECT {STREET.format('NAME')} AS street, avg((LATITUDE_START_LINE + LATITUDE_END_LINE) / 2) AS lat, avg((LONGITUDE_START_LINE + LONGITUDE_END_LINE) / 2) AS lon FROM meta GROUP BY 1) c USING (street) WHERE abs(zz) >= 2.5"""),

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import core, feeds, network, primitives  # noqa: E402, F401  they register their queries
+from . import core, feeds, network, primitives, scale  # noqa: E402, F401  they register their queries

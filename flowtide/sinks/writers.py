@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import confidence
+from ..operators.ranges import ranked
 
 #: The published limitations and the other fixed values of the documents.
 LIMITATIONS = [
@@ -17,13 +18,13 @@ LIMITATIONS = [
 ]
 CADENCE, SOURCE = "at least monthly", "Wellington City Council Transport Sensors"
 METHOD = "12-week matched-weekday/hour median and MAD"
-TRANSIT_ATTRIBUTION = "Metlink GTFS timetable © Greater Wellington Regional Council; running is a labelled synthetic replay (Team 7 detection pipeline)"
+TRANSIT_ATTRIBUTION = "Metlink GTFS timetable © Greater Wellington Regional Council; running is a labelled synthetic replay"
 TRANSIT_LIMITATIONS = [
     "Synthetic data: the real Metlink timetable replayed with simulated running and injected anomalies. No figure describes an actual April 2026 event.",
     "An anomaly hotspot is a modelled statistic, not a live disruption report.",
     "April 2026 replay, not the 6 August 2026 snapshot the countline layer shows.",
     "PT anomalies corroborate a countline signal; they do not measure one.",
-    "Only stops with >= 50 anomalies or >= 10 high-severity anomalies are published; the full event set is in data/buses_trains/anomaly/csv/.",
+    "Only stops with >= 50 anomalies or >= 10 high-severity anomalies are published; the full event set is in {events}.",
 ]
 #: Most features that are assembled into one collection value.
 MOST_FEATURES = 100_000
@@ -63,17 +64,17 @@ def coverage_features(meta: DataFrame) -> DataFrame:
     return meta.select(ident.alias("id"), F.to_json(_feature(ident, line, props), {"ignoreNullFields": "false"}).alias("feature"))
 
 
-def hotspot_features(hotspots: DataFrame) -> DataFrame:
-    """One GeoJSON feature line for each row of detectors.stop_hotspots(), with rank: the place by count and stop id."""
+def hotspot_features(hotspots: DataFrame, attribution: str = TRANSIT_ATTRIBUTION, events: str = "the table of detections") -> DataFrame:
+    """One GeoJSON feature line for each row of detectors.stop_hotspots(), with rank: the place by count and stop id. attribution and events (where all detections are) are the publisher's."""
     fixed = lambda **kv: [F.lit(v).alias(k) for k, v in kv.items()]
     props = [
         *fixed(schema="transit-anomaly/v1", source_type="public_transport"), F.col("STOP_ID").alias("stop_id"), F.col("STOP_NAME").alias("stop_name"), F.col("modes"), F.col("anomalies").alias("anomaly_count"), F.col("high").alias("high_count"), F.col("medium").alias("medium_count"), F.col("low").alias("low_count"),
-        F.col("tier").alias("severity_tier"), F.col("top_detector"), F.col("top_detector_count"), F.col("worst_example"), F.lit(True).alias("synthetic"), *fixed(attribution=TRANSIT_ATTRIBUTION), F.array(*map(F.lit, TRANSIT_LIMITATIONS)).alias("limitations"),
+        F.col("tier").alias("severity_tier"), F.col("top_detector"), F.col("top_detector_count"), F.col("worst_example"), F.lit(True).alias("synthetic"), *fixed(attribution=attribution), F.array(*[F.lit(x.format(events=events)) for x in TRANSIT_LIMITATIONS]).alias("limitations"),
     ]
-    placed = hotspots.withColumns({"_lon": F.round("STOP_LON", 6), "_lat": F.round("STOP_LAT", 6)})
+    placed = hotspots.withColumns({"_lon": F.round("STOP_LON", 6), "_lat": F.round("STOP_LAT", 6), "_less": -F.col("anomalies")})
     f = _feature(F.concat(F.lit("transit-stop:"), "STOP_ID"), _point("_lon", "_lat"), props)
-    rank = F.row_number().over(Window.orderBy(F.desc("anomalies"), "STOP_ID"))  # published stops only, of which there are few
-    return placed.select(rank.alias("rank"), F.col("STOP_ID").cast("string").alias("id"), F.to_json(f, {"ignoreNullFields": "false"}).alias("feature"))
+    lines = placed.select(F.col("STOP_ID").cast("string").alias("id"), F.to_json(f, {"ignoreNullFields": "false"}).alias("feature"), "_less", "STOP_ID")
+    return ranked(lines, ["_less", "STOP_ID"], "rank").select(F.col("rank").cast("int").alias("rank"), "id", "feature")
 
 
 def point_features(df: DataFrame, ident: str, lon: str, lat: str, properties: list[str]) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -201,53 +201,103 @@ def arcgis_rows(pages: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.select(*[F.try_element_at("a", F.lit(n.lower())).try_cast(t).alias(n) for n, t in columns.items()]).withColumn("date", F.to_date(F.timestamp_millis("startDate")))
 
 
-def flattened(document: str) -> list[list[tuple[str, str]]]:
-    """The records of a JSON or XML document at any depth, as (name, text) pairs: every JSON object's plain values, every XML element's attributes and its children's texts. Nothing if it can't be read."""
-    text = document.strip()
-    out: list[list[tuple[str, str]]] = []
+class _Records(list):
+    """The records inside a JSON value that is read already."""
 
-    def walk(node) -> None:
-        if isinstance(node, dict):
-            own = [(k, v) for k, v in node.items() if not isinstance(v, (dict, list))]
-            if own:
-                out.append([(k, str(v)) for k, v in own if v is not None])
-            for v in node.values():
-                walk(v)
-        elif isinstance(node, list):
-            for v in node:
-                walk(v)
 
+def _members(pairs: list[tuple]) -> _Records:
+    """An object that the decoder has read, inmost ones first: its own plain members as one record, then those of its other members."""
+    last = dict(pairs)
+    own = [(k, str(v)) for k, v in last.items() if v is not None and not isinstance(v, list)]
+    return _Records([own] * bool(own) + [r for v in last.values() for r in _inside(v)])
+
+
+def _inside(value) -> list:
+    """Records in a member or an array of a JSON document."""
+    if isinstance(value, _Records):
+        return value
+    return [r for v in value for r in _inside(v)] if isinstance(value, list) else []
+
+
+def json_records(document: str) -> list[list[tuple[str, str]]]:
+    """Each object's plain members that are not null, as (name, text), outer objects first; nothing if the document can't be read."""
     try:
-        if text[:1] in ("[", "{"):
-            walk(json.loads(text))
-            return out
-        local = lambda tag: tag.rsplit("}", 1)[-1]
-        for element in ElementTree.fromstring(text).iter():
-            own = {local(k): v for k, v in element.attrib.items()}
-            for child in element:
-                if (child.text or "").strip():
-                    own[local(child.tag)] = child.text.strip()
-                for k, v in child.attrib.items():
-                    own.setdefault(f"{local(child.tag)}_{local(k)}", v)
-            if own:
-                out.append(list(own.items()))
-    except (ValueError, ElementTree.ParseError):
+        return list(_inside(json.loads(document, object_pairs_hook=_members)))
+    except (ValueError, RecursionError):
         return []
-    return out
 
 
-def camera_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, attributes: array of (name, value)): the records of catalogue documents, JSON or XML, one document a file, in the order in which they stand."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+def xml_elements(document: str) -> list[tuple[int, int | None, str, str, list[tuple[str, str]]]]:
+    """(number, number of its parent, name, text before its first child, attributes) of each element, in the order in which they begin; names without their namespace. Nothing if the document can't be read."""
+    rows: list[list] = []
+    inside: list[int] = []
+    open_text: list[str] | None = None
+    bare = lambda name: name.rpartition(":")[2]
+
+    def begin(name: str, attributes: dict[str, str]) -> None:
+        nonlocal open_text
+        named = [(bare(k), v) for k, v in attributes.items() if not k.startswith("xmlns")]
+        open_text = []
+        rows.append([len(rows), inside[-1] if inside else None, bare(name), open_text, named])
+        inside.append(len(rows) - 1)
+        parser.CharacterDataHandler = open_text.append
+
+    def end(name: str) -> None:
+        inside.pop()
+        parser.CharacterDataHandler = None  # what follows a child is no text of its parent
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler = begin, end
+    try:
+        parser.Parse(document, True)
+    except expat.ExpatError:
+        return []
+    return [(n, up, name, "".join(text).strip(), named) for n, up, name, text, named in rows]
+
+
+#: Most bytes of a catalogue document, which is read as one value.
+MOST_DOCUMENT_BYTES = 64 << 20
+
 
-    def run(frames):
+def camera_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, attributes: array of (name, value)): the records of catalogue documents, JSON or XML, one document a file, in the order in which they stand.
+
+    A record of XML is an element: its attributes and its children's texts, of which the last of a name counts, and its children's attributes as child_name where
+    nothing else has that name. Elements come as rows from the parser, and Spark puts the records together.
+    """
+    large = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") > MOST_DOCUMENT_BYTES).first()
+    if large:
+        raise ValueError(f"{large.path} has {large.length} bytes; catalogues of more than {MOST_DOCUMENT_BYTES} bytes are to be cut")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.btrim("value", F.lit(" \t\r\n")).alias("value"))
+    pair = "array<struct<name:string,value:string>>"
+    is_json = F.substring("value", 1, 1).isin("[", "{")
+
+    def from_json(frames):
         import pandas as pd
 
         for f in frames:
-            rows = [(file, pos, [{"name": k, "value": v} for k, v in record]) for file, value in zip(f.file, f.value) for pos, record in enumerate(flattened(value))]
+            rows = [(file, pos, [{"name": k, "value": v} for k, v in record]) for file, value in zip(f.file, f.value) for pos, record in enumerate(json_records(value))]
             yield pd.DataFrame(rows, columns=["file", "pos", "attributes"])
 
-    return files.mapInPandas(run, "file string, pos long, attributes array<struct<name:string,value:string>>")
+    def from_xml(frames):
+        import pandas as pd
+
+        for f in frames:
+            rows = [(file, n, up, name, text, [{"name": k, "value": v} for k, v in named]) for file, value in zip(f.file, f.value) for n, up, name, text, named in xml_elements(value)]
+            out = pd.DataFrame(rows, columns=["file", "n", "up", "name", "text", "attributes"])
+            yield out.astype({"up": "Int64"})
+
+    e = files.where(~is_json).mapInPandas(from_xml, f"file string, n long, up long, name string, text string, attributes {pair}")
+    row = lambda of, name, value, kind, at: (F.col(of).alias("pos"), name.alias("name"), value.alias("value"), F.lit(kind).alias("kind"), F.struct("n", at).alias("at"))
+    named = e.select("file", "n", "up", "name", F.posexplode("attributes").alias("i", "a"))
+    own = named.select("file", *row("n", F.col("a.name"), F.col("a.value"), "own", F.lit(-1).alias("i")))
+    texts = e.where("up is not null and text <> ''").select("file", *row("up", F.col("name"), F.col("text"), "text", F.lit(-1).alias("i")))
+    lent = named.where("up is not null").select("file", *row("up", F.concat_ws("_", "name", "a.name"), F.col("a.value"), "lent", F.col("i")))
+    of = lambda kind, f: f(F.when(F.col("kind") == kind, F.col("value")), "at")
+    members = own.unionByName(texts).unionByName(lent).groupBy("file", "pos", "name").agg(F.min(F.struct((F.col("kind") != "own").alias("o"), "at")).alias("at"), F.coalesce(of("text", F.max_by), of("own", F.min_by), of("lent", F.min_by)).alias("value"))
+    records = members.groupBy("file", "pos").agg(F.array_sort(F.collect_list(F.struct("at", "name", "value"))).alias("_all"))
+    xml = records.select("file", "pos", F.transform("_all", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))).alias("attributes"))
+    return files.where(is_json).mapInPandas(from_json, f"file string, pos long, attributes {pair}").unionByName(xml)
 
 
 def cameras(records: DataFrame, image_url: str = "https://www.trafficnz.info/camera/{}.jpg", view_url: str = "https://www.journeys.nzta.govt.nz/traffic-cameras/wellington/{}") -> DataFrame:

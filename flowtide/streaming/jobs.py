@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import cell_id
+from ..operators.quantiles import KLL_K, merged_sketches, sketched_quantiles
 
 WATERMARK = "1 hour"
 WATCHED = ["status", "estimated_utc", "actual_utc", "gate"]
@@ -58,60 +59,6 @@ def change_log(snapshots: DataFrame, key: str, order: list[str], watched: list[s
     return snapshots.withColumns({f"previous_{watched[0]}": F.lag(watched[0]).over(w), "_moved": moved}).where("_moved").drop("_moved")
 
 
-@dataclass(frozen=True)
-class PollStore:
-    """Folders of a poll job. Each batch writes its own folders, made from the batches before it, so a repeated batch writes the same again.
-
-    State is dealt into buckets by a hash of the key. A batch writes only the buckets that it touches; the state is, for each bucket, what the last batch
-    that touched it has written. Which batch that is is read from the folders' names, so only those files are opened.
-    """
-
-    root: str
-    key: str
-    best: tuple[str, ...]
-    ties: tuple[str, ...] = ()
-    buckets: int = 64
-
-    def at(self, kind: str, batch: int) -> str:
-        return f"{self.root}/{kind}/batch={batch}"
-
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def state(self, spark: SparkSession, batch: int) -> DataFrame:
-        """The state after a batch."""
-        rows = spark.read.parquet(f"{self.root}/state").where(F.col("batch") <= batch)
-        last = spark.read.parquet(f"{self.root}/touched").where(F.col("batch") <= batch).groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # a row for each bucket
-        by_batch: dict[int, list[int]] = {}
-        for r in last:
-            by_batch.setdefault(r.batch, []).append(r.bucket)
-        wanted = reduce(lambda a, b: a | b, [(F.col("batch") == k) & F.col("bucket").isin(v) for k, v in by_batch.items()], F.lit(False))
-        return rows.where(wanted).drop("batch")
-
-    def process(self, df: DataFrame, batch: int) -> None:
-        """The raw batch, its dedup as snapshot, the change log against the state before, the touched buckets of the new state, the ingest log: in that order."""
-        spark = df.sparkSession
-        write = lambda rows, kind, *by: rows.write.mode("overwrite").partitionBy(*by).parquet(self.at(kind, batch))
-        write(df, "polls")
-        polled = spark.read.schema(df.schema).parquet(self.at("polls", batch))
-        write(most_complete(polled, self.key, list(self.best), "snapshot_ts", *self.ties), "snapshots")
-        rows = spark.read.schema(df.schema).parquet(self.at("snapshots", batch))
-        write(rows.select(self.bucket().alias("bucket")).distinct().coalesce(1), "touched")
-        touched = [r.bucket for r in spark.read.parquet(self.at("touched", batch)).collect()]
-        seen = {"first_seen_ts": F.col("snapshot_ts"), "last_seen_ts": F.col("snapshot_ts")}
-        before = self.state(spark, batch - 1).where(F.col("bucket").isin(touched)).drop("bucket") if batch else rows.withColumns(seen).where("false")
-        write(changes(before, rows, self.key), "changes")
-        write(merged(before, rows, self.key).withColumn("bucket", self.bucket()).repartition("bucket"), "state", "bucket")
-        fetched, changed_rows = (spark.read.parquet(self.at(k, batch)).agg(F.count("*").alias(n)) for k, n in (("polls", "rows_fetched"), ("changes", "rows_changed")))
-        write(fetched.crossJoin(changed_rows).select(F.current_timestamp().alias("run_ts"), "rows_fetched", "rows_changed", F.lit(True).alias("ok"), F.lit("").alias("message")), "ingest")
-
-    def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
-        return stream.writeStream.foreachBatch(self.process).option("checkpointLocation", f"{self.root}/progress").trigger(**(trigger or {"availableNow": True})).start()
-
-    def last(self, spark: SparkSession, query: StreamingQuery) -> DataFrame:
-        return self.state(spark, query.lastProgress["batchId"]).drop("bucket")
-
-
 def hourly_counts(events: DataFrame, ts: str, zone: str, *by: str, streaming: bool = True) -> DataFrame:
     """Tumbling counts by local hour; rows later than the watermark are dropped."""
     e = events.withWatermark(ts, WATERMARK) if streaming else events
@@ -120,27 +67,95 @@ def hourly_counts(events: DataFrame, ts: str, zone: str, *by: str, streaming: bo
     return out.select(F.col("w.start").alias("bin_start"), F.to_date(local).alias("event_date"), F.hour(local).alias("event_hour"), *by, "n")
 
 
-def cell_bins(events: DataFrame, ts: str, lat: str, lon: str, value: str, min_n: int = 5, streaming: bool = True, accuracy: int | None = None) -> DataFrame:
-    """Quarter-hour aggregates of cells with at least min_n events. Exact percentiles keep all values of the open windows in the state; with an accuracy they are approximate and their state is bounded."""
+def cell_bins(events: DataFrame, ts: str, lat: str, lon: str, value: str, min_n: int = 5, streaming: bool = True, exact: bool = False) -> DataFrame:
+    """Quarter-hour aggregates of cells with at least min_n events: count, a mergeable sketch of the values (cell_quantiles() reads and merges them), and its median
+    and 90th percentile, whose ranks are right up to quantiles.RANK_ERROR. The state of a window is one sketch, whatever its number of events. exact: percentiles of all
+    values, which the state then keeps, and no sketch."""
     e = events.withWatermark(ts, WATERMARK) if streaming else events
-    at = lambda p: F.percentile_approx(value, p, accuracy) if accuracy else F.percentile(value, F.lit(p))
-    out = e.groupBy(F.window(ts, "15 minutes").alias("w"), cell_id(lat, lon, 2).alias("cell_id")).agg(F.count("*").alias("n"), at(0.5).alias("median_value"), at(0.9).alias("p90_value"))
-    return out.where(F.col("n") >= min_n).select(F.col("w.start").alias("bin_start"), "cell_id", "n", "median_value", "p90_value")
+    groups = e.groupBy(F.window(ts, "15 minutes").alias("w"), cell_id(lat, lon, 2).alias("cell_id"))
+    bins = [F.col("w.start").alias("bin_start"), "cell_id", "n"]
+    if exact:
+        out = groups.agg(F.count("*").alias("n"), F.percentile(value, F.lit(0.5)).alias("median_value"), F.percentile(value, F.lit(0.9)).alias("p90_value"))
+        return out.where(F.col("n") >= min_n).select(*bins, "median_value", "p90_value")
+    out = groups.agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(KLL_K)).alias("sketch")).where(F.col("n") >= min_n)
+    return out.select(*bins, "sketch", *[F.when(F.kll_sketch_get_n_double("sketch") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p))).alias(name) for name, p in (("median_value", 0.5), ("p90_value", 0.9))])
+
+
+def cell_quantiles(bins: DataFrame, *by: str, **probs: float) -> DataFrame:
+    """Sketches of cell_bins() merged over coarser groups, such as a cell's day: (by, n, one column for each of probs)."""
+    return sketched_quantiles(merged_sketches(bins, list(by)), probs)
+
+
+#: Batches whose rows are merged into one version.
+COMPACT_EVERY = 16
+
+
+@dataclass(frozen=True)
+class UpdatedTable:
+    """The groups of a streaming aggregation, as each batch changes them, under a root: rows/batch=n, and versions/upto=n with the last row of each group after a
+    batch n. A version is made of the one before it and the batches since, so no batch opens more than these. What lies two versions back is removed, so a reader that
+    began with the version before still finds its files. A repeated batch or version writes the same again."""
+
+    root: str
+    key: tuple[str, ...]
+    every: int = COMPACT_EVERY
+
+    def _numbers(self, spark: SparkSession, kind: str, name: str, done: bool) -> list[int]:
+        path, fs = _folder(spark, f"{self.root}/{kind}")
+        if not fs.exists(path):
+            return []
+        found = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith(f"{name}=")]
+        return sorted(int(p.getName().split("=")[1]) for p in found if not done or fs.exists(_folder(spark, f"{p.toString()}/_SUCCESS")[0]))
+
+    def _read(self, spark: SparkSession, upto: int | None) -> DataFrame | None:
+        """The last row of each group after a batch (the last one, if None), with the batch that wrote it."""
+        versions = [v for v in self._numbers(spark, "versions", "upto", True) if upto is None or v < upto]
+        base = versions[-1] if versions else -1
+        batches = [b for b in self._numbers(spark, "rows", "batch", True) if b > base and (upto is None or b <= upto)]
+        parts = [spark.read.parquet(f"{self.root}/versions/upto={v}") for v in versions[-1:]] + [spark.read.parquet(f"{self.root}/rows/batch={b}").withColumn("batch", F.lit(b).cast("long")) for b in batches]
+        if not parts:
+            return None
+        rows = reduce(DataFrame.unionByName, parts)
+        whole = F.struct(*[c for c in rows.columns if c not in (*self.key, "batch")])
+        last = rows.groupBy(*self.key).agg(F.max_by(whole, "batch").alias("_last"), F.max("batch").alias("batch"))
+        return last.select(*self.key, "_last.*", "batch")
+
+    def save(self, df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{self.root}/rows/batch={batch}")
+        if (batch + 1) % self.every == 0:
+            self._read(spark, batch).write.mode("overwrite").parquet(f"{self.root}/versions/upto={batch}")
+            versions = self._numbers(spark, "versions", "upto", True)
+            old = versions[-2] if len(versions) > 1 else -1
+            for kind, name, last in (("versions", "upto", old - 1), ("rows", "batch", old)):
+                for n in self._numbers(spark, kind, name, False):
+                    if n <= last:
+                        path, fs = _folder(spark, f"{self.root}/{kind}/{name}={n}")
+                        fs.delete(path, True)
+
+    def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
+        return stream.writeStream.outputMode("update").foreachBatch(self.save).option("checkpointLocation", f"{self.root}/progress").trigger(**(trigger or {"availableNow": True})).start()
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        rows = self._read(spark, None)
+        if rows is None:
+            raise ValueError(f"no batch has been written under {self.root}")
+        return rows.drop("batch")
 
 
-def updated_table(stream: DataFrame, root: str) -> StreamingQuery:
-    """Write the groups of a streaming aggregation that each batch changes, in folders batch=n. State goes with the watermark; read_updated() has the last row of each group."""
+def _folder(spark: SparkSession, path: str):
+    """(path, file system) of a folder, whatever store it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def save(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{root}/rows/batch={batch}")
 
-    return stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+def updated_table(stream: DataFrame, root: str, *key: str) -> StreamingQuery:
+    """Start to write the groups of a streaming aggregation as an UpdatedTable. State goes with the watermark."""
+    return UpdatedTable(root, key).start(stream)
 
 
 def read_updated(spark: SparkSession, root: str, *key: str) -> DataFrame:
-    rows = spark.read.parquet(f"{root}/rows")
-    last = rows.groupBy(*key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (*key, "batch")]), "batch").alias("_last"))
-    return last.select(*key, "_last.*")
+    return UpdatedTable(root, key).read(spark)
 
 
 def archive(stream: DataFrame, path: str, progress: str, ts: str, zone: str) -> StreamingQuery:

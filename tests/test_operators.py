@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowtide.functions import columns as C
 from flowtide.operators import boards, detectors, joins, rollup, transit
 from flowtide.operators.baseline import leave_one_out_ratio
+from flowtide.operators.nearest import nearest
 from flowtide.sinks import writers
 from flowtide.sources import landed
 from flowtide.streaming import jobs
@@ -30,31 +31,33 @@ def test_traps(spark):
     assert got == {"boundary": 1, "week": 2, "sunday": 7, "street": "Cuba Street", "bare": "Road", "late": 90600, "bad": None, "times": 1767323040, "status": "Cancelled", "unknown": "Unknown", "gate": "Boarding", "incident": "Incident", "other": "On-Stand 2B", "grid": "-41.3,174.81", "cell": "-41.28_174.70", "band": "ON_TIME", "quarter": "10:30"}
 
 
+TRUTH = "TRUTH_ID string, EPISODE_TYPE string, ROUTE_ID string, SERVICE_DATE date, WINDOW_START_LOCAL timestamp_ntz, WINDOW_END_LOCAL timestamp_ntz, ROUTE_SHORT_NAME string, MODE string, DURATION_MINS int, MAGNITUDE double"
+FOUND = "ANOMALY_ID string, DETECTOR string, DETECTOR_NAME string, SERVICE_DATE date, ROUTE_ID string, WINDOW_START timestamp_ntz, SEVERITY string"
+
+
 def test_windows_match_with_and_without_route(spark):
-    d = "ANOMALY_ID string, DETECTOR string, DETECTOR_NAME string, SERVICE_DATE date, ROUTE_ID string, WINDOW_START timestamp_ntz, WINDOW_END timestamp_ntz"
     day, t = dt.date(2026, 4, 1), lambda h, m=0: dt.datetime(2026, 4, 1, h, m)
-    found = spark.createDataFrame([("a", "D1", "x", day, "R1", t(8, 10), t(8, 10)), ("b", "D1", "x", day, None, t(8), t(8, 5)), ("c", "D1", "x", day, "R3", t(8), t(8)), ("e", "D1", "x", day, "R1", t(9, 16), t(9, 16))], d)
-    truth = spark.createDataFrame([("t1", "crash", "R1", day, t(8), t(9)), ("t2", "storm", "R2", day, t(8), t(9)), ("t3", "storm", "R9", day, t(20), t(21))], "TRUTH_ID string, EPISODE_TYPE string, ROUTE_ID string, SERVICE_DATE date, WINDOW_START_LOCAL timestamp_ntz, WINDOW_END_LOCAL timestamp_ntz")
-    got = sorted((r.ANOMALY_ID, r.TRUTH_ID or "") for r in joins.match_windows(found, truth).collect())
-    assert got == [("a", "t1"), ("b", "t1"), ("b", "t2"), ("c", ""), ("e", "")]
-    card = detectors.scorecard(found, truth).first()
-    assert (card.FLAGGED, card.TP, card.FP, card.TRUTHS_HIT, card.DISTINCT_FLAGGED) == (5, 3, 2, 2, 4) and card.TP + card.FP == card.FLAGGED
-    assert [r.TRUTH_ID for r in detectors.missed_episodes(found, truth).collect()] == ["t3"]
-
-
-def test_windows_against_all_pairs(spark):
-    """Random windows, some of which end before they begin, in bins of an hour."""
-    rng, day = random.Random(3), dt.date(2026, 4, 1)
-    t = lambda: dt.datetime(2026, 4, 1, rng.randrange(24), rng.randrange(60))
-    found = [(str(i), day, rng.choice(["R1", "R2", None]), *rng.choice([lambda a, b: (a, b), lambda a, b: (min(a, b), max(a, b))])(t(), t())) for i in range(60)] + [("n", day, "R1", None, None)]
-    truth = [(str(i), "x", rng.choice(["R1", "R2"]), day, *sorted((t(), t()))) for i in range(25)]
-    f = spark.createDataFrame(found, "ANOMALY_ID string, SERVICE_DATE date, ROUTE_ID string, WINDOW_START timestamp_ntz, WINDOW_END timestamp_ntz")
-    e = spark.createDataFrame(truth, "TRUTH_ID string, EPISODE_TYPE string, ROUTE_ID string, SERVICE_DATE date, WINDOW_START_LOCAL timestamp_ntz, WINDOW_END_LOCAL timestamp_ntz")
-    slack, want = dt.timedelta(minutes=15), []
-    for a, _, r, s, z in found:
-        hits = [k for k, _, q, _, b, c in truth if s and (r is None or r == q) and s <= c + slack and z >= b - slack]
-        want += [(a, k) for k in hits] or [(a, "")]
-    assert sorted((r.ANOMALY_ID, r.TRUTH_ID or "") for r in joins.match_windows(f, e).collect()) == sorted(want)
+    rows = [("a", "R1", t(8, 10), "LOW"), ("b", None, t(8), "HIGH"), ("c", "R3", t(8), "LOW"), ("e", "R1", t(9, 16), "LOW"), ("f", "R1", t(9, 15), "LOW"), ("g", "R1", t(8, 30), "NONE"), ("h", "R1", t(7, 44), "LOW"), ("i", "R1", None, "LOW")]
+    found = spark.createDataFrame([(a, "D1", "x", day, r, w, s) for a, r, w, s in rows], FOUND)
+    truth = spark.createDataFrame([("t1", "crash", "R1", day, t(8), t(9), "1", "BUS", 60, 1.256), ("t2", "storm", "R2", day, t(8), t(9), "2", "BUS", 60, 1.0), ("t3", "slip", "R9", day, t(20), t(21), "9", "RAIL", 60, 2.0)], TRUTH)
+    matched = joins.match_windows(found, truth)
+    got = sorted((r.ANOMALY_ID, r.TRUTH_ID or "") for r in matched.collect())
+    assert got == [("a", "t1"), ("b", "t1"), ("b", "t2"), ("c", ""), ("e", ""), ("f", "t1"), ("h", ""), ("i", "")]
+    card = detectors.scorecard(matched, truth).first()
+    assert (card.FLAGGED, card.TRUE_POSITIVES, card.FALSE_POSITIVES, card.TRUTHS_HIT, card.DISTINCT_FLAGGED, card.TRUTHS_TOTAL) == (8, 4, 4, 2, 7, 3)
+    assert [tuple(r)[:4] for r in detectors.missed_episodes(matched, truth).collect()] == [("t3", "slip", "9", "RAIL")]
+    types = {r.EPISODE_TYPE: (r.EPISODES, r.EPISODES_DETECTED, r.DETECTORS_THAT_FIRED) for r in detectors.recall_by_type(matched, truth).collect()}
+    assert types == {"crash": (1, 1, "D1"), "storm": (1, 1, "D1"), "slip": (1, 0, None)}
+    head = detectors.headline(matched, found, truth, spark.range(4), spark.range(2)).first()
+    assert (head.STOP_EVENTS, head.VEHICLE_PINGS, head.ANOMALIES_FLAGGED, head.TRUTH_EPISODES, head.TRUTH_EPISODES_HIT, head.OVERALL_RECALL_PCT, head.OVERALL_PRECISION_PCT, head.IS_SYNTHETIC_DATASET) == (4, 2, 7, 3, 2, 66.7, 50.0, True)
+
+
+def test_a_ghost_trip_that_began_long_before_is_no_hit(spark):
+    """The rule asks where a detection begins, not whether it overlaps; a truncation too small for a severity does not count."""
+    day = dt.date(2026, 4, 1)
+    found = spark.createDataFrame([("ghost", "D04", "ghost_trip", day, "R1", dt.datetime(2026, 4, 1, 7), "HIGH"), ("cut", "D08", "trip_truncation", day, "R1", dt.datetime(2026, 4, 1, 9), "NONE")], FOUND)
+    truth = spark.createDataFrame([("t", "crash", "R1", day, dt.datetime(2026, 4, 1, 8), dt.datetime(2026, 4, 1, 10), "1", "BUS", 120, 1.0)], TRUTH)
+    assert [(r.ANOMALY_ID, r.TRUTH_ID) for r in joins.match_windows(found, truth).collect()] == [("ghost", None)]
 
 
 def test_leave_one_out(spark):
@@ -68,7 +71,7 @@ def test_leave_one_out(spark):
 def test_nearest_beyond_the_first_grid(spark):
     p = spark.createDataFrame([("p", -41.0, 174.0), ("q", -20.0, 174.0)], "k string, lat double, lon double")
     t = spark.createDataFrame([("near", -41.001, 174.0), ("far", -30.0, 174.0)], "c string, lat double, lon double")
-    got = {r.k: r.c for r in joins.nearest(p, t, "k", "c", 0.01).collect()}
+    got = {r.k: r.c for r in nearest(p, t, "k", "c").collect()}
     assert got == {"p": "near", "q": "far"}
 
 
@@ -114,23 +117,6 @@ def test_archive_and_flat_rows(spark, tmp_path):
     assert writers.flat_rows(f, "tags array<string>").first().tags == "x | y"
 
 
-def test_poll_store_in_two_batches(spark, tmp_path):
-    schema = "snapshot_ts timestamp, flight_key string, status string, estimated_utc timestamp, actual_utc timestamp, gate string"
-    t = lambda h: dt.datetime(2026, 1, 1, h)
-    store = jobs.PollStore(str(tmp_path / "s"), "flight_key", ("estimated_utc",))
-    one = spark.createDataFrame([(t(1), "a", "Expected", None, None, "1"), (t(1), "a", "Expected", t(2), None, "1"), (t(1), "b", "Expected", None, None, "1")], schema)
-    two = spark.createDataFrame([(t(2), "a", "Expected", t(2), None, "2"), (t(2), "b", "Expected", None, None, "1"), (t(2), "c", "Arrived", None, None, "3")], schema)
-    store.process(one, 0)
-    store.process(two, 1)
-    store.process(two, 1)  # a repeated batch changes nothing
-    state = {r.flight_key: (r.gate, r.first_seen_ts.hour, r.last_seen_ts.hour) for r in store.state(spark, 1).collect()}
-    assert state == {"a": ("2", 1, 2), "b": ("1", 1, 2), "c": ("3", 2, 2)}
-    changed = spark.read.parquet(store.at("changes", 1)).collect()
-    assert sorted(r.flight_key for r in changed) == ["a", "c"]
-    log = spark.read.parquet(f"{store.root}/ingest").orderBy("batch").collect()
-    assert [(r.rows_fetched, r.rows_changed) for r in log] == [(3, 2), (3, 2)]
-
-
 def test_features_as_lines_and_an_array(spark, tmp_path):
     f = writers.point_features(spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "id string, lon double, lat double"), "id", "lon", "lat", ["id"])
     writers.write_features(f, str(tmp_path / "lines"))
@@ -159,17 +145,24 @@ def test_camera_catalogues(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"list": [{"id": 2, "name": "old", "latitude": -41, "longitude": 174}, {"deep": {"Camera-ID": "2", "title": " new ", "lat": "-41.5", "lng": "174.5", "Region_Name": "North", "isOffline": True}}, {"id": "x3", "lat": 1, "lon": 1}, {"id": 4, "lat": 999, "lon": 1}, {"number": 5, "y": 1, "x": 2, "name": ""}]}))
     (tmp_path / "c.xml").write_text('<a:all xmlns:a="urn:x"><a:camera id="7"><a:name>Bay</a:name><lat>-41.2</lat><lon>174.9</lon><status>Offline</status></a:camera><camera><id>5</id><name>Hill</name><lat>-41.3</lat><lon>174.8</lon></camera></a:all>')
     (tmp_path / "bad.json").write_text("{")
+    (tmp_path / "bad.xml").write_text("<a><id>1</id>")
+    (tmp_path / "mixed.xml").write_text('<l><cam id="8" name="own"><pos lat="-41" lon="174"/><name> first </name><name>last</name>tail<pos lat="0"/><view>n<b/>x</view></cam></l>')
     of = lambda name: [(r.camera_id, r.camera_name, r.lat, r.region, r.offline) for r in landed.cameras(landed.camera_records(spark, str(tmp_path / name))).collect()]
     assert of("c.json") == [("2", "new", -41.5, "North", True), ("5", "Camera 5", 1.0, "", False)]
     assert of("c.xml") == [("5", "Hill", -41.3, "", False), ("7", "Bay", -41.2, "", True)]
-    assert of("bad.json") == []
+    assert of("bad.json") == [] and of("bad.xml") == []
+    mixed = landed.camera_records(spark, str(tmp_path / "mixed.xml")).orderBy("pos").collect()
+    assert [[tuple(x) for x in r.attributes] for r in mixed] == [
+        [("cam_id", "8"), ("cam_name", "own")], [("id", "8"), ("name", "last"), ("pos_lat", "-41"), ("pos_lon", "174"), ("view", "n")], [("lat", "-41"), ("lon", "174")], [("lat", "0")],
+    ]
+    assert landed.json_records('{"b": {"y": 1, "z": null}, "a": [1, {"x": true, "b": []}], "c": "own"}') == [[("c", "own")], [("y", "1")], [("x", "True")]]
 
 
 def test_stream_equals_batch(spark, tmp_path):
     rows = [(dt.datetime(2026, 1, 1, h, m), k) for h in range(5) for m in (1, 20, 59) for k in "ab"]
     spark.createDataFrame(rows, "ts timestamp, kind string").repartition(3).write.parquet(str(tmp_path / "in"))
     batch = spark.read.parquet(str(tmp_path / "in"))
-    jobs.run(jobs.updated_table(jobs.hourly_counts(jobs.landed(spark, str(tmp_path / "in"), batch.schema), "ts", "Pacific/Auckland", "kind"), str(tmp_path / "out")))
+    jobs.run(jobs.updated_table(jobs.hourly_counts(jobs.landed(spark, str(tmp_path / "in"), batch.schema), "ts", "Pacific/Auckland", "kind"), str(tmp_path / "out"), "bin_start", "kind"))
     got = jobs.read_updated(spark, str(tmp_path / "out"), "bin_start", "kind")
     want = jobs.hourly_counts(batch, "ts", "Pacific/Auckland", "kind", streaming=False).select(got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
