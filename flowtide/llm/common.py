@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
@@ -28,18 +29,43 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: The column of with_row().
-ROW = "_flowtide_row"
+#: The columns of with_row(): the number of a row, and a hash of all its columns.
+ROW, ALIKE = "_flowtide_row", "_flowtide_alike"
+#: Bits of the row's place in its file; the others number the file.
+PLACE_BITS = 40
+SCHEME = r"^([A-Za-z0-9+.-]+):/+"
+
+
+def spread(number: Column) -> Column:
+    """A permutation of the 64-bit numbers (two Feistel rounds), so that successive ones lie far apart and no two become one."""
+    half = F.lit((1 << 32) - 1)
+    left, right = F.shiftrightunsigned(number, 32), number.bitwiseAND(half)
+    top = left.bitwiseXOR(F.xxhash64(F.lit(1), right).bitwiseAND(half))
+    return F.shiftleft(top, 32).bitwiseOR(right.bitwiseXOR(F.xxhash64(F.lit(2), top).bitwiseAND(half)))
 
 
 def with_row(scan: DataFrame) -> DataFrame:
-    """scan: a table read from files, or chosen rows and columns of one; rows of memory are written first. Adds ROW, a number of each row made from its place in its file, so that rows alike are told apart and every scan finds the same number."""
+    """scan: a table read from files, or chosen rows and columns of one; rows of memory are written first. Adds ROW, a number of each row made from the number of its file (among the names of all the table's files, in order) and its place in it, so that no two rows have one number and every scan of the table finds the same."""
+    spark = scan.sparkSession
     try:
         place = scan.metadataColumn("_metadata")
     except AnalysisException:
         scan = store(scan, "rows")
         place = scan.metadataColumn("_metadata")
-    return scan.withColumn(ROW, F.xxhash64(place["file_path"], place["row_index"]))
+    # the driver holds the names of a table's files in any case; a local one has one slash after its scheme or three
+    names = sorted({re.sub(SCHEME, r"\1:/", name) for name in scan.inputFiles()})
+    files = spark.createDataFrame(list(enumerate(names)), "_flowtide_file long, _flowtide_path string")
+    columns = quoted(scan.columns)
+    found = scan.withColumns({"_flowtide_of": F.regexp_replace(place["file_path"], SCHEME, "$1:/"), "_flowtide_at": place["row_index"]}).join(F.broadcast(files), F.col("_flowtide_of") == F.col("_flowtide_path"), "left")
+    known = F.col("_flowtide_file").isNotNull() & (F.col("_flowtide_at") < 1 << PLACE_BITS)
+    number = F.shiftleft("_flowtide_file", PLACE_BITS).bitwiseOR(F.col("_flowtide_at"))
+    return found.select(*columns, F.when(known, spread(number)).otherwise(F.raise_error(F.lit("a row without a place in its table"))).alias(ROW))
+
+
+def alike(docs: DataFrame) -> Column:
+    """A hash of all columns: rows that share it are the same but for their place, which a rerun of what wrote them may change."""
+    plain = [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else F.col(c) for c, f in zip(quoted(docs.columns), docs.schema)]
+    return F.xxhash64(*plain, *[c.isNull() for c in plain])
 
 
 def numbered(docs: DataFrame) -> DataFrame:

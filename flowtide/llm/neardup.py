@@ -18,7 +18,7 @@ partner in another component; then those, with their texts, in a task that repor
 components is lost, and no group's pairs are all emitted.
 
 Cases: texts without a word are nodes of their own, never linked (each row its own class); a null doc_id is a value like others; repeated
-rows are copies, of which one stands for the class; ties for that go to the least row number; empty tables give empty results; texts are read
+rows are copies, of which one stands for the class; ties for that go to the least hash of all columns (of the text, if the rows have none), then the least row number; empty tables give empty results; texts are read
 whole, a very long one in a pass of its own; extra columns are ignored.
 """
 
@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW, batches_of, hashed_words, mix, numbered, passes, store, table, utf8, with_row
+from .common import ALIKE, ROW, batches_of, hashed_words, mix, numbered, passes, store, table, utf8, with_row
 
 SHINGLE, SIMILARITY = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
@@ -48,7 +48,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, shingle hash, count) of each distinct shingle of each text, ordered; and a hash of each text's words (0: no word)."""
+    """(text, shingle hash, count) of each distinct shingle of each text, ordered; and 128 bits of hash of each text's words (first half 0: no word)."""
     words, doc, first = hashed_words(texts)
     n = len(texts)
     length = np.diff(first)
@@ -60,12 +60,15 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     owner = np.repeat(np.arange(n), full)
     place = np.arange(len(words)) - np.repeat(first[:-1], length)
     weighed = mix(words + _ODD * (place.astype(np.uint64) + np.uint64(1)))
-    total = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(weighed, dtype=np.uint64, out=total[1:])
-    key = mix(total[first[1:]] - total[first[:-1]] + length.astype(np.uint64))
-    key[length == 0] = 0
+    key = np.zeros((2, n), np.uint64)
+    for half in range(2):
+        total = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(weighed if half == 0 else mix(weighed ^ _ODD), dtype=np.uint64, out=total[1:])
+        key[half] = mix(total[first[1:]] - total[first[:-1]] + length.astype(np.uint64))
+    key[0][key[0] == 0] = 1
+    key[:, length == 0] = 0
     short = np.flatnonzero((length > 0) & (length < SHINGLE))
-    owner, h = np.concatenate([owner, short]), np.concatenate([h, key[short]])
+    owner, h = np.concatenate([owner, short]), np.concatenate([h, key[0][short]])
     packed = np.sort((owner.astype(np.uint64) << np.uint64(HASH_BITS)) | (mix(h) >> np.uint64(64 - HASH_BITS)))
     packed, count = np.unique(packed, return_counts=True)
     return (packed >> np.uint64(HASH_BITS)).astype(np.int64), packed & np.uint64((1 << HASH_BITS) - 1), count, key
@@ -118,11 +121,11 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in range(BANDS):
                 for j in range(ROWS):
                     bands[:, b] = mix(bands[:, b] * _ODD + sig[:, b * ROWS + j].astype(np.uint64) + np.uint64(b + 1))
-            some = key != 0
+            some = key[0] != 0
             band_lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]), pa.int32()), pa.array(bands[some].view(np.int64).ravel()))
             sigs = pa.array([s.tobytes() for s in sig.astype(np.uint16)], pa.binary())
             size = pc.binary_length(text[lo:hi]).cast(pa.int64())
-            yield from batches_of([batch.column("doc_id")[lo:hi], batch.column(ROW)[lo:hi], pa.array(key.view(np.int64)), size, band_lists, sigs], ["doc_id", ROW, "node", "size", "bands", "sig"])
+            yield from batches_of([*(batch.column(c)[lo:hi] for c in ("doc_id", ROW, ALIKE)), *map(pa.array, key.view(np.int64)), size, band_lists, sigs], ["doc_id", ROW, ALIKE, "k1", "k2", "size", "bands", "sig"])
 
 
 def overlap(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
@@ -250,13 +253,13 @@ def block_pairs(large: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, ROW, node; links: a, b, similarity between nodes, as many as hold the components together)."""
+    """(rows: doc_id, ROW, ALIKE, node (null: no word); links: a, b, similarity between nodes, as many as hold the components together)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = numbered(docs).select("doc_id", "text", ROW)
-    sketch = store(keyed.mapInArrow(_sketched, f"doc_id {kind}, {ROW} long, node long, size long, bands array<long>, sig binary"), "op7-sketch")
-    rows = sketch.select("doc_id", ROW, "node")
-    nodes = sketch.where("node <> 0").groupBy("node").agg(F.min(F.struct(ROW, "size", "bands", "sig")).alias("r")).select("node", "r.*")
-    nodes = store(nodes, "op7-nodes")
+    keyed = numbered(docs).select("doc_id", "text", ROW, F.col(ALIKE) if ALIKE in docs.columns else F.xxhash64("text").alias(ALIKE))
+    sketch = store(keyed.mapInArrow(_sketched, f"doc_id {kind}, {ROW} long, {ALIKE} long, k1 long, k2 long, size long, bands array<long>, sig binary"), "op7-sketch")
+    nodes = sketch.where("k1 <> 0").groupBy("k1", "k2").agg(F.min(F.struct(ROW, "size", "bands", "sig")).alias("r"))
+    nodes = store(nodes.select((F.monotonically_increasing_id() + 1).alias("node"), "k1", "k2", "r.*"), "op7-nodes")
+    rows = sketch.select("doc_id", ROW, ALIKE, "k1", "k2").join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").drop("k1", "k2")
     entries = nodes.select("node", "size", F.explode("bands").alias("band"))
     order = F.struct(F.xxhash64("node", "band").alias("o"), "node")
     # written, so that the joins with all rows of a band or component shuffle both sides and Spark can split the very large ones
@@ -281,18 +284,25 @@ def links(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(doc_id, ROW, class_id, class_key, keep): class_id is the least doc_id of the class; keep: the row stands for its class. Rows without words are classes of their own."""
+    """(doc_id, ROW, class_id, class_key, keep, similarity): class_id is the least doc_id of the class; keep: the row stands for its class; similarity: the greatest of the
+    verified links that join the row's text to its class, or 1 for a text with copies (null: alone). Rows without words are classes of their own. docs may have ALIKE, by which rows of one doc_id are chosen."""
     rows, found = links(docs, least)
+    rows = store(rows, "op7-rows")
     labels = components(found)
-    node = rows.where("node <> 0").groupBy("node").agg(F.min(F.struct("doc_id", ROW)).alias("r"))
-    node = node.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    head = store(node.groupBy("comp").agg(F.min("r").alias("head")), "op7-heads")
-    node = node.join(head, "comp").select("node", "comp", "head")
+    node = rows.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", ALIKE, ROW)).alias("r"), F.count("*").alias("copies"))
+    ends = found.select(F.col("a").alias("node"), "similarity").unionByName(found.select(F.col("b").alias("node"), "similarity"))
+    ends = ends.groupBy("node").agg(F.max("similarity").alias("near"))
+    node = node.join(labels, "node", "left").join(ends, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    node = store(node, "op7-classes")
+    head = node.groupBy("comp").agg(F.min("r").alias("head"))
+    copied = F.when(F.col("copies") > 1, F.lit(1.0))
+    node = node.join(head, "comp").select("node", "comp", "head", F.coalesce(copied, "near").alias("similarity"))
     full = rows.join(node, "node", "left")
-    lone = F.col("node") == 0
+    lone = F.col("node").isNull()
     class_id = F.when(lone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
-    return full.select("doc_id", ROW, class_id.alias("class_id"), F.coalesce("comp", F.lit(0)).alias("class_key"), (lone | (F.col(ROW) == F.col(f"head.{ROW}"))).alias("keep"))
+    keep = lone | (F.col(ROW) == F.col(f"head.{ROW}"))
+    return full.select("doc_id", ROW, class_id.alias("class_id"), F.coalesce("comp", F.lit(0)).alias("class_key"), keep.alias("keep"), "similarity")
 
 
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(with_row(table(spark, sf_dir, "documents"))).select("doc_id", "class_id", "keep")
+    return near_duplicates(with_row(table(spark, sf_dir, "documents"))).select("doc_id", "class_id", "keep", F.round("similarity", 6).alias("similarity"))

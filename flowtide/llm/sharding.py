@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .common import ROW, numbered, quoted, store, table, with_row
+from .common import ROW, alike, numbered, quoted, store, table, with_row
 
 BITS = 10
 OLD, NEW = 12, 8
@@ -132,9 +132,9 @@ def size_of(text: str = "text") -> Column:
 
 
 def keyed(docs: DataFrame, old: Column, size: Column, identity: tuple[str, ...]) -> DataFrame:
-    """docs with the columns that plan() and rewrite() read. A row of no old shard (null) counts as of shard -1."""
+    """docs with the columns that plan() and rewrite() read. A row of no old shard (null) counts as of shard -1. identity: the columns by whose hash a shard's rows lie."""
     docs = numbered(docs)
-    h = F.xxhash64(*quoted(list(identity)))
+    h = alike(docs.select(*quoted(list(identity))))
     return docs.withColumns({WAS: F.coalesce(old.cast("int"), F.lit(-1)), SIZE: size, H: h, BLOCK: block_of(h)})
 
 

@@ -213,7 +213,14 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, ROW, start_word, end_word, passage) for each repeated passage of each row; passage: the least hash of PASSAGE words in it."""
     keyed = numbered(docs).select("doc_id", "text", ROW, F.xxhash64("text").alias("th")).where("text is not null")
-    heads = store(keyed.groupBy("th").agg(F.min(ROW).alias(ROW), (F.count("*") > 1).alias("copied")), "op3-heads")
+    second = F.xxhash64(F.lit(7), "text", F.length("text"))
+    for _ in range(8):
+        heads = store(keyed.groupBy("th").agg(F.min(ROW).alias(ROW), (F.count("*") > 1).alias("copied"), (F.min(second) != F.max(second)).alias("met")), "op3-heads")
+        met = [r.th for r in heads.where("met").select("th").collect()]  # pairs of texts that share 64 bits: texts ** 2 / 2 ** 65 are to be expected
+        if not met:
+            break
+        keyed = keyed.withColumn("th", F.when(F.col("th").isin(met), second).otherwise(F.col("th")))
+    heads = heads.drop("met")
     kept = store(keyed.mapInArrow(_kept, "core long, th long, pos int"), "op3-suffixes")
     place = F.xxhash64("th", "pos")
     # written, so that the join below shuffles both sides for itself and Spark can split the classes that are very large
