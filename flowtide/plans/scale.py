@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quantiles, ranges, transit
 from . import adapters as A
-from .core import day, r4
+from .core import r4
 from .oracle import sql
 from .registry import query
 
@@ -54,7 +54,7 @@ def _(s, d):
 @query("d35_delay_sketches", sql("fact", "SELECT MODE, strftime(date_trunc('week', SERVICE_DATE), '%Y-%m-%d') AS week, count(ARRIVAL_DELAY_SECS) AS n, true AS is_near FROM fact GROUP BY 1, 2"))
 def _(s, d):
     """Weekly medians of delays from sketches by day, and whether their rank among all values is within the stated error."""
-    week = day(F.date_trunc("week", "SERVICE_DATE")).alias("week")
+    week = F.date_format(F.date_trunc("week", "SERVICE_DATE"), "yyyy-MM-dd")
     events = A.fact(s, d)
     daily = quantiles.quantile_sketches(events.where("ARRIVAL_DELAY_SECS is not null"), ["MODE", "SERVICE_DATE"], "ARRIVAL_DELAY_SECS")
     weekly = quantiles.sketched_quantiles(quantiles.merged_sketches(daily.withColumn("week", week), ["MODE", "week"]), {"med": 0.5})
