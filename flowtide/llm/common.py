@@ -186,8 +186,25 @@ def word_spans(is_in: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return first, end, doc
 
 
-def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased words (runs of letters and digits) of all texts: (word hashes, text of each word, first word of each text and the end)."""
+def pieces(text: str, most: int) -> Iterator[str]:
+    """The text in stretches of about ``most`` characters, none of which begins inside a word."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + most)
+        while end < len(text) and text[end].isalnum():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def hashed_words(texts: pa.Array, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased words (runs of letters and digits) of all texts: (word hashes, text of each word, first word of each text and the end). A text of more than ``most`` characters (PASS_CHARS) is read in pieces, as the arrays by character are many times its size."""
+    most = most or PASS_CHARS
+    if len(texts) and pc.max(pc.utf8_length(texts)).as_py() > most:
+        parts = [[hashed_words(pa.array([p], pa.large_string()), len(p) + 1)[0] for p in pieces(t.as_py(), most)] for t in texts]
+        size = [sum(map(len, own)) for own in parts]
+        words = np.concatenate([np.zeros(0, np.uint64), *(w for own in parts for w in own)])
+        return words, np.repeat(np.arange(len(texts)), size), np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     cps, starts = code_points(pc.utf8_lower(texts))
     first, end, doc = word_spans(char_class("word")[cps], starts)
     return span_hashes(cps, first, end), doc, np.searchsorted(doc, np.arange(len(texts) + 1))

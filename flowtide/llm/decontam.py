@@ -8,8 +8,10 @@ only if it holds a whole piece. A piece of n characters may be matched with k =
 n - q + 1 - k q q-grams with the text, all on at most k + 1 neighbouring diagonals. So shared q-grams are counted in bands of 2 (k + 1)
 diagonals that overlap by half; bands that reach the count are regions, and a region is verified by alignment within its band.
 
-Items of fewer than LEAST reduced characters are no evidence for an edited copy. A second rule holds for them: an item of LEAST_WORDS words and Q
-characters at least is matched without edits and as whole words, by all of its q-grams on one diagonal. Shorter items are no passages and match nothing.
+Items of fewer than LEAST reduced characters are no evidence for an edited copy. A second rule holds for them: an item of ``least`` (words, characters) at
+least (SHORTEST, if not said otherwise) is matched without edits and as whole words: by all of its q-grams on one diagonal, or, if it has fewer
+than Q characters, by a table of such items, in which all stretches of as many words are looked up. With least = (1, 1) each item with a letter or
+digit is found; the default leaves items of one or two short words alone, as they are no passages.
 
 The texts are not shuffled. The benchmark goes to the tasks up to MAX_ITEM_BYTES; beyond, it is dealt into parts by a hash of the item
 and each part makes a pass of its own over the texts.
@@ -37,7 +39,7 @@ ERRORS = 0.1
 _PAD = np.uint32(0xFFFFFFFF)
 #: Characters of the texts that are searched at a time, and cells of the first count of their shared q-grams, by a hash of text, piece and diagonals.
 PASS, COUNT_BITS = 1_000_000, 20
-PIECE, LEAST, LEAST_WORDS = 120, 30, 3
+PIECE, LEAST, SHORTEST = 120, 30, (3, Q)
 SHORT, STRIDE = 60, 15
 #: Regions that are aligned together.
 REGIONS = 20_000
@@ -85,16 +87,21 @@ class Index:
     entry_piece: np.ndarray
     entry_at: np.ndarray
     seen: np.ndarray  # quick test by 22 bits
+    tiny: dict[int, dict[bytes, list[int]]]  # items of fewer than Q characters: number of words -> text -> items
 
 
-def index(items: list[tuple]) -> Index:
+def index(items: list[tuple], least: tuple[int, int] = SHORTEST) -> Index:
     """items: (item_id, text)."""
     cps, starts, _ = reduced(pa.array([t or "" for _, t in items], pa.large_string()))
-    owner, texts, begin = [], [], []
+    owner, texts, begin, tiny = [], [], [], {}
     for i in range(len(items)):
         own = cps[starts[i] : starts[i + 1]]
         own = own[: len(own) - (len(own) > 0 and own[-1] == 32)]
-        if len(own) < Q or len(own) < LEAST and (own == 32).sum() < LEAST_WORDS - 1:
+        words = int((own == 32).sum()) + 1 if len(own) else 0
+        if not words or len(own) < LEAST and (words < least[0] or len(own) < least[1]):
+            continue
+        if len(own) < Q:
+            tiny.setdefault(words, {}).setdefault(own.tobytes(), []).append(i)
             continue
         cuts = [(0, len(own))] if len(own) <= PIECE else []
         if len(own) > SHORT:
@@ -114,7 +121,7 @@ def index(items: list[tuple]) -> Index:
     hashes, first = np.unique(h[order], return_index=True)
     seen = np.zeros(1 << 22, np.bool_)
     seen[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-    return Index([k for k, _ in items], np.array(owner, np.int64), texts, np.array(begin, np.int64), budget, n - Q + 1 - budget * Q, hashes, np.append(first, len(h)), piece[order].astype(np.int32), at[order].astype(np.int32), seen)
+    return Index([k for k, _ in items], np.array(owner, np.int64), texts, np.array(begin, np.int64), budget, n - Q + 1 - budget * Q, hashes, np.append(first, len(h)), piece[order].astype(np.int32), at[order].astype(np.int32), seen, tiny)
 
 
 def banded(piece: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int]:
@@ -210,10 +217,26 @@ def regions(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[in
         yield int(t[x]), int(i[x]), int(low[x]), int(low[x] + 2 * ix.budget[i[x]] + 1), int(count[x])
 
 
+def tiny_matches(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, start, end) of the items of fewer than Q characters, as whole words."""
+    for t in range(len(starts) - 1) if ix.tiny else ():
+        text = own[starts[t] : starts[t + 1]]
+        text = text[: len(text) - (len(text) > 0 and text[-1] == 32)]
+        gaps = np.flatnonzero(text == 32)
+        begin, end = np.append(0, gaps + 1), np.append(gaps, len(text))
+        for words, table in ix.tiny.items():
+            first, last = begin[: max(0, len(begin) - words + 1)], end[words - 1 :]
+            for k in np.flatnonzero(last - first < Q).tolist():
+                for item in table.get(text[first[k] : last[k]].tobytes(), ()):
+                    yield t, item, int(first[k]), int(last[k])
+
+
 def matches(own: np.ndarray, starts: np.ndarray, ix: Index) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(text, item, start, end, edits, pieces): verified regions, those of one item that overlap as one."""
     found: dict[tuple[int, int], list] = {}
-    for t, i, low, high, _ in regions(own, starts, ix):
+    for t, item, start, end in tiny_matches(own, starts, ix):
+        found.setdefault((t, item), []).append((start, end, 0, 0))
+    for t, i, low, high, _ in regions(own, starts, ix) if len(ix.need) else ():
         piece, k = ix.piece_text[i], int(ix.budget[i])
         if len(piece) < LEAST:
             text = np.concatenate([[32], own[starts[t] : starts[t + 1]], [32]])  # whole words only
@@ -251,7 +274,7 @@ def _matched(sent):
         for batch in batches:
             text = utf8(batch.column("text"))
             rows = []
-            for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False), PASS) if len(ix.need) else ():
+            for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False), PASS) if len(ix.need) or ix.tiny else ():
                 own, starts, offset = reduced(text[lo:hi])
                 for t, item, start, end, edits, pieces in matches(own, starts, ix):
                     at = offset[starts[t] : starts[t + 1]]
@@ -266,13 +289,13 @@ def sent_kind(ix: Index) -> pa.DataType:
     return pa.string() if any(isinstance(x, str) for x in ix.items) else pa.int64()
 
 
-def find(docs: DataFrame, items: DataFrame, key=None) -> DataFrame:
-    """(key, item_id, start, end, edits, pieces): a row for each stretch of a text that holds a piece of an item. key: a Column, doc_id if None."""
+def find(docs: DataFrame, items: DataFrame, key=None, least: tuple[int, int] = SHORTEST) -> DataFrame:
+    """(key, item_id, start, end, edits, pieces): a row for each stretch of a text that holds a piece of an item. key: a Column, doc_id if None; least: words and characters of the shortest items that are searched."""
     spark = docs.sparkSession
     rows = docs.select((F.col("doc_id") if key is None else key).alias("key"), "text").where("text is not null")
     item_kind = "string" if items.schema["item_id"].dataType.simpleString() == "string" else "long"
     out = None
-    for ix in indexes(items):
+    for ix in indexes(items, least):
         sent = spark.sparkContext.broadcast(ix)
         found = rows.mapInArrow(_matched(sent), f"key {rows.schema['key'].dataType.simpleString()}, item_id {item_kind}, start long, end long, edits long, pieces long")
         out = found if out is None else out.unionByName(found)
@@ -282,7 +305,7 @@ def find(docs: DataFrame, items: DataFrame, key=None) -> DataFrame:
 def _clean(sent):
     def keep(text: pa.Array) -> np.ndarray:
         ix, out = sent.value, np.ones(len(text), np.bool_)
-        for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False), PASS) if len(ix.need) else ():
+        for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False), PASS) if len(ix.need) or ix.tiny else ():
             own, starts, _ = reduced(text[lo:hi])
             for t, *_ in matches(own, starts, ix):
                 out[lo + t] = False
@@ -291,18 +314,18 @@ def _clean(sent):
     return keep
 
 
-def indexes(items: DataFrame) -> Iterator[Index]:
+def indexes(items: DataFrame, least: tuple[int, int] = SHORTEST) -> Iterator[Index]:
     """An index of each part of the items; one part unless they exceed MAX_ITEM_BYTES."""
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-size // MAX_ITEM_BYTES))
     for part in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").orderBy("item_id", "text").collect()
-        yield index([tuple(r) for r in own])
+        yield index([tuple(r) for r in own], least)
 
 
-def clean_only(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean_only(docs: DataFrame, items: DataFrame, least: tuple[int, int] = SHORTEST) -> DataFrame:
     """The rows, with all their columns, whose text holds no piece of an item."""
-    for ix in indexes(items):
+    for ix in indexes(items, least):
         docs = kept_rows(docs, _clean(docs.sparkSession.sparkContext.broadcast(ix)))
     return docs
 

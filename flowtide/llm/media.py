@@ -6,8 +6,8 @@ file has a Huffman table of its own, made from the counts of its difference cate
 together. Reading takes any frame size, frame rate and Huffman table; files of a batch may differ in them.
 
 Cases: null text is an empty text (one frame of padding); equal texts give equal rows; ties between categories go to the lower one; a file without
-frames has no clips; repeated rows give repeated rows; a null id is a value like others; a very long text is a pass of its own, up to about 1.6 GB, as
-a value holds 2 GB at most; beyond, the task fails; empty tables give empty results; extra columns are ignored; a damaged container raises ValueError.
+frames has no clips; repeated rows give repeated rows; a null id is a value like others; a very long text is a pass of its own, whose frames go RUN at a
+time, so that it takes about ten times its size, up to about 1.6 GB, as a value holds 2 GB at most; beyond, the task fails; empty tables give empty results; extra columns are ignored; a damaged container raises ValueError.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ FPS = 25
 BINS = 16
 #: Shots: a cut needs a difference above mean + DEVIATIONS * sd of the last WINDOW differences, and above FLOOR (share of pixels).
 WINDOW, DEVIATIONS, FLOOR = 12, 2.0, 0.3
+#: Frames that are packed or decoded together.
+RUN = 4096
 #: Categories of differences: the number of bits of the absolute value.
 CATEGORIES = 9
 _BITS = np.array([abs(d).bit_length() for d in range(-255, 256)], np.uint8)
@@ -84,16 +86,29 @@ def samples(d: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.cumsum(d, axis=2).astype(np.uint8).reshape(len(d), -1)
 
 
+def _runs(n: int) -> Iterator[tuple[int, int]]:
+    for lo in range(0, n, RUN):
+        yield lo, min(n, lo + RUN)
+
+
 def encode(px: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """(frames, height, width) samples of several files -> their JPEGs. first: first frame of each file and the end."""
+    """(frames, height, width) samples of several files -> their JPEGs. first: first frame of each file and the end. Categories are counted, then frames packed, RUN frames at a time, so that a long file takes no more memory than its bytes and those of its JPEGs."""
     height, width = px.shape[1:]
-    d = differences(px)
-    kind = _BITS[d + 255]
     own = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    counts = np.bincount((own[:, None] * CATEGORIES + kind).ravel(), minlength=CATEGORIES * (len(first) - 1)).reshape(-1, CATEGORIES)
+    counts = np.zeros((len(first) - 1, CATEGORIES), np.int64)
+    for lo, hi in _runs(len(px)):
+        kind = _BITS[differences(px[lo:hi]) + 255]
+        begin, some = own[lo], own[hi - 1] + 1 - own[lo]
+        counts[begin : begin + some] += np.bincount(((own[lo:hi] - begin)[:, None] * CATEGORIES + kind).ravel(), minlength=CATEGORIES * some).reshape(-1, CATEGORIES)
     lengths = [code_lengths(tuple(c)) for c in counts.tolist()]
     codes, heads = zip(*(coding(x, height, width) for x in lengths))
     codes, lengths = np.stack(codes), np.array(lengths, np.int64)
+    return [jpeg for lo, hi in _runs(len(px)) for jpeg in _packed(differences(px[lo:hi]), own[lo:hi], codes, lengths, heads)]
+
+
+def _packed(d: np.ndarray, own: np.ndarray, codes: np.ndarray, lengths: np.ndarray, heads: tuple[bytes, ...]) -> list[bytes]:
+    """JPEGs of a run of frames, from their differences, their files, and the files' codes and heads."""
+    kind = _BITS[d + 255]
     extra = np.where(d < 0, d + (1 << kind.astype(np.int64)) - 1, d)
     word = (codes[own[:, None], kind].astype(np.int64) << kind) | extra
     size = lengths[own[:, None], kind] + kind
@@ -155,7 +170,14 @@ def _scan_of(jpeg: bytes) -> int:
 
 
 def decode(jpegs: list[bytes]) -> tuple[np.ndarray, int, int]:
-    """((frames, samples), height, width) of one-component lossless JPEGs of one size, predictor 1. One sample of every frame is decoded in each step."""
+    """((frames, samples), height, width) of one-component lossless JPEGs of one size, predictor 1, RUN frames at a time. One sample of every frame is decoded in each step."""
+    runs = [_decoded(jpegs[lo:hi]) for lo, hi in _runs(len(jpegs))]
+    if len({r[1:] for r in runs}) > 1:
+        raise ValueError("the frames differ in size")
+    return np.concatenate([r[0] for r in runs]), *runs[0][1:]
+
+
+def _decoded(jpegs: list[bytes]) -> tuple[np.ndarray, int, int]:
     starts = [_scan_of(j) for j in jpegs]
     heads = [_head(j[:a]) for j, a in zip(jpegs, starts)]
     height, width = heads[0][:2]
@@ -261,7 +283,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = np.concatenate([[0], np.cumsum(frames)])
             payload = np.full(first[-1] * FRAME, 255, np.uint8)
             own = data[at[lo] : at[hi]]
-            payload[np.repeat(first[:-1] * FRAME - (at[lo:hi] - at[lo]), n) + np.arange(len(own))] = own
+            for k, a in enumerate((first[:-1] * FRAME).tolist()):
+                payload[a : a + n[k]] = own[at[lo + k] - at[lo] : at[lo + k + 1] - at[lo]]
             jpegs = encode(payload.reshape(-1, SIDE, SIDE), first)
             media = [avi(jpegs[a:b]) for a, b in zip(first.tolist(), first[1:].tolist())]
             for i in range(0, hi - lo, 256):
@@ -283,7 +306,7 @@ def _described(media: list[bytes]) -> list[tuple]:
         jpegs = [media[k][a : a + n] for k in own for a, n in files[k][0].tolist()]
         px = decode(jpegs)[0] if jpegs else np.zeros((0, 0), np.uint8)
         first = np.concatenate([[0], np.cumsum([len(files[k][0]) for k in own])])
-        hist = np.bincount((np.arange(len(px))[:, None] * BINS + (px >> 4)).ravel(), minlength=len(px) * BINS).reshape(-1, BINS)
+        hist = np.concatenate([np.zeros((0, BINS), np.int64), *(np.bincount((np.arange(hi - lo)[:, None] * BINS + (px[lo:hi] >> 4)).ravel(), minlength=(hi - lo) * BINS).reshape(-1, BINS) for lo, hi in _runs(len(px)))])
         cut, diff = shots(hist, np.repeat(np.arange(len(own)), np.diff(first)), height * width)
         luma = np.concatenate([[0], np.cumsum(px.sum(axis=1, dtype=np.int64))])
         for i, k in enumerate(own):

@@ -3,10 +3,10 @@
 Words are lower-cased runs of letters and digits; a document is the multiset of its five-word shingles (all its words as one shingle if
 it has fewer). The similarity is the weighted Jaccard coefficient of two multisets; links need SIMILARITY.
 
-Signatures: the discretised weight axis is halved again and again, towards its lower end, into the intervals (0,1], (1,2], (2,4], ...; a
-shingle of count w meets those that begin below w. Each interval is a Poisson process with a rate of its width and M registers, made point by
-point from hashes. A point's place in its interval, drawn from its hash, stands for all further halvings at once, and it counts if its weight level
-is at most w. A register keeps the earliest point of all shingles, so two documents agree in it with a probability equal to
+Signatures: the discretised weight axis is cut into the intervals (0,1], (1,2], (2,4], ...; a shingle of count w meets those that begin below w. Each
+interval is a Poisson process of its own, with a rate of its width and M registers, made point by point from hashes. The published method splits the process of
+the whole axis down a tree instead, to skip parts of it; on disjoint intervals both are the same process, and here a point's place in its interval is drawn at once.
+A point counts if its weight level is at most w. A register keeps the earliest point of all shingles, so two documents agree in it with a probability equal to
 their similarity. Points are made only up to the time by which all registers are filled.
 
 Exact copies (same words) are one node from the start. Buckets of equal bands give candidates: buckets of at most SMALL nodes are compared
@@ -19,7 +19,7 @@ components is lost, and no group's pairs are all emitted.
 
 Cases: texts without a word are nodes of their own, never linked (each row its own class); a null doc_id is a value like others; repeated
 rows are copies, of which one stands for the class; ties for that go to the least hash of all columns (of the text, if the rows have none), then the least row number; empty tables give empty results; texts are read
-whole, a very long one in a pass of its own; extra columns are ignored.
+whole, a very long one in a pass of its own of about twenty times its size; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ its rows gets the spans.
 
 Cases: null and short texts have no passages; a passage that occurs twice within one document counts; rows alike in doc_id and text are
 copies like others and each get all spans; a null doc_id is a value like others; ties (equal contexts) match as far as contexts go; empty
-tables give empty results; texts are read whole, a very long one in a pass of its own; extra columns are ignored.
+tables give empty results; texts are read whole, a very long one in a pass of its own of about ten times its size; extra columns are ignored.
 """
 
 from __future__ import annotations

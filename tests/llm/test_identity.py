@@ -148,3 +148,68 @@ def test_a_small_source_beside_a_very_large_one_makes_no_rows_of_blocks(spark, s
             assert r.t == 0
         else:
             assert abs(r.t - r.target / 3) <= 0.02 * r.target + 16 * r.block
+
+
+# bounds that a table may reach
+
+
+def test_items_of_a_word_or_less_than_a_gram(spark):
+    """With the least lengths lowered, every item is found as whole words, wherever it stands; by default one or two short words are no passage."""
+    import re
+
+    from flowtide.llm import decontam
+
+    items = [(1, "Hello world"), (2, "photosynthesis"), (3, "a"), (4, "b c"), (5, "x-ray 7"), (6, "?!"), (7, None), (8, "a"), (9, "ab cd ef gh")]
+    texts = ["hello, WORLD and more", "say hello world", "othello world", "photosynthesis", "photosynthesises", "a", "b a", "ba", "b c", "b  c!", "bb c", "the x ray 7.", "the x ray 77", "", None, "ab cd ef gh", "zab cd ef gh"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    plain = lambda t: " " + " ".join(re.findall(r"[^\W_]+", (t or "").lower())) + " "
+    want = {(i, k) for i, t in enumerate(texts) for k, x in items if plain(x).strip() and plain(x) in plain(t)}
+    got = decontam.find(docs, table, least=(1, 1)).collect()
+    assert {(r.key, r.item_id) for r in got} == want and len(want) > 10
+    for r in got:
+        assert plain(texts[r.key][r.start : r.end]) == plain(dict(items)[r.item_id])
+    assert {(r.key, r.item_id) for r in decontam.find(docs, table).collect()} == {(15, 9)}
+    assert {r.doc_id for r in decontam.clean_only(docs, table, (1, 1)).collect()} == set(range(len(texts))) - {i for i, _ in want}
+
+
+def test_a_long_text_of_media_in_runs(monkeypatch):
+    """Frames packed and decoded in runs give the same files as all at once, and a long text takes a bounded multiple of its size."""
+    import resource
+
+    from flowtide.llm import media
+
+    rng = np.random.default_rng(0)
+    px = rng.integers(0, 256, (50, 24, 24)).astype(np.uint8)
+    px[10:20] = px[9]
+    first = np.array([0, 7, 7 + 1, 50])
+    whole = media.encode(px, first)
+    monkeypatch.setattr(media, "RUN", 9)
+    assert media.encode(px, first) == whole
+    got, height, width = media.decode(whole)
+    assert (height, width) == (24, 24) and (got.reshape(px.shape) == px).all()
+    monkeypatch.undo()
+    text = "the quick brown fox jumps over the lazy dog " * 450_000
+    batch = pa.record_batch([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    rows = [r for b in media._encode([batch]) for r in media._decode([b])]
+    grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / len(text)
+    assert rows[0].column("payload_bytes")[0].as_py() >= len(text) and grown < 20, grown
+
+
+def test_labels_beyond_the_bound_are_the_rare_ones(spark, monkeypatch):
+    from flowtide.llm import langid
+
+    monkeypatch.setattr(langid, "MOST_LABELS", 3)
+    rows = [(i, f"some words of text {i}", lang) for i, lang in enumerate(["a"] * 5 + ["b"] * 4 + ["d"] * 2 + ["c"] * 2 + ["e"])]
+    assert langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs == ["a", "b", "c"]
+
+
+def test_words_of_a_long_text_in_pieces():
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab Ä1.\u0301ß_-\n") for _ in range(n)) for n in (0, 1, 50, 400, 3000)] + ["x" * 700 + " y"]
+    arr = pa.array(texts, pa.large_string())
+    whole = common.hashed_words(arr)
+    for most in (1, 7, 64, 1000):
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(common.hashed_words(arr, most), whole))
+        assert ["".join(common.pieces(t, most)) for t in texts] == texts
