@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -103,12 +106,18 @@ def _(s, d):
     return s.sql("SELECT n_name, count(*) AS n FROM v_supplier JOIN v_nation ON s_nationkey = n_nationkey GROUP BY n_name")
 
 
-@query("s12_constants", "SELECT r_name, TABLE_NAME AS name, k AS is_synthetic FROM region, (VALUES ('fct_stop_event', true), ('fct_vehicle_ping', true), ('fct_anomaly_truth', true), ('dim_route', false), ('dim_stop', false), ('dim_service_date', false)) t(TABLE_NAME, k) UNION ALL SELECT r_name, 'Wellington Airport (WLG) -41.3272 174.8052', NULL FROM region UNION ALL SELECT r_name, d || ' ' || n, NULL FROM region, (VALUES ('2026-04-03', 'Good Friday'), ('2026-04-06', 'Easter Monday'), ('2026-04-25', 'ANZAC Day'), ('2026-04-27', 'ANZAC Day (observed)'), ('2026-04-03', '2026-04-26')) h(d, n)")
+@query("s12_constants", sql("fact pg tr rt st", """SELECT * FROM (VALUES ('fct_stop_event', true, (SELECT count(*) FROM fact)), ('fct_vehicle_ping', true, (SELECT count(*) FROM pg)), ('fct_anomaly_truth', true, (SELECT count(*) FROM tr)), ('dim_route', false, (SELECT count(*) FROM rt)), ('dim_stop', false, (SELECT count(*) FROM st)), ('dim_service_date', false, (SELECT count(DISTINCT SERVICE_DATE) FROM fact))) t(name, is_synthetic, n)
+  UNION ALL SELECT holiday, NULL, (SELECT count(*) FROM pg WHERE day(SERVICE_DATE) = d) FROM (VALUES ('Good Friday', 3), ('Easter Monday', 6), ('ANZAC Day', 25), ('ANZAC Day (observed)', 27)) h(holiday, d) UNION ALL SELECT 'Wellington Airport (WLG)', NULL, count(*) FROM pg WHERE LATITUDE > -41.3272 AND LONGITUDE < 174.8052"""))
 def _(s, d):
-    sources = S.constant(s, S.PROVENANCE, "TABLE_NAME string, SOURCE_KIND string, IS_SYNTHETIC boolean, NOTES string").select(F.col("TABLE_NAME").alias("name"), F.col("IS_SYNTHETIC").alias("is_synthetic"))
-    airport = S.constant(s, [S.AIRPORT], "name string, lat double, lon double").select(F.concat_ws(" ", "name", "lat", "lon").alias("name"))
-    days = S.constant(s, S.PUBLIC_HOLIDAYS + S.SCHOOL_HOLIDAYS, "a string, b string").select(F.concat_ws(" ", "a", "b").alias("name"))
-    return A.table(s, d, "region").select("r_name").crossJoin(sources.unionByName(airport.unionByName(days), allowMissingColumns=True))
+    """Constants at work: the tables with their provenance and rows, pings on the days of the month of the holidays, and pings north-west of the airport."""
+    tables = {"fct_stop_event": A.fact(s, d), "fct_vehicle_ping": A.pings(s, d), "fct_anomaly_truth": A.truth(s, d), "dim_route": A.routes(s, d), "dim_stop": A.stops(s, d), "dim_service_date": A.fact(s, d).select("SERVICE_DATE").distinct()}
+    rows = reduce(DataFrame.unionByName, [t.agg(F.count("*").alias("n")).select(F.lit(name).alias("TABLE_NAME"), "n") for name, t in tables.items()])
+    kept = S.constant(s, S.PROVENANCE, "TABLE_NAME string, SOURCE_KIND string, IS_SYNTHETIC boolean, NOTES string").join(rows, "TABLE_NAME").select(F.col("TABLE_NAME").alias("name"), F.col("IS_SYNTHETIC").alias("is_synthetic"), "n")
+    days = S.constant(s, S.PUBLIC_HOLIDAYS, "a string, name string").select("name", F.dayofmonth(F.to_date("a")).alias("d"))
+    on_days = days.join(A.pings(s, d).groupBy(F.dayofmonth("SERVICE_DATE").alias("d")).agg(F.count("*").alias("n")), "d", "left").select("name", F.lit(None).cast("boolean").alias("is_synthetic"), F.coalesce("n", F.lit(0)).alias("n"))
+    name, lat, lon = S.AIRPORT
+    near = A.pings(s, d).where((F.col("LATITUDE") > lat) & (F.col("LONGITUDE") < lon)).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(None).cast("boolean").alias("is_synthetic"), "n")
+    return kept.unionByName(on_days).unionByName(near)
 
 
 def chunk():
@@ -242,11 +251,12 @@ def _(s, d):
     return h.withColumn("last_limitation", F.element_at("limitations", -1)).drop("limitations")
 
 
-@query("k05_camera_layer", sql("meta", "SELECT count(*) AS n, count(*) FILTER (WHERE lat BETWEEN s AND n AND lon BETWEEN w AND e) AS within FROM (SELECT -41.3 + (s_suppkey % 100) * 0.001::DOUBLE AS lat, 174.75 + (s_suppkey % 90) * 0.001::DOUBLE AS lon FROM supplier), (SELECT min(LATITUDE_START_LINE) AS s, max(LATITUDE_END_LINE) AS n, min(LONGITUDE_START_LINE) AS w, max(LONGITUDE_END_LINE) AS e FROM meta)").replace("AND n AND lon", "AND north AND lon").replace("max(LATITUDE_END_LINE) AS n,", "max(LATITUDE_END_LINE) AS north,"))
+@query("k05_camera_layer", sql("meta", "SELECT s_suppkey::VARCHAR AS id, s_name AS camera_name, round(lon, 4) AS lon, lat BETWEEN south AND north AND lon BETWEEN west AND east AS within_countline_frame FROM (SELECT *, -41.3 + (s_suppkey % 100) * 0.001::DOUBLE AS lat, 174.75 + (s_suppkey % 90) * 0.001::DOUBLE AS lon FROM supplier), (SELECT min(LATITUDE_START_LINE) AS south, max(LATITUDE_END_LINE) AS north, min(LONGITUDE_START_LINE) AS west, max(LONGITUDE_END_LINE) AS east FROM meta)"))
 def _(s, d):
     cams = detectors.camera_layer(cameras(s, d), A.metadata(s, d))
     f = K.point_features(cams, "camera_id", "lon", "lat", ["camera_name", "within_countline_frame"])
-    return f.select(F.from_json("feature", "properties struct<within_countline_frame:boolean>").alias("f")).agg(F.count("*").alias("n"), F.count_if("f.properties.within_countline_frame").alias("within"))
+    p = F.from_json("feature", "geometry struct<coordinates:array<double>>, properties struct<camera_name:string,within_countline_frame:boolean>")
+    return f.select("id", p.alias("f")).select("id", "f.properties.camera_name", F.round(F.col("f.geometry.coordinates")[0], 4).alias("lon"), "f.properties.within_countline_frame")
 
 
 @query("k04_hotspot_features", hotspot_sql("SELECT STOP_ID AS id, row_number() OVER (ORDER BY anomalies DESC, STOP_ID)::INT AS rank, 'transit-stop:' || STOP_ID AS feature_id, anomalies AS anomaly_count, medium AS medium_count, low AS low_count, modes, tier AS severity_tier, worst_detail, worst_hour, round(STOP_LON, 6) AS lon, 5 AS limitations FROM hs"))

@@ -241,15 +241,16 @@ def _(s, d):
     return c.select(day("SERVICE_DATE"), "DAY_TYPE", "IS_SCHOOL_HOLIDAY", "TIMETABLE_PATTERN", "WEEK_OF_MONTH")
 
 
-@query("d28_schedule", "SELECT o_orderkey || '|20240101' AS TRIP_INSTANCE_ID, k AS STOP_ORD, 3 AS TRIP_STOP_COUNT, strftime(TIMESTAMP '2024-01-01' + to_hours((20 + o_orderkey % 8)::INT) + to_minutes((k * 10)::INT), '%Y-%m-%d %H:%M:%S') AS SCHED_ARRIVAL_LOCAL FROM orders, (VALUES (1), (2), (3)) t(k)")
+@query("d28_schedule", "SELECT o_orderkey || '|' || strftime(dt, '%Y%m%d') AS TRIP_INSTANCE_ID, k AS STOP_ORD, (2 + o_orderkey % 3)::INT AS TRIP_STOP_COUNT, strftime(dt + to_hours((20 + o_orderkey % 8)::INT) + to_minutes((k * 10)::INT), '%Y-%m-%d %H:%M:%S') AS SCHED_ARRIVAL_LOCAL FROM orders, (VALUES (1), (2), (3), (4)) t(k), (VALUES (DATE '2024-01-01', 0), (DATE '2024-01-02', 0), (DATE '2024-01-02', 1), (DATE '2024-01-03', 2), (DATE '2024-01-03', 3)) v(dt, service) WHERE service = o_custkey % 4 AND k <= 2 + o_orderkey % 3")
 def _(s, d):
-    o = A.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("trip_id"), F.lit("R").alias("route_id"), F.lit("S").alias("service_id"), F.lit("0").alias("direction_id"), (20 + F.col("o_orderkey") % 8).alias("h"))
-    t = o.select("trip_id", "h", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    """Four services on three days, trips of two to four stops, times past midnight."""
+    o = A.table(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("trip_id"), F.lit("R").alias("route_id"), F.concat(F.lit("S"), F.col("o_custkey") % 4).alias("service_id"), F.lit("0").alias("direction_id"), (20 + F.col("o_orderkey") % 8).alias("h"), (2 + F.col("o_orderkey") % 3).alias("stops"))
+    t = o.select("trip_id", "h", F.explode(F.sequence(F.lit(1).cast("long"), "stops")).alias("k"))
     at = F.format_string("%d:%02d:00", "h", F.col("k") * 10)
     times = t.select("trip_id", (F.col("k") * 5).cast("string").alias("stop_sequence"), F.concat(F.lit("P"), "k").alias("stop_id"), at.alias("arrival_time"), at.alias("departure_time"))
-    dates = s.range(1).select(F.lit("2024-01-01").cast("date").alias("service_date"), F.lit("S").alias("service_id"))
-    x = transit.schedule(dates, o.drop("h"), times)
-    return x.select("TRIP_INSTANCE_ID", "STOP_ORD", F.col("TRIP_STOP_COUNT").cast("int"), ts("SCHED_ARRIVAL_LOCAL"))
+    runs = S.constant(s, [("2024-01-01", "S0"), ("2024-01-02", "S0"), ("2024-01-02", "S1"), ("2024-01-03", "S2"), ("2024-01-03", "S3")], "day string, service_id string").select(F.to_date("day").alias("service_date"), "service_id")
+    x = transit.schedule(runs, o.drop("h", "stops"), times)
+    return x.select("TRIP_INSTANCE_ID", F.col("STOP_ORD").cast("int"), F.col("TRIP_STOP_COUNT").cast("int"), ts("SCHED_ARRIVAL_LOCAL"))
 
 
 @query("d29_resampled_w03", sql("ev", """SELECT TRIP_INSTANCE_ID, STOP_SEQUENCE AS STOP_ORD, strftime(SCHED_ARRIVAL_LOCAL + to_seconds((x * 25)::INT), '%Y-%m-%d %H:%M:%S') AS PING_LOCAL, round(la + (nla - la) * x * 25 / leg, 5) AS LATITUDE FROM (SELECT *, unnest(range(0, leg // 25 + 1)) AS x FROM

@@ -5,11 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -56,7 +60,30 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below shared_root()."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+def folder(spark: SparkSession, path: str):
+    """(path, file system) of a folder, whatever store it is in."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """The shared folders that this thread makes inside are removed at the end, but for those taken from the list: intermediate tables of a step whose result is written."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(token)
+        for path in made:
+            p, fs = folder(spark, path)
+            fs.delete(p, True)
 
 
 def materialized(df: DataFrame, name: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import cell_id
 from ..operators.quantiles import KLL_K, merged_sketches, sketched_quantiles
+from ..session import folder
 
 WATERMARK = "1 hour"
 WATCHED = ["status", "estimated_utc", "actual_utc", "gate"]
@@ -101,11 +102,11 @@ class UpdatedTable:
     every: int = COMPACT_EVERY
 
     def _numbers(self, spark: SparkSession, kind: str, name: str, done: bool) -> list[int]:
-        path, fs = _folder(spark, f"{self.root}/{kind}")
+        path, fs = folder(spark, f"{self.root}/{kind}")
         if not fs.exists(path):
             return []
         found = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith(f"{name}=")]
-        return sorted(int(p.getName().split("=")[1]) for p in found if not done or fs.exists(_folder(spark, f"{p.toString()}/_SUCCESS")[0]))
+        return sorted(int(p.getName().split("=")[1]) for p in found if not done or fs.exists(folder(spark, f"{p.toString()}/_SUCCESS")[0]))
 
     def _read(self, spark: SparkSession, upto: int | None) -> DataFrame | None:
         """The last row of each group after a batch (the last one, if None), with the batch that wrote it."""
@@ -130,7 +131,7 @@ class UpdatedTable:
             for kind, name, last in (("versions", "upto", old - 1), ("rows", "batch", old)):
                 for n in self._numbers(spark, kind, name, False):
                     if n <= last:
-                        path, fs = _folder(spark, f"{self.root}/{kind}/{name}={n}")
+                        path, fs = folder(spark, f"{self.root}/{kind}/{name}={n}")
                         fs.delete(path, True)
 
     def start(self, stream: DataFrame, **trigger) -> StreamingQuery:
@@ -143,12 +144,6 @@ class UpdatedTable:
         return rows.drop("batch")
 
 
-def _folder(spark: SparkSession, path: str):
-    """(path, file system) of a folder, whatever store it is in."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def updated_table(stream: DataFrame, root: str, *key: str) -> StreamingQuery:
     """Start to write the groups of a streaming aggregation as an UpdatedTable. State goes with the watermark."""
     return UpdatedTable(root, key).start(stream)
