@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide.llm import common, decontam, langid, mixing, neardup, sharding
-from flowtide.session import ship
+from flowtide.session import ship, temporary
 
 #: Names of the columns that the stages add on the way; documents may have columns of any other name.
 COPIES, COPY = "_flowtide_copies", "_flowtide_copy"
@@ -50,6 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs, keep=(common.ROW, common.ALIKE), tie=(common.ALIKE,)).where("taken > 0")
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", common.ALIKE), F.lit(1 << 20)) / (1 << 20)
     copies = taken.select(common.ROW, F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
+    copies = common.store(copies, "mix-copies")  # so that the plan of the rows holds none of the mix
     return docs.join(copies, common.ROW).withColumn(COPY, F.explode(F.sequence(F.lit(1), COPIES))).select(*columns)
 
 
@@ -76,5 +77,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.store(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with temporary(spark) as made:
+            docs = common.store(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+            made.pop()  # the result stays, the tables on the way to it go
     return docs

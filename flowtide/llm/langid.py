@@ -12,7 +12,7 @@ Viterbi runs over many texts at once, one step for each word position.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and no spans; without labelled rows every text is ``und``; ties go
 to the language first in code-point order; repeated rows give repeated rows; a null id is a value like others, and its rows are never held
-out; texts are read whole, a very long one in a run of its own; empty tables give empty results; extra columns are ignored, or kept by
+out; texts are read whole, a very long one in a run of its own of about twenty times its size; empty tables give empty results; extra columns are ignored, or kept by
 known_only(). Span offsets count characters of the lower-cased text.
 """
 
@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, char_class, code_points, kept_rows, passes, table, utf8, word_spans
+from .common import PASS_CHARS, batches_of, char_class, code_points, kept_rows, passes, pieces, table, utf8, word_spans
 
 #: Labelled rows that are learned from, about, whatever the size of the table.
 TRAIN_ROWS = 20_000
@@ -203,12 +203,23 @@ def _labelled(sent, switch: float):
     return run
 
 
+def _stretches(text: pa.Array) -> Iterator[tuple[pa.Array, int, int]]:
+    """(texts, number of the first, characters before it): passes of whole texts, and pieces of longer ones, as the arrays by character are many times their size."""
+    for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)):
+        offset = 0
+        for piece in pieces(text[lo].as_py(), PASS_CHARS) if hi == lo + 1 else ():
+            yield pa.array([piece], pa.large_string()), lo, offset
+            offset += len(piece)
+        if hi > lo + 1:
+            yield text[lo:hi], lo, 0
+
+
 def _part(model: Model, ids: pa.Array, text: pa.Array, switch: float) -> Iterator[pa.RecordBatch]:
     barred, rows, parts = np.where(model.allowed, 0, -BARRED).astype(np.float32), len(ids), []
-    for lo, hi in passes(pc.utf8_length(text).to_numpy(zero_copy_only=False)) if model.langs else ():
-        bucket, begin, first, end, doc, starts, script, _ = _trigrams(text[lo:hi])
+    for some, lo, offset in _stretches(text) if model.langs else ():
+        bucket, begin, first, end, doc, starts, script, _ = _trigrams(some)
         if len(begin):
-            parts.append((np.add.reduceat(model.logp[bucket], begin, axis=0) + barred[script], doc + lo, first - starts[doc], end - starts[doc]))
+            parts.append((np.add.reduceat(model.logp[bucket], begin, axis=0) + barred[script], doc + lo, first - starts[doc] + offset, end - starts[doc] + offset))
     if not parts:
         yield from batches_of([ids, pa.array(["und"] * rows, pa.string()), pa.array([0.0] * rows, pa.float64()), pa.array([[]] * rows, pa.list_(_SPAN))], ["doc_id", "lang_pred", "score", "spans"])
         return

@@ -12,7 +12,7 @@ draw, so a source of 10**12 words costs no more than its documents, however smal
 
 A source's documents lie on its word line in a seeded order. A block may begin or end inside a document, so a document's taken words
 are those of its part of the line, and every source meets its target up to one block of each shard. A source is cut into 16**CELL_DIGITS cells by
-the seed's hash; no window holds more than one cell of documents. Words are counted once, and written with the ids. Only the table of sources, one
+the seed's hash; no window holds more than one cell of documents. Words are counted once, and written with the ids, and so are the places on the line. Only the table of sources, one
 row each, passes through one task.
 
 Cases: a null or blank text has no words and takes none; null sources are one source, ordered last; a null doc_id is a value like others; ties in
@@ -129,10 +129,12 @@ def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = (), tie: tupl
     cells = d.groupBy("k", "cell").agg(F.sum("size").alias("held"), F.max("source").alias("source"))
     ahead = Window.partitionBy("k").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     base = cells.select("k", "cell", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("base"))
-    sources = seats(targets(cells.groupBy("k").agg(F.max("source").alias("source"), F.sum("held").alias("source_size"))))
+    # written, a row for each source, so that the plan over the documents holds none of the windows above
+    sources = store(seats(targets(cells.groupBy("k").agg(F.max("source").alias("source"), F.sum("held").alias("source_size")))).select("k", "source_size", "target", "block", "seats", "n"), "op6-sources")
     inside = Window.partitionBy("k", "cell").orderBy("h", *quoted(list(tie))).rowsBetween(Window.unboundedPreceding, 0)
-    line = d.withColumn("end", F.sum("size").over(inside)).drop("h").join(base, ["k", "cell"]).join(sources.select("k", "source_size", "target", "block", "seats", "n"), "k")
+    line = d.withColumn("end", F.sum("size").over(inside)).drop("h").join(base, ["k", "cell"])
     line = line.withColumn("x1", F.col("base") + F.col("end")).withColumn("x0", F.col("x1") - F.col("size"))
+    line = store(line.select("doc_id", "source", "size", "k", "x0", "x1", *quoted(list(keep))), "op6-line").join(sources, "k")
     line = taken_words(taken_words(line, "x0", "t0", seed), "x1", "t1", seed)
     words = F.when(F.col("size") > 0, F.col("t1") - F.col("t0")).otherwise(0).cast("long")
     return line.select("doc_id", "source", "size", "source_size", "target", words.alias("taken"), *quoted(list(keep)))

@@ -153,3 +153,30 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
         F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
     ).withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE t0 AS (
+  -- the checksum's table: eight steps of its polynomial for each byte
+  SELECT i, i AS v, 0 AS k FROM range(256) x(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM t0 WHERE k < 8),
+t AS MATERIALIZED (SELECT i, v FROM t0 WHERE k = 8),
+d AS MATERIALIZED (SELECT row_number() OVER () AS no, doc_id, doc_id::VARCHAR AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h0 AS (
+  SELECT no, s, 0 AS pos, 4294967295 AS v FROM d UNION ALL
+  SELECT no, s, pos + 1, xor(h0.v >> 8, t.v) FROM h0 JOIN t ON t.i = xor(h0.v, ascii(s[pos + 1])) & 255 WHERE pos < length(s)),
+h AS MATERIALIZED (SELECT no, xor(v, 4294967295) AS h FROM h0 WHERE pos = length(s)),
+f AS MATERIALIZED (SELECT d.no, doc_id, w, len(w) AS n, h IS NOT NULL AND h % 10 = 0 AND len(w) > 0 AS made, (h // 10) AS g FROM d LEFT JOIN h ON h.no = d.no),
+m AS MATERIALIZED (SELECT *, g % greatest(n, 1) AS a, 1 + (n - g % greatest(n, 1)) // (3 + g % 8) AS p FROM f),
+u AS MATERIALIZED (SELECT no, n, i, w[1 + CASE WHEN made AND i >= a THEN a + (i - a) % p ELSE i END] AS x FROM (SELECT *, unnest(range(0, n)) AS i FROM m WHERE n > 0)),
+-- all pairs of equal words up to a quarter of the text apart, as stretches of one distance
+b AS (SELECT u.no, u.n, v.i - u.i AS q, u.i FROM u JOIN u v ON v.no = u.no AND v.x = u.x AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+k AS (SELECT no, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY no, q ORDER BY i) AS island FROM b) GROUP BY no, q, island),
+r AS MATERIALIZED (SELECT no, start, length, min(q) AS q FROM k WHERE length >= greatest(6, 4 * q) GROUP BY no, start, length),
+z AS (SELECT DISTINCT u.no, u.i FROM u JOIN r ON r.no = u.no AND u.i >= r.start + r.q AND u.i < r.start + r.length),
+y AS (SELECT u.no, string_agg(x, ' ' ORDER BY u.i) AS kept FROM u LEFT JOIN z ON z.no = u.no AND z.i = u.i WHERE z.i IS NULL GROUP BY u.no),
+lines AS (SELECT no, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS s FROM r GROUP BY no),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY no ORDER BY length::DECIMAL(18, 0) / q DESC, start, q) = 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.q::BIGINT AS period, (1000 * best.length // best.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines.s, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256, m.n::BIGINT AS n_words
+FROM m LEFT JOIN lines ON lines.no = m.no LEFT JOIN best ON best.no = m.no LEFT JOIN y ON y.no = m.no
+"""

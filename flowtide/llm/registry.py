@@ -33,4 +33,6 @@ def _shipped(f):
 
 
 QUERIES = {f.__name__: _shipped(f) for f in _OPERATORS}
-ORACLES = {"op5_url_filters": urls.OP5_SQL, "op6_apportioned_mix": mixing.OP6_SQL}
+ORACLES = {
+    "op5_url_filters": urls.OP5_SQL, "op6_apportioned_mix": mixing.OP6_SQL, "op11_ngram_jaccard": ngramjoin.OP11_SQL, "op12_periodic_runs": periods.OP12_SQL, "op13_hard_negatives": negatives.OP13_SQL,
+}

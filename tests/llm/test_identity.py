@@ -213,3 +213,31 @@ def test_words_of_a_long_text_in_pieces():
     for most in (1, 7, 64, 1000):
         assert all((a == b).all() and len(a) == len(b) for a, b in zip(common.hashed_words(arr, most), whole))
         assert ["".join(common.pieces(t, most)) for t in texts] == texts
+
+
+def test_labels_of_a_long_text_in_pieces(monkeypatch):
+    from flowtide.llm import langid
+
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b"], rng.normal(size=(1 << langid.BITS, 2)).astype(np.float32), np.ones((len(langid.NAMES), 2), np.bool_))
+    texts = pa.array([" ".join(rng.choice(["ab", "cde", "Äx", "7", "-"], 300)), "", "one more text"], pa.large_string())
+    whole = [b.to_pylist() for b in langid._part(model, pa.array([1, 2, 3]), texts, 0.1)]
+    monkeypatch.setattr(langid, "PASS_CHARS", 40)
+    monkeypatch.setattr(langid, "passes", lambda lengths, most=40: common.passes(lengths, most))
+    assert [b.to_pylist() for b in langid._part(model, pa.array([1, 2, 3]), texts, 0.1)] == whole and len(whole[0][0]["spans"]) > 3
+
+
+def test_the_pipeline_leaves_the_results_of_its_stages_only(spark, tmp_path):
+    import glob
+
+    import corpus_pipeline
+    from flowtide.session import shared_root
+
+    rng = random.Random(1)
+    spark.createDataFrame(near_copies(rng, 6, range(6)), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "a passage of none of these texts at all in the table")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    root = shared_root(spark).removeprefix("file://").removeprefix("file:")
+    before = set(glob.glob(f"{root}/*"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in set(glob.glob(f"{root}/*")) - before]
+    assert sorted(left) == sorted(f"pipeline-{name.replace(' ', '-')}" for name, _ in corpus_pipeline.STAGES) and out.count() >= 0
