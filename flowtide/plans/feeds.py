@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import boards, detectors, joins, reports
+from ..operators import boards, detectors, reports
 from ..operators.nearest import nearest
 from ..operators.quantiles import RANK_ERROR
 from ..session import shared_folder

@@ -42,7 +42,7 @@ def test_two_polls_and_a_restart(spark, tmp_path):
 
 def test_against_a_plain_loop_over_random_polls(spark, tmp_path):
     rng, feed, known, log = random.Random(4), Feed(spark, tmp_path), {}, []
-    for h in range(6):
+    for h in range(4):
         rows = [(t(h, rng.randrange(3)), k, rng.choice(["A", "B", None]), rng.choice([None, t(5), t(6)]), rng.choice([None, None, t(7)]), rng.choice("xyz")) for k in rng.sample("abcdefgh", 5) for _ in range(rng.randint(1, 3))]
         feed.poll(rows)
         best = {}
@@ -66,15 +66,15 @@ def test_a_late_poll_costs_what_it_touches(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     feed.poll([(t(0), f"k{i}", "Expected", None, None, "1") for i in range(400)])
     cost = []
-    for h in range(1, 5):
+    for h in range(1, 4):
         query = feed.poll([(t(h), f"k{i}", "Expected", None, None, str(h)) for i in range(7)])
         cost.append([(p["stateOperators"][0]["numRowsUpdated"], p["stateOperators"][0]["numRowsTotal"], p["numInputRows"]) for p in query.recentProgress if p["numInputRows"]])
-    assert cost == [[(7, 400, 7)]] * 4
+    assert cost == [[(7, 400, 7)]] * 3
 
 
 def test_keys_that_are_seen_no_more_leave(spark, tmp_path):
     feed = Feed(spark, tmp_path, expire_s=7200)
-    for h in range(6):
+    for h in range(5):
         feed.poll([(t(h), "a", "x" if h < 3 else "y", None, None, "g")] + [(t(h), "b", "x", None, None, "g")] * (h < 2))
     assert set(feed.state()) == {"a"} and feed.state()["a"].first_seen_ts == t(0)
     gone = feed.store.history(spark).where("gone").collect()
