@@ -40,13 +40,12 @@ def test_alike_tells_nulls_and_columns_apart(spark):
     assert len(set(got)) == 3 and got[2] == got[3]
 
 
-@pytest.mark.parametrize("ids", [[None] * 6, [3, 1, 2, 1, 1, 9]])
-def test_reruns_of_the_pipeline_keep_the_same_rows(spark, tmp_path, ids):
+def test_reruns_of_the_pipeline_keep_the_same_rows(spark, tmp_path):
     """Near copies with null and equal ids: stages written under other names keep the same ones."""
     import corpus_pipeline
 
     rng = random.Random(11)
-    rows = near_copies(rng, 6, ids) + [(100 + i, " ".join(rng.choice("klmnop") + str(rng.randrange(99)) for _ in range(40)), "en", f"s{i % 3}", i) for i in range(30)] + [(None, "two words", "en", "s0", k) for k in range(4)]
+    rows = near_copies(rng, 6, [None] * 6) + near_copies(rng, 6, [3, 1, 2, 1, 1, 9]) + [(100 + i, " ".join(rng.choice("klmnop") + str(rng.randrange(99)) for _ in range(40)), "en", f"s{i % 3}", i) for i in range(30)] + [(None, "two words", "en", "s0", k) for k in range(4)]
     found = {name: set() for name, _ in corpus_pipeline.STAGES[1:]}
     for run in range(2):
         src = str(tmp_path / f"{run}")
