@@ -50,7 +50,6 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mixing.mix(docs, keep=(common.ROW, common.ALIKE), tie=(common.ALIKE,)).where("taken > 0")
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", common.ALIKE), F.lit(1 << 20)) / (1 << 20)
     copies = taken.select(common.ROW, F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
-    copies = common.store(copies, "mix-copies")  # so that the plan of the rows holds none of the mix
     return docs.join(copies, common.ROW).withColumn(COPY, F.explode(F.sequence(F.lit(1), COPIES))).select(*columns)
 
 

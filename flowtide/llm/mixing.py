@@ -137,7 +137,8 @@ def mix(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = (), tie: tupl
     line = store(line.select("doc_id", "source", "size", "k", "x0", "x1", *quoted(list(keep))), "op6-line").join(sources, "k")
     line = taken_words(taken_words(line, "x0", "t0", seed), "x1", "t1", seed)
     words = F.when(F.col("size") > 0, F.col("t1") - F.col("t0")).otherwise(0).cast("long")
-    return line.select("doc_id", "source", "size", "source_size", "target", words.alias("taken"), *quoted(list(keep)))
+    # written, as a filter on taken that Spark moves below would repeat the steps above once for each use of each of them
+    return store(line.select("doc_id", "source", "size", "source_size", "target", words.alias("taken"), *quoted(list(keep))), "op6-taken")
 
 
 def op6_apportioned_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
